@@ -56,6 +56,7 @@ class Context:
         self.spark, self.sf_dir = spark, sf_dir
         self.ht = hashtag_rows(spark, sf_dir)
         self._as_of = None
+        self._entries = None
 
     @property
     def as_of(self) -> int:
@@ -69,8 +70,16 @@ class Context:
     def entries(self, with_rank: bool = False) -> DataFrame:
         return TL.top_by_score(self.ht, self.scores(), self.as_of, with_rank=with_rank)
 
+    def stable_entries(self) -> DataFrame:
+        """Trending entries written to the checkpoint folder once: the runs, ranks and scans
+        downstream read a small table instead of re-planning the decode and joins per branch,
+        and a lost executor recomputes from it rather than from the edits."""
+        if self._entries is None:
+            self._entries = self.entries().checkpoint(eager=True)
+        return self._entries
+
     def runs(self, boundary: str = "exact") -> DataFrame:
-        return TL.collapse_runs(self.entries(), boundary)
+        return TL.collapse_runs(self.stable_entries(), boundary)
 
     def timeline(self) -> DataFrame:
         return TL.sort_timeline(self.runs())
@@ -200,7 +209,7 @@ def q_timeline_runs_drop(spark, sf_dir):
 
 def q_collapse_stats(spark, sf_dir):
     ctx = Context(spark, sf_dir)
-    entries = ctx.entries()
+    entries = ctx.stable_entries()
     return TL.collapse_stats(entries, TL.collapse_runs(entries))
 
 

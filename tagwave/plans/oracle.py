@@ -158,7 +158,10 @@ BODIES = {
 }
 
 # Same definitions as the batch queries they must equal.
-BODIES["stream_trending"] = BODIES["rolling_scores"]
+for _stream, _batch in {"stream_trending": "rolling_scores", "stream_trending_stateful": "rolling_scores",
+                        "stream_hashtag_log": "hashtag_features", "stream_recent_features": "recent_features",
+                        "stream_scores": "trending_6h", "timeline_refresh": "timeline"}.items():
+    BODIES[_stream] = BODIES[_batch]
 
 
 def oracle_sql() -> dict[str, str]:

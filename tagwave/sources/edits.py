@@ -13,7 +13,7 @@ PARSE_SCHEMA = T.StructType(EDIT_SCHEMA.fields + [T.StructField(CORRUPT, T.Strin
 
 
 def read_edits(spark: SparkSession, fmt: str, path_or_options, streaming: bool = True,
-               starting: str = "latest") -> DataFrame:
+               starting: str = "latest", max_files: int | None = None) -> DataFrame:
     """Raw edits ``(edit_id, ts, payload)`` from files or a message bus.
 
     ``parquet``/``json``: files holding the RAW_EDITS columns. ``text``: one JSON edit per line,
@@ -22,6 +22,8 @@ def read_edits(spark: SparkSession, fmt: str, path_or_options, streaming: bool =
     ``latest`` like the reference's stream position.
     """
     reader = spark.readStream if streaming else spark.read
+    if streaming and max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
     if fmt in ("parquet", "json"):
         return reader.schema(RAW_EDITS).format(fmt).load(path_or_options)
     if fmt == "text":
