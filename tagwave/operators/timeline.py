@@ -121,5 +121,5 @@ def sort_timeline(runs: DataFrame) -> DataFrame:
 def collapse_stats(entries: DataFrame, runs: DataFrame) -> DataFrame:
     """Row counts before and after run collapse, one row (O-11)."""
     both = entries.select(F.lit(1).alias("_e")).unionByName(runs.select(F.lit(0).alias("_e")))
-    return both.agg(F.sum("_e").cast("bigint").alias("entries"),
-                    F.sum(1 - F.col("_e")).cast("bigint").alias("runs"))
+    return both.agg(F.count(F.when(F.col("_e") == 1, 1)).alias("entries"),
+                    F.count(F.when(F.col("_e") == 0, 1)).alias("runs"))

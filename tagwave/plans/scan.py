@@ -7,7 +7,11 @@ stays parallel. This is the classic two-level prefix scan, built from DataFrame
 
 1. ``repartitionByRange`` on ``by + order`` (a sampled, balanced range shuffle) and a sort
    within partitions; ``monotonically_increasing_id`` then numbers rows in that order,
-   with the range-partition index in its upper bits.
+   with the range-partition index in its upper bits. This numbered input is written once
+   with ``checkpoint()`` (the shared checkpoint folder): range bounds are re-sampled on every
+   execution and Catalyst prunes each branch differently, so without it the local branch and
+   the summary branch could disagree on partition ids. The checkpoint also cuts lineage,
+   so a lost executor re-reads it instead of recomputing with new bounds.
 2. A window over ``(range partition, segment)`` computes local running values. Each window
    group lies inside one range partition, so its size is bounded by the partition size.
 3. A summary of at most one row per (range partition, segment) gives each group the carry from
@@ -34,6 +38,19 @@ def _num_partitions(df: DataFrame) -> int:
     return max(1, int(conf))
 
 
+def numbered(df: DataFrame, keys: Sequence[Column], partitions: int | None = None) -> DataFrame:
+    """Range-partition on ``keys``, sort inside partitions, number rows (``_rid``, ``_p``) and
+    write the result to the checkpoint folder, so every later branch sees the same numbering."""
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    n = partitions or _num_partitions(df)
+    ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+              .withColumn("_rid", F.monotonically_increasing_id())
+              .withColumn("_p", F.shiftright("_rid", _PART_BITS)))
+    return ranged.checkpoint(eager=True)
+
+
 def ordered_scan(
     df: DataFrame,
     order: Sequence[Column],
@@ -61,10 +78,7 @@ def ordered_scan(
         base = base.withColumn(f"_v_{name}", expr)
     for name, expr in lags.items():
         base = base.withColumn(f"_v_{name}", F.struct(expr.alias("v")))
-    n = partitions or _num_partitions(df)
-    ranged = (base.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-              .withColumn("_rid", F.monotonically_increasing_id())
-              .withColumn("_p", F.shiftright("_rid", _PART_BITS)))
+    ranged = numbered(base, keys, partitions)
 
     w = Window.partitionBy("_p", *by).orderBy("_rid")
     frame = w.rowsBetween(Window.unboundedPreceding, -1 if exclusive else Window.currentRow)
@@ -133,11 +147,7 @@ def islands(
     """
     by = list(by)
     keys = [F.col(c).asc() for c in by] + list(order)
-    n = partitions or _num_partitions(df)
-    ranged = (df.withColumn("_key", key)
-              .repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-              .withColumn("_rid", F.monotonically_increasing_id())
-              .withColumn("_p", F.shiftright("_rid", _PART_BITS)))
+    ranged = numbered(df.withColumn("_key", key), keys, partitions)
     w = Window.partitionBy("_p", *by).orderBy("_rid")
     prev = F.lag("_key").over(w)
     local = (ranged.withColumn("_opens", F.when(prev.isNotNull() & ~prev.eqNullSafe(F.col("_key")), 1).otherwise(0))

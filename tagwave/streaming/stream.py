@@ -21,7 +21,7 @@ from ..operators import edits as E
 from ..operators import leaderboard as L
 from ..operators import timeline as TL
 from ..operators import trending as TR
-from ..schema import CHANGES
+from ..schema import CHANGES, TIMELINE
 from ..session import scratch_path
 from ..sources.edits import parse_edits, read_edits
 from ..sources.fixtures import load_edits
@@ -135,7 +135,7 @@ def follow_changes(spark: SparkSession, paths: dict[str, str], channel: str = HA
     def emit(batch_df: DataFrame, batch_id: int) -> None:
         if batch_df.isEmpty():
             return
-        tl = S.read_timeline(spark, paths["timeline"])
+        tl = _stored_timeline(spark, paths)
         tl.withColumn("emit_id", F.lit(batch_id).cast("bigint")).write.mode("append").parquet(paths["feed"])
 
     changes = (spark.readStream.schema(CHANGES).parquet(paths["changes"]).where(F.col("channel") == channel))
@@ -198,10 +198,17 @@ def q_stream_scores(spark, sf_dir):
     return S.read_scores(spark.read.parquet(paths["scores"])).select("hashtag", "score")
 
 
+def _stored_timeline(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """The stored timeline, or an empty one when no refresh has written it yet."""
+    if not os.path.exists(paths["timeline"]) and "://" not in paths["timeline"]:
+        return spark.createDataFrame([], TIMELINE)
+    return S.read_timeline(spark, paths["timeline"])
+
+
 def q_timeline_refresh(spark, sf_dir):
     paths = _run(spark, sf_dir, "stream-timeline")
     refresh_timeline(spark, paths)
-    return S.read_timeline(spark, paths["timeline"]).select("position", "hashtag", "run", "feature", "time",
+    return _stored_timeline(spark, paths).select("position", "hashtag", "run", "feature", "time",
                                                             "last", "count")
 
 
@@ -210,6 +217,9 @@ def q_change_feed(spark, sf_dir):
     paths = _run(spark, sf_dir, "stream-feed")
     refresh_timeline(spark, paths)
     follow_changes(spark, paths).awaitTermination()
+    if not os.path.exists(paths["feed"]) and "://" not in paths["feed"]:
+        return spark.createDataFrame([], TIMELINE).select(F.lit(0).cast("bigint").alias("emit_id"), "position",
+                                                          "hashtag", "count")
     return spark.read.parquet(paths["feed"]).select("emit_id", "position", "hashtag", "count")
 
 
