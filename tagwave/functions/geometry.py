@@ -11,24 +11,16 @@ POLYGON = "POLYGON"
 LINESTRING = "LINESTRING"
 
 
-def _has_coords(n: Column) -> Column:
-    return n["lon"].isNotNull() & n["lat"].isNotNull()
+def points(nodes: str = "nodes") -> Column:
+    """Nodes having both coordinates, cast to double, order kept (O-18). SQL-text argument."""
+    return F.expr(f"transform(filter({nodes}, n -> n.lon IS NOT NULL AND n.lat IS NOT NULL), "
+                  f"n -> named_struct('lon', try_cast(n.lon AS DOUBLE), 'lat', try_cast(n.lat AS DOUBLE)))")
 
 
-def points(nodes: str | Column = "nodes") -> Column:
-    """Nodes having both coordinates, cast to double, order kept (O-18)."""
-    return F.transform(
-        F.filter(_c(nodes), _has_coords),
-        lambda n: F.struct(n["lon"].try_cast("double").alias("lon"), n["lat"].try_cast("double").alias("lat")),
-    )
-
-
-def bad_coordinate(nodes: str | Column = "nodes") -> Column:
+def bad_coordinate(nodes: str = "nodes") -> Column:
     """True when a node has both coordinates but one is not a number."""
-    return F.exists(
-        _c(nodes),
-        lambda n: _has_coords(n) & (n["lon"].try_cast("double").isNull() | n["lat"].try_cast("double").isNull()),
-    )
+    return F.expr(f"exists({nodes}, n -> n.lon IS NOT NULL AND n.lat IS NOT NULL "
+                  f"AND (try_cast(n.lon AS DOUBLE) IS NULL OR try_cast(n.lat AS DOUBLE) IS NULL))")
 
 
 def geometry_type(tags: str | Column = "tags") -> Column:
@@ -50,17 +42,16 @@ def ring(pts: str | Column) -> Column:
     return F.when(p[0] == F.element_at(p, -1), p).otherwise(F.concat(p, F.array(p[0])))
 
 
-def wkt(geom_type: str | Column, pts: str | Column, digits: int = 7) -> Column:
-    """WKT text of a point list, ``POLYGON ((x y, ...))`` or ``LINESTRING (x y, ...)`` (O-50)."""
-    g, p = _c(geom_type), _c(pts)
-    fmt = f"%.{digits}f %.{digits}f"
+def wkt(geom_type: str, pts: str, digits: int = 7) -> Column:
+    """WKT text of a point list, ``POLYGON ((x y, ...))`` or ``LINESTRING (x y, ...)`` (O-50).
 
-    def coords(arr: Column) -> Column:
-        return F.array_join(F.transform(arr, lambda q: F.format_string(fmt, q["lon"], q["lat"])), ", ")
-
-    return F.when(g == POLYGON, F.concat(F.lit("POLYGON (("), coords(ring(p)), F.lit("))"))).otherwise(
-        F.concat(F.lit("LINESTRING ("), coords(p), F.lit(")"))
-    )
+    Polygon rings are closed once: the first point is appended unless it already ends the list.
+    """
+    coord = f"q -> format_string('%.{digits}f %.{digits}f', q.lon, q.lat)"
+    closed = f"CASE WHEN {pts}[0] = element_at({pts}, -1) THEN {pts} ELSE concat({pts}, array({pts}[0])) END"
+    return F.expr(f"CASE WHEN {geom_type} = '{POLYGON}' "
+                  f"THEN concat('POLYGON ((', array_join(transform({closed}, {coord}), ', '), '))') "
+                  f"ELSE concat('LINESTRING (', array_join(transform({pts}, {coord}), ', '), ')') END")
 
 
 def feature_class(wkt_text: str | Column) -> Column:
@@ -68,12 +59,8 @@ def feature_class(wkt_text: str | Column) -> Column:
     return F.when(_c(wkt_text).startswith("P"), F.lit("building")).otherwise(F.lit("way"))
 
 
-def bbox_center(pts: str | Column) -> Column:
+def bbox_center(pts: str) -> Column:
     """Centre of the bounding box of a point list, struct<lon, lat> (O-61)."""
-    p = _c(pts)
-    xs = F.transform(p, lambda q: q["lon"])
-    ys = F.transform(p, lambda q: q["lat"])
-    return F.struct(
-        ((F.array_min(xs) + F.array_max(xs)) / 2).alias("lon"),
-        ((F.array_min(ys) + F.array_max(ys)) / 2).alias("lat"),
-    )
+    xs, ys = f"transform({pts}, q -> q.lon)", f"transform({pts}, q -> q.lat)"
+    return F.expr(f"named_struct('lon', (array_min({xs}) + array_max({xs})) / 2, "
+                  f"'lat', (array_min({ys}) + array_max({ys})) / 2)")

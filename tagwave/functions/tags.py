@@ -10,6 +10,7 @@ DEFAULT_COMMENT = "(no comment)"
 HASH = "#"
 # Whitespace split: (?U) makes \s match Unicode spaces (no-break, em space) as well.
 WHITESPACE = r"(?U)\s+"
+WHITESPACE_SQL = WHITESPACE.replace("\\", "\\\\")  # inside a SQL string literal
 
 
 def _c(col: str | Column) -> Column:
@@ -31,19 +32,20 @@ def clean_hashtag(tag: str | Column) -> Column:
     return F.regexp_replace(F.regexp_replace(_c(tag), r"^#", ""), r",$", "")
 
 
-def hashtags(comment: str | Column, dedupe: str = "before") -> Column:
+def hashtags(comment: str, dedupe: str = "before") -> Column:
     """Array of hashtags of one comment (O-14, O-32, O-47, O-48).
 
     Tokens are split on whitespace, only tokens starting with '#' count, that '#' is dropped.
     ``dedupe='before'`` removes duplicate raw tokens before cleaning, so ``#a #a,`` yields ``a``
     twice, as the reference does; ``'after'`` removes duplicates of cleaned tags. Empty tags
-    (from ``##`` or ``#,``) are dropped either way.
+    (from ``##`` or ``#,``) are dropped either way. ``comment`` is SQL text (a column name or
+    expression): the expression is built as SQL in one call rather than node by node.
     """
-    tokens = F.split(_c(comment), WHITESPACE)
-    raw = F.transform(F.filter(tokens, lambda p: p.startswith(HASH)), lambda p: F.substring(p, 2, 1 << 30))
-    if dedupe == "before":
-        raw = F.array_distinct(raw)
-    elif dedupe != "after":
+    if dedupe not in ("before", "after"):
         raise ValueError("dedupe must be 'before' or 'after'")
-    cleaned = F.filter(F.transform(F.filter(raw, lambda t: t != ""), clean_hashtag), lambda t: t != "")
-    return F.array_distinct(cleaned) if dedupe == "after" else cleaned
+    raw = f"transform(filter(split({comment}, '{WHITESPACE_SQL}'), p -> startswith(p, '{HASH}')), p -> substring(p, 2))"
+    if dedupe == "before":
+        raw = f"array_distinct({raw})"
+    cleaned = (f"filter(transform(filter({raw}, t -> t <> ''), "
+               f"t -> regexp_replace(regexp_replace(t, '^#', ''), ',$', '')), t -> t <> '')")
+    return F.expr(f"array_distinct({cleaned})" if dedupe == "after" else cleaned)

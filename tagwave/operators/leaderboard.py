@@ -29,11 +29,11 @@ def replay(timeline: DataFrame) -> DataFrame:
                            "hashtag", "run", "feature", "time", "last", "count", "n_runs")
 
 
-def running_totals(steps: DataFrame) -> DataFrame:
+def running_totals(steps: DataFrame, small: bool = False) -> DataFrame:
     """Each hashtag's total after every replay step (O-37): a running sum per hashtag split
     across range partitions, so one popular hashtag is not one task."""
     return ordered_scan(steps, [F.col("step").asc()], by=["hashtag"],
-                        sums={"running_total": F.col("count")})
+                        sums={"running_total": F.col("count")}, small=small)
 
 
 def leaderboard(timeline: DataFrame) -> DataFrame:
@@ -41,9 +41,9 @@ def leaderboard(timeline: DataFrame) -> DataFrame:
     return timeline.groupBy("hashtag").agg(F.sum("count").cast("bigint").alias("total"))
 
 
-def with_rank(board: DataFrame) -> DataFrame:
+def with_rank(board: DataFrame, small: bool = False) -> DataFrame:
     """Rank by total descending, ties by hashtag, positions 1..n unshared (O-38, Q12)."""
-    return ordered_scan(board, [F.col("total").desc(), F.col("hashtag").asc()], rank="rank")
+    return ordered_scan(board, [F.col("total").desc(), F.col("hashtag").asc()], rank="rank", small=small)
 
 
 def with_leader_flag(ranked: DataFrame, k: int = LEADER_K) -> DataFrame:

@@ -29,7 +29,7 @@ def join_scores(scores: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def top_by_score(hashtag_rows: DataFrame, scores: DataFrame, as_of: int, window: int = WINDOW_SECONDS,
-                 min_exclusive: int = 1, with_rank: bool = True) -> DataFrame:
+                 min_exclusive: int = 1, with_rank: bool = True, small: bool = False) -> DataFrame:
     """For each hashtag scoring more than ``min_exclusive``, its newest ``score + 1`` log entries
     (O-25, O-29b, O-36; the inclusive range 0..score of the reference, quirk Q6).
 
@@ -52,7 +52,12 @@ def top_by_score(hashtag_rows: DataFrame, scores: DataFrame, as_of: int, window:
     entries = recent.select("hashtag", "score", *cols).unionByName(newest_older)
     if not with_rank:
         return entries
-    return ordered_scan(entries, newest_first(), by=["hashtag"], rank="entry_rank")
+    return rank_entries(entries, small)
+
+
+def rank_entries(entries: DataFrame, small: bool = False) -> DataFrame:
+    """Position of each entry in its hashtag's list, 1 = newest (O-36's row_number)."""
+    return ordered_scan(entries, newest_first(), by=["hashtag"], rank="entry_rank", small=small)
 
 
 def union_edges(*dfs: DataFrame) -> DataFrame:
@@ -63,15 +68,17 @@ def union_edges(*dfs: DataFrame) -> DataFrame:
     return out
 
 
-def collapse_runs(entries: DataFrame, boundary: str = "exact") -> DataFrame:
+def collapse_runs(entries: DataFrame, boundary: str = "exact", small: bool = False) -> DataFrame:
     """Collapse consecutive entries of one hashtag with equal (time, feature class) (O-33).
 
     Entries are read newest first within each hashtag. ``last`` is the WKT of the run's newest
     entry. ``boundary='drop'`` reproduces the reference's collapse, which loses one element at
     each boundary (O-34, quirk Q5). Output: hashtag, run, feature, time, last, count.
+    ``small`` (a checked size, ``plans.scan.fits_one_task``) picks single-task windows.
     """
     key = F.struct(F.col("date").alias("time"), feature_class("feature").alias("cls"))
-    numbered = islands(entries, newest_first(), ["hashtag"], key, run="run", rank="_erank", opens="_opens")
+    numbered = islands(entries, newest_first(), ["hashtag"], key, run="run", rank="_erank", opens="_opens",
+                       small=small)
     runs = (numbered.groupBy("hashtag", "run")
             .agg(F.min_by(F.struct(F.col("date").alias("time"), feature_class("feature").alias("cls"),
                                    F.col("feature").alias("wkt")), "_erank").alias("first"),
@@ -83,10 +90,10 @@ def collapse_runs(entries: DataFrame, boundary: str = "exact") -> DataFrame:
         return runs.drop("_second")
     if boundary != "drop":
         raise ValueError("boundary must be 'exact' or 'drop'")
-    return drop_boundaries(runs)
+    return drop_boundaries(runs, small)
 
 
-def drop_boundaries(runs: DataFrame) -> DataFrame:
+def drop_boundaries(runs: DataFrame, small: bool = False) -> DataFrame:
     """The reference's collapse over exact runs in one global order (O-34).
 
     Runs k = 1..n in order (hashtag ascending, then run). With j(k) the last index before k
@@ -95,9 +102,9 @@ def drop_boundaries(runs: DataFrame) -> DataFrame:
     j(k) are scans over the global order, split across range partitions.
     """
     order = [F.col("hashtag").asc(), F.col("run").asc()]
-    ranked = ordered_scan(runs, order, rank="_k")
+    ranked = ordered_scan(runs, order, rank="_k", small=small)
     with_j = ordered_scan(ranked, [F.col("_k").asc()], maxes={"_j": F.when(F.col("count") >= 2, F.col("_k"))},
-                          exclusive=True)
+                          exclusive=True, small=small)
     j = F.coalesce(F.col("_j"), F.lit(-1))
     occupied = (F.col("_k") > 1) & (((F.col("_k") - 1 - j) % 2) == 0)
     return (with_j.select("hashtag", "run", "feature", "time",
@@ -112,10 +119,10 @@ def timeline_order() -> list:
             F.col("run").asc()]
 
 
-def sort_timeline(runs: DataFrame) -> DataFrame:
+def sort_timeline(runs: DataFrame, small: bool = False) -> DataFrame:
     """Timeline order: parsed time descending, unparseable last; hashtag, class and run break
     ties (O-41). Adds ``position`` (1-based) and ``n_runs`` from a range-partitioned scan."""
-    return ordered_scan(runs, timeline_order(), rank="position", total="n_runs")
+    return ordered_scan(runs, timeline_order(), rank="position", total="n_runs", small=small)
 
 
 def collapse_stats(entries: DataFrame, runs: DataFrame) -> DataFrame:

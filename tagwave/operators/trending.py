@@ -34,6 +34,30 @@ def default_as_of(rows: DataFrame, ts: str = "ts", slide: int = SLIDE_SECONDS) -
     return None if latest is None else (latest // slide + 1) * slide
 
 
+def probe_as_of(raw: DataFrame, derive, ts: str = "ts", slide: int = SLIDE_SECONDS,
+                first_span: int = WINDOW_SECONDS, growth: int = 8) -> int | None:
+    """``default_as_of`` of ``derive(raw)`` without decoding the whole history.
+
+    ``raw`` carries the arrival clock before the costly decode (``derive``). The newest derived
+    row lies in the newest raw slice that yields any row, so slices ``[top - span, top]`` are
+    probed with spans growing ``growth``-fold until one yields a row or covers all of ``raw``.
+    Slice bounds are literals, so each probe reads only the row groups of its slice; a typical
+    call reads the ``ts`` column once and decodes one six-hour slice.
+    """
+    lo_all, top = raw.agg(F.min(epoch_seconds(ts)), F.max(epoch_seconds(ts))).first()
+    if top is None:
+        return None
+    ntz = _is_ntz(raw, ts)
+    span = first_span
+    while True:
+        lo = top - span
+        part = raw if lo <= lo_all else raw.where(F.col(ts) >= ts_literal(lo, ntz))
+        found = default_as_of(derive(part), ts, slide)
+        if found is not None or lo <= lo_all:
+            return found
+        span *= growth
+
+
 def _is_ntz(df: DataFrame, ts: str) -> bool:
     return isinstance(df.schema[ts].dataType, T.TimestampNTZType)
 

@@ -26,6 +26,7 @@ from ..operators import edits as E
 from ..operators import leaderboard as L
 from ..operators import timeline as TL
 from ..operators import trending as TR
+from ..plans.scan import fits_one_task
 from ..sources.edits import parse_edits
 from ..sources.fixtures import load_edits
 
@@ -44,6 +45,11 @@ def hashtag_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.explode_hashtags(feature_rows(spark, sf_dir))
 
 
+def derive_hashtags(raw: DataFrame) -> DataFrame:
+    """Raw edits to (feature, hashtag) rows: decode, features, explode."""
+    return E.explode_hashtags(E.features(parse_edits(raw)))
+
+
 def _joined_tags(col: str = "hashtags"):
     """Hashtag array as sorted space-joined text (set order is unspecified, quirk Q17)."""
     return F.array_join(F.array_sort(F.col(col)), " ")
@@ -54,14 +60,16 @@ class Context:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
-        self.ht = hashtag_rows(spark, sf_dir)
+        self.raw = load_edits(spark, sf_dir)
+        self.ht = derive_hashtags(self.raw)
         self._as_of = None
         self._entries = None
+        self._entry_rows = None
 
     @property
     def as_of(self) -> int:
         if self._as_of is None:
-            self._as_of = TR.default_as_of(self.ht)
+            self._as_of = TR.probe_as_of(self.raw, derive_hashtags)
         return self._as_of
 
     def scores(self) -> DataFrame:
@@ -78,11 +86,22 @@ class Context:
             self._entries = self.entries().checkpoint(eager=True)
         return self._entries
 
+    @property
+    def small(self) -> bool:
+        """Entries bound every timeline table (runs, steps, leaderboard rows). Their count, read
+        off the checkpoint, decides single-task windows versus distributed scans."""
+        if self._entry_rows is None:
+            self._entry_rows = self.stable_entries().count()
+        return fits_one_task(self._entry_rows)
+
+    def ranked_entries(self) -> DataFrame:
+        return TL.rank_entries(self.stable_entries(), self.small)
+
     def runs(self, boundary: str = "exact") -> DataFrame:
-        return TL.collapse_runs(self.stable_entries(), boundary)
+        return TL.collapse_runs(self.stable_entries(), boundary, self.small)
 
     def timeline(self) -> DataFrame:
-        return TL.sort_timeline(self.runs())
+        return TL.sort_timeline(self.runs(), self.small)
 
     def steps(self) -> DataFrame:
         return L.replay(self.timeline())
@@ -195,7 +214,7 @@ def q_trending_edits(spark, sf_dir):
 
 
 def q_timeline_entries(spark, sf_dir):
-    e = Context(spark, sf_dir).entries(with_rank=True)
+    e = Context(spark, sf_dir).ranked_entries()
     return e.select("hashtag", "score", "edit_id", "date", "feature", "entry_rank")
 
 
@@ -210,7 +229,7 @@ def q_timeline_runs_drop(spark, sf_dir):
 def q_collapse_stats(spark, sf_dir):
     ctx = Context(spark, sf_dir)
     entries = ctx.stable_entries()
-    return TL.collapse_stats(entries, TL.collapse_runs(entries))
+    return TL.collapse_stats(entries, TL.collapse_runs(entries, small=ctx.small))
 
 
 def q_timeline(spark, sf_dir):
@@ -234,7 +253,8 @@ def q_timeline_progress(spark, sf_dir):
 
 
 def q_running_totals(spark, sf_dir):
-    return L.running_totals(Context(spark, sf_dir).steps()).select("step", "hashtag", "count", "running_total")
+    ctx = Context(spark, sf_dir)
+    return L.running_totals(ctx.steps(), ctx.small).select("step", "hashtag", "count", "running_total")
 
 
 def q_leaderboard_totals(spark, sf_dir):
@@ -242,8 +262,9 @@ def q_leaderboard_totals(spark, sf_dir):
 
 
 def q_leaderboard_ranked(spark, sf_dir):
-    board = L.leaderboard(Context(spark, sf_dir).timeline())
-    return L.with_leader_flag(L.with_rank(board)).select("hashtag", "total", "rank", "leader")
+    ctx = Context(spark, sf_dir)
+    board = L.leaderboard(ctx.timeline())
+    return L.with_leader_flag(L.with_rank(board, ctx.small)).select("hashtag", "total", "rank", "leader")
 
 
 def q_top_leaders(spark, sf_dir):

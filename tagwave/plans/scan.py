@@ -31,6 +31,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _PART_BITS = 33  # monotonically_increasing_id: partition index above bit 33, row index below
+ONE_TASK_ROWS = 200_000  # inputs proven smaller than this are scanned by plain windows in one task
+
+
+def fits_one_task(rows: int | None, limit: int = ONE_TASK_ROWS) -> bool:
+    """True when a checked row count is small enough for a single-task window."""
+    return rows is not None and rows <= limit
 
 
 def _num_partitions(df: DataFrame) -> int:
@@ -63,15 +69,20 @@ def ordered_scan(
     total: str | None = None,
     exclusive: bool = False,
     partitions: int | None = None,
+    small: bool = False,
 ) -> DataFrame:
     """Add running columns along ``by + order``, restarting at each change of ``by``.
 
     sums / maxes: running sum / max of an expression (inclusive of the current row unless
     ``exclusive``). lags: the expression's value on the previous row of the segment (NULL on
     the first). rank: 1-based position in the segment. total: row count of the segment.
+    ``small=True`` (only for an input whose size was checked, see ``fits_one_task``) uses
+    plain window functions instead.
     """
     sums, maxes, lags = dict(sums or {}), dict(maxes or {}), dict(lags or {})
     by = list(by)
+    if small:
+        return _window_scan(df, order, by, sums, maxes, lags, rank, total, exclusive)
     keys = [F.col(c).asc() for c in by] + list(order)
     base = df
     for name, expr in {**sums, **maxes}.items():
@@ -125,6 +136,25 @@ def ordered_scan(
     return joined.select(*df.columns, *out)
 
 
+def _window_scan(df, order, by, sums, maxes, lags, rank, total, exclusive) -> DataFrame:
+    """The same columns from plain window functions (each segment in one task)."""
+    w = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
+    frame = w.rowsBetween(Window.unboundedPreceding, -1 if exclusive else Window.currentRow)
+    out = []
+    for name, expr in sums.items():
+        out.append(F.coalesce(F.sum(expr).over(frame), F.lit(0)).alias(name))
+    for name, expr in maxes.items():
+        out.append(F.max(expr).over(frame).alias(name))
+    for name, expr in lags.items():
+        out.append(F.lag(expr).over(w).alias(name))
+    if rank:
+        out.append(F.row_number().over(w).cast("bigint").alias(rank))
+    if total:
+        whole = Window.partitionBy(*by) if by else Window.partitionBy()
+        out.append(F.count(F.lit(1)).over(whole).alias(total))
+    return df.select(*df.columns, *out)
+
+
 def islands(
     df: DataFrame,
     order: Sequence[Column],
@@ -135,6 +165,7 @@ def islands(
     rank: str = "rank",
     opens: str | None = None,
     partitions: int | None = None,
+    small: bool = False,
 ) -> DataFrame:
     """Gaps and islands in one scan: number the runs of equal ``key`` along ``by + order``.
 
@@ -146,6 +177,16 @@ def islands(
     of one row per (range partition, segment).
     """
     by = list(by)
+    if small:
+        w = Window.partitionBy(*by).orderBy(*order)
+        prev = F.lag(key).over(w)
+        flag = F.when(prev.isNull() | ~prev.eqNullSafe(key), 1).otherwise(0)
+        marked = df.withColumn("_o", flag)
+        out = [F.sum("_o").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint").alias(run),
+               F.row_number().over(w).cast("bigint").alias(rank)]
+        if opens:
+            out.append(F.col("_o").alias(opens))
+        return marked.select(*df.columns, *out)
     keys = [F.col(c).asc() for c in by] + list(order)
     ranged = numbered(df.withColumn("_key", key), keys, partitions)
     w = Window.partitionBy("_p", *by).orderBy("_rid")

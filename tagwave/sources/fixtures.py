@@ -31,6 +31,9 @@ PAYLOAD_SQL = r"""concat('{"type":"', CASE WHEN event_type = 'error' THEN 'node'
    CASE WHEN event_id % 6 > 3 THEN concat('{"lon":"', CAST(event_id * 37 % 360 - 180 AS STRING), '.25","lat":"', CAST(event_id * 53 % 170 - 85 AS STRING), '.75"}') END),
  ']}')"""
 
+# The events columns the recipe reads; a declared schema skips footer-based inference.
+EVENTS_READ = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING"
+
 EDITS_SQL = f"SELECT event_id AS edit_id, ts, {PAYLOAD_SQL} AS payload FROM events"
 
 
@@ -44,7 +47,7 @@ def load_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     Only the four events columns the recipe needs are read; a filter on ``ts`` placed above
     this reaches the parquet scan.
     """
-    events = spark.read.parquet(events_path(sf_dir)).select("event_id", "ts", "user_id", "event_type")
+    events = spark.read.schema(EVENTS_READ).parquet(events_path(sf_dir))
     return spread(events).selectExpr("event_id AS edit_id", "ts", f"{PAYLOAD_SQL} AS payload")
 
 

@@ -21,6 +21,7 @@ from ..operators import edits as E
 from ..operators import leaderboard as L
 from ..operators import timeline as TL
 from ..operators import trending as TR
+from ..plans.scan import fits_one_task
 from ..schema import CHANGES, TIMELINE
 from ..session import scratch_path
 from ..sources.edits import parse_edits, read_edits
@@ -122,9 +123,11 @@ def refresh_timeline(spark: SparkSession, paths: dict[str, str], as_of: int | No
     S.write_scores(scores, 0, paths["scores"])
     entries = TL.top_by_score(log, S.read_scores(spark.read.parquet(paths["scores"])), as_of, with_rank=False)
     entries = entries.checkpoint(eager=True)
-    if on_empty == "keep" and entries.isEmpty():
+    rows = entries.count()
+    if on_empty == "keep" and rows == 0:
         return False
-    S.write_timeline(TL.sort_timeline(TL.collapse_runs(entries)).drop("n_runs"), paths["timeline"])
+    small = fits_one_task(rows)
+    S.write_timeline(TL.sort_timeline(TL.collapse_runs(entries, small=small), small).drop("n_runs"), paths["timeline"])
     return True
 
 
