@@ -70,3 +70,57 @@ def activity_log(steps: DataFrame, n: int = LOG_KEEP) -> DataFrame:
     hm = clock(parse_time("time"))
     return top.select("step", hm.alias("clock"), log_line(hm, "count", "feature", "hashtag").alias("line"),
                       "hashtag", "count", "feature")
+
+
+def leader_changes(steps: DataFrame, every: int = 3600, k: int = LEADER_K, small: bool = False) -> DataFrame:
+    """Leader entry and exit between replay snapshots (O-43).
+
+    The reference re-ranks after each replayed run and flags a hashtag entering the top k
+    (it gains leader status) or falling out of it (it loses it). Re-aimed to snapshots: the
+    replay is cut every ``every`` seconds of entry time; at each snapshot every hashtag's total
+    is its running total so far, leaders are the top ``k`` by (total desc, hashtag), and a
+    change is a difference with the previous snapshot's leaders.
+
+    Totals only grow, so the k-th best total never falls. LB_b, the running max of the k-th best
+    total among hashtags updated at snapshot b, bounds it from below; a hashtag is only expanded
+    over the snapshots where its total reaches LB_b. Nothing pairs every hashtag with every
+    snapshot. Output: snapshot (epoch s), hashtag, change ('entered' with the new rank and
+    total, 'left' with those of the previous snapshot), rank, total.
+    """
+    snap = F.coalesce(F.floor(F.unix_timestamp(parse_time("time")) / every) * every, F.lit(-1)).cast("bigint")
+    upd = steps.groupBy("hashtag", snap.alias("snapshot")).agg(F.sum("count").cast("bigint").alias("n"))
+    snaps = ordered_scan(upd.select("snapshot").distinct(), [F.col("snapshot").asc()], rank="b",
+                         total="n_snaps", small=small)
+    upd = upd.join(snaps, "snapshot")
+    # per hashtag: one row per snapshot it was updated in (bounded by the number of snapshots)
+    per_tag = Window.partitionBy("hashtag").orderBy("b")
+    events = upd.select("hashtag", "b", "snapshot", "n_snaps",
+                        F.sum("n").over(per_tag.rowsBetween(Window.unboundedPreceding, 0)).alias("total"),
+                        F.lead("b").over(per_tag).alias("b_next"))
+    best = Window.partitionBy("b").orderBy(F.col("total").desc(), F.col("hashtag").asc())
+    kth = (events.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k)
+           .groupBy("b").agg(F.count(F.lit(1)).alias("_c"), F.min("total").alias("_t"))
+           .select("b", F.when(F.col("_c") == k, F.col("_t")).otherwise(F.lit(0)).alias("_theta")))
+    bounds = ordered_scan(snaps.join(kth, "b", "left").fillna(0, ["_theta"]), [F.col("b").asc()],
+                          maxes={"lb": F.col("_theta")}, small=small).select("b", "lb")
+    # m = number of snapshots whose bound the total reaches (a prefix, as LB is monotone)
+    probe = (bounds.select(F.col("lb").alias("v"), F.lit(1).alias("is_lb"), F.col("b").alias("qb"),
+                           F.lit(None).cast("string").alias("hashtag"))
+             .unionByName(events.select(F.col("total").alias("v"), F.lit(0).alias("is_lb"),
+                                        F.col("b").alias("qb"), "hashtag")))
+    reach = (ordered_scan(probe, [F.col("v").asc(), F.col("is_lb").desc(), F.col("qb").asc(),
+                                  F.col("hashtag").asc_nulls_first()], sums={"m": F.col("is_lb")}, small=small)
+             .where(F.col("is_lb") == 0).select("hashtag", F.col("qb").alias("b"), "m"))
+    last = F.least(F.coalesce(F.col("b_next") - 1, F.col("n_snaps")), F.col("m"))
+    cand = (events.join(reach, ["hashtag", "b"])
+            .where(last >= F.col("b"))
+            .select("hashtag", "total", F.explode(F.sequence(F.col("b"), last)).alias("b")))
+    leaders = cand.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    prev = leaders.select("hashtag", (F.col("b") + 1).alias("b"), F.col("rank").alias("p_rank"),
+                          F.col("total").alias("p_total"))
+    both = leaders.join(prev, ["hashtag", "b"], "full_outer").join(snaps.select("b", "snapshot"), "b")
+    return (both.where(F.col("rank").isNull() | F.col("p_rank").isNull())
+            .select("snapshot", "hashtag",
+                    F.when(F.col("p_rank").isNull(), F.lit("entered")).otherwise(F.lit("left")).alias("change"),
+                    F.coalesce("rank", "p_rank").cast("bigint").alias("rank"),
+                    F.coalesce("total", "p_total").alias("total")))

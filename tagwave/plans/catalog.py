@@ -92,7 +92,7 @@ class Context:
         off the checkpoint, decides single-task windows versus distributed scans."""
         if self._entry_rows is None:
             self._entry_rows = self.stable_entries().count()
-        return fits_one_task(self._entry_rows)
+        return fits_one_task(self._entry_rows, self.spark)
 
     def ranked_entries(self) -> DataFrame:
         return TL.rank_entries(self.stable_entries(), self.small)
@@ -271,6 +271,11 @@ def q_top_leaders(spark, sf_dir):
     return L.top_leaders(L.leaderboard(Context(spark, sf_dir).timeline()))
 
 
+def q_leader_changes(spark, sf_dir):
+    ctx = Context(spark, sf_dir)
+    return L.leader_changes(ctx.steps(), small=ctx.small)
+
+
 def q_activity_log(spark, sf_dir):
     return L.activity_log(Context(spark, sf_dir).steps())
 
@@ -307,4 +312,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "leaderboard_ranked": q_leaderboard_ranked,
     "top_leaders": q_top_leaders,
     "activity_log": q_activity_log,
+    "leader_changes": q_leader_changes,
 }

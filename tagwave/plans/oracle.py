@@ -157,6 +157,28 @@ BODIES = {
         FROM steps ORDER BY step DESC LIMIT 100""",
 }
 
+BODIES["leader_changes"] = """SELECT sn.snapshot, hashtag, change, CAST(rank AS BIGINT) AS rank,
+        CAST(total AS BIGINT) AS total FROM (
+      SELECT coalesce(c.b, p.b + 1) AS b, coalesce(c.hashtag, p.hashtag) AS hashtag,
+             CASE WHEN p.hashtag IS NULL THEN 'entered' ELSE 'left' END AS change,
+             coalesce(c.rank, p.rank) AS rank, coalesce(c.total, p.total) AS total
+      FROM ld c FULL OUTER JOIN ld p ON c.hashtag = p.hashtag AND c.b = p.b + 1
+      WHERE c.hashtag IS NULL OR p.hashtag IS NULL) ch JOIN sn USING (b)"""
+LEADER_PRELUDE = """,
+st AS (SELECT hashtag, count,
+              coalesce(CAST(floor(epoch(TRY_CAST(time AS TIMESTAMP)) / 3600) * 3600 AS BIGINT), -1) AS snapshot
+       FROM steps),
+upd AS (SELECT hashtag, snapshot, sum(count) AS n FROM st GROUP BY hashtag, snapshot),
+sn AS (SELECT snapshot, row_number() OVER (ORDER BY snapshot) AS b FROM (SELECT DISTINCT snapshot FROM upd)),
+ub AS (SELECT hashtag, b, n FROM upd JOIN sn USING (snapshot)),
+grid AS (SELECT t.hashtag, s.b FROM (SELECT hashtag, min(b) AS b0 FROM ub GROUP BY hashtag) t JOIN sn s ON s.b >= t.b0),
+tot AS (SELECT g.hashtag, g.b,
+               sum(coalesce(ub.n, 0)) OVER (PARTITION BY g.hashtag ORDER BY g.b ROWS UNBOUNDED PRECEDING) AS total
+        FROM grid g LEFT JOIN ub USING (hashtag, b)),
+ld AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY total DESC, hashtag) AS rank FROM tot)
+       WHERE rank <= 10)
+"""
+
 # Same definitions as the batch queries they must equal.
 for _stream, _batch in {"stream_trending": "rolling_scores", "stream_trending_stateful": "rolling_scores",
                         "stream_hashtag_log": "hashtag_features", "stream_recent_features": "recent_features",
@@ -165,4 +187,5 @@ for _stream, _batch in {"stream_trending": "rolling_scores", "stream_trending_st
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: PRELUDE + body for name, body in BODIES.items()}
+    return {name: PRELUDE + (LEADER_PRELUDE if name == "leader_changes" else "") + body
+            for name, body in BODIES.items()}

@@ -34,8 +34,17 @@ _PART_BITS = 33  # monotonically_increasing_id: partition index above bit 33, ro
 ONE_TASK_ROWS = 200_000  # inputs proven smaller than this are scanned by plain windows in one task
 
 
-def fits_one_task(rows: int | None, limit: int = ONE_TASK_ROWS) -> bool:
-    """True when a checked row count is small enough for a single-task window."""
+ONE_TASK_CONF = "spark.tagwave.oneTaskRows"
+
+
+def fits_one_task(rows: int | None, spark=None, limit: int | None = None) -> bool:
+    """True when a checked row count is small enough for a single-task window.
+
+    The limit is ``limit``, else the session setting ``spark.tagwave.oneTaskRows``, else
+    ``ONE_TASK_ROWS``; 0 forces the distributed scans.
+    """
+    if limit is None:
+        limit = int(spark.conf.get(ONE_TASK_CONF, str(ONE_TASK_ROWS))) if spark is not None else ONE_TASK_ROWS
     return rows is not None and rows <= limit
 
 

@@ -126,7 +126,7 @@ def refresh_timeline(spark: SparkSession, paths: dict[str, str], as_of: int | No
     rows = entries.count()
     if on_empty == "keep" and rows == 0:
         return False
-    small = fits_one_task(rows)
+    small = fits_one_task(rows, spark)
     S.write_timeline(TL.sort_timeline(TL.collapse_runs(entries, small=small), small).drop("n_runs"), paths["timeline"])
     return True
 

@@ -40,3 +40,33 @@ def test_entry_smoke(spark):
 
 def test_every_query_has_oracle_or_is_a_feed():
     assert set(entry.queries()) - set(entry.oracle_sql()) <= {"change_feed"}
+
+
+TIMELINE_FAMILY = ["timeline_entries", "timeline_runs", "timeline_runs_drop", "timeline", "running_totals",
+                   "leaderboard_ranked", "leader_changes", "timeline_progress"]
+
+
+@pytest.fixture(scope="module")
+def duck_oracle_sf():
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    sf = "/root/testdata/sf0.01"
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{sf}/events.parquet')")
+    yield con, sf
+    con.close()
+
+
+@pytest.mark.parametrize("name", TIMELINE_FAMILY)
+def test_distributed_scans_match_oracle(spark, duck_oracle_sf, name):
+    """Force the range-partitioned scans (no single-task windows) on the timeline queries."""
+    from tagwave.plans.scan import ONE_TASK_CONF
+
+    con, sf = duck_oracle_sf
+    spark.conf.set(ONE_TASK_CONF, "0")
+    try:
+        df = entry.queries()[name](spark, sf)
+        got = rows_of([tuple(r) for r in df.collect()], df.columns)
+    finally:
+        spark.conf.unset(ONE_TASK_CONF)
+    res = con.execute(entry.oracle_sql()[name])
+    assert got == rows_of(res.fetchall(), [d[0] for d in res.description])

@@ -119,3 +119,41 @@ def test_top_leaders_prefix_of_ranked(spark):
     assert [(r.hashtag, r.total) for r in top] == [(r.hashtag, r.total) for r in ranked[:9]]
     flags = L.with_leader_flag(L.with_rank(board)).where("leader").count()
     assert flags == 10
+
+
+def _brute_leader_changes(steps, every, k):
+    """Replay step by step, snapshot at each bucket end, diff the top-k sets."""
+    totals, snaps = {}, []
+    by_snap = {}
+    for step, tag, count, t in sorted(steps):
+        b = int(t.timestamp()) // every * every
+        by_snap.setdefault(b, []).append((tag, count))
+    prev, out = {}, set()
+    for b in sorted(by_snap):
+        for tag, count in by_snap[b]:
+            totals[tag] = totals.get(tag, 0) + count
+        ranked = sorted(totals.items(), key=lambda x: (-x[1], x[0]))[:k]
+        cur = {tag: (i + 1, tot) for i, (tag, tot) in enumerate(ranked)}
+        for tag, (r, tot) in cur.items():
+            if tag not in prev:
+                out.add((b, tag, "entered", r, tot))
+        for tag, (r, tot) in prev.items():
+            if tag not in cur:
+                out.add((b, tag, "left", r, tot))
+        prev = cur
+    return out
+
+
+def test_leader_changes_vs_replay(spark):
+    from datetime import timezone
+    rnd = random.Random(11)
+    steps = []
+    for step in range(1, 400):
+        t = datetime(2024, 1, 1, tzinfo=timezone.utc) + timedelta(minutes=step * 7)
+        steps.append((step, f"t{rnd.randint(0, 25):02d}", rnd.randint(1, 4), t))
+    df = spark.createDataFrame([(s, tag, c, t.strftime("%Y-%m-%d %H:%M:%S")) for s, tag, c, t in steps],
+                               "step long, hashtag string, count long, time string")
+    want = _brute_leader_changes(steps, 3600, 3)
+    for small in (True, False):
+        got = {tuple(r) for r in L.leader_changes(df, every=3600, k=3, small=small).collect()}
+        assert got == want
