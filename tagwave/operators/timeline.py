@@ -49,7 +49,7 @@ def top_by_score(hashtag_rows: DataFrame, scores: DataFrame, as_of: int, window:
                     .groupBy("hashtag", "score")
                     .agg(F.max_by(F.struct(*cols), F.struct("ts", "edit_id", "pos")).alias("r"))
                     .select("hashtag", "score", *[F.col(f"r.{c}").alias(c) for c in cols]))
-    entries = recent.select("hashtag", "score", *cols).unionByName(newest_older)
+    entries = union_edges(recent.select("hashtag", "score", *cols), newest_older)
     if not with_rank:
         return entries
     return rank_entries(entries, small)

@@ -29,6 +29,7 @@ from ..operators import trending as TR
 from ..plans.scan import fits_one_task
 from ..sources.edits import parse_edits
 from ..sources.fixtures import load_edits
+from ..streaming.sinks import timeline_records
 
 LOOKUP_TAG = "pipe%7Ctail"  # the requested (URL-encoded) hashtag of latest_for_hashtag
 
@@ -237,9 +238,7 @@ def q_timeline(spark, sf_dir):
 
 
 def q_timeline_json(spark, sf_dir):
-    t = Context(spark, sf_dir).timeline()
-    rec = F.to_json(F.struct("feature", "hashtag", "time", "last", "count"))
-    return t.select("position", rec.alias("record"))
+    return timeline_records(Context(spark, sf_dir).timeline())
 
 
 # --- leaderboard -------------------------------------------------------------------------

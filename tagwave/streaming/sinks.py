@@ -81,11 +81,14 @@ def read_timeline(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).orderBy("position")
 
 
-def timeline_json(timeline: DataFrame) -> DataFrame:
-    """The JSON array the reference stores. One row holds the whole timeline, so use it only
-    for an output already known to be small (a view for clients); tables stay row-per-run."""
-    ordered = F.sort_array(F.collect_list(F.struct("position", "feature", "hashtag", "time", "last", "count")))
-    return timeline.agg(F.to_json(F.transform(ordered, lambda r: r.dropFields("position"))).alias("timeline"))
+def timeline_records(timeline: DataFrame) -> DataFrame:
+    """The stored timeline as JSON text, one record per run in timeline order (O-08, O-51).
+
+    The reference keeps one JSON array; here the array is never built in one row or task:
+    each run is a record keyed by ``position``, and a reader concatenates them in order.
+    """
+    rec = F.to_json(F.struct("feature", "hashtag", "time", "last", "count"))
+    return timeline.select("position", rec.alias("record"))
 
 
 def preview(df: DataFrame, n: int = 10):

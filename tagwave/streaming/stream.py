@@ -121,7 +121,8 @@ def refresh_timeline(spark: SparkSession, paths: dict[str, str], as_of: int | No
             return False
     scores = scores_from_buckets(buckets, as_of)
     S.write_scores(scores, 0, paths["scores"])
-    entries = TL.top_by_score(log, S.read_scores(spark.read.parquet(paths["scores"])), as_of, with_rank=False)
+    stored = TR.scores_for_window(S.read_scores(spark.read.parquet(paths["scores"])))
+    entries = TL.top_by_score(log, stored, as_of, with_rank=False)
     entries = entries.checkpoint(eager=True)
     rows = entries.count()
     if on_empty == "keep" and rows == 0:
@@ -198,7 +199,8 @@ def q_stream_scores(spark, sf_dir):
     buckets = streamed_buckets(spark, paths)
     as_of = buckets.agg(F.max("bucket_end")).first()[0]
     S.write_scores(scores_from_buckets(buckets, as_of), 0, paths["scores"])
-    return S.read_scores(spark.read.parquet(paths["scores"])).select("hashtag", "score")
+    stored = S.read_scores(spark.read.parquet(paths["scores"]))
+    return TR.scores_for_window(stored).select("hashtag", "score")
 
 
 def _stored_timeline(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
