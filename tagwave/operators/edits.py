@@ -81,14 +81,29 @@ def to_features(df: DataFrame, digits: int = 7) -> DataFrame:
     )
 
 
+def computed_once(df: DataFrame, **named: Column) -> DataFrame:
+    """Add columns evaluated exactly once per row.
+
+    Catalyst inlines a projected expression into every filter that uses it (and into the
+    ``size > 0`` filter it infers for an explode), so an array lambda would run once per use.
+    Computing the columns inside a one-element ``explode`` makes them generator output, which
+    no filter can be pushed beneath.
+    """
+    packed = F.struct(*[col.alias(name) for name, col in named.items()])
+    out = df.select("*", F.explode(F.array(packed)).alias("_once"))
+    return out.select(*df.columns, *[F.col(f"_once.{name}").alias(name) for name in named])
+
+
 def features(parsed: DataFrame, dedupe: str = "before", digits: int = 7) -> DataFrame:
-    """Decoded edits to valid feature records: O-12, O-13, O-14, O-17, O-18, O-19, O-21, O-20."""
-    df = filter_ways(parsed)
-    df = with_comment(df)
-    df = with_hashtags(df, dedupe)
-    df = filter_mapped(df)
-    df = with_points(df)
-    df = with_geometry(df)
+    """Decoded edits to valid feature records: O-12, O-13, O-14, O-17, O-18, O-19, O-21, O-20.
+
+    The cheap predicates (way, building/highway) run first on the decoded struct; comment,
+    hashtags, points and geometry type are then computed once per surviving row.
+    """
+    df = filter_mapped(filter_ways(parsed))
+    comment = f"coalesce(e.metadata.comment, '{DEFAULT_COMMENT}')"
+    df = computed_once(df, comment=F.expr(comment), hashtags=hashtags(comment, dedupe),
+                       points=G.points("e.nodes"), geom_type=G.geometry_type(TAGS))
     df = filter_valid(df)
     return to_features(df, digits)
 

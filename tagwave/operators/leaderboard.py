@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clock, log_line, parse_time
-from ..plans.scan import ordered_scan
+from ..plans.scan import fits_broadcast, ordered_scan
 
 LEADER_K = 10   # flagged as leaders (rank <= 10)
 SHOWN = 9       # shown on the board (rank < 10), quirk Q11
@@ -91,7 +91,8 @@ def leader_changes(steps: DataFrame, every: int = 3600, k: int = LEADER_K, small
     upd = steps.groupBy("hashtag", snap.alias("snapshot")).agg(F.sum("count").cast("bigint").alias("n"))
     snaps = ordered_scan(upd.select("snapshot").distinct(), [F.col("snapshot").asc()], rank="b",
                          total="n_snaps", small=small)
-    upd = upd.join(snaps, "snapshot")
+    # one row per snapshot: broadcast when its checked count allows, so a busy snapshot is not one task
+    upd = upd.join(F.broadcast(snaps) if fits_broadcast(snaps.count(), steps.sparkSession) else snaps, "snapshot")
     # per hashtag: one row per snapshot it was updated in (bounded by the number of snapshots)
     per_tag = Window.partitionBy("hashtag").orderBy("b")
     events = upd.select("hashtag", "b", "snapshot", "n_snaps",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import feature_class
 from ..functions.text import parse_time, ts_literal
-from ..plans.scan import islands, ordered_scan
+from ..plans.scan import fits_broadcast, islands, ordered_scan
 from .trending import WINDOW_SECONDS, _is_ntz, filter_min_score, in_window
 
 def newest_first() -> list:
@@ -22,33 +22,50 @@ def newest_first() -> list:
 def join_scores(scores: DataFrame, log: DataFrame) -> DataFrame:
     """Trending scores joined with the hashtag log on hashtag (O-29b), inner.
 
-    No broadcast hint: the score side is one row per hashtag and has no proven bound;
-    AQE turns the join into a broadcast at run time when the measured side is small.
+    No broadcast hint here: the score side has no proven bound by itself. Callers that checked
+    its size pass a ``broadcast()`` side (see ``top_by_score``); otherwise AQE decides at run
+    time and splits skewed partitions of the log side.
     """
     return log.join(scores.select("hashtag", "score"), "hashtag", "inner")
 
 
+def checked_tags(trending: DataFrame, broadcast_tags: bool | None = None) -> tuple[DataFrame, bool]:
+    """The (hashtag, score) side of a log join, wrapped in ``broadcast()`` only when its row
+    count was checked against ``spark.tagwave.broadcastRows`` (or the caller decided)."""
+    tags = trending.select("hashtag", "score")
+    if broadcast_tags is None:
+        broadcast_tags = fits_broadcast(tags.count(), trending.sparkSession)
+    return (F.broadcast(tags) if broadcast_tags else tags), broadcast_tags
+
+
 def top_by_score(hashtag_rows: DataFrame, scores: DataFrame, as_of: int, window: int = WINDOW_SECONDS,
-                 min_exclusive: int = 1, with_rank: bool = True, small: bool = False) -> DataFrame:
+                 min_exclusive: int = 1, with_rank: bool = True, small: bool = False,
+                 broadcast_tags: bool | None = None) -> DataFrame:
     """For each hashtag scoring more than ``min_exclusive``, its newest ``score + 1`` log entries
     (O-25, O-29b, O-36; the inclusive range 0..score of the reference, quirk Q6).
 
     The log as of ``as_of`` is every row with ``ts < as_of``, newest first. The score counts
     exactly the rows in ``[as_of - window, as_of)``, which are the ``score`` newest, so the
-    entries are those rows plus the newest row before the window. That one row per hashtag is
-    a ``max_by`` aggregate with partial aggregation: no per-hashtag sort of a long history, and
-    no task holding a whole popular hashtag. Output: hashtag, score, edit_id, ts, pos, date,
-    feature (+ entry_rank, 1 = newest).
+    entries are those rows plus the newest row before the window: one ``max_by`` per hashtag,
+    with no per-hashtag sort of a long history.
+
+    The trending set is counted first (``broadcast_tags=None``). Proven small, it is broadcast
+    and filters the history on the map side before the partial aggregate. Otherwise the history
+    is aggregated first (partial aggregation, at most one row per task and hashtag, so a hot
+    hashtag never becomes one task) and the per-hashtag result is joined.
+    Output: hashtag, score, edit_id, ts, pos, date, feature (+ entry_rank, 1 = newest).
     """
-    trending_tags = filter_min_score(scores, min_exclusive).select("hashtag", "score")
+    tags, broadcast_tags = checked_tags(filter_min_score(scores, min_exclusive), broadcast_tags)
     cols = ["edit_id", "ts", "pos", "date", "feature"]
-    recent = join_scores(trending_tags, in_window(hashtag_rows, as_of, window))
+    recent = join_scores(tags, in_window(hashtag_rows, as_of, window))
     ntz = _is_ntz(hashtag_rows, "ts")
     older = hashtag_rows.where(F.col("ts") < ts_literal(as_of - window, ntz))
-    newest_older = (join_scores(trending_tags, older)
-                    .groupBy("hashtag", "score")
-                    .agg(F.max_by(F.struct(*cols), F.struct("ts", "edit_id", "pos")).alias("r"))
-                    .select("hashtag", "score", *[F.col(f"r.{c}").alias(c) for c in cols]))
+    newest = F.max_by(F.struct(*cols), F.struct("ts", "edit_id", "pos")).alias("r")
+    if broadcast_tags:
+        picked = join_scores(tags, older).groupBy("hashtag", "score").agg(newest)
+    else:
+        picked = join_scores(tags, older.groupBy("hashtag").agg(newest))
+    newest_older = picked.select("hashtag", "score", *[F.col(f"r.{c}").alias(c) for c in cols])
     entries = union_edges(recent.select("hashtag", "score", *cols), newest_older)
     if not with_rank:
         return entries

@@ -210,7 +210,8 @@ def q_scores_with_zeros(spark, sf_dir):
 def q_trending_edits(spark, sf_dir):
     ctx = Context(spark, sf_dir)
     log = ctx.ht.where(F.col("ts") < TR.ts_literal(ctx.as_of))
-    joined = TL.join_scores(TR.filter_min_score(ctx.scores()), log)
+    tags, _ = TL.checked_tags(TR.filter_min_score(ctx.scores()))
+    joined = TL.join_scores(tags, log)
     return joined.select("hashtag", "score", "edit_id", "date", "feature")
 
 

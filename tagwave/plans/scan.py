@@ -35,6 +35,14 @@ ONE_TASK_ROWS = 200_000  # inputs proven smaller than this are scanned by plain
 
 
 ONE_TASK_CONF = "spark.tagwave.oneTaskRows"
+BROADCAST_ROWS = 1_000_000  # a keyed side proven below this many rows may be broadcast
+BROADCAST_CONF = "spark.tagwave.broadcastRows"
+
+
+def fits_broadcast(rows: int | None, spark=None) -> bool:
+    """True when a checked row count allows ``broadcast()`` (setting ``spark.tagwave.broadcastRows``)."""
+    limit = int(spark.conf.get(BROADCAST_CONF, str(BROADCAST_ROWS))) if spark is not None else BROADCAST_ROWS
+    return rows is not None and rows <= limit
 
 
 def fits_one_task(rows: int | None, spark=None, limit: int | None = None) -> bool:
