@@ -35,16 +35,18 @@ def default_as_of(rows: DataFrame, ts: str = "ts", slide: int = SLIDE_SECONDS) -
 
 
 def probe_as_of(raw: DataFrame, derive, ts: str = "ts", slide: int = SLIDE_SECONDS,
-                first_span: int = WINDOW_SECONDS, growth: int = 8) -> int | None:
+                first_span: int = WINDOW_SECONDS, growth: int = 8, clock: DataFrame | None = None) -> int | None:
     """``default_as_of`` of ``derive(raw)`` without decoding the whole history.
 
     ``raw`` carries the arrival clock before the costly decode (``derive``). The newest derived
     row lies in the newest raw slice that yields any row, so slices ``[top - span, top]`` are
     probed with spans growing ``growth``-fold until one yields a row or covers all of ``raw``.
     Slice bounds are literals, so each probe reads only the row groups of its slice; a typical
-    call reads the ``ts`` column once and decodes one six-hour slice.
+    call reads the ``ts`` column once and decodes one six-hour slice. ``clock`` (optional) is
+    the stored table ``raw`` is built from, so the bounds come straight off its scan.
     """
-    lo_all, top = raw.agg(F.min(epoch_seconds(ts)), F.max(epoch_seconds(ts))).first()
+    lo_all, top = (clock if clock is not None else raw).agg(F.min(epoch_seconds(ts)),
+                                                           F.max(epoch_seconds(ts))).first()
     if top is None:
         return None
     ntz = _is_ntz(raw, ts)

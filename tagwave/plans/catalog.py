@@ -28,7 +28,7 @@ from ..operators import timeline as TL
 from ..operators import trending as TR
 from ..plans.scan import fits_one_task
 from ..sources.edits import parse_edits
-from ..sources.fixtures import load_edits
+from ..sources.fixtures import arrival_clock, load_edits
 from ..streaming.sinks import timeline_records
 
 LOOKUP_TAG = "pipe%7Ctail"  # the requested (URL-encoded) hashtag of latest_for_hashtag
@@ -70,7 +70,8 @@ class Context:
     @property
     def as_of(self) -> int:
         if self._as_of is None:
-            self._as_of = TR.probe_as_of(self.raw, derive_hashtags)
+            self._as_of = TR.probe_as_of(self.raw, derive_hashtags,
+                                         clock=arrival_clock(self.spark, self.sf_dir))
         return self._as_of
 
     def scores(self) -> DataFrame:

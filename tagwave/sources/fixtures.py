@@ -41,6 +41,11 @@ def events_path(sf_dir: str) -> str:
     return os.path.join(sf_dir, "events.parquet")
 
 
+def arrival_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The arrival clock column alone, straight off the scan (for bounds of ``ts``)."""
+    return spark.read.schema(EVENTS_READ).parquet(events_path(sf_dir)).select("ts")
+
+
 def load_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw edits ``(edit_id, ts, payload)``: one JSON payload per events row.
 
@@ -61,4 +66,6 @@ def spread(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
-    return df.repartition(cores)
+    # hash on the unique arrival sequence: balanced and deterministic on retry, with no
+    # sort (a round-robin repartition sorts its input first to stay deterministic)
+    return df.repartition(cores, "event_id")
