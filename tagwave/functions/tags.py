@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 # Fixed values that must equal the reference's behaviour.
 DEFAULT_COMMENT = "(no comment)"
 HASH = "#"
-# Whitespace split: (?U) makes \s match Unicode spaces (no-break, em space) as well.
-WHITESPACE = r"(?U)\s+"
+# Whitespace split as Python's str.split(): (?U) makes \s match Unicode spaces (no-break,
+# em space, ...); Python also splits on the separators U+001C..U+001F, which \s does not.
+WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
 WHITESPACE_SQL = WHITESPACE.replace("\\", "\\\\")  # inside a SQL string literal
 
 

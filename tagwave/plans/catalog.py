@@ -11,13 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tags import WHITESPACE
 from ..functions import (
     bbox_center,
     clean_hashtag,
     feature_class,
     pack_entry,
     parse_int,
-    score_key,
     strip_score_prefix,
     unpack_entry,
     url_decode,
@@ -29,7 +29,7 @@ from ..operators import trending as TR
 from ..plans.scan import fits_one_task
 from ..sources.edits import parse_edits
 from ..sources.fixtures import arrival_clock, load_edits
-from ..streaming.sinks import timeline_records
+from ..streaming.sinks import latest_for_hashtag, timeline_records
 
 LOOKUP_TAG = "pipe%7Ctail"  # the requested (URL-encoded) hashtag of latest_for_hashtag
 
@@ -148,15 +148,13 @@ def q_rejected_features(spark, sf_dir):
 
 def q_clean_hashtag(spark, sf_dir):
     ways = E.with_comment(E.filter_ways(parsed_edits(spark, sf_dir)))
-    tokens = ways.select(F.explode(F.split("comment", r"(?U)\s+")).alias("p")).where(F.col("p").startswith("#"))
+    tokens = ways.select(F.explode(F.split("comment", WHITESPACE)).alias("p")).where(F.col("p").startswith("#"))
     raw = tokens.select(F.substring("p", 2, 1 << 30).alias("raw")).where(F.col("raw") != "")
     return raw.groupBy("raw").agg(F.count(F.lit(1)).alias("n")).select("raw", clean_hashtag("raw").alias("hashtag"), "n")
 
 
 def q_latest_for_hashtag(spark, sf_dir):
-    tag = url_decode(F.lit(LOOKUP_TAG))
-    ht = hashtag_rows(spark, sf_dir).where(F.col("hashtag") == tag)
-    top = ht.orderBy(F.col("ts").desc(), F.col("edit_id").desc(), F.col("pos").desc()).limit(101)
+    top = latest_for_hashtag(hashtag_rows(spark, sf_dir), url_decode(F.lit(LOOKUP_TAG)))
     return top.select("hashtag", "edit_id", pack_entry("feature", "date").alias("entry"))
 
 

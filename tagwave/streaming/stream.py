@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import edits as E
-from ..operators import leaderboard as L
 from ..operators import timeline as TL
 from ..operators import trending as TR
 from ..plans.scan import fits_one_task
@@ -132,6 +131,22 @@ def refresh_timeline(spark: SparkSession, paths: dict[str, str], as_of: int | No
     return True
 
 
+def schedule_refresh(spark: SparkSession, paths: dict[str, str], seconds: int = REFRESH_SECONDS,
+                     available_now: bool = False):
+    """Periodic timeline refresh (O-67): a stream over the change table whose trigger fires every
+    ``seconds``; each non-empty batch of changes runs one ``refresh_timeline``."""
+
+    def refresh(batch_df: DataFrame, batch_id: int) -> None:
+        if not batch_df.isEmpty():
+            refresh_timeline(spark, paths)
+
+    writer = (spark.readStream.schema(CHANGES).parquet(paths["changes"]).writeStream.foreachBatch(refresh)
+              .option("checkpointLocation", os.path.join(paths["checkpoints"], "refresh")))
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(
+        processingTime=f"{seconds} seconds")
+    return writer.start()
+
+
 def follow_changes(spark: SparkSession, paths: dict[str, str], channel: str = HASHTAG_CHANNEL):
     """Change subscription (O-07): for each batch of change records on ``channel``, re-emit the
     stored timeline once (not once per record), tagged with the batch id."""
@@ -167,11 +182,21 @@ def q_stream_trending(spark, sf_dir):
     return TR.rolling_scores(streamed_buckets(spark, paths))
 
 
+def stateful_session(spark: SparkSession, state_partitions: int | None = None) -> SparkSession:
+    """A session sharing the SparkContext, with its own SQL settings: the number of state store
+    partitions of a stateful query is fixed by ``spark.sql.shuffle.partitions`` when it first
+    starts, so it is set here (default: the cluster's cores) without touching the caller's."""
+    s = spark.newSession()
+    s.conf.set("spark.sql.shuffle.partitions", str(state_partitions or spark.sparkContext.defaultParallelism))
+    return s
+
+
 def q_stream_trending_stateful(spark, sf_dir):
     """Same scores with the watermark + tumbling window variant in update mode."""
     paths = stream_paths(scratch_path(spark, "stream-stateful"))
     write_edit_files(spark, sf_dir, paths["edits"])
-    ht = E.explode_hashtags(E.features(parse_edits(_edit_stream(spark, paths["edits"]))))
+    stream_spark = stateful_session(spark)
+    ht = E.explode_hashtags(E.features(parse_edits(_edit_stream(stream_spark, paths["edits"]))))
     q = (bucket_stream(ht).writeStream.outputMode("update")
          .foreachBatch(lambda df, bid: S.write_buckets(df, bid, paths["buckets"]))
          .option("checkpointLocation", os.path.join(paths["checkpoints"], "stateful"))
@@ -212,7 +237,7 @@ def _stored_timeline(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
 
 def q_timeline_refresh(spark, sf_dir):
     paths = _run(spark, sf_dir, "stream-timeline")
-    refresh_timeline(spark, paths)
+    schedule_refresh(spark, paths, available_now=True).awaitTermination()
     return _stored_timeline(spark, paths).select("position", "hashtag", "run", "feature", "time",
                                                             "last", "count")
 
