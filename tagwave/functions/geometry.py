@@ -1,57 +1,80 @@
-"""Point lists, WKT text and bounding-box centres, computed on arrays of structs."""
+"""Point lists, WKT text and bounding-box centres, computed on arrays of structs.
+
+Each builder has a SQL-text form (``*_sql``, taking SQL expressions such as column names) and
+a ``Column`` form wrapping it; the text form lets a whole projection be built in one call.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .tags import _c, has_tag
+from .tags import _c
 
 POLYGON = "POLYGON"
 LINESTRING = "LINESTRING"
 
 
+def points_sql(nodes: str = "nodes") -> str:
+    return (f"transform(filter({nodes}, n -> n.lon IS NOT NULL AND n.lat IS NOT NULL), "
+            f"n -> named_struct('lon', try_cast(n.lon AS DOUBLE), 'lat', try_cast(n.lat AS DOUBLE)))")
+
+
 def points(nodes: str = "nodes") -> Column:
-    """Nodes having both coordinates, cast to double, order kept (O-18). SQL-text argument."""
-    return F.expr(f"transform(filter({nodes}, n -> n.lon IS NOT NULL AND n.lat IS NOT NULL), "
-                  f"n -> named_struct('lon', try_cast(n.lon AS DOUBLE), 'lat', try_cast(n.lat AS DOUBLE)))")
+    """Nodes having both coordinates, cast to double, order kept (O-18)."""
+    return F.expr(points_sql(nodes))
+
+
+def bad_coordinate_sql(nodes: str = "nodes") -> str:
+    return (f"exists({nodes}, n -> n.lon IS NOT NULL AND n.lat IS NOT NULL "
+            f"AND (try_cast(n.lon AS DOUBLE) IS NULL OR try_cast(n.lat AS DOUBLE) IS NULL))")
 
 
 def bad_coordinate(nodes: str = "nodes") -> Column:
     """True when a node has both coordinates but one is not a number."""
-    return F.expr(f"exists({nodes}, n -> n.lon IS NOT NULL AND n.lat IS NOT NULL "
-                  f"AND (try_cast(n.lon AS DOUBLE) IS NULL OR try_cast(n.lat AS DOUBLE) IS NULL))")
+    return F.expr(bad_coordinate_sql(nodes))
+
 
+def geometry_type_sql(tags: str = "tags") -> str:
+    return f"CASE WHEN map_contains_key({tags}, 'building') THEN '{POLYGON}' ELSE '{LINESTRING}' END"
 
-def geometry_type(tags: str | Column = "tags") -> Column:
+
+def geometry_type(tags: str = "tags") -> Column:
     """Polygon when tagged building (building wins over highway), else line (O-19)."""
-    return F.when(has_tag("building", tags), F.lit(POLYGON)).otherwise(F.lit(LINESTRING))
+    return F.expr(geometry_type_sql(tags))
+
 
+def valid_geometry_sql(geom_type: str, pts: str) -> str:
+    return (f"CASE WHEN {geom_type} = '{POLYGON}' "
+            f"THEN size({pts}) >= 3 AND NOT (size({pts}) = 3 AND {pts}[0] = element_at({pts}, -1)) "
+            f"ELSE size({pts}) >= 2 END")
 
-def valid_geometry(geom_type: str | Column, pts: str | Column) -> Column:
+
+def valid_geometry(geom_type: str, pts: str) -> Column:
     """Polygon: >= 3 points and not exactly 3 with first = last. Line: >= 2 points (Q14)."""
-    g, p = _c(geom_type), _c(pts)
-    n = F.size(p)
-    closed_triangle = (n == 3) & (p[0] == F.element_at(p, -1))
-    return F.when(g == POLYGON, (n >= 3) & ~closed_triangle).otherwise(n >= 2)
+    return F.expr(valid_geometry_sql(geom_type, pts))
 
 
-def ring(pts: str | Column) -> Column:
-    """Close a polygon ring once: append the first point unless it already ends the list."""
-    p = _c(pts)
-    return F.when(p[0] == F.element_at(p, -1), p).otherwise(F.concat(p, F.array(p[0])))
+def ring_sql(pts: str) -> str:
+    return f"CASE WHEN {pts}[0] = element_at({pts}, -1) THEN {pts} ELSE concat({pts}, array({pts}[0])) END"
 
 
-def wkt(geom_type: str, pts: str, digits: int = 7) -> Column:
-    """WKT text of a point list, ``POLYGON ((x y, ...))`` or ``LINESTRING (x y, ...)`` (O-50).
+def ring(pts: str) -> Column:
+    """Close a polygon ring once: append the first point unless it already ends the list."""
+    return F.expr(ring_sql(pts))
 
-    Polygon rings are closed once: the first point is appended unless it already ends the list.
-    """
+
+def wkt_sql(geom_type: str, pts: str, digits: int = 7) -> str:
     coord = f"q -> format_string('%.{digits}f %.{digits}f', q.lon, q.lat)"
-    closed = f"CASE WHEN {pts}[0] = element_at({pts}, -1) THEN {pts} ELSE concat({pts}, array({pts}[0])) END"
-    return F.expr(f"CASE WHEN {geom_type} = '{POLYGON}' "
-                  f"THEN concat('POLYGON ((', array_join(transform({closed}, {coord}), ', '), '))') "
-                  f"ELSE concat('LINESTRING (', array_join(transform({pts}, {coord}), ', '), ')') END")
+    return (f"CASE WHEN {geom_type} = '{POLYGON}' "
+            f"THEN concat('POLYGON ((', array_join(transform({ring_sql(pts)}, {coord}), ', '), '))') "
+            f"ELSE concat('LINESTRING (', array_join(transform({pts}, {coord}), ', '), ')') END")
+
+
+def wkt(geom_type: str, pts: str, digits: int = 7) -> Column:
+    """WKT text of a point list, ``POLYGON ((x y, ...))`` or ``LINESTRING (x y, ...)`` (O-50);
+    polygon rings are closed once."""
+    return F.expr(wkt_sql(geom_type, pts, digits))
 
 
 def feature_class(wkt_text: str | Column) -> Column:

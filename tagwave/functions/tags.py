@@ -18,9 +18,9 @@ def _c(col: str | Column) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def has_tag(key: str, tags: str | Column = "tags") -> Column:
+def has_tag(key: str, tags: str = "tags") -> Column:
     """Key presence only; the value is ignored, so ``building=no`` passes (O-15)."""
-    return F.map_contains_key(_c(tags), F.lit(key))
+    return F.expr(f"map_contains_key({tags}, '{key}')")
 
 
 def either(p: Column, q: Column) -> Column:
@@ -33,6 +33,17 @@ def clean_hashtag(tag: str | Column) -> Column:
     return F.regexp_replace(F.regexp_replace(_c(tag), r"^#", ""), r",$", "")
 
 
+def hashtags_sql(comment: str, dedupe: str = "before") -> str:
+    if dedupe not in ("before", "after"):
+        raise ValueError("dedupe must be 'before' or 'after'")
+    raw = f"transform(filter(split({comment}, '{WHITESPACE_SQL}'), p -> startswith(p, '{HASH}')), p -> substring(p, 2))"
+    if dedupe == "before":
+        raw = f"array_distinct({raw})"
+    cleaned = (f"filter(transform(filter({raw}, t -> t <> ''), "
+               f"t -> regexp_replace(regexp_replace(t, '^#', ''), ',$', '')), t -> t <> '')")
+    return f"array_distinct({cleaned})" if dedupe == "after" else cleaned
+
+
 def hashtags(comment: str, dedupe: str = "before") -> Column:
     """Array of hashtags of one comment (O-14, O-32, O-47, O-48).
 
@@ -42,11 +53,4 @@ def hashtags(comment: str, dedupe: str = "before") -> Column:
     (from ``##`` or ``#,``) are dropped either way. ``comment`` is SQL text (a column name or
     expression): the expression is built as SQL in one call rather than node by node.
     """
-    if dedupe not in ("before", "after"):
-        raise ValueError("dedupe must be 'before' or 'after'")
-    raw = f"transform(filter(split({comment}, '{WHITESPACE_SQL}'), p -> startswith(p, '{HASH}')), p -> substring(p, 2))"
-    if dedupe == "before":
-        raw = f"array_distinct({raw})"
-    cleaned = (f"filter(transform(filter({raw}, t -> t <> ''), "
-               f"t -> regexp_replace(regexp_replace(t, '^#', ''), ',$', '')), t -> t <> '')")
-    return F.expr(f"array_distinct({cleaned})" if dedupe == "after" else cleaned)
+    return F.expr(hashtags_sql(comment, dedupe))

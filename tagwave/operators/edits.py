@@ -9,14 +9,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..functions.tags import DEFAULT_COMMENT, either, has_tag, hashtags
+from ..functions.tags import DEFAULT_COMMENT, either, has_tag, hashtags, hashtags_sql
 
 TAGS = "e.tags"
+FIELDS_PRESENT = ("e.user IS NOT NULL AND e.id IS NOT NULL AND e.action IS NOT NULL "
+                  "AND e.metadata.id IS NOT NULL AND e.metadata.created_at IS NOT NULL")
 
 
 def filter_ways(df: DataFrame) -> DataFrame:
     """Keep ways (O-12)."""
-    return df.where(F.col("e.type") == "way")
+    return df.where("e.type = 'way'")
 
 
 def with_comment(df: DataFrame, default: str = DEFAULT_COMMENT) -> DataFrame:
@@ -50,48 +52,46 @@ def with_geometry(df: DataFrame) -> DataFrame:
 
 
 def _fields_present() -> Column:
-    e = F.col("e")
-    return (e["user"].isNotNull() & e["id"].isNotNull() & e["action"].isNotNull()
-            & e["metadata"]["id"].isNotNull() & e["metadata"]["created_at"].isNotNull())
+    return F.expr(FIELDS_PRESENT)
+
+
+def valid_sql() -> str:
+    """Feature validity (O-21) as SQL: nodes present, coordinates numeric, enough points for the
+    geometry, all record fields present."""
+    return (f"e.nodes IS NOT NULL AND NOT {G.bad_coordinate_sql('e.nodes')} "
+            f"AND ({G.valid_geometry_sql('geom_type', 'points')}) AND {FIELDS_PRESENT}")
 
 
 def valid() -> Column:
-    """Feature validity (O-21): nodes present, coordinates numeric, enough points, fields present."""
-    return (F.col("e.nodes").isNotNull() & ~G.bad_coordinate("e.nodes")
-            & G.valid_geometry("geom_type", "points") & _fields_present())
+    return F.expr(valid_sql())
 
 
 def filter_valid(df: DataFrame) -> DataFrame:
     """Keep valid features (O-21)."""
-    return df.where(valid())
+    return df.where(valid_sql())
 
 
 def to_features(df: DataFrame, digits: int = 7) -> DataFrame:
     """Project the feature record (O-20): user, id, changeset, date, feature (WKT), action,
     comment, hashtags; plus the arrival sequence/clock and the point list for later operators."""
-    return df.select(
-        "edit_id", "ts",
-        F.col("e.user").alias("user"),
-        F.col("e.id").alias("id"),
-        F.col("e.metadata.id").alias("changeset"),
-        F.col("e.metadata.created_at").alias("date"),
-        G.wkt("geom_type", "points", digits).alias("feature"),
-        F.col("e.action").alias("action"),
-        "comment", "hashtags", "points", "geom_type",
+    return df.selectExpr(
+        "edit_id", "ts", "e.user AS user", "e.id AS id", "e.metadata.id AS changeset",
+        "e.metadata.created_at AS date", f"{G.wkt_sql('geom_type', 'points', digits)} AS feature",
+        "e.action AS action", "comment", "hashtags", "points", "geom_type",
     )
 
 
-def computed_once(df: DataFrame, **named: Column) -> DataFrame:
+def computed_once(df: DataFrame, **named: str) -> DataFrame:
     """Add columns evaluated exactly once per row.
 
     Catalyst inlines a projected expression into every filter that uses it (and into the
     ``size > 0`` filter it infers for an explode), so an array lambda would run once per use.
     Computing the columns inside a one-element ``explode`` makes them generator output, which
-    no filter can be pushed beneath.
+    no filter can be pushed beneath. ``named`` maps output names to SQL expressions.
     """
-    packed = F.struct(*[col.alias(name) for name, col in named.items()])
-    out = df.select("*", F.explode(F.array(packed)).alias("_once"))
-    return out.select(*df.columns, *[F.col(f"_once.{name}").alias(name) for name in named])
+    packed = "named_struct(" + ", ".join(f"'{name}', {sql}" for name, sql in named.items()) + ")"
+    out = df.selectExpr("*", f"explode(array({packed})) AS _once")
+    return out.selectExpr(*[f"`{c}`" for c in df.columns], *[f"_once.{name} AS {name}" for name in named])
 
 
 def features(parsed: DataFrame, dedupe: str = "before", digits: int = 7) -> DataFrame:
@@ -102,8 +102,8 @@ def features(parsed: DataFrame, dedupe: str = "before", digits: int = 7) -> Data
     """
     df = filter_mapped(filter_ways(parsed))
     comment = f"coalesce(e.metadata.comment, '{DEFAULT_COMMENT}')"
-    df = computed_once(df, comment=F.expr(comment), hashtags=hashtags(comment, dedupe),
-                       points=G.points("e.nodes"), geom_type=G.geometry_type(TAGS))
+    df = computed_once(df, comment=comment, hashtags=hashtags_sql(comment, dedupe),
+                       points=G.points_sql("e.nodes"), geom_type=G.geometry_type_sql(TAGS))
     df = filter_valid(df)
     return to_features(df, digits)
 
@@ -114,7 +114,7 @@ def explode_hashtags(feats: DataFrame) -> DataFrame:
     ``pos`` is the tag's place in the record, the last key of the arrival order
     ``(ts, edit_id, pos)`` used wherever "newest" matters.
     """
-    return feats.select("edit_id", "ts", "date", "feature", F.posexplode("hashtags").alias("pos", "hashtag"))
+    return feats.selectExpr("edit_id", "ts", "date", "feature", "posexplode(hashtags) AS (pos, hashtag)")
 
 
 REASONS = [
