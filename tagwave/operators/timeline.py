@@ -40,7 +40,7 @@ def checked_tags(trending: DataFrame, broadcast_tags: bool | None = None) -> tup
 
 def top_by_score(hashtag_rows: DataFrame, scores: DataFrame, as_of: int, window: int = WINDOW_SECONDS,
                  min_exclusive: int = 1, with_rank: bool = True, small: bool = False,
-                 broadcast_tags: bool | None = None) -> DataFrame:
+                 broadcast_tags: bool | None = None, older: DataFrame | None = None) -> DataFrame:
     """For each hashtag scoring more than ``min_exclusive``, its newest ``score + 1`` log entries
     (O-25, O-29b, O-36; the inclusive range 0..score of the reference, quirk Q6).
 
@@ -59,7 +59,7 @@ def top_by_score(hashtag_rows: DataFrame, scores: DataFrame, as_of: int, window:
     cols = ["edit_id", "ts", "pos", "date", "feature"]
     recent = join_scores(tags, in_window(hashtag_rows, as_of, window))
     ntz = _is_ntz(hashtag_rows, "ts")
-    older = hashtag_rows.where(F.col("ts") < ts_literal(as_of - window, ntz))
+    older = (hashtag_rows if older is None else older).where(F.col("ts") < ts_literal(as_of - window, ntz))
     newest = F.max_by(F.struct(*cols), F.struct("ts", "edit_id", "pos")).alias("r")
     if broadcast_tags:
         picked = join_scores(tags, older).groupBy("hashtag", "score").agg(newest)

@@ -40,6 +40,32 @@ def write_hashtag_log(batch_df: DataFrame, batch_id: int, path: str) -> None:
     _write_batch(batch_df.select("edit_id", "ts", "pos", "date", "feature", "hashtag"), batch_id, path)
 
 
+def write_hashtag_newest(batch_df: DataFrame, batch_id: int, path: str) -> None:
+    """Per batch and hashtag: the newest log entry and the oldest entry time. A small index
+    (one row per hashtag and batch) that lets a refresh find each hashtag's newest entry
+    before a time without reading the whole log."""
+    cols = ["ts", "edit_id", "pos", "date", "feature"]
+    newest = (batch_df.groupBy("hashtag")
+              .agg(F.max_by(F.struct(*cols), F.struct("ts", "edit_id", "pos")).alias("r"),
+                   F.min("ts").alias("min_ts")))
+    _write_batch(newest.select("hashtag", *[F.col(f"r.{c}").alias(c) for c in cols], "min_ts"), batch_id, path)
+
+
+def log_before(log: DataFrame, newest: DataFrame, lo) -> DataFrame:
+    """Log rows that can be a hashtag's newest entry before ``lo`` (a timestamp Column).
+
+    Batches whose newest entry of a hashtag is before ``lo`` contribute that entry (from the
+    index). Batches straddling ``lo`` for a hashtag (oldest before, newest not) are read from
+    the log; the semi-join on ``batch_id``, a partition column, lets dynamic partition pruning
+    skip every other batch folder.
+    """
+    cols = ["hashtag", "ts", "edit_id", "pos", "date", "feature"]
+    whole = newest.where(F.col("ts") < lo).select(*cols)
+    straddling = newest.where((F.col("min_ts") < lo) & (F.col("ts") >= lo)).select("batch_id", "hashtag")
+    partial = log.join(straddling, ["batch_id", "hashtag"], "left_semi").where(F.col("ts") < lo).select(*cols)
+    return whole.unionByName(partial)
+
+
 def latest_for_hashtag(log: DataFrame, tag, n: int = LATEST_KEEP) -> DataFrame:
     """One hashtag's newest n entries (O-28): filter, then a top-k."""
     t = F.lit(tag) if isinstance(tag, str) else tag

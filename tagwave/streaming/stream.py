@@ -48,7 +48,8 @@ def write_edit_files(spark: SparkSession, sf_dir: str, path: str, files: int = 4
 
 
 def stream_paths(base: str) -> dict[str, str]:
-    names = ("edits", "features", "hashtags", "buckets", "changes", "scores", "timeline", "feed", "checkpoints")
+    names = ("edits", "features", "hashtags", "newest", "buckets", "changes", "scores", "timeline", "feed",
+             "checkpoints")
     return {n: os.path.join(base, n) for n in names}
 
 
@@ -62,6 +63,7 @@ def process_batch(paths: dict[str, str]) -> Callable[[DataFrame, int], None]:
             S.write_recent_features(feats, batch_id, paths["features"])
             ht = E.explode_hashtags(feats)
             S.write_hashtag_log(ht, batch_id, paths["hashtags"])
+            S.write_hashtag_newest(ht, batch_id, paths["newest"])
             S.write_buckets(TR.bucket_counts(ht), batch_id, paths["buckets"])
             S.write_changes(ht.select("hashtag", "feature", "date"), batch_id, paths["changes"], HASHTAG_CHANNEL)
         finally:
@@ -121,7 +123,9 @@ def refresh_timeline(spark: SparkSession, paths: dict[str, str], as_of: int | No
     scores = scores_from_buckets(buckets, as_of)
     S.write_scores(scores, 0, paths["scores"])
     stored = TR.scores_for_window(S.read_scores(spark.read.parquet(paths["scores"])))
-    entries = TL.top_by_score(log, stored, as_of, with_rank=False)
+    lo = TR.ts_literal(as_of - TR.WINDOW_SECONDS)
+    older = S.log_before(log, spark.read.parquet(paths["newest"]), lo)
+    entries = TL.top_by_score(log, stored, as_of, with_rank=False, older=older)
     entries = entries.checkpoint(eager=True)
     rows = entries.count()
     if on_empty == "keep" and rows == 0:
