@@ -40,7 +40,8 @@ def checked_tags(trending: DataFrame, broadcast_tags: bool | None = None) -> tup
 
 def top_by_score(hashtag_rows: DataFrame, scores: DataFrame, as_of: int, window: int = WINDOW_SECONDS,
                  min_exclusive: int = 1, with_rank: bool = True, small: bool = False,
-                 broadcast_tags: bool | None = None, older: DataFrame | None = None) -> DataFrame:
+                 broadcast_tags: bool | None = None, older: DataFrame | None = None,
+                 window_rows: DataFrame | None = None) -> DataFrame:
     """For each hashtag scoring more than ``min_exclusive``, its newest ``score + 1`` log entries
     (O-25, O-29b, O-36; the inclusive range 0..score of the reference, quirk Q6).
 
@@ -52,12 +53,14 @@ def top_by_score(hashtag_rows: DataFrame, scores: DataFrame, as_of: int, window:
     The trending set is counted first (``broadcast_tags=None``). Proven small, it is broadcast
     and filters the history on the map side before the partial aggregate. Otherwise the history
     is aggregated first (partial aggregation, at most one row per task and hashtag, so a hot
-    hashtag never becomes one task) and the per-hashtag result is joined.
+    hashtag never becomes one task) and the per-hashtag result is joined. ``older`` and
+    ``window_rows`` (optional) are smaller sources holding every row before the window,
+    respectively inside it (an index, an already decoded recent slice).
     Output: hashtag, score, edit_id, ts, pos, date, feature (+ entry_rank, 1 = newest).
     """
     tags, broadcast_tags = checked_tags(filter_min_score(scores, min_exclusive), broadcast_tags)
     cols = ["edit_id", "ts", "pos", "date", "feature"]
-    recent = join_scores(tags, in_window(hashtag_rows, as_of, window))
+    recent = join_scores(tags, in_window(hashtag_rows if window_rows is None else window_rows, as_of, window))
     ntz = _is_ntz(hashtag_rows, "ts")
     older = (hashtag_rows if older is None else older).where(F.col("ts") < ts_literal(as_of - window, ntz))
     newest = F.max_by(F.struct(*cols), F.struct("ts", "edit_id", "pos")).alias("r")

@@ -34,6 +34,12 @@ def default_as_of(rows: DataFrame, ts: str = "ts", slide: int = SLIDE_SECONDS) -
     return None if latest is None else (latest // slide + 1) * slide
 
 
+def clock_bounds(clock: DataFrame, ts: str = "ts") -> tuple[int | None, int | None]:
+    """(oldest, newest) epoch second of an arrival clock column: one scan of that column."""
+    row = clock.agg(F.min(epoch_seconds(ts)), F.max(epoch_seconds(ts))).first()
+    return row[0], row[1]
+
+
 def probe_as_of(raw: DataFrame, derive, ts: str = "ts", slide: int = SLIDE_SECONDS,
                 first_span: int = WINDOW_SECONDS, growth: int = 8, clock: DataFrame | None = None) -> int | None:
     """``default_as_of`` of ``derive(raw)`` without decoding the whole history.
@@ -45,8 +51,7 @@ def probe_as_of(raw: DataFrame, derive, ts: str = "ts", slide: int = SLIDE_SECON
     call reads the ``ts`` column once and decodes one six-hour slice. ``clock`` (optional) is
     the stored table ``raw`` is built from, so the bounds come straight off its scan.
     """
-    lo_all, top = (clock if clock is not None else raw).agg(F.min(epoch_seconds(ts)),
-                                                           F.max(epoch_seconds(ts))).first()
+    lo_all, top = clock_bounds(clock if clock is not None else raw, ts)
     if top is None:
         return None
     ntz = _is_ntz(raw, ts)

@@ -56,29 +56,58 @@ def _joined_tags(col: str = "hashtags"):
     return F.array_join(F.array_sort(F.col(col)), " ")
 
 
+SLICE_MARGIN = 3600  # the decoded recent slice reaches this far before the window
+
+
 class Context:
-    """Per-query shared pieces: hashtag rows and the default ``as_of`` (resolved once)."""
+    """Per-query shared pieces: hashtag rows, the default ``as_of`` and the decoded recent slice
+    (each resolved once)."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self.raw = load_edits(spark, sf_dir)
         self.ht = derive_hashtags(self.raw)
         self._as_of = None
+        self._resolved = False
+        self._recent = None
         self._entries = None
         self._entry_rows = None
 
-    @property
-    def as_of(self) -> int:
+    def _resolve(self) -> None:
+        """Decode the newest slice of edits (six hours plus a margin) once, into the checkpoint
+        folder; ``as_of`` comes from it, and so do the window's rows when the window lies inside
+        it. Only when the slice holds no hashtag row does the probe look further back."""
+        self._resolved = True
+        clock = arrival_clock(self.spark, self.sf_dir)
+        lo_all, top = TR.clock_bounds(clock)
+        if top is None:
+            return
+        slice_lo = top - TR.WINDOW_SECONDS - SLICE_MARGIN
+        part = self.raw if slice_lo <= lo_all else self.raw.where(F.col("ts") >= TR.ts_literal(slice_lo))
+        recent = derive_hashtags(part).checkpoint(eager=True)
+        self._as_of = TR.default_as_of(recent)
         if self._as_of is None:
-            self._as_of = TR.probe_as_of(self.raw, derive_hashtags,
-                                         clock=arrival_clock(self.spark, self.sf_dir))
+            self._as_of = TR.probe_as_of(self.raw, derive_hashtags, clock=clock)
+        if self._as_of is not None and (slice_lo <= lo_all or self._as_of - TR.WINDOW_SECONDS >= slice_lo):
+            self._recent = recent
+
+    @property
+    def as_of(self) -> int | None:
+        if not self._resolved:
+            self._resolve()
         return self._as_of
 
+    def window_rows(self) -> DataFrame:
+        """Hashtag rows holding the whole window: the decoded slice when it covers it."""
+        self.as_of  # noqa: B018  (resolves the slice)
+        return self.ht if self._recent is None else self._recent
+
     def scores(self) -> DataFrame:
-        return TR.trending(self.ht, self.as_of)
+        return TR.trending(self.window_rows(), self.as_of)
 
     def entries(self, with_rank: bool = False) -> DataFrame:
-        return TL.top_by_score(self.ht, self.scores(), self.as_of, with_rank=with_rank)
+        return TL.top_by_score(self.ht, self.scores(), self.as_of, with_rank=with_rank,
+                               window_rows=self.window_rows())
 
     def stable_entries(self) -> DataFrame:
         """Trending entries written to the checkpoint folder once: the runs, ranks and scans
