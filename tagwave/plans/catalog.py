@@ -83,8 +83,8 @@ class Context:
         if top is None:
             return
         slice_lo = top - TR.WINDOW_SECONDS - SLICE_MARGIN
-        part = self.raw if slice_lo <= lo_all else self.raw.where(F.col("ts") >= TR.ts_literal(slice_lo))
-        recent = derive_hashtags(part).checkpoint(eager=True)
+        part = self.ht if slice_lo <= lo_all else self.ht.where(F.col("ts") >= TR.ts_literal(slice_lo))
+        recent = part.checkpoint(eager=True)  # the ts filter still reaches the parquet scan
         self._as_of = TR.default_as_of(recent)
         if self._as_of is None:
             self._as_of = TR.probe_as_of(self.raw, derive_hashtags, clock=clock)
