@@ -11,7 +11,6 @@ hashtag and bucket) and the RANGE sum over it is a batch query, exact for late r
 from __future__ import annotations
 
 import os
-import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,7 +42,6 @@ def write_edit_files(spark: SparkSession, sf_dir: str, path: str, files: int = 4
         a, b = lo + i * step, lo + (i + 1) * step
         part = edits.where((F.col("ts") >= TR.ts_literal(a)) & (F.col("ts") < TR.ts_literal(b)))
         part.coalesce(1).write.mode("append").parquet(path)
-        time.sleep(0.01)
     return path
 
 

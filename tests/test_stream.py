@@ -78,3 +78,23 @@ def test_log_before_equals_full_log_scan(spark):
         got = log_before(log, idx, lo).groupBy("hashtag").agg(F.max_by("edit_id", key).alias("e"))
         want = log.where(F.col("ts") < lo).groupBy("hashtag").agg(F.max_by("edit_id", key).alias("e"))
         assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_change_feed_emits_once_per_batch(spark):
+    """Each batch of change records re-emits the whole stored timeline once, not once per record."""
+    paths = ST.stream_paths(scratch_path(spark, "test-feed"))
+    ST.write_edit_files(spark, SF, paths["edits"], files=2)
+    ST.run_stream(ST._edit_stream(spark, paths["edits"]), paths).awaitTermination()
+    assert ST.refresh_timeline(spark, paths)
+    n_timeline = spark.read.parquet(paths["timeline"]).count()
+    n_changes = spark.read.parquet(paths["changes"]).count()
+    ST.follow_changes(spark, paths).awaitTermination()
+    feed = spark.read.parquet(paths["feed"])
+    assert n_changes > n_timeline > 0
+    assert feed.count() == n_timeline * feed.select("emit_id").distinct().count()
+    # a second batch of changes arrives later: one more emission of the timeline
+    more = load_edits(spark, SF).where(F.col("edit_id") < 500)
+    ST.process_batch(paths)(more, 99)
+    ST.follow_changes(spark, paths).awaitTermination()
+    feed = spark.read.parquet(paths["feed"])
+    assert feed.select("emit_id").distinct().count() == 2 and feed.count() == 2 * n_timeline
