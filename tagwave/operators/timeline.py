@@ -38,6 +38,47 @@ def checked_tags(trending: DataFrame, broadcast_tags: bool | None = None) -> tup
     return (F.broadcast(tags) if broadcast_tags else tags), broadcast_tags
 
 
+def newest_before(hashtag_rows: DataFrame, tags: DataFrame, lo: int, floor: int, known: DataFrame | None = None,
+                  known_lo: int | None = None, first_span: int = WINDOW_SECONDS, growth: int = 8) -> DataFrame:
+    """For each hashtag of ``tags`` (a ``broadcast()`` side of checked size), its newest row with
+    ``ts < lo``, found by probing backwards in time instead of decoding the whole history.
+
+    ``known`` is an already decoded slice covering ``[known_lo, lo)``; a hashtag with a row there
+    is resolved by it, since every older row is older still. Earlier slices ``[hi - span, hi)``
+    (spans growing ``growth``-fold, literal bounds pushed into the scan) are decoded only while
+    some hashtag is unresolved, each joined with the still-missing hashtags only, down to
+    ``floor`` (the oldest arrival). A brand-new hashtag therefore costs a walk to ``floor``;
+    hashtags with recent history cost one small slice. Returns candidate rows (at most one per
+    hashtag and probe): hashtag, edit_id, ts, pos, date, feature.
+    """
+    ntz = _is_ntz(hashtag_rows, "ts")
+    cols = ["edit_id", "ts", "pos", "date", "feature"]
+
+    def newest(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+        picked = (rows.join(wanted.select("hashtag"), "hashtag").groupBy("hashtag")
+                  .agg(F.max_by(F.struct(*cols), F.struct("ts", "edit_id", "pos")).alias("r")))
+        return picked.select("hashtag", *[F.col(f"r.{c}").alias(c) for c in cols]).checkpoint(eager=True)
+
+    found, missing, hi = [], tags.select("hashtag"), lo
+    if known is not None and known_lo is not None and known_lo < lo:
+        found.append(newest(known.where((F.col("ts") >= ts_literal(known_lo, ntz))
+                                        & (F.col("ts") < ts_literal(lo, ntz))), missing))
+        missing = missing.join(found[-1], "hashtag", "left_anti")
+        hi = known_lo
+    span = first_span
+    while hi > floor and not missing.isEmpty():
+        a = hi - span
+        part = hashtag_rows.where(F.col("ts") < ts_literal(hi, ntz))
+        if a > floor:
+            part = part.where(F.col("ts") >= ts_literal(a, ntz))
+        found.append(newest(part, F.broadcast(missing.checkpoint(eager=True))))
+        missing = missing.join(found[-1], "hashtag", "left_anti")
+        hi, span = a, span * growth
+    if not found:
+        return hashtag_rows.select("hashtag", *cols).where(F.lit(False))
+    return union_edges(*found)
+
+
 def top_by_score(hashtag_rows: DataFrame, scores: DataFrame, as_of: int, window: int = WINDOW_SECONDS,
                  min_exclusive: int = 1, with_rank: bool = True, small: bool = False,
                  broadcast_tags: bool | None = None, older: DataFrame | None = None,

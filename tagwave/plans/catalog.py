@@ -56,7 +56,7 @@ def _joined_tags(col: str = "hashtags"):
     return F.array_join(F.array_sort(F.col(col)), " ")
 
 
-SLICE_MARGIN = 3600  # the decoded recent slice reaches this far before the window
+SLICE_MARGIN = 6 * 3600  # the decoded recent slice reaches this far before the window
 
 
 class Context:
@@ -70,6 +70,7 @@ class Context:
         self._as_of = None
         self._resolved = False
         self._recent = None
+        self._bounds = (None, None, None)  # (oldest arrival, newest arrival, slice start)
         self._entries = None
         self._entry_rows = None
 
@@ -83,6 +84,7 @@ class Context:
         if top is None:
             return
         slice_lo = top - TR.WINDOW_SECONDS - SLICE_MARGIN
+        self._bounds = (lo_all, top, slice_lo)
         part = self.ht if slice_lo <= lo_all else self.ht.where(F.col("ts") >= TR.ts_literal(slice_lo))
         recent = part.checkpoint(eager=True)  # the ts filter still reaches the parquet scan
         self._as_of = TR.default_as_of(recent)
@@ -106,8 +108,20 @@ class Context:
         return TR.trending(self.window_rows(), self.as_of)
 
     def entries(self, with_rank: bool = False) -> DataFrame:
-        return TL.top_by_score(self.ht, self.scores(), self.as_of, with_rank=with_rank,
-                               window_rows=self.window_rows())
+        """Newest score+1 entries of the trending hashtags. With a broadcastable trending set,
+        each hashtag's newest row before the window is found by probing backwards from the
+        decoded recent slice (``newest_before``), not by decoding the whole history."""
+        if self.as_of is None:
+            return TL.top_by_score(self.ht, self.scores(), 0, with_rank=with_rank)
+        tags, small_tags = TL.checked_tags(TR.filter_min_score(self.scores()))
+        older = None
+        lo_all, _, slice_lo = self._bounds
+        if small_tags and lo_all is not None:
+            known = self._recent
+            older = TL.newest_before(self.ht, tags, self.as_of - TR.WINDOW_SECONDS, lo_all, known=known,
+                                     known_lo=None if known is None else max(slice_lo, lo_all))
+        return TL.top_by_score(self.ht, self.scores(), self.as_of, with_rank=with_rank, broadcast_tags=small_tags,
+                               older=older, window_rows=self.window_rows())
 
     def stable_entries(self) -> DataFrame:
         """Trending entries written to the checkpoint folder once: the runs, ranks and scans

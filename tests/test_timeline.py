@@ -157,3 +157,31 @@ def test_leader_changes_vs_replay(spark):
     for small in (True, False):
         got = {tuple(r) for r in L.leader_changes(df, every=3600, k=3, small=small).collect()}
         assert got == want
+
+
+def test_newest_before_probing_matches_full_history(spark):
+    """Backward probing finds each hashtag's newest pre-window row, however far back (or none)."""
+    from pyspark.sql import functions as F
+
+    base = datetime(2024, 3, 1)
+    epoch = int((base - datetime(1970, 1, 1)).total_seconds())
+    lo = epoch + 30 * 86400
+    rows, eid = [], 0
+    # hashtag -> offsets (seconds before lo) of its earlier rows
+    history = {"near": [3 * 3600, 9 * 3600], "days": [2 * 86400], "weeks": [20 * 86400, 29 * 86400],
+               "fresh": [], "decoy": [3600]}
+    for tag, offsets in history.items():
+        for off in offsets + [-60]:                      # -60: a row inside the window
+            eid += 1
+            rows.append((tag, eid, base + timedelta(seconds=lo - epoch - off), 0, "d", f"LINESTRING ({eid} 0)"))
+    ht = spark.createDataFrame(rows, "hashtag string, edit_id long, ts timestamp_ntz, pos int, date string, "
+                                     "feature string")
+    tags = spark.createDataFrame([(t, 2) for t in history if t != "decoy"], "hashtag string, score long")
+    for known in (None, ht.where(F.col("ts") >= TR.ts_literal(lo - 4 * 3600))):
+        got = TL.newest_before(ht, F.broadcast(tags), lo, epoch, known=known,
+                               known_lo=None if known is None else lo - 4 * 3600)
+        got = got.groupBy("hashtag").agg(F.max_by("edit_id", F.struct("ts", "edit_id", "pos")).alias("e"))
+        want = (ht.where(F.col("ts") < TR.ts_literal(lo)).join(tags, "hashtag")
+                .groupBy("hashtag").agg(F.max_by("edit_id", F.struct("ts", "edit_id", "pos")).alias("e")))
+        assert sorted(got.collect()) == sorted(want.collect())
+        assert "fresh" not in {r.hashtag for r in got.collect()}
