@@ -182,6 +182,7 @@ ld AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY total
 # Same definitions as the batch queries they must equal.
 for _stream, _batch in {"stream_trending": "rolling_scores", "stream_trending_stateful": "rolling_scores",
                         "stream_hashtag_log": "hashtag_features", "stream_recent_features": "recent_features",
+                        "stream_latest_for_hashtag": "latest_for_hashtag",
                         "stream_scores": "trending_6h", "timeline_refresh": "timeline"}.items():
     BODIES[_stream] = BODIES[_batch]
 

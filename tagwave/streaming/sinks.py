@@ -16,9 +16,10 @@ RECENT_KEEP = 1001  # index 0..1000 of the capped feature list
 LATEST_KEEP = 101   # index 0..100 of a hashtag's list
 
 
-def _write_batch(df: DataFrame, batch_id: int, path: str, partition_cols=("batch_id",)) -> None:
+def _write_batch(df: DataFrame, batch_id: int, path: str, partition_cols=("batch_id",),
+                 options: dict[str, str] | None = None) -> None:
     (df.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").options(**(options or {}))
      .partitionBy(*partition_cols).parquet(path))
 
 
@@ -36,8 +37,11 @@ def recent_features(features: DataFrame, n: int = RECENT_KEEP) -> DataFrame:
 
 def write_hashtag_log(batch_df: DataFrame, batch_id: int, path: str) -> None:
     """(feature, hashtag) rows, never trimmed (O-04). Partitioned by batch, not by hashtag:
-    hashtag cardinality is unbounded, batches arrive in time order."""
-    _write_batch(batch_df.select("edit_id", "ts", "pos", "date", "feature", "hashtag"), batch_id, path)
+    hashtag cardinality is unbounded, batches arrive in time order. Inside a batch, rows are
+    sorted by hashtag and a parquet bloom filter is kept on it, so a one-hashtag lookup (O-28)
+    skips row groups by their min/max and bloom filter."""
+    rows = batch_df.select("edit_id", "ts", "pos", "date", "feature", "hashtag").sortWithinPartitions("hashtag", "ts")
+    _write_batch(rows, batch_id, path, options={"parquet.bloom.filter.enabled#hashtag": "true"})
 
 
 def write_hashtag_newest(batch_df: DataFrame, batch_id: int, path: str) -> None:

@@ -212,6 +212,16 @@ def q_stream_hashtag_log(spark, sf_dir):
     return spark.read.parquet(paths["hashtags"]).select("edit_id", "date", "feature", "hashtag")
 
 
+def q_stream_latest_for_hashtag(spark, sf_dir):
+    """One hashtag's newest 101 entries read from the stored log (pushed-down hashtag filter)."""
+    from ..plans.catalog import LOOKUP_TAG
+    from ..functions import pack_entry, url_decode
+
+    paths = _run(spark, sf_dir, "stream-lookup")
+    top = S.latest_for_hashtag(spark.read.parquet(paths["hashtags"]), url_decode(F.lit(LOOKUP_TAG)))
+    return top.select("hashtag", "edit_id", pack_entry("feature", "date").alias("entry"))
+
+
 def q_stream_recent_features(spark, sf_dir):
     paths = _run(spark, sf_dir, "stream-recent")
     top = S.recent_features(spark.read.parquet(paths["features"]))
@@ -259,6 +269,7 @@ STREAM_QUERIES = {
     "stream_trending": q_stream_trending,
     "stream_trending_stateful": q_stream_trending_stateful,
     "stream_hashtag_log": q_stream_hashtag_log,
+    "stream_latest_for_hashtag": q_stream_latest_for_hashtag,
     "stream_recent_features": q_stream_recent_features,
     "stream_scores": q_stream_scores,
     "timeline_refresh": q_timeline_refresh,
