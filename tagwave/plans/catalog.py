@@ -101,7 +101,8 @@ class Context:
 
     def window_rows(self) -> DataFrame:
         """Hashtag rows holding the whole window: the decoded slice when it covers it."""
-        self.as_of  # noqa: B018  (resolves the slice)
+        if not self._resolved:
+            self._resolve()
         return self.ht if self._recent is None else self._recent
 
     def scores(self) -> DataFrame:
