@@ -98,3 +98,15 @@ def test_change_feed_emits_once_per_batch(spark):
     ST.follow_changes(spark, paths).awaitTermination()
     feed = spark.read.parquet(paths["feed"])
     assert feed.select("emit_id").distinct().count() == 2 and feed.count() == 2 * n_timeline
+
+
+def test_refresh_keeps_or_replaces_when_nothing_trends(spark):
+    """Quirk Q8: with no hashtag scoring more than once, the old timeline stays ('keep') or an
+    empty one replaces it ('replace')."""
+    paths = ST.stream_paths(scratch_path(spark, "test-q8"))
+    ST.write_edit_files(spark, "/root/testdata/sf0.001", paths["edits"], files=1)
+    ST.run_stream(ST._edit_stream(spark, paths["edits"]), paths).awaitTermination()
+    assert ST.refresh_timeline(spark, paths, on_empty="keep") is False
+    assert not os.path.exists(paths["timeline"])
+    assert ST.refresh_timeline(spark, paths, on_empty="replace") is True
+    assert spark.read.parquet(paths["timeline"]).count() == 0
