@@ -88,16 +88,19 @@ def leader_changes(steps: DataFrame, every: int = 3600, k: int = LEADER_K, small
     total, 'left' with those of the previous snapshot), rank, total.
     """
     snap = F.coalesce(F.floor(F.unix_timestamp(parse_time("time")) / every) * every, F.lit(-1)).cast("bigint")
-    upd = steps.groupBy("hashtag", snap.alias("snapshot")).agg(F.sum("count").cast("bigint").alias("n"))
+    upd = (steps.groupBy("hashtag", snap.alias("snapshot")).agg(F.sum("count").cast("bigint").alias("n"))
+           .checkpoint(eager=True))
+    # the update, snapshot and event tables are each read by several branches below:
+    # checkpointing them (all small) keeps every branch from re-running the replay lineage
     snaps = ordered_scan(upd.select("snapshot").distinct(), [F.col("snapshot").asc()], rank="b",
-                         total="n_snaps", small=small)
+                         total="n_snaps", small=small).checkpoint(eager=True)
     # one row per snapshot: broadcast when its checked count allows, so a busy snapshot is not one task
     upd = upd.join(F.broadcast(snaps) if fits_broadcast(snaps.count(), steps.sparkSession) else snaps, "snapshot")
     # per hashtag: one row per snapshot it was updated in (bounded by the number of snapshots)
     per_tag = Window.partitionBy("hashtag").orderBy("b")
     events = upd.select("hashtag", "b", "snapshot", "n_snaps",
                         F.sum("n").over(per_tag.rowsBetween(Window.unboundedPreceding, 0)).alias("total"),
-                        F.lead("b").over(per_tag).alias("b_next"))
+                        F.lead("b").over(per_tag).alias("b_next")).checkpoint(eager=True)
     best = Window.partitionBy("b").orderBy(F.col("total").desc(), F.col("hashtag").asc())
     kth = (events.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k)
            .groupBy("b").agg(F.count(F.lit(1)).alias("_c"), F.min("total").alias("_t"))
