@@ -33,11 +33,13 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 _PART_BITS = 33  # monotonically_increasing_id: partition index above bit 33, row index below
-ONE_TASK_ROWS = 200_000  # inputs proven smaller than this are scanned by plain windows in one task
-
 
+# Size checks (both read a session setting first): inputs with a checked row count up to
+# ONE_TASK_ROWS are scanned by plain windows in one task; keyed sides up to BROADCAST_ROWS may
+# be passed to broadcast().
+ONE_TASK_ROWS = 200_000
 ONE_TASK_CONF = "spark.tagwave.oneTaskRows"
-BROADCAST_ROWS = 1_000_000  # a keyed side proven below this many rows may be broadcast
+BROADCAST_ROWS = 1_000_000
 BROADCAST_CONF = "spark.tagwave.broadcastRows"
 
 
