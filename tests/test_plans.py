@@ -40,3 +40,17 @@ def test_unsegmented_scan_carry_is_broadcast(spark):
     df = spark.range(0, 5000).withColumn("v", F.col("id") % 7)
     out = ordered_scan(df, [F.col("v").desc(), F.col("id").asc()], rank="r", partitions=4)
     assert "BroadcastExchange" in _plan(out) or "BroadcastHashJoin" in _plan(out)
+
+
+def test_rolling_scores_aggregate_before_the_window(spark):
+    plan = _plan(TR.rolling_scores(TR.bucket_counts(hashtag_rows(spark, SF))))
+    assert "partial_count" in plan and "RangeFrame" in plan
+
+
+def test_stored_log_lookup_pushes_the_hashtag(spark, tmp_path):
+    from tagwave.streaming import sinks as S
+
+    ht = hashtag_rows(spark, "/root/testdata/sf0.001")
+    S.write_hashtag_log(ht, 0, str(tmp_path / "log"))
+    plan = _plan(S.latest_for_hashtag(spark.read.parquet(str(tmp_path / "log")), "region3"))
+    assert "EqualTo(hashtag,region3)" in plan and "TakeOrderedAndProject" in plan
