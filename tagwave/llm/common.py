@@ -13,11 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back: cuts the lineage, so a lost
-    executor costs a re-read, and every later branch sees the same rows."""
+    executor costs a re-read, and every later branch sees the same rows. ``few``: for narrow tables, at
+    most a few files per core of the cluster."""
     spark = df.sparkSession
     path = scratch_path(spark, f"llm-{name}")
+    if few:
+        df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -32,11 +35,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     each join are plain shuffles that AQE can split on a hot label. It ends when no label changes.
     An empty edge list gives an empty table; self-loops and repeated edges change nothing.
     """
-    spark = edges.sparkSession
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
-    both = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    both = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", True)
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
-                     .select("node", F.least("node", "m").alias("component"), F.lit(True).alias("moved")), "labels")
+                     .select("node", F.least("node", "m").alias("component"), F.lit(True).alias("moved")), "labels", True)
     while not labels.where("moved").isEmpty():
         near = (both.join(labels.select(F.col("node").alias("b"), "component"), "b")
                 .groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m")))
@@ -45,5 +47,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         roots = labels.select(F.col("node").alias("m"), F.col("component").alias("up"))
         jumped = hooked.join(roots, "m").select(
             "node", F.least("m", "up").alias("component"), (F.least("m", "up") < F.col("component")).alias("moved"))
-        labels = written(jumped, "labels")
+        labels = written(jumped, "labels", True)
     return labels.select("node", "component")

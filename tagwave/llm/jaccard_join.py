@@ -10,7 +10,7 @@ Exact: no link between different sets is lost, and none is guessed.
    gives its keys for its own band, and for the band below if a partner may lie there. A part
    holds about nine shingles, so a common line or passage alone makes no key equal.
 3. *Candidate blocks.* Each key links its sets to its smallest one (a star, never all pairs);
-   connected components of these links are the candidate blocks.
+   connected components of these links are the candidate blocks (union-find within tasks, then across them).
 4. *Tiles.* A block is ordered by set size and cut into tiles of ``tile`` sets; tile pairs whose
    sizes can still meet are compared as separate groups, each of bounded size. Inside a pair, hashed bitmap
    signatures bound the overlap from above by bit counts; pairs that pass get the exact intersection of the
@@ -18,7 +18,8 @@ Exact: no link between different sets is lost, and none is guessed.
 5. *Components* of the links, by distributed union-find; exact copies (equal sets) share one node from step 1.
 
 Null and empty texts and texts of white space have no shingles and link with nothing. Repeated
-rows of one ``doc_id`` are equal or different texts like any other rows; each row is returned.
+rows of one ``doc_id`` are equal or different texts like any other rows; each row is returned. A null id
+counts as no smallest id, unless its component has no other.
 Other columns are ignored, whatever their names.
 """
 
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.scan import ordered_scan
@@ -41,8 +42,9 @@ PERCENT = 90       # link when 100 * intersection >= PERCENT * union
 BAND = 1.25        # ratio of a size band's ends
 TILE = 512         # sets in a tile
 BITS = 2048        # bits in a bitmap signature
+FOREST_ROWS = 500_000  # links in one task of the local union-find
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64()),
+_SETS = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64()),
                    ("keys", pa.list_(pa.int64()))])
 
 
@@ -87,32 +89,62 @@ def _row_sets(col: pa.Array, words: int) -> Iterator[np.ndarray]:
             yield np.unique(hashes[at[i]:at[i + 1]])
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """A row's hash: equal rows share it, rows of one id with different texts do not."""
+    return F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")).alias("row_key")
+
+
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """Steps 1 and 2: (doc_id, n_shingles, set_id, keys) for each row of ``docs``."""
+    """Steps 1 and 2: (row_key, doc_id, n_shingles, set_id, keys) for each row of ``docs``."""
 
     def run(batches):
         for batch in batches:
-            ids, sizes, names, keys = batch.column(0), [], [], []
-            for members in _row_sets(batch.column(1), words):
+            sizes, names, keys = [], [], []
+            for members in _row_sets(batch.column(2), words):
                 sizes.append(len(members))
                 names.append(set_id(members))
                 keys.append(signed(block_keys(members, percent)) if len(members) else np.zeros(0, np.int64))
             off = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             yield pa.record_batch([
-                ids.cast(pa.int64()), pa.array(sizes, pa.int64()),
+                batch.column(0), batch.column(1), pa.array(sizes, pa.int64()),
                 pa.array(signed(np.array(names, np.uint64))),
                 pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))),
             ], schema=_SETS)
 
-    plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return plain.mapInArrow(run, "doc_id bigint, n_shingles bigint, set_id bigint, keys array<bigint>")
+    plain = docs.select(row_key(id_col, text_col), F.col(id_col).cast("bigint").alias("doc_id"),
+                        F.col(text_col).cast("string").alias("text"))
+    return plain.mapInArrow(run, "row_key bigint, doc_id bigint, n_shingles bigint, set_id bigint, keys array<bigint>")
 
 
 def candidate_links(sets: DataFrame) -> DataFrame:
     """Step 3: (a, b), each set's id with the smallest set id of each of its keys."""
     rows = sets.where("n_shingles > 0").select("set_id", F.explode("keys").alias("key"))
     lowest = F.min("set_id").over(Window.partitionBy("key"))
-    return rows.select(lowest.alias("a"), F.col("set_id").alias("b")).where("a <> b").distinct()
+    return rows.select(lowest.alias("a"), F.col("set_id").alias("b")).where("a <> b")
+
+
+def local_forests(links: DataFrame, rows: int = FOREST_ROWS) -> DataFrame:
+    """(a, b): each task's links, about ``rows`` of them, as stars around the smallest node of their local
+    components. Connects what the links connect, with fewer rows and shorter paths."""
+    tasks = max(1, -(-links.count() // rows))
+
+    def run(batches):
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = x = root[up]
+            return x
+
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x, y = find(x), find(y)
+                root[max(x, y)] = min(x, y)
+        stars = [(find(x), x) for x in root]
+        yield pa.record_batch([pa.array([s for s, x in stars if s != x], pa.int64()),
+                               pa.array([x for s, x in stars if s != x], pa.int64())], names=["a", "b"])
+
+    return links.select("a", "b").coalesce(tasks).mapInArrow(run, "a bigint, b bigint")
 
 
 def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -152,7 +184,7 @@ def tile_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent:
 def verified_links(docs: DataFrame, sets: DataFrame, blocks: DataFrame, id_col: str, text_col: str, words: int,
                    percent: int, tile: int) -> DataFrame:
     """Step 4: links (a, b) of set ids, exactly checked. ``blocks``: (node, component)."""
-    members = (sets.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
+    members = (sets.groupBy("set_id").agg(F.min("row_key").alias("row_key"), F.max("n_shingles").alias("n"))
                .join(blocks.withColumnRenamed("node", "set_id"), "set_id"))
     ranked = written(ordered_scan(members, [F.col("n"), F.col("set_id")], ["component"], rank="place")
                      .withColumn("tile", F.floor((F.col("place") - 1) / tile).cast("int")), "tiles")
@@ -166,19 +198,16 @@ def verified_links(docs: DataFrame, sets: DataFrame, blocks: DataFrame, id_col:
 
     def arrays(batches):
         for batch in batches:
-            made = list(_row_sets(batch.column(3), words))
-            # a repeated doc_id may hold other texts too: only the row with this set counts
-            same = signed(np.array([set_id(m) for m in made], np.uint64)) == batch.column(0).to_numpy()
-            yield pa.record_batch(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array([m.tobytes() for m in made], pa.binary())],
-                names=["set_id", "component", "tile", "members"]).filter(pa.array(same))
-
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    held = (texts.join(ranked.select("doc_id", "set_id", "component", "tile", "n"), "doc_id")
+            made = [members.tobytes() for members in _row_sets(batch.column(3), words)]
+            yield pa.record_batch([*batch.columns[:3], pa.array(made, pa.binary())],
+                                  names=["set_id", "component", "tile", "members"])
+
+    texts = docs.select(row_key(id_col, text_col), F.col(text_col).cast("string").alias("text"))
+    held = (texts.hint("merge").join(ranked.select("row_key", "set_id", "component", "tile"), "row_key")
             .select("set_id", "component", "tile", "text")
             .mapInArrow(arrays, "set_id bigint, component bigint, tile int, members binary"))
 
-    def compare(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         _, i, j = key
         rows = rows.drop_duplicates("set_id").sort_values("set_id")
         a, b = rows[rows.tile == i], rows[rows.tile == j]
@@ -187,22 +216,22 @@ def verified_links(docs: DataFrame, sets: DataFrame, blocks: DataFrame, id_col:
         found = tile_links(read(a), read(b) if i != j else None, percent)
         return pd.DataFrame({"a": [ids[p] for p, _ in found], "b": [ids[q] for _, q in found]}, dtype="int64")
 
-    return held.join(groups, ["component", "tile"]).groupBy("component", "i", "j").applyInPandas(
+    return held.hint("merge").join(groups, ["component", "tile"]).groupBy("component", "i", "j").applyInPandas(
         compare, "a bigint, b bigint")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
                        percent: int = PERCENT, tile: int = TILE) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs``: the set size, and the smallest
+    """(row_key, doc_id, n_shingles, component_id) for every row of ``docs``: the set size, and the smallest
     id that links reach. See the module's text for the steps and the odd cases."""
     sets = written(shingle_sets(docs, id_col, text_col, words, percent), "sets")
-    blocks = components(candidate_links(sets))
+    blocks = components(local_forests(written(candidate_links(sets), "candidates")))
     links = written(verified_links(docs, sets, blocks, id_col, text_col, words, percent, tile), "links")
-    joined = components(links).withColumnRenamed("node", "set_id")
+    joined = components(local_forests(links)).withColumnRenamed("node", "set_id")
     first = sets.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("first"))
     named = first.join(joined, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     lowest = written(named.groupBy("component").agg(F.min("first").alias("component_id")), "lowest")
     of_set = written(written(named, "named").join(lowest, "component").select("set_id", "component_id"), "of-set")
-    return (sets.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_id")).alias("set_id"))
+    return (sets.select("row_key", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_id")).alias("set_id"))
             .join(of_set, "set_id", "left")
-            .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
+            .select("row_key", "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))

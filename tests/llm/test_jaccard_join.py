@@ -52,7 +52,7 @@ def made_texts(n=120, seed=4):
 
 def run(spark, rows, **kw):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    return sorted(tuple(r) for r in jaccard_components(df, **kw).collect())
+    return sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(df, **kw).collect())
 
 
 def test_matches_brute_force(spark):
@@ -70,7 +70,13 @@ def test_empty_table_and_clashing_columns(spark):
     assert jaccard_components(df).collect() == []
     df = spark.createDataFrame([(1, "a b c d", "x", "y"), (2, "a b c d", None, None)],
                                "doc_id bigint, text string, set_id string, component string")
-    assert sorted(map(tuple, jaccard_components(df).collect())) == [(1, 2, 1), (2, 2, 1)]
+    assert sorted((r.doc_id, r.component_id) for r in jaccard_components(df).collect()) == [(1, 1), (2, 1)]
+
+
+def test_repeated_and_null_ids(spark):
+    rows = [(1, "a b c d e"), (1, "q r s t u"), (1, "a b c d e"), (2, "q r s t u"), (None, "q r s t u"), (None, "z z z y")]
+    out = jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in out) == [(0, 0), (0, 1), (1, 1), (1, 1), (1, 1), (2, 1)]
 
 
 def test_linked_sets_share_a_key():
