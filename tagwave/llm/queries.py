@@ -1,17 +1,59 @@
-"""The registered queries over the given tables, and their DuckDB texts where SQL can express them."""
+"""The registered queries over the given tables.
+
+Each is the thin query of one operator over its whole table. ``ORACLE`` holds DuckDB texts where SQL can
+express an operator; the others are held against brute force in the tests.
+"""
 
 from __future__ import annotations
 
+from . import decontaminate, fingerprints, html_extract, jaccard_join, language_id
+from . import line_dedup, packing, secret_scan, substring_dedup, toxicity
 from .common import table
-from .jaccard_join import jaccard_components
+
+
+def op1_html_extract(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op2_line_dedup(spark, sf_dir):
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), length_col="n_chars")
+
+
+def op3_substring_dedup(spark, sf_dir):
+    return substring_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
+def op4_secret_scan(spark, sf_dir):
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_fingerprints(spark, sf_dir):
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op8_language_id(spark, sf_dir):
+    return language_id.identify(table(spark, sf_dir, "documents"))
 
 
 def op9_jaccard_join(spark, sf_dir):
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).drop("row_key")
+
+
+def op10_decontaminate(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
 
 
-QUERIES = {
-    "op9_jaccard_join": op9_jaccard_join,
-}
+QUERIES = {f.__name__: f for f in (
+    op1_html_extract, op2_line_dedup, op3_substring_dedup, op4_secret_scan, op5_fingerprints, op6_toxicity, op7_packing,
+    op8_language_id, op9_jaccard_join, op10_decontaminate)}
 
 ORACLE: dict[str, str] = {}

@@ -26,6 +26,25 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTE[_SPACE] = 0
 
 
+_ALNUM = np.full(256, 32, np.uint8)
+_ALNUM[48:58] = np.arange(48, 58)
+_ALNUM[65:91] = np.arange(97, 123)
+_ALNUM[97:123] = np.arange(97, 123)
+_ALNUM[128:] = np.arange(128, 256)
+_LETTERS = _ALNUM.copy()
+_LETTERS[48:58] = 32
+
+
+def fold(data: np.ndarray, digits: bool = True) -> np.ndarray:
+    """Bytes with A-Z and the Latin-1 capitals as small letters, and all ASCII but letters (and
+    ``digits``) as spaces; the length stays."""
+    out = (_ALNUM if digits else _LETTERS)[data]
+    if len(out) > 1:
+        capital = (out[1:] >= 0x80) & (out[1:] <= 0x9E) & (out[1:] != 0x97) & (out[:-1] == 0xC3)
+        out[1:][capital] += 0x20
+    return out
+
+
 def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit finaliser (multiply and shift), with a seed."""
     h = h ^ np.uint64((seed * 0x9E3779B97F4A7C15 + 0x2545F4914F6CDD1D) & (2**64 - 1))
