@@ -3,10 +3,11 @@
 1. *Sample.* Labelled rows of the training folds, at most about ``SAMPLE`` of them (a hash of the id picks them).
 2. *Voters.* A fixed lexicon of insults, prefixes of words mined from the sample by log-odds (they catch
    inflected and coined forms in any language), and patterns (shouting, exclamation marks, repeated words, table
-   cells). A voter says whether it fires on a text.
+   cells), and the sample's labels as one voter more. A voter says whether it fires on a text.
 3. *Label model.* A latent class with one firing rate per voter and class, fitted by EM. The correlations of the
    voters within a class, taken from the posteriors, divide the weight of voters that repeat one another.
-4. *Classifier.* A logistic regression on the voters' counts, trained on the label model's posteriors.
+4. *Classifier.* A logistic regression on the voters' counts, single and pooled, trained on the label
+   model's posteriors.
 
 The sample and the model are of bounded size; all else runs over whole texts in Arrow tasks. Scores use the
 text only. Null and empty texts score as texts on which nothing fires. Without usable labels every voter keeps
@@ -27,7 +28,7 @@ from .common import written
 from .shingles import _BYTE, _PLACE, fold, mix, signed, text_slices, word_spans
 
 SAMPLE = 20_000       # labelled rows to learn from (a bound, met within the hash's spread)
-PREFIXES = range(3, 13)
+PREFIXES = range(4, 13)
 MINED = 300           # mined voters at most: the size of the model
 MIN_ROWS = 5          # sample rows a mined prefix must occur in
 PREDICT_AT = 0.7
@@ -65,18 +66,20 @@ def prefix_hash(prefix: str) -> int:
 
 @dataclass(frozen=True)
 class Model:
-    """Everything a score needs: sorted prefix hashes of the voters, and the classifier's weights (one
-    per voter's presence, one per voter's log count, one per pattern, the bias)."""
+    """Everything a score needs: the voters' sorted prefix hashes, which of them are the fixed
+    lexicon's, and the classifier's weights."""
 
     prefixes: np.ndarray
+    fixed: np.ndarray
     weights: np.ndarray
 
-    def features(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return counts(self.prefixes, data, off)
+    def scores(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        x = inputs(*counts(self.prefixes, data, off), self.fixed)
+        return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
 
 
 def counts(prefixes: np.ndarray, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Occurrences of each prefix (sorted hashes) in each row, and each row's pattern rates."""
+    """Occurrences of each prefix (sorted hashes) in each row, and each row's pattern rates and words."""
     n, width = len(off) - 1, len(prefixes)
     hashes, owners, rows = _word_parts(data, off)
     words = np.diff(rows)
@@ -101,17 +104,25 @@ def counts(prefixes: np.ndarray, data: np.ndarray, off: np.ndarray) -> tuple[np.
     if len(first) > 1:
         run = (first[1:] == first[:-1]) & (np.diff(owners[0]) == 1)
         again = np.bincount(row_of[owners[0][1:]][run], minlength=n)
-    return total.reshape(n, width), np.stack([capital, np.minimum(marks, 1), again / np.maximum(words, 1), cells], axis=1)
+    return total.reshape(n, width), np.stack([capital, np.minimum(marks, 1), again / np.maximum(words, 1), np.minimum(cells, 1),
+                                                  words], axis=1)
 
 
-def inputs(found: np.ndarray, patterns: np.ndarray) -> np.ndarray:
-    """Classifier inputs of rows, from the voters' counts and the patterns."""
-    return np.hstack([found > 0, np.log1p(found), patterns, np.ones((len(found), 1))]).astype(np.float64)
+def inputs(found: np.ndarray, patterns: np.ndarray, fixed: np.ndarray) -> np.ndarray:
+    """Classifier inputs of rows: each voter's presence and log count, the same for the lexicon and for the
+    mined prefixes as wholes with their shares of the words, the patterns, and a constant."""
+    full = lambda n: np.log1p(np.minimum(n, 8))  # noqa: E731  more hits say no more
+    pooled = []
+    for part in (fixed, ~fixed):
+        hits = found[:, part].sum(axis=1)
+        pooled += [hits > 0, full(hits), np.minimum(10 * hits / np.maximum(patterns[:, -1], 10), 1), (found[:, part] > 0).sum(axis=1) > 1]
+    return np.hstack([found > 0, full(found), np.stack(pooled, axis=1), patterns[:, :-1], np.ones((len(found), 1))]
+                     ).astype(np.float64)
 
 
 def votes(found: np.ndarray, patterns: np.ndarray) -> np.ndarray:
     """Which voters fire on each row: every prefix, and each pattern above its usual rate."""
-    return np.hstack([found > 0, patterns > np.array([0.3, 0.2, 0.2, 0.2])]).astype(np.float64)
+    return np.hstack([found > 0, patterns[:, :-1] > np.array([0.3, 0.2, 0.2, 0.2])]).astype(np.float64)
 
 
 def label_model(fired: np.ndarray, start: np.ndarray, prior: float, rounds: int = 25) -> np.ndarray:
@@ -125,15 +136,15 @@ def label_model(fired: np.ndarray, start: np.ndarray, prior: float, rounds: int
         q = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         mass = np.stack([(1 - q).sum(), q.sum()])
         sums = np.stack([(1 - q) @ fired, q @ fired])
-        # the starting rates count as 20 more rows of each class
-        rates = np.clip((sums + 20 * np.clip(start, 1e-4, 1 - 1e-4)) / (mass[:, None] + 20), 1e-4, 1 - 1e-4)
+        # the starting rates count as five more rows of each class
+        rates = np.clip((sums + 5 * np.clip(start, 1e-4, 1 - 1e-4)) / (mass[:, None] + 5), 1e-4, 1 - 1e-4)
         share = float(np.clip(q.mean(), 0.01, 0.9))
-        if step == rounds // 2:  # voters that fire together beyond their class count once between them
+        if step in (0, rounds // 2):  # voters that fire together beyond their class count once between them
             rest = fired - np.outer(q, rates[1]) - np.outer(1 - q, rates[0])
             cov = rest.T @ rest
             spread = np.sqrt(np.maximum(np.diag(cov), 1e-9))
             tied = np.maximum(cov / np.outer(spread, spread), 0)
-            tied[tied < 0.1] = 0
+            tied[tied < max(0.3, 3 / np.sqrt(len(fired)))] = 0  # chance
             np.fill_diagonal(tied, 1)
             weight = 1 / tied.sum(axis=1)
     return q
@@ -192,8 +203,9 @@ def mine_prefixes(sample: DataFrame, totals: tuple[int, int]) -> np.ndarray:
     counted = sample.mapInArrow(count, "prefix bigint, n bigint, n1 bigint").groupBy("prefix").agg(
         F.sum("n").alias("n"), F.sum("n1").alias("n1")).where(F.col("n") >= MIN_ROWS)
     odds = F.log(((F.col("n1") + 0.5) / (rows1 + 1)) / ((F.col("n") - F.col("n1") + 0.5) / (rows0 + 1)))
-    best = (counted.withColumn("odds", odds).where("odds > 1.5")
-            .orderBy((F.col("odds") * F.sqrt("n1")).desc(), "prefix").limit(MINED).toPandas())
+    strength = F.col("odds") * F.sqrt("n1")
+    best = (counted.withColumn("odds", odds).where((F.col("odds") > 1.5) & (strength > 4))
+            .orderBy(strength.desc(), "prefix").limit(MINED).toPandas())
     return np.array(best.prefix, np.int64).view(np.uint64)
 
 
@@ -202,9 +214,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Learn voters, label model and classifier from the labelled rows of the training folds."""
     sample = written(labelled_sample(docs, labels, id_col, text_col, label_col, sample_rows), "labelled")
     total, toxic = sample.agg(F.count("*"), F.sum("label")).first()
-    fixed = np.array([prefix_hash(w) for w in LEXICON], np.uint64)
+    lexicon = np.array([prefix_hash(w) for w in LEXICON], np.uint64)
     mined = mine_prefixes(sample, (total - (toxic or 0), toxic or 0)) if toxic else np.zeros(0, np.uint64)
-    prefixes = np.unique(np.concatenate([fixed, mined]))
+    prefixes = np.unique(np.concatenate([lexicon, mined]))
+    fixed = np.isin(prefixes, lexicon)
 
     def matrix(batches):
         for batch in batches:
@@ -216,16 +229,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     held = sample.mapInArrow(matrix, "row binary, label int").toPandas()  # sample_rows x voters numbers at most
     if not total:
-        found, patterns = np.eye(len(prefixes)), np.zeros((len(prefixes), len(PATTERNS)))
-        found, patterns = np.vstack([found, np.zeros_like(found)]), np.vstack([patterns, patterns])
+        found = np.vstack([np.eye(len(prefixes)), np.zeros((len(prefixes), len(prefixes)))])
+        patterns = np.tile([0.0] * len(PATTERNS) + [50.0], (len(found), 1))
         q = np.repeat([0.9, 0.02], len(prefixes))
     else:
         whole = np.frombuffer(b"".join(held.row), np.float32).reshape(total, -1)
         found, patterns = whole[:, :len(prefixes)], whole[:, len(prefixes):]
-        fired, label = votes(found, patterns), held.label.to_numpy()
-        rate = lambda rows: (fired[rows].sum(axis=0) + 0.2) / (rows.sum() + 2)
-        q = label_model(fired, np.stack([rate(label == 0), rate(label == 1)]), float(label.mean()))
-    return Model(prefixes, linear_classifier(inputs(found, patterns), q))
+        label = held.label.to_numpy().astype(np.float64)
+        fired = np.hstack([votes(found, patterns), label[:, None]])
+        start = np.stack([(fired[label == y].sum(axis=0) + 0.2) / ((label == y).sum() + 2) for y in (0, 1)])
+        # insults fire on toxic texts, and labels are mostly right, before any row is seen
+        start[:, :-1][1, :len(prefixes)][fixed] = np.maximum(start[1, :len(prefixes)][fixed], 0.1)
+        start[:, -1] = 0.02, 0.9
+        q = label_model(fired, start, float(label.mean()))
+    return Model(prefixes, fixed, linear_classifier(inputs(found, patterns, fixed), q))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,7 +252,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             parts = [np.zeros(0)]
             for _, _, data, off in text_slices(batch.column(2)):
-                parts.append(1 / (1 + np.exp(-np.clip(inputs(*model.features(data, off)) @ model.weights, -30, 30))))
+                parts.append(model.scores(data, off))
             value = np.concatenate(parts)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(value),
                                    pa.array((value >= PREDICT_AT).astype(np.int32))],
