@@ -11,7 +11,7 @@
 4. The forest scores every candidate; ``secret`` marks those of ``THRESHOLD`` or more.
 
 At most about ``SAMPLE`` findings train (a hash picks them); the dictionary holds the ``WORDS`` most frequent
-words, counted over the whole corpus. With findings of one class only, or none, the rules alone decide and the
+words (``LEAST_COUNT`` times or more), counted over the whole corpus. With findings of one class only, or none, the rules alone decide and the
 rest scores 0.5. Null and empty texts have no candidates. Repeated rows give the same findings once per row;
 ties in the dictionary go by the word. An empty table gives an empty result. Other columns are ignored.
 """
@@ -29,6 +29,7 @@ from .common import written
 MIN_CHARS = 16
 SAMPLE = 20_000
 WORDS = 20_000
+LEAST_COUNT = 10       # occurrences that make a dictionary word
 TREES, DEPTH = 24, 7
 THRESHOLD = 0.5
 
@@ -82,8 +83,8 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str | None
 def dictionary(docs: DataFrame, text_col: str, size: int = WORDS) -> DataFrame:
     """(run): the most frequent words of three letters or more, counted over all texts."""
     words = F.explode(F.split(F.lower(F.col(text_col).cast("string")), r"[^a-z]+")).alias("run")
-    return docs.select(words).where(F.length("run") >= 3).groupBy("run").agg(F.count("*").alias("n")).orderBy(
-        F.col("n").desc(), "run").limit(size).select("run")
+    return docs.select(words).where(F.length("run") >= 3).groupBy("run").agg(F.count("*").alias("n")).where(
+        F.col("n") >= LEAST_COUNT).orderBy(F.col("n").desc(), "run").limit(size).select("run")
 
 
 def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
