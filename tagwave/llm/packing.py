@@ -1,6 +1,7 @@
 """Variable-capacity best-fit packing of documents into training sequences (operator 7).
 
-Each document is a number of tokens, by default its words and single punctuation marks. A document
+Each document is a number of tokens, by default its words (runs without white space or ASCII
+punctuation) and single punctuation marks, counted by one vectorised pass over the texts. A document
 longer than the largest capacity is cut into pieces of that capacity and a rest; every token lies in exactly one
 piece. Pieces are dealt at random (a hash of the row) to shards of about ``shard_rows`` pieces, each packed as one bounded
 group, longest pieces first:
@@ -22,22 +23,50 @@ from __future__ import annotations
 import bisect
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
+from .shingles import text_slices
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 OVERHEAD = 32
 SHARD_ROWS = 10_000
-#: a word (a run without white space or ASCII punctuation) or one punctuation mark
-TOKEN = r"[^\s!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]"
 
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+_GAP = np.zeros(256, bool)
+_GAP[[9, 10, 11, 12, 13, 32]] = True
 
-def token_count(text: Column) -> Column:
-    """Words and punctuation marks of a text; 0 for a null."""
-    return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0)).cast("bigint")
+
+def token_counts(texts: pa.Array) -> np.ndarray:
+    """Words and punctuation marks of each text; 0 for a null."""
+    out = [np.zeros(0, np.int64)]
+    for _, _, data, off in text_slices(texts):
+        mark = _PUNCTUATION[data]
+        word = ~(mark | _GAP[data])
+        first = word.copy()
+        first[1:] &= ~word[:-1]
+        inner = off[:-1][off[:-1] < len(data)]
+        first[inner] = word[inner]
+        out.append(np.diff(np.concatenate([[0], np.cumsum(first | mark)])[off]))
+    return np.concatenate(out)
+
+
+def counted_tokens(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, _row, _tokens) for every row, ``_row`` being a hash of id and text."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(token_counts(batch.column(2)))],
+                                  names=["doc_id", "_row", "_tokens"])
+
+    text = F.col(text_col).cast("string")
+    return rows.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(F.col(id_col).cast("string"), text).alias("_row"),
+                       text.alias("text")).mapInArrow(run, "doc_id bigint, _row bigint, _tokens bigint")
 
 
 def pieces(rows: DataFrame, tokens_col: str, capacity: int) -> DataFrame:
@@ -99,9 +128,11 @@ def pack(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens
     """(doc_id, piece, start_token, n_tokens, bin_id, capacity, place): where each piece goes, and
     the token place inside its bin. ``tokens_col`` names a ready token count."""
     capacities = sorted(capacities)
-    tokens = F.col(tokens_col).cast("bigint") if tokens_col else token_count(F.col(text_col).cast("string"))
-    counted = rows.select(F.col(id_col).cast("bigint").alias("doc_id"), tokens.alias("_tokens"),
-                          F.xxhash64(F.col(id_col), F.col(text_col)).alias("_row"))
+    if tokens_col:
+        counted = rows.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(F.col(id_col).cast("string")).alias("_row"),
+                              F.col(tokens_col).cast("bigint").alias("_tokens"))
+    else:
+        counted = counted_tokens(rows, id_col, text_col)
     cut = written(pieces(counted, "_tokens", capacities[-1]).drop("_tokens"), "pieces")
     shards = max(1, -(-cut.count() // shard_rows))
     dealt = cut.withColumn("_shard", F.pmod(F.xxhash64("_row", "doc_id", "piece"), F.lit(shards)))
