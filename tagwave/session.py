@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -42,7 +43,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     path = spark.conf.get(CHECKPOINT_CONF, None) or sc.getCheckpointDir()
     if not path:
-        if not (sc.master or "").startswith("local"):
+        if not re.match(r"local(\[|$)", sc.master or ""):
             raise RuntimeError(f"{CHECKPOINT_CONF} must name a shared folder on a cluster")
         path = tempfile.mkdtemp(prefix="tagwave-ckpt-")
     if sc.getCheckpointDir() is None:
@@ -54,3 +55,31 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for one run of a sink or stream."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "tagwave", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def file_system(spark: SparkSession, path: str):
+    """(file system, path) of a folder, resolved as Spark's own readers resolve it: the driver's
+    disk need not hold it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, where = file_system(spark, path)
+    return fs.exists(where)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    fs, where = file_system(spark, path)
+    fs.mkdirs(where)
+
+
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    fs, where = file_system(spark, path)
+    return fs.getContentSummary(where).getLength() if fs.exists(where) else 0
+
+
+def sub_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of a folder's entries (none if it does not exist)."""
+    fs, where = file_system(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []

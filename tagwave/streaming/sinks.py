@@ -1,26 +1,38 @@
 """Table sinks that replace the reference's key-value store (O-03..O-10).
 
-Every writer is idempotent per micro-batch: it replaces the ``batch_id`` partition it owns
-(dynamic partition overwrite), so a retried batch does not duplicate rows (quirk Q9).
-Readers resolve the "last write wins" and "newest first" semantics at read time.
+Every writer owns one folder of its table (a batch, a score time, an emission) and replaces it whole,
+also when it has no rows, so a retried batch neither duplicates nor leaves stale rows (quirk Q9).
+Readers give the table's declared schema and resolve the "last write wins" and "newest first"
+semantics at read time; a table that was never written reads as empty, any other failure raises.
 """
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.trending import WINDOW_LABEL
+from ..schema import TIMELINE
+from ..session import file_system, path_exists, sub_folders
 
 RECENT_KEEP = 1001  # index 0..1000 of the capped feature list
 LATEST_KEEP = 101   # index 0..100 of a hashtag's list
 
 
-def _write_batch(df: DataFrame, batch_id: int, path: str, partition_cols=("batch_id",),
+def _write_batch(df: DataFrame, batch_id: int, path: str, key: str = "batch_id",
                  options: dict[str, str] | None = None) -> None:
-    (df.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").options(**(options or {}))
-     .partitionBy(*partition_cols).parquet(path))
+    """Replace the folder ``key=batch_id`` of a table."""
+    df.write.mode("overwrite").options(**(options or {})).parquet(os.path.join(path, f"{key}={int(batch_id)}"))
+
+
+def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A sink table with its declared schema; empty if nothing was ever written."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
 
 
 def write_recent_features(batch_df: DataFrame, batch_id: int, path: str) -> None:
@@ -82,33 +94,51 @@ def write_buckets(batch_df: DataFrame, batch_id: int, path: str) -> None:
     _write_batch(batch_df.select("hashtag", "bucket_end", "n"), batch_id, path)
 
 
-def write_scores(batch_df: DataFrame, batch_id: int, path: str, label: str = WINDOW_LABEL) -> None:
-    """Score upsert (O-05): one row per (window label, hashtag) and batch; readers keep the
-    newest batch's value."""
-    _write_batch(batch_df.select(F.lit(label).alias("window_label"), "hashtag", "score"), batch_id, path)
+def write_scores(scores: DataFrame, as_of: int, path: str, label: str = WINDOW_LABEL) -> None:
+    """Score upsert (O-05): one row per (window label, hashtag) and score time; readers keep the
+    newest time's value. A batch replayed at the same time replaces its own scores."""
+    _write_batch(scores.select(F.lit(label).alias("window_label"), "hashtag", "score"), as_of, path, "as_of")
 
 
 def read_scores(scores_log: DataFrame) -> DataFrame:
     """Last write wins per (window_label, hashtag)."""
     return (scores_log.groupBy("window_label", "hashtag")
-            .agg(F.max_by("score", "batch_id").alias("score")))
+            .agg(F.max_by("score", "as_of").alias("score")))
+
+
+def write_changes(records: DataFrame, batch_id: int, path: str, channel: str) -> None:
+    """Change notification (O-06): the ``record`` texts of one batch on a channel."""
+    _write_batch(records.select("record"), batch_id, os.path.join(path, f"channel={channel}"))
+
+
+def as_record(df: DataFrame) -> DataFrame:
+    """Rows as JSON texts in ``record``."""
+    return df.select(F.to_json(F.struct(*df.columns)).alias("record"))
 
 
-def write_changes(batch_df: DataFrame, batch_id: int, path: str, channel: str) -> None:
-    """Change notification (O-06): every written record as JSON on a channel."""
-    rec = F.to_json(F.struct(*[F.col(c) for c in batch_df.columns]))
-    _write_batch(batch_df.select(F.lit(channel).alias("channel"), rec.alias("record")), batch_id, path,
-                 partition_cols=("channel", "batch_id"))
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Whole versions of the stored timeline: their write has committed."""
+    names = [n for n in sub_folders(spark, path) if n.startswith("version=")]
+    return sorted(int(n.partition("=")[2]) for n in names if path_exists(spark, os.path.join(path, n, "_SUCCESS")))
 
 
-def write_timeline(timeline: DataFrame, path: str) -> None:
-    """Replace the stored timeline (O-08)."""
-    timeline.write.mode("overwrite").parquet(path)
+def write_timeline(timeline: DataFrame, path: str, keep: int = 3) -> None:
+    """Replace the stored timeline (O-08): a new version folder, which readers see once it is
+    whole. The newest ``keep`` versions stay for readers that are under way."""
+    spark = timeline.sparkSession
+    done = _versions(spark, path)
+    timeline.write.mode("overwrite").parquet(os.path.join(path, f"version={(done[-1] if done else 0) + 1}"))
+    for old in done[:-(keep - 1)]:
+        fs, where = file_system(spark, os.path.join(path, f"version={old}"))
+        fs.delete(where, True)
 
 
 def read_timeline(spark: SparkSession, path: str) -> DataFrame:
-    """Stored timeline (O-09), in timeline order."""
-    return spark.read.parquet(path).orderBy("position")
+    """Stored timeline (O-09), its newest whole version in timeline order; empty before the first."""
+    done = _versions(spark, path)
+    if not done:
+        return spark.createDataFrame([], TIMELINE)
+    return spark.read.schema(TIMELINE).parquet(os.path.join(path, f"version={done[-1]}")).orderBy("position")
 
 
 def timeline_records(timeline: DataFrame) -> DataFrame:
@@ -122,7 +152,8 @@ def timeline_records(timeline: DataFrame) -> DataFrame:
 
 
 def preview(df: DataFrame, n: int = 10):
-    """First n rows of a batch, as the reference prints them (O-10); streams get a console sink."""
+    """First n rows of a batch, as the reference prints them (O-10); a stream starts printing them
+    to the console and its running query is returned."""
     if df.isStreaming:
-        return df.writeStream.format("console").option("numRows", n).option("truncate", False)
+        return df.writeStream.format("console").option("numRows", n).option("truncate", False).start()
     return df.limit(n)

@@ -2,15 +2,16 @@
 feed (O-07), run with ``availableNow`` over edit files Spark derives from ``events``.
 
 One micro-batch does what the reference's three DStream outputs do, from one lineage, inside
-one ``foreachBatch``: feature records, the hashtag log, 30 s bucket counts and change records.
+one ``foreachBatch``: feature records, the hashtag log, 30 s bucket counts, scores and change records.
 The six-hour score is not kept as streaming state: the bucket table is small (one row per
-hashtag and bucket) and the RANGE sum over it is a batch query, exact for late rows too.
-``bucket_stream`` is the stateful alternative (watermark + tumbling window in update mode).
+hashtag and bucket) and the sum over it is a batch query, exact for late rows too.
+``bucket_stream`` is the stateful alternative (tumbling window in update mode).
 """
 
 from __future__ import annotations
 
 import os
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,9 +22,8 @@ from ..operators import edits as E
 from ..operators import timeline as TL
 from ..operators import trending as TR
 from ..plans.catalog import LOOKUP_TAG
-from ..plans.scan import fits_one_task
-from ..schema import CHANGES, TIMELINE
-from ..session import scratch_path
+from ..schema import BUCKETS, CHANGES, FEATURES, FEED, HASHTAG_LOG, NEWEST, SCORES
+from ..session import folder_bytes, make_folder, scratch_path
 from ..sources.edits import parse_edits, read_edits
 from ..sources.fixtures import load_edits
 from . import sinks as S
@@ -34,16 +34,20 @@ HASHTAG_CHANNEL = "hashtagsch"
 FEATURE_CHANNEL = "featuresch"
 
 
-def write_edit_files(spark: SparkSession, sf_dir: str, path: str, files: int = 4) -> str:
-    """Write the edits derived from ``events`` as ``files`` parquet files in arrival order, one
-    job per time slice so that file times follow arrival (a file source replays them in order)."""
+def write_edit_files(spark: SparkSession, sf_dir: str, path: str, slices: int = 4) -> str:
+    """Write the edits derived from ``events`` as parquet in arrival order, one job per time slice so
+    that file times follow arrival (a file source replays them in order). Each slice has as many
+    files as its rows need."""
     edits = load_edits(spark, sf_dir)
-    lo, hi = edits.agg(F.min(TR.epoch_seconds("ts")), F.max(TR.epoch_seconds("ts"))).first()
-    step = (hi - lo) // files + 1
-    for i in range(files):
+    make_folder(spark, path)
+    lo, hi = TR.clock_bounds(edits)
+    if lo is None:
+        return path
+    step = (hi - lo) // slices + 1
+    for i in range(slices):
         a, b = lo + i * step, lo + (i + 1) * step
         part = edits.where((F.col("ts") >= TR.ts_literal(a)) & (F.col("ts") < TR.ts_literal(b)))
-        part.coalesce(1).write.mode("append").parquet(path)
+        part.write.mode("append").parquet(path)
     return path
 
 
@@ -53,11 +57,32 @@ def stream_paths(base: str) -> dict[str, str]:
     return {n: os.path.join(base, n) for n in names}
 
 
+def batch_scores(spark: SparkSession, paths: dict[str, str], tags: DataFrame, as_of: int) -> DataFrame:
+    """Scores at ``as_of``, with a 0 for every hashtag that was scored before or is in ``tags`` and has
+    no row in the window (O-64). Only the window's buckets and the last scores are read."""
+    scores = scores_from_buckets(S.read_table(spark, paths["buckets"], BUCKETS), as_of)
+    known = tags.select("hashtag")
+    last = last_score_time(spark, paths, as_of)
+    if last is not None:
+        known = known.unionByName(S.read_table(spark, paths["scores"], SCORES).where(F.col("as_of") == last).select("hashtag"))
+    return TR.zero_scores(scores, known)
+
+
+def last_score_time(spark: SparkSession, paths: dict[str, str], before: int | None = None) -> int | None:
+    """Newest score time, of those before ``before`` if given, off the partition folders."""
+    times = S.read_table(spark, paths["scores"], SCORES).select("as_of").distinct()
+    if before is not None:
+        times = times.where(F.col("as_of") < before)
+    return times.agg(F.max("as_of")).first()[0]
+
+
 def process_batch(paths: dict[str, str]) -> Callable[[DataFrame, int], None]:
     """All outputs of one micro-batch from one lineage (O-65): the decoded features are persisted
-    once and written to every sink, each keyed by ``batch_id`` so a replay replaces itself."""
+    once and written to every sink. Each sink's folder is keyed by the batch (scores: by their
+    time, the newest bucket end so far), so a replay replaces itself."""
 
     def run(batch_df: DataFrame, batch_id: int) -> None:
+        spark = batch_df.sparkSession
         feats = E.features(parse_edits(batch_df)).persist()
         try:
             S.write_recent_features(feats, batch_id, paths["features"])
@@ -65,7 +90,16 @@ def process_batch(paths: dict[str, str]) -> Callable[[DataFrame, int], None]:
             S.write_hashtag_log(ht, batch_id, paths["hashtags"])
             S.write_hashtag_newest(ht, batch_id, paths["newest"])
             S.write_buckets(TR.bucket_counts(ht), batch_id, paths["buckets"])
-            S.write_changes(ht.select("hashtag", "feature", "date"), batch_id, paths["changes"], HASHTAG_CHANNEL)
+            records = S.as_record(ht.select("hashtag", "feature", "date"))
+            newest = ht.agg(F.max(TR.bucket_end())).first()[0]
+            if newest is not None:
+                as_of = max(newest, last_score_time(spark, paths) or newest)
+                S.write_scores(batch_scores(spark, paths, ht, as_of), as_of, paths["scores"])
+                scored = S.read_table(spark, paths["scores"], SCORES).where(F.col("as_of") == as_of)
+                records = records.unionByName(S.as_record(scored.select("hashtag", "score")))
+            S.write_changes(records, batch_id, paths["changes"], HASHTAG_CHANNEL)
+            S.write_changes(S.read_table(spark, paths["features"], FEATURES).where(F.col("batch_id") == batch_id),
+                            batch_id, paths["changes"], FEATURE_CHANNEL)
         finally:
             feats.unpersist()
 
@@ -85,7 +119,7 @@ def run_stream(edits: DataFrame, paths: dict[str, str], available_now: bool = Tr
 
 def streamed_buckets(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """Bucket totals: per-batch partial counts summed (a row of a bucket may arrive late)."""
-    log = spark.read.parquet(paths["buckets"])
+    log = S.read_table(spark, paths["buckets"], BUCKETS)
     return log.groupBy("hashtag", "bucket_end").agg(F.sum("n").cast("bigint").alias("n"))
 
 
@@ -96,81 +130,88 @@ def scores_from_buckets(buckets: DataFrame, as_of: int, window: int = TR.WINDOW_
     return buckets.where(inside).groupBy("hashtag").agg(F.sum("n").cast("bigint").alias("score"))
 
 
-def bucket_stream(hashtag_rows: DataFrame, watermark: str = "6 hours", slide: str = "30 seconds") -> DataFrame:
-    """Stateful alternative to per-batch partial counts: a tumbling event-time window with a
-    watermark, for ``update`` output mode. Rows later than the watermark are dropped by Spark;
-    ``withWatermark`` needs an instant, so the wall-clock ``ts`` is read as UTC."""
+def bucket_stream(hashtag_rows: DataFrame, watermark: str | None = None, slide: str = "30 seconds") -> DataFrame:
+    """Stateful alternative to per-batch partial counts: a tumbling event-time window for ``update``
+    output mode. Without a watermark no late row is lost, as in the reference, and the state keeps one
+    row per hashtag and bucket; a ``watermark`` bounds the state and makes Spark drop later
+    rows. ``withWatermark`` needs an instant, so the wall-clock ``ts`` is read as UTC."""
     instant = F.timestamp_micros(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"))
-    return (hashtag_rows.withColumn("event_time", instant)
-            .withWatermark("event_time", watermark)
-            .groupBy(F.window("event_time", slide), "hashtag")
+    rows = hashtag_rows.withColumn("event_time", instant)
+    if watermark:
+        rows = rows.withWatermark("event_time", watermark)
+    return (rows.groupBy(F.window("event_time", slide), "hashtag")
             .agg(F.count(F.lit(1)).alias("n"))
             .select("hashtag", F.unix_seconds(F.col("window.end")).alias("bucket_end"), "n"))
 
 
 def refresh_timeline(spark: SparkSession, paths: dict[str, str], as_of: int | None = None,
                      on_empty: str = "keep") -> bool:
-    """One timeline refresh (O-67): scores from the bucket table, newest entries from the
-    hashtag log, run collapse, order, replace the stored timeline. With no hashtag scoring
-    more than once, ``on_empty='keep'`` leaves the old timeline (quirk Q8). Returns True when
-    a timeline was written."""
-    log = spark.read.parquet(paths["hashtags"])
-    buckets = streamed_buckets(spark, paths)
+    """One timeline refresh (O-67): scores at ``as_of`` (default: the newest score time) from the
+    bucket table, newest entries from the hashtag log, run collapse, order, a new version of the
+    stored timeline. With no hashtag scoring more than once, ``on_empty='keep'`` leaves the old
+    timeline (quirk Q8). Returns True when a timeline was written."""
+    log = S.read_table(spark, paths["hashtags"], HASHTAG_LOG)
     if as_of is None:
-        as_of = buckets.agg(F.max("bucket_end")).first()[0]
+        as_of = last_score_time(spark, paths)
         if as_of is None:
             return False
-    scores = scores_from_buckets(buckets, as_of)
-    S.write_scores(scores, 0, paths["scores"])
-    stored = TR.scores_for_window(S.read_scores(spark.read.parquet(paths["scores"])))
+    S.write_scores(batch_scores(spark, paths, log.limit(0), as_of), as_of, paths["scores"])
+    stored = TR.scores_for_window(S.read_table(spark, paths["scores"], SCORES).where(F.col("as_of") == as_of))
     lo = TR.ts_literal(as_of - TR.WINDOW_SECONDS)
-    older = S.log_before(log, spark.read.parquet(paths["newest"]), lo)
-    entries = TL.top_by_score(log, stored, as_of, with_rank=False, older=older)
-    entries = entries.checkpoint(eager=True)
-    rows = entries.count()
-    if on_empty == "keep" and rows == 0:
+    older = S.log_before(log, S.read_table(spark, paths["newest"], NEWEST), lo)
+    entries = TL.top_by_score(log, stored, as_of, with_rank=False, older=older).checkpoint(eager=True)
+    if on_empty == "keep" and entries.isEmpty():
         return False
-    small = fits_one_task(rows, spark)
-    S.write_timeline(TL.sort_timeline(TL.collapse_runs(entries, small=small), small).drop("n_runs"), paths["timeline"])
+    S.write_timeline(TL.sort_timeline(TL.collapse_runs(entries)).drop("n_runs"), paths["timeline"])
     return True
 
 
 def schedule_refresh(spark: SparkSession, paths: dict[str, str], seconds: int = REFRESH_SECONDS,
-                     available_now: bool = False):
-    """Periodic timeline refresh (O-67): a stream over the change table whose trigger fires every
-    ``seconds``; each non-empty batch of changes runs one ``refresh_timeline``."""
+                     available_now: bool = False, clock: Callable[[], float] = time.time):
+    """Periodic timeline refresh (O-67). Live, a ``rate`` source ticks every ``seconds`` and each tick
+    refreshes as of the clock, whether edits arrived or not, so scores of a quiet stream fall
+    to zero. ``available_now`` refreshes once for the changes that exist, as of the newest score."""
 
-    def refresh(batch_df: DataFrame, batch_id: int) -> None:
+    def tick(batch_df: DataFrame, batch_id: int) -> None:
+        slide = TR.SLIDE_SECONDS
+        refresh_timeline(spark, paths, int(clock()) // slide * slide)
+
+    def drain(batch_df: DataFrame, batch_id: int) -> None:
         if not batch_df.isEmpty():
             refresh_timeline(spark, paths)
 
-    writer = (spark.readStream.schema(CHANGES).parquet(paths["changes"]).writeStream.foreachBatch(refresh)
-              .option("checkpointLocation", os.path.join(paths["checkpoints"], "refresh")))
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(
-        processingTime=f"{seconds} seconds")
-    return writer.start()
+    checkpoints = os.path.join(paths["checkpoints"], "refresh")
+    if available_now:
+        make_folder(spark, paths["changes"])
+        return (spark.readStream.schema(CHANGES).parquet(paths["changes"]).writeStream.foreachBatch(drain)
+                .option("checkpointLocation", checkpoints).trigger(availableNow=True).start())
+    return (spark.readStream.format("rate").option("rowsPerSecond", 1).load().writeStream.foreachBatch(tick)
+            .option("checkpointLocation", checkpoints).trigger(processingTime=f"{seconds} seconds").start())
 
 
-def follow_changes(spark: SparkSession, paths: dict[str, str], channel: str = HASHTAG_CHANNEL):
+def follow_changes(spark: SparkSession, paths: dict[str, str], channel: str = HASHTAG_CHANNEL,
+                   available_now: bool = True, trigger_seconds: int = TRIGGER_SECONDS):
     """Change subscription (O-07): for each batch of change records on ``channel``, re-emit the
-    stored timeline once (not once per record), tagged with the batch id."""
+    stored timeline once (not once per record) as the emission of that batch; a batch delivered
+    again replaces its emission. Live (``available_now=False``) it runs until stopped."""
 
     def emit(batch_df: DataFrame, batch_id: int) -> None:
-        if batch_df.isEmpty():
-            return
-        tl = _stored_timeline(spark, paths)
-        tl.withColumn("emit_id", F.lit(batch_id).cast("bigint")).write.mode("append").parquet(paths["feed"])
+        if not batch_df.isEmpty():
+            S._write_batch(S.read_timeline(spark, paths["timeline"]), batch_id, paths["feed"], "emit_id")
 
+    make_folder(spark, paths["changes"])
     changes = (spark.readStream.schema(CHANGES).parquet(paths["changes"]).where(F.col("channel") == channel))
-    return (changes.writeStream.foreachBatch(emit).trigger(availableNow=True)
-            .option("checkpointLocation", os.path.join(paths["checkpoints"], "feed")).start())
+    writer = changes.writeStream.foreachBatch(emit).option("checkpointLocation", os.path.join(paths["checkpoints"], "feed"))
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(
+        processingTime=f"{trigger_seconds} seconds")
+    return writer.start()
 
 
 # --- registered streaming queries ----------------------------------------------------------
 
-def _edit_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Edit files replayed one file per micro-batch."""
-    return read_edits(spark, "parquet", path, streaming=True, max_files=1)
+def _edit_stream(spark: SparkSession, path: str, batches: int = 4) -> DataFrame:
+    """Edit files replayed in about ``batches`` micro-batches, bounded by bytes."""
+    return read_edits(spark, "parquet", path, streaming=True, max_bytes=max(1, folder_bytes(spark, path) // batches))
 
 
 def _run(spark: SparkSession, sf_dir: str, name: str) -> dict[str, str]:
@@ -196,7 +237,7 @@ def stateful_session(spark: SparkSession, state_partitions: int | None = None) -
 
 
 def q_stream_trending_stateful(spark, sf_dir):
-    """Same scores with the watermark + tumbling window variant in update mode."""
+    """Same scores with the stateful tumbling window variant in update mode."""
     paths = stream_paths(scratch_path(spark, "stream-stateful"))
     write_edit_files(spark, sf_dir, paths["edits"])
     stream_spark = stateful_session(spark)
@@ -206,50 +247,45 @@ def q_stream_trending_stateful(spark, sf_dir):
          .option("checkpointLocation", os.path.join(paths["checkpoints"], "stateful"))
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return TR.rolling_scores(TR.latest_buckets(spark.read.parquet(paths["buckets"])))
+    return TR.rolling_scores(TR.latest_buckets(S.read_table(spark, paths["buckets"], BUCKETS)))
 
 
 def q_stream_hashtag_log(spark, sf_dir):
     paths = _run(spark, sf_dir, "stream-log")
-    return spark.read.parquet(paths["hashtags"]).select("edit_id", "date", "feature", "hashtag")
+    return S.read_table(spark, paths["hashtags"], HASHTAG_LOG).select("edit_id", "date", "feature", "hashtag")
 
 
 def q_stream_latest_for_hashtag(spark, sf_dir):
     """One hashtag's newest 101 entries read from the stored log (pushed-down hashtag filter)."""
     paths = _run(spark, sf_dir, "stream-lookup")
-    top = S.latest_for_hashtag(spark.read.parquet(paths["hashtags"]), url_decode(F.lit(LOOKUP_TAG)))
+    top = S.latest_for_hashtag(S.read_table(spark, paths["hashtags"], HASHTAG_LOG), url_decode(F.lit(LOOKUP_TAG)))
     return top.select("hashtag", "edit_id", pack_entry("feature", "date").alias("entry"))
 
 
 def q_stream_recent_features(spark, sf_dir):
     paths = _run(spark, sf_dir, "stream-recent")
-    top = S.recent_features(spark.read.parquet(paths["features"]))
+    top = S.recent_features(S.read_table(spark, paths["features"], FEATURES))
     record = F.to_json(F.struct("user", "id", "changeset", "date", "feature", "action", "comment",
                                 F.array_sort("hashtags").alias("hashtags")))
     return top.select("edit_id", "user", "date", "feature", record.alias("record"))
 
 
-def q_stream_scores(spark, sf_dir):
-    """Scores as of the newest bucket, through the upsert sink and its last-write-wins read."""
-    paths = _run(spark, sf_dir, "stream-scores")
-    buckets = streamed_buckets(spark, paths)
-    as_of = buckets.agg(F.max("bucket_end")).first()[0]
-    S.write_scores(scores_from_buckets(buckets, as_of), 0, paths["scores"])
-    stored = S.read_scores(spark.read.parquet(paths["scores"]))
+def q_stream_scores_with_zeros(spark, sf_dir):
+    """Every hashtag's last written score: the micro-batches' upserts, read last write first."""
+    paths = _run(spark, sf_dir, "stream-zeros")
+    stored = S.read_scores(S.read_table(spark, paths["scores"], SCORES))
     return TR.scores_for_window(stored).select("hashtag", "score")
 
 
-def _stored_timeline(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """The stored timeline, or an empty one when no refresh has written it yet."""
-    if not os.path.exists(paths["timeline"]) and "://" not in paths["timeline"]:
-        return spark.createDataFrame([], TIMELINE)
-    return S.read_timeline(spark, paths["timeline"])
+def q_stream_scores(spark, sf_dir):
+    """Trending scores as of the newest bucket, from the upsert sink."""
+    return q_stream_scores_with_zeros(spark, sf_dir).where("score > 0")
 
 
 def q_timeline_refresh(spark, sf_dir):
     paths = _run(spark, sf_dir, "stream-timeline")
     schedule_refresh(spark, paths, available_now=True).awaitTermination()
-    return _stored_timeline(spark, paths).select("position", "hashtag", "run", "feature", "time",
+    return S.read_timeline(spark, paths["timeline"]).select("position", "hashtag", "run", "feature", "time",
                                                             "last", "count")
 
 
@@ -258,10 +294,7 @@ def q_change_feed(spark, sf_dir):
     paths = _run(spark, sf_dir, "stream-feed")
     refresh_timeline(spark, paths)
     follow_changes(spark, paths).awaitTermination()
-    if not os.path.exists(paths["feed"]) and "://" not in paths["feed"]:
-        return spark.createDataFrame([], TIMELINE).select(F.lit(0).cast("bigint").alias("emit_id"), "position",
-                                                          "hashtag", "count")
-    return spark.read.parquet(paths["feed"]).select("emit_id", "position", "hashtag", "count")
+    return S.read_table(spark, paths["feed"], FEED).select("emit_id", "position", "hashtag", "count")
 
 
 STREAM_QUERIES = {
@@ -271,6 +304,7 @@ STREAM_QUERIES = {
     "stream_latest_for_hashtag": q_stream_latest_for_hashtag,
     "stream_recent_features": q_stream_recent_features,
     "stream_scores": q_stream_scores,
+    "stream_scores_with_zeros": q_stream_scores_with_zeros,
     "timeline_refresh": q_timeline_refresh,
     "change_feed": q_change_feed,
 }
