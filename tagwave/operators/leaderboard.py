@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clock, log_line, parse_time
-from ..plans.scan import fits_broadcast, ordered_scan
+from ..plans.scan import ordered_scan
 
 LEADER_K = 10   # flagged as leaders (rank <= 10)
 SHOWN = 9       # shown on the board (rank < 10), quirk Q11
 LOG_KEEP = 100  # activity log length
+BLOCK = 128     # snapshots folded in one group of leader_changes
 
 
 def replay(timeline: DataFrame) -> DataFrame:
@@ -29,11 +30,11 @@ def replay(timeline: DataFrame) -> DataFrame:
                            "hashtag", "run", "feature", "time", "last", "count", "n_runs")
 
 
-def running_totals(steps: DataFrame, small: bool = False) -> DataFrame:
+def running_totals(steps: DataFrame) -> DataFrame:
     """Each hashtag's total after every replay step (O-37): a running sum per hashtag split
     across range partitions, so one popular hashtag is not one task."""
     return ordered_scan(steps, [F.col("step").asc()], by=["hashtag"],
-                        sums={"running_total": F.col("count")}, small=small)
+                        sums={"running_total": F.col("count")})
 
 
 def leaderboard(timeline: DataFrame) -> DataFrame:
@@ -41,9 +42,9 @@ def leaderboard(timeline: DataFrame) -> DataFrame:
     return timeline.groupBy("hashtag").agg(F.sum("count").cast("bigint").alias("total"))
 
 
-def with_rank(board: DataFrame, small: bool = False) -> DataFrame:
+def with_rank(board: DataFrame) -> DataFrame:
     """Rank by total descending, ties by hashtag, positions 1..n unshared (O-38, Q12)."""
-    return ordered_scan(board, [F.col("total").desc(), F.col("hashtag").asc()], rank="rank", small=small)
+    return ordered_scan(board, [F.col("total").desc(), F.col("hashtag").asc()], rank="rank")
 
 
 def with_leader_flag(ranked: DataFrame, k: int = LEADER_K) -> DataFrame:
@@ -72,7 +73,40 @@ def activity_log(steps: DataFrame, n: int = LOG_KEEP) -> DataFrame:
                       "hashtag", "count", "feature")
 
 
-def leader_changes(steps: DataFrame, every: int = 3600, k: int = LEADER_K, small: bool = False) -> DataFrame:
+def merge_leaders(older, newer, k: int):
+    """The best ``k`` of two arrays of (loss, hashtag), ``loss`` being the negative total; a hashtag in both
+    counts with ``newer``."""
+    kept = F.filter(older, lambda x: ~F.exists(newer, lambda y: y["hashtag"] == x["hashtag"]))
+    return F.slice(F.array_sort(F.concat(newer, kept)), 1, k)
+
+
+def leaders_so_far(tops: DataFrame, k: int, n: int, block: int = BLOCK) -> DataFrame:
+    """Running leaders: (b, top) rows, b = 1..n, to (b, top) with the best ``k`` of all rows up to b.
+
+    Merging top-k lists is associative, so this is a prefix scan: rows are folded in blocks of ``block``, the blocks'
+    last lists are scanned in the same way, and each block takes over the list before it. A
+    group never holds more than ``block`` lists of ``k``.
+    """
+    nothing = F.array().cast(tops.schema["top"].dataType)
+
+    def step(done, x):
+        before = F.coalesce(F.get(done, F.size(done) - 1)["top"], nothing)
+        return F.concat(done, F.array(F.struct(x["b"].alias("b"), merge_leaders(before, x["top"], k).alias("top"))))
+
+    items = F.sort_array(F.collect_list(F.struct("b", "top"))).alias("items")
+    start = F.array().cast(f"array<struct<b:bigint,top:{tops.schema['top'].dataType.simpleString()}>>")
+    local = (tops.groupBy(F.floor((F.col("b") - 1) / block).alias("block")).agg(items)
+             .select("block", F.aggregate("items", start, step).alias("items")))
+    if n <= block:
+        return local.select(F.explode("items").alias("x")).select("x.b", "x.top")
+    local = local.checkpoint(eager=True)
+    ends = local.select((F.col("block") + 1).alias("b"), F.element_at("items", -1)["top"].alias("top"))
+    carry = leaders_so_far(ends, k, -(-n // block), block).select(F.col("b").alias("block"), F.col("top").alias("carry"))
+    return (local.join(carry, "block", "left").select("carry", F.explode("items").alias("x"))
+            .select("x.b", merge_leaders(F.coalesce("carry", nothing), F.col("x.top"), k).alias("top")))
+
+
+def leader_changes(steps: DataFrame, every: int = 3600, k: int = LEADER_K, block: int = BLOCK) -> DataFrame:
     """Leader entry and exit between replay snapshots (O-43).
 
     The reference re-ranks after each replayed run and flags a hashtag entering the top k
@@ -81,48 +115,30 @@ def leader_changes(steps: DataFrame, every: int = 3600, k: int = LEADER_K, small
     is its running total so far, leaders are the top ``k`` by (total desc, hashtag), and a
     change is a difference with the previous snapshot's leaders.
 
-    Totals only grow, so the k-th best total never falls. LB_b, the running max of the k-th best
-    total among hashtags updated at snapshot b, bounds it from below; a hashtag is only expanded
-    over the snapshots where its total reaches LB_b. Nothing pairs every hashtag with every
-    snapshot. Output: snapshot (epoch s), hashtag, change ('entered' with the new rank and
-    total, 'left' with those of the previous snapshot), rank, total.
+    Totals only grow and only updated hashtags move, so the leaders of a snapshot are the best ``k``
+    of the leaders before it and of its own best ``k`` updated hashtags. At most ``k`` hashtags
+    per snapshot are carried; nothing pairs hashtags with snapshots. Output: snapshot (epoch s), hashtag,
+    change ('entered' with the new rank and total, 'left' with those of the previous snapshot), rank, total.
     """
     snap = F.coalesce(F.floor(F.unix_timestamp(parse_time("time")) / every) * every, F.lit(-1)).cast("bigint")
     upd = (steps.groupBy("hashtag", snap.alias("snapshot")).agg(F.sum("count").cast("bigint").alias("n"))
            .checkpoint(eager=True))
-    # the update, snapshot and event tables are each read by several branches below:
-    # checkpointing them (all small) keeps every branch from re-running the replay lineage
-    snaps = ordered_scan(upd.select("snapshot").distinct(), [F.col("snapshot").asc()], rank="b",
-                         total="n_snaps", small=small).checkpoint(eager=True)
-    # one row per snapshot: broadcast when its checked count allows, so a busy snapshot is not one task
-    upd = upd.join(F.broadcast(snaps) if fits_broadcast(snaps.count(), steps.sparkSession) else snaps, "snapshot")
-    # per hashtag: one row per snapshot it was updated in (bounded by the number of snapshots)
-    per_tag = Window.partitionBy("hashtag").orderBy("b")
-    events = upd.select("hashtag", "b", "snapshot", "n_snaps",
-                        F.sum("n").over(per_tag.rowsBetween(Window.unboundedPreceding, 0)).alias("total"),
-                        F.lead("b").over(per_tag).alias("b_next")).checkpoint(eager=True)
-    best = Window.partitionBy("b").orderBy(F.col("total").desc(), F.col("hashtag").asc())
-    kth = (events.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k)
-           .groupBy("b").agg(F.count(F.lit(1)).alias("_c"), F.min("total").alias("_t"))
-           .select("b", F.when(F.col("_c") == k, F.col("_t")).otherwise(F.lit(0)).alias("_theta")))
-    bounds = ordered_scan(snaps.join(kth, "b", "left").fillna(0, ["_theta"]), [F.col("b").asc()],
-                          maxes={"lb": F.col("_theta")}, small=small).select("b", "lb")
-    # m = number of snapshots whose bound the total reaches (a prefix, as LB is monotone)
-    probe = (bounds.select(F.col("lb").alias("v"), F.lit(1).alias("is_lb"), F.col("b").alias("qb"),
-                           F.lit(None).cast("string").alias("hashtag"))
-             .unionByName(events.select(F.col("total").alias("v"), F.lit(0).alias("is_lb"),
-                                        F.col("b").alias("qb"), "hashtag")))
-    reach = (ordered_scan(probe, [F.col("v").asc(), F.col("is_lb").desc(), F.col("qb").asc(),
-                                  F.col("hashtag").asc_nulls_first()], sums={"m": F.col("is_lb")}, small=small)
-             .where(F.col("is_lb") == 0).select("hashtag", F.col("qb").alias("b"), "m"))
-    last = F.least(F.coalesce(F.col("b_next") - 1, F.col("n_snaps")), F.col("m"))
-    cand = (events.join(reach, ["hashtag", "b"])
-            .where(last >= F.col("b"))
-            .select("hashtag", "total", F.explode(F.sequence(F.col("b"), last)).alias("b")))
-    leaders = cand.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    snaps = ordered_scan(upd.select("snapshot").distinct(), [F.col("snapshot").asc()], rank="b").checkpoint(eager=True)
+    # one row per hashtag and snapshot it was updated in (bounded by the number of snapshots)
+    per_tag = Window.partitionBy("hashtag").orderBy("snapshot").rowsBetween(Window.unboundedPreceding, 0)
+    totals = upd.select("hashtag", "snapshot", F.sum("n").over(per_tag).alias("total"))
+    best = Window.partitionBy("snapshot").orderBy(F.col("total").desc(), F.col("hashtag").asc())
+    tops = (totals.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k)
+            .groupBy("snapshot").agg(F.sort_array(F.collect_list(F.struct((-F.col("total")).alias("loss"), "hashtag")))
+                                     .alias("top"))
+            .join(snaps, "snapshot").select("b", "top"))
+    running = leaders_so_far(tops, k, snaps.count(), block)
+    leaders = (running.select("b", F.posexplode("top").alias("at", "x"))
+               .select("b", F.col("x.hashtag").alias("hashtag"), (F.col("at") + 1).alias("rank"), (-F.col("x.loss")).alias("total"))
+               .checkpoint(eager=True))
     prev = leaders.select("hashtag", (F.col("b") + 1).alias("b"), F.col("rank").alias("p_rank"),
                           F.col("total").alias("p_total"))
-    both = leaders.join(prev, ["hashtag", "b"], "full_outer").join(snaps.select("b", "snapshot"), "b")
+    both = leaders.join(prev, ["hashtag", "b"], "full_outer").join(snaps, "b")
     return (both.where(F.col("rank").isNull() | F.col("p_rank").isNull())
             .select("snapshot", "hashtag",
                     F.when(F.col("p_rank").isNull(), F.lit("entered")).otherwise(F.lit("left")).alias("change"),

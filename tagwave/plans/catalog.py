@@ -7,8 +7,9 @@ recipe), so its work grows with the data. Column names equal those of ``plans.or
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tags import WHITESPACE
@@ -26,10 +27,9 @@ from ..operators import edits as E
 from ..operators import leaderboard as L
 from ..operators import timeline as TL
 from ..operators import trending as TR
-from ..plans.scan import fits_one_task
 from ..sources.edits import parse_edits
 from ..sources.fixtures import arrival_clock, load_edits
-from ..streaming.sinks import latest_for_hashtag, timeline_records
+from ..streaming.sinks import LATEST_KEEP, RECENT_KEEP, latest_for_hashtag, preview, recent_features, timeline_records
 
 LOOKUP_TAG = "pipe%7Ctail"  # the requested (URL-encoded) hashtag of latest_for_hashtag
 
@@ -63,8 +63,9 @@ class Context:
     """Per-query shared pieces: hashtag rows, the default ``as_of`` and the decoded recent slice
     (each resolved once)."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, wide: bool = True):
+        """``wide=False``: only hashtags and times are needed, so no geometry text is made."""
+        self.spark, self.sf_dir, self.wide = spark, sf_dir, wide
         self.raw = load_edits(spark, sf_dir)
         self.ht = derive_hashtags(self.raw)
         self._as_of = None
@@ -72,7 +73,6 @@ class Context:
         self._recent = None
         self._bounds = (None, None, None)  # (oldest arrival, newest arrival, slice start)
         self._entries = None
-        self._entry_rows = None
 
     def _resolve(self) -> None:
         """Decode the newest slice of edits (six hours plus a margin) once, into the checkpoint
@@ -86,6 +86,8 @@ class Context:
         slice_lo = top - TR.WINDOW_SECONDS - SLICE_MARGIN
         self._bounds = (lo_all, top, slice_lo)
         part = self.ht if slice_lo <= lo_all else self.ht.where(F.col("ts") >= TR.ts_literal(slice_lo))
+        if not self.wide:
+            part = part.select("hashtag", "ts")
         recent = part.checkpoint(eager=True)  # the ts filter still reaches the parquet scan
         self._as_of = TR.default_as_of(recent)
         if self._as_of is None:
@@ -105,24 +107,30 @@ class Context:
             self._resolve()
         return self.ht if self._recent is None else self._recent
 
+    def log(self) -> DataFrame:
+        """Hashtag rows before ``as_of``; none when no edit has a hashtag."""
+        if self.as_of is None:
+            return self.ht.where(F.lit(False))
+        return self.ht.where(F.col("ts") < TR.ts_literal(self.as_of))
+
     def scores(self) -> DataFrame:
         return TR.trending(self.window_rows(), self.as_of)
 
     def entries(self, with_rank: bool = False) -> DataFrame:
-        """Newest score+1 entries of the trending hashtags. With a broadcastable trending set,
-        each hashtag's newest row before the window is found by probing backwards from the
-        decoded recent slice (``newest_before``), not by decoding the whole history."""
+        """Newest score+1 entries of the trending hashtags; each hashtag's newest row before the
+        window is found by probing backwards from the decoded recent slice (``newest_before``),
+        not by decoding the whole history."""
         if self.as_of is None:
             return TL.top_by_score(self.ht, self.scores(), 0, with_rank=with_rank)
-        tags, small_tags = TL.checked_tags(TR.filter_min_score(self.scores()))
+        tags = TR.filter_min_score(self.scores()).select("hashtag")
         older = None
         lo_all, _, slice_lo = self._bounds
-        if small_tags and lo_all is not None:
+        if lo_all is not None:
             known = self._recent
             older = TL.newest_before(self.ht, tags, self.as_of - TR.WINDOW_SECONDS, lo_all, known=known,
                                      known_lo=None if known is None else max(slice_lo, lo_all))
-        return TL.top_by_score(self.ht, self.scores(), self.as_of, with_rank=with_rank, broadcast_tags=small_tags,
-                               older=older, window_rows=self.window_rows())
+        return TL.top_by_score(self.ht, self.scores(), self.as_of, with_rank=with_rank, older=older,
+                               window_rows=self.window_rows())
 
     def stable_entries(self) -> DataFrame:
         """Trending entries written to the checkpoint folder once: the runs, ranks and scans
@@ -132,22 +140,14 @@ class Context:
             self._entries = self.entries().checkpoint(eager=True)
         return self._entries
 
-    @property
-    def small(self) -> bool:
-        """Entries bound every timeline table (runs, steps, leaderboard rows). Their count, read
-        off the checkpoint, decides single-task windows versus distributed scans."""
-        if self._entry_rows is None:
-            self._entry_rows = self.stable_entries().count()
-        return fits_one_task(self._entry_rows, self.spark)
-
     def ranked_entries(self) -> DataFrame:
-        return TL.rank_entries(self.stable_entries(), self.small)
+        return TL.rank_entries(self.stable_entries())
 
     def runs(self, boundary: str = "exact") -> DataFrame:
-        return TL.collapse_runs(self.stable_entries(), boundary, self.small)
+        return TL.collapse_runs(self.stable_entries(), boundary)
 
     def timeline(self) -> DataFrame:
-        return TL.sort_timeline(self.runs(), self.small)
+        return TL.sort_timeline(self.runs())
 
     def steps(self) -> DataFrame:
         return L.replay(self.timeline())
@@ -197,19 +197,35 @@ def q_clean_hashtag(spark, sf_dir):
     return raw.groupBy("raw").agg(F.count(F.lit(1)).alias("n")).select("raw", clean_hashtag("raw").alias("hashtag"), "n")
 
 
+def mentions(payload: str, tag: str) -> Column:
+    """Raw edits that may carry a hashtag, told from the text before it is decoded: it holds the
+    tag as it stands, or an escape that may hide it."""
+    return F.col(payload).contains(tag) | F.col(payload).contains("\\")
+
+
 def q_latest_for_hashtag(spark, sf_dir):
-    top = latest_for_hashtag(hashtag_rows(spark, sf_dir), url_decode(F.lit(LOOKUP_TAG)))
+    tag = unquote(LOOKUP_TAG)
+    raw = load_edits(spark, sf_dir).where(mentions("payload", tag))
+    wanted = lambda part: derive_hashtags(part).where(F.col("hashtag") == tag)
+    part = TR.probe_newest(raw, wanted, LATEST_KEEP, clock=arrival_clock(spark, sf_dir))
+    top = latest_for_hashtag(derive_hashtags(part), url_decode(F.lit(LOOKUP_TAG)))
     return top.select("hashtag", "edit_id", pack_entry("feature", "date").alias("entry"))
 
 
 def q_recent_features(spark, sf_dir):
-    f = feature_rows(spark, sf_dir)
-    top = f.orderBy(F.col("ts").desc(), F.col("edit_id").desc()).limit(1001)
+    derive = lambda part: E.features(parse_edits(part))
+    part = TR.probe_newest(load_edits(spark, sf_dir), derive, RECENT_KEEP, clock=arrival_clock(spark, sf_dir))
+    top = recent_features(derive(part))
     record = F.to_json(F.struct("user", "id", "changeset", "date", "feature", "action", "comment",
                                 F.array_sort("hashtags").alias("hashtags")))
     return top.select("edit_id", "user", "date", "feature", record.alias("record"))
 
 
+def q_preview(spark, sf_dir):
+    """The first rows by arrival sequence, as a log would show them (O-10)."""
+    return preview(feature_rows(spark, sf_dir).select("edit_id", "user", "date", "feature").orderBy("edit_id"))
+
+
 def q_packed_entries(spark, sf_dir):
     ht = hashtag_rows(spark, sf_dir)
     return ht.select("edit_id", "hashtag", pack_entry("feature", "date", "hashtag").alias("entry"))
@@ -225,15 +241,15 @@ def q_unpacked_entries(spark, sf_dir):
 # --- trending ----------------------------------------------------------------------------
 
 def q_trending_6h(spark, sf_dir):
-    return Context(spark, sf_dir).scores()
+    return Context(spark, sf_dir, wide=False).scores()
 
 
 def q_trending_repeated(spark, sf_dir):
-    return TR.filter_min_score(Context(spark, sf_dir).scores())
+    return TR.filter_min_score(Context(spark, sf_dir, wide=False).scores())
 
 
 def q_score_keys(spark, sf_dir):
-    keyed = TR.with_score_keys(Context(spark, sf_dir).scores())
+    keyed = TR.with_score_keys(Context(spark, sf_dir, wide=False).scores())
     stored = keyed.select("key", F.col("score").cast("string").alias("value"))
     return stored.select("key", strip_score_prefix("key").alias("hashtag"), parse_int("value").alias("score"))
 
@@ -243,18 +259,15 @@ def q_rolling_scores(spark, sf_dir):
 
 
 def q_scores_with_zeros(spark, sf_dir):
-    ctx = Context(spark, sf_dir)
-    seen = ctx.ht.where(F.col("ts") < TR.ts_literal(ctx.as_of)).select("hashtag")
-    return TR.zero_scores(ctx.scores(), seen)
+    ctx = Context(spark, sf_dir, wide=False)
+    return TR.zero_scores(ctx.scores(), ctx.log().select("hashtag"))
 
 
 # --- timeline ----------------------------------------------------------------------------
 
 def q_trending_edits(spark, sf_dir):
     ctx = Context(spark, sf_dir)
-    log = ctx.ht.where(F.col("ts") < TR.ts_literal(ctx.as_of))
-    tags, _ = TL.checked_tags(TR.filter_min_score(ctx.scores()))
-    joined = TL.join_scores(tags, log)
+    joined = TL.join_scores(TR.filter_min_score(ctx.scores()), ctx.log())
     return joined.select("hashtag", "score", "edit_id", "date", "feature")
 
 
@@ -274,7 +287,7 @@ def q_timeline_runs_drop(spark, sf_dir):
 def q_collapse_stats(spark, sf_dir):
     ctx = Context(spark, sf_dir)
     entries = ctx.stable_entries()
-    return TL.collapse_stats(entries, TL.collapse_runs(entries, small=ctx.small))
+    return TL.collapse_stats(entries, TL.collapse_runs(entries))
 
 
 def q_timeline(spark, sf_dir):
@@ -297,7 +310,7 @@ def q_timeline_progress(spark, sf_dir):
 
 def q_running_totals(spark, sf_dir):
     ctx = Context(spark, sf_dir)
-    return L.running_totals(ctx.steps(), ctx.small).select("step", "hashtag", "count", "running_total")
+    return L.running_totals(ctx.steps()).select("step", "hashtag", "count", "running_total")
 
 
 def q_leaderboard_totals(spark, sf_dir):
@@ -307,7 +320,7 @@ def q_leaderboard_totals(spark, sf_dir):
 def q_leaderboard_ranked(spark, sf_dir):
     ctx = Context(spark, sf_dir)
     board = L.leaderboard(ctx.timeline())
-    return L.with_leader_flag(L.with_rank(board, ctx.small)).select("hashtag", "total", "rank", "leader")
+    return L.with_leader_flag(L.with_rank(board)).select("hashtag", "total", "rank", "leader")
 
 
 def q_top_leaders(spark, sf_dir):
@@ -316,7 +329,7 @@ def q_top_leaders(spark, sf_dir):
 
 def q_leader_changes(spark, sf_dir):
     ctx = Context(spark, sf_dir)
-    return L.leader_changes(ctx.steps(), small=ctx.small)
+    return L.leader_changes(ctx.steps())
 
 
 def q_activity_log(spark, sf_dir):
@@ -335,6 +348,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clean_hashtag": q_clean_hashtag,
     "latest_for_hashtag": q_latest_for_hashtag,
     "recent_features": q_recent_features,
+    "preview": q_preview,
     "packed_entries": q_packed_entries,
     "unpacked_entries": q_unpacked_entries,
     "trending_repeated": q_trending_repeated,

@@ -34,32 +34,6 @@ from ..session import ensure_checkpoint_dir
 
 _PART_BITS = 33  # monotonically_increasing_id: partition index above bit 33, row index below
 
-# Size checks (both read a session setting first): inputs with a checked row count up to
-# ONE_TASK_ROWS are scanned by plain windows in one task; keyed sides up to BROADCAST_ROWS may
-# be passed to broadcast().
-ONE_TASK_ROWS = 200_000
-ONE_TASK_CONF = "spark.tagwave.oneTaskRows"
-BROADCAST_ROWS = 1_000_000
-BROADCAST_CONF = "spark.tagwave.broadcastRows"
-
-
-def fits_broadcast(rows: int | None, spark=None) -> bool:
-    """True when a checked row count allows ``broadcast()`` (setting ``spark.tagwave.broadcastRows``)."""
-    limit = int(spark.conf.get(BROADCAST_CONF, str(BROADCAST_ROWS))) if spark is not None else BROADCAST_ROWS
-    return rows is not None and rows <= limit
-
-
-def fits_one_task(rows: int | None, spark=None, limit: int | None = None) -> bool:
-    """True when a checked row count is small enough for a single-task window.
-
-    The limit is ``limit``, else the session setting ``spark.tagwave.oneTaskRows``, else
-    ``ONE_TASK_ROWS``; 0 forces the distributed scans.
-    """
-    if limit is None:
-        limit = int(spark.conf.get(ONE_TASK_CONF, str(ONE_TASK_ROWS))) if spark is not None else ONE_TASK_ROWS
-    return rows is not None and rows <= limit
-
-
 def _num_partitions(df: DataFrame) -> int:
     conf = df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")
     return max(1, int(conf))
@@ -84,30 +58,29 @@ def ordered_scan(
     sums: dict[str, Column] | None = None,
     maxes: dict[str, Column] | None = None,
     lags: dict[str, Column] | None = None,
+    last_rank: dict[str, Column] | None = None,
     rank: str | None = None,
     total: str | None = None,
     exclusive: bool = False,
     partitions: int | None = None,
-    small: bool = False,
 ) -> DataFrame:
     """Add running columns along ``by + order``, restarting at each change of ``by``.
 
     sums / maxes: running sum / max of an expression (inclusive of the current row unless
     ``exclusive``). lags: the expression's value on the previous row of the segment (NULL on
-    the first). rank: 1-based position in the segment. total: row count of the segment.
-    ``small=True`` (only for an input whose size was checked, see ``fits_one_task``) uses
-    plain window functions instead.
+    the first). last_rank: the position of the last earlier row for which a condition holds (NULL
+    if there is none). rank: 1-based position in the segment. total: row count of the segment.
     """
-    sums, maxes, lags = dict(sums or {}), dict(maxes or {}), dict(lags or {})
+    sums, maxes, lags, last_rank = dict(sums or {}), dict(maxes or {}), dict(lags or {}), dict(last_rank or {})
     by = list(by)
-    if small:
-        return _window_scan(df, order, by, sums, maxes, lags, rank, total, exclusive)
     keys = [F.col(c).asc() for c in by] + list(order)
     base = df
     for name, expr in {**sums, **maxes}.items():
         base = base.withColumn(f"_v_{name}", expr)
     for name, expr in lags.items():
         base = base.withColumn(f"_v_{name}", F.struct(expr.alias("v")))
+    for name, expr in last_rank.items():
+        base = base.withColumn(f"_v_{name}", expr)
     ranged = numbered(base, keys, partitions)
 
     w = Window.partitionBy("_p", *by).orderBy("_rid")
@@ -121,11 +94,16 @@ def ordered_scan(
         local_cols.append(F.lag(f"_v_{name}").over(w).alias(f"_l_{name}"))
     local_cols.append(F.row_number().over(w).alias("_lrank"))
     local = ranged.select("*", *local_cols)
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    marked = {name: F.when(F.col(f"_v_{name}"), F.col("_lrank")) for name in last_rank}
+    if marked:
+        local = local.select("*", *[F.max(rank_of).over(earlier).alias(f"_l_{name}") for name, rank_of in marked.items()])
 
     summary_aggs = [F.count(F.lit(1)).alias("_t_count")]
     summary_aggs += [F.sum(f"_v_{name}").alias(f"_t_{name}") for name in sums]
     summary_aggs += [F.max(f"_v_{name}").alias(f"_t_{name}") for name in maxes]
     summary_aggs += [F.max_by(f"_v_{name}", "_rid").alias(f"_t_{name}") for name in lags]
+    summary_aggs += [F.max(rank_of).alias(f"_t_{name}") for name, rank_of in marked.items()]
     summary = local.groupBy("_p", *by).agg(*summary_aggs)
 
     ws = Window.partitionBy(*by).orderBy("_p")
@@ -136,6 +114,9 @@ def ordered_scan(
     carry_cols += [F.sum(f"_t_{name}").over(before).alias(f"_c_{name}") for name in sums]
     carry_cols += [F.max(f"_t_{name}").over(before).alias(f"_c_{name}") for name in maxes]
     carry_cols += [F.lag(f"_t_{name}").over(ws).alias(f"_c_{name}") for name in lags]
+    if last_rank:  # ranks in the partition become ranks in the segment
+        summary = summary.withColumn("_c_before", F.coalesce(F.sum("_t_count").over(before), F.lit(0)))
+        carry_cols += [F.max(F.col(f"_t_{name}") + F.col("_c_before")).over(before).alias(f"_c_{name}") for name in last_rank]
     carry = summary.select("_p", *by, *carry_cols)
     if not by:
         carry = F.broadcast(carry)  # one row per range partition
@@ -148,6 +129,9 @@ def ordered_scan(
         out.append(F.greatest(F.col(f"_l_{name}"), F.col(f"_c_{name}")).alias(name))
     for name in lags:
         out.append(F.coalesce(F.col(f"_l_{name}"), F.col(f"_c_{name}"))["v"].alias(name))
+    for name in last_rank:
+        here = F.col(f"_l_{name}") + F.coalesce(F.col("_c_count"), F.lit(0))
+        out.append(F.coalesce(here, F.col(f"_c_{name}")).alias(name))
     if rank:
         out.append((F.col("_lrank") + F.coalesce(F.col("_c_count"), F.lit(0))).alias(rank))
     if total:
@@ -155,25 +139,6 @@ def ordered_scan(
     return joined.select(*df.columns, *out)
 
 
-def _window_scan(df, order, by, sums, maxes, lags, rank, total, exclusive) -> DataFrame:
-    """The same columns from plain window functions (each segment in one task)."""
-    w = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
-    frame = w.rowsBetween(Window.unboundedPreceding, -1 if exclusive else Window.currentRow)
-    out = []
-    for name, expr in sums.items():
-        out.append(F.coalesce(F.sum(expr).over(frame), F.lit(0)).alias(name))
-    for name, expr in maxes.items():
-        out.append(F.max(expr).over(frame).alias(name))
-    for name, expr in lags.items():
-        out.append(F.lag(expr).over(w).alias(name))
-    if rank:
-        out.append(F.row_number().over(w).cast("bigint").alias(rank))
-    if total:
-        whole = Window.partitionBy(*by) if by else Window.partitionBy()
-        out.append(F.count(F.lit(1)).over(whole).alias(total))
-    return df.select(*df.columns, *out)
-
-
 def islands(
     df: DataFrame,
     order: Sequence[Column],
@@ -184,7 +149,6 @@ def islands(
     rank: str = "rank",
     opens: str | None = None,
     partitions: int | None = None,
-    small: bool = False,
 ) -> DataFrame:
     """Gaps and islands in one scan: number the runs of equal ``key`` along ``by + order``.
 
@@ -196,16 +160,6 @@ def islands(
     of one row per (range partition, segment).
     """
     by = list(by)
-    if small:
-        w = Window.partitionBy(*by).orderBy(*order)
-        prev = F.lag(key).over(w)
-        flag = F.when(prev.isNull() | ~prev.eqNullSafe(key), 1).otherwise(0)
-        marked = df.withColumn("_o", flag)
-        out = [F.sum("_o").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint").alias(run),
-               F.row_number().over(w).cast("bigint").alias(rank)]
-        if opens:
-            out.append(F.col("_o").alias(opens))
-        return marked.select(*df.columns, *out)
     keys = [F.col(c).asc() for c in by] + list(order)
     ranged = numbered(df.withColumn("_key", key), keys, partitions)
     w = Window.partitionBy("_p", *by).orderBy("_rid")
