@@ -13,6 +13,7 @@ from .tags import _c
 
 POLYGON = "POLYGON"
 LINESTRING = "LINESTRING"
+DIGITS = 16  # decimals of WKT text, as the reference's library writes them: no coordinate loses any
 
 
 def points_sql(nodes: str = "nodes") -> str:
@@ -64,14 +65,14 @@ def ring(pts: str) -> Column:
     return F.expr(ring_sql(pts))
 
 
-def wkt_sql(geom_type: str, pts: str, digits: int = 7) -> str:
+def wkt_sql(geom_type: str, pts: str, digits: int = DIGITS) -> str:
     coord = f"q -> format_string('%.{digits}f %.{digits}f', q.lon, q.lat)"
     return (f"CASE WHEN {geom_type} = '{POLYGON}' "
             f"THEN concat('POLYGON ((', array_join(transform({ring_sql(pts)}, {coord}), ', '), '))') "
             f"ELSE concat('LINESTRING (', array_join(transform({pts}, {coord}), ', '), ')') END")
 
 
-def wkt(geom_type: str, pts: str, digits: int = 7) -> Column:
+def wkt(geom_type: str, pts: str, digits: int = DIGITS) -> Column:
     """WKT text of a point list, ``POLYGON ((x y, ...))`` or ``LINESTRING (x y, ...)`` (O-50);
     polygon rings are closed once."""
     return F.expr(wkt_sql(geom_type, pts, digits))

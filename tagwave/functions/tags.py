@@ -20,7 +20,7 @@ def _c(col: str | Column) -> Column:
 
 def has_tag(key: str, tags: str = "tags") -> Column:
     """Key presence only; the value is ignored, so ``building=no`` passes (O-15)."""
-    return F.expr(f"map_contains_key({tags}, '{key}')")
+    return F.map_contains_key(F.expr(tags), F.lit(key))
 
 
 def either(p: Column, q: Column) -> Column:

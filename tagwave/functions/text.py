@@ -57,9 +57,25 @@ def url_decode(text: str | Column) -> Column:
     return F.try_url_decode(_c(text))
 
 
+def utc_wall_clock(instant: Column) -> Column:
+    """TIMESTAMP_NTZ of an instant in UTC, whatever the session's zone."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(instant), F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"))
+
+
 def parse_time(text: str | Column) -> Column:
-    """Date string to TIMESTAMP_NTZ, NULL when unparseable (O-58); no time-zone shift."""
-    return _c(text).try_cast(T.TimestampNTZType())
+    """Date string to TIMESTAMP_NTZ in UTC, NULL when unparseable (O-58).
+
+    ISO forms with an offset or ``Z``, and the mail form (``Tue, 02 Jan 2024 12:00:00 +0500``),
+    are instants and are moved to UTC; a date without a zone is read as UTC.
+    """
+    t = F.trim(_c(text))
+    zoned = t.rlike(r"^\d.*[T ]\d{1,2}:.*(?:Z|UTC|GMT|[+-]\d{1,2}(?::?\d{2})?)$")
+    iso = F.regexp_replace(t, r"([+-]\d{2})(\d{2})$", "$1:$2")
+    mail = F.regexp_replace(F.regexp_replace(t, r"^[A-Za-z]{3},\s*", ""), r"(?:GMT|UTC?|Z)$", "+0000")
+    return (F.when(zoned, utc_wall_clock(iso.try_cast(T.TimestampType())))
+            .when(t.rlike(r"^(?:[A-Za-z]{3},\s*)?\d{1,2} [A-Za-z]{3} \d{4} "),
+                  utc_wall_clock(F.try_to_timestamp(mail, F.lit("d MMM yyyy H:mm:ss Z"))))
+            .otherwise(t.try_cast(T.TimestampNTZType())))
 
 
 def clock(ts: str | Column) -> Column:

@@ -71,7 +71,7 @@ def filter_valid(df: DataFrame) -> DataFrame:
     return df.where(valid_sql())
 
 
-def to_features(df: DataFrame, digits: int = 7) -> DataFrame:
+def to_features(df: DataFrame, digits: int = G.DIGITS) -> DataFrame:
     """Project the feature record (O-20): user, id, changeset, date, feature (WKT), action,
     comment, hashtags; plus the arrival sequence/clock and the point list for later operators."""
     return df.selectExpr(
@@ -94,7 +94,7 @@ def computed_once(df: DataFrame, **named: str) -> DataFrame:
     return out.selectExpr(*[f"`{c}`" for c in df.columns], *[f"_once.{name} AS {name}" for name in named])
 
 
-def features(parsed: DataFrame, dedupe: str = "before", digits: int = 7) -> DataFrame:
+def features(parsed: DataFrame, dedupe: str = "before", digits: int = G.DIGITS) -> DataFrame:
     """Decoded edits to valid feature records: O-12, O-13, O-14, O-17, O-18, O-19, O-21, O-20.
 
     The cheap predicates (way, building/highway) run first on the decoded struct; comment,
@@ -139,4 +139,6 @@ def rejects(parsed: DataFrame) -> DataFrame:
     reason = F.lit(None).cast("string")
     for name, cond in reversed(REASONS):
         reason = F.when(F.coalesce(cond(), F.lit(False)), F.lit(name)).otherwise(reason)
-    return df.select("edit_id", "ts", "payload", reason.alias("reason")).where(F.col("reason").isNotNull())
+    # generator output: the filter cannot be pushed beneath it and repeat the chain
+    return (df.select("edit_id", "ts", "payload", F.explode(F.array(reason)).alias("reason"))
+            .where(F.col("reason").isNotNull()))

@@ -3,8 +3,8 @@
 The reference keeps a 6 h window sliding every 30 s. ``window('6 hours', '30 seconds')`` would
 copy every row into 720 windows, so scores are built from 30 s bucket counts instead: one
 partial+final hash aggregate per (hashtag, bucket), then a RANGE sum over the buckets of one
-hashtag. A hashtag's window group holds at most one row per bucket (2,880 a day), however
-many edits it has. Buckets and windows are half-open ``[start, end)``.
+hashtag. A hashtag's window group holds at most one row per bucket of a day (and the window
+before it), however many edits it has. Buckets and windows are half-open ``[start, end)``.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from ..functions.text import epoch_seconds, score_key, ts_literal
 
 WINDOW_SECONDS = 6 * 3600
 SLIDE_SECONDS = 30
+CHUNK_SECONDS = 24 * 3600
 WINDOW_LABEL = "6"
 
 
@@ -65,6 +66,27 @@ def probe_as_of(raw: DataFrame, derive, ts: str = "ts", slide: int = SLIDE_SECON
         span *= growth
 
 
+def probe_newest(raw: DataFrame, derive, n: int, ts: str = "ts", clock: DataFrame | None = None,
+                 first_span: int = WINDOW_SECONDS, growth: int = 8) -> DataFrame:
+    """Raw rows that hold the ``n`` newest rows of ``derive(raw)``, without decoding the whole history.
+
+    Slices of the arrival clock are counted backwards from the newest edit, spans growing ``growth``-fold,
+    until they yield ``n`` derived rows or all of ``raw`` is read; bounds are literals and reach the scan.
+    """
+    lo_all, top = clock_bounds(clock if clock is not None else raw, ts)
+    if top is None:
+        return raw
+    ntz, span, hi, found = _is_ntz(raw, ts), first_span, None, 0
+    while True:
+        lo = top - span
+        part = raw if lo <= lo_all else raw.where(F.col(ts) >= ts_literal(lo, ntz))
+        fresh = part if hi is None else part.where(F.col(ts) < ts_literal(hi, ntz))
+        found += derive(fresh).count()
+        if found >= n or lo <= lo_all:
+            return part
+        hi, span = lo, span * growth
+
+
 def _is_ntz(df: DataFrame, ts: str) -> bool:
     return isinstance(df.schema[ts].dataType, T.TimestampNTZType)
 
@@ -96,15 +118,22 @@ def bucket_counts(hashtag_rows: DataFrame, slide: int = SLIDE_SECONDS, ts: str =
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def rolling_scores(buckets: DataFrame, window: int = WINDOW_SECONDS, slide: int = SLIDE_SECONDS) -> DataFrame:
+def rolling_scores(buckets: DataFrame, window: int = WINDOW_SECONDS, slide: int = SLIDE_SECONDS,
+                   chunk: int = CHUNK_SECONDS) -> DataFrame:
     """Score at every non-empty bucket end: the sum of the buckets inside the window (O-31).
 
     The incremental add-new / subtract-old reduce of the reference, written as a RANGE frame
-    over ``window - slide`` seconds back to the current bucket. Output: hashtag, bucket_end, score.
+    over ``window - slide`` seconds back to the current bucket. A hashtag's history is cut into chunks of
+    ``chunk`` seconds, each with a copy of the window before it, so a window group holds a day's
+    buckets however long the history is. Output: hashtag, bucket_end, score.
     """
-    w = (Window.partitionBy("hashtag").orderBy("bucket_end")
+    own = F.floor(F.col("bucket_end") / chunk)
+    reach = F.floor((F.col("bucket_end") + (window - slide)) / chunk)  # later chunks whose first window reaches here
+    spread = buckets.select("hashtag", "bucket_end", "n", own.alias("_own"), F.explode(F.sequence(own, reach)).alias("_chunk"))
+    w = (Window.partitionBy("hashtag", "_chunk").orderBy("bucket_end")
          .rangeBetween(-(window - slide), Window.currentRow))
-    return buckets.select("hashtag", "bucket_end", F.sum("n").over(w).cast("bigint").alias("score"))
+    scored = spread.withColumn("score", F.sum("n").over(w).cast("bigint"))
+    return scored.where(F.col("_own") == F.col("_chunk")).select("hashtag", "bucket_end", "score")
 
 
 def latest_buckets(bucket_log: DataFrame) -> DataFrame:

@@ -38,9 +38,9 @@ feat AS (
          CASE WHEN geom_type = 'POLYGON'
               THEN 'POLYGON ((' || array_to_string(list_transform(
                      CASE WHEN pts[1] = pts[-1] THEN pts ELSE list_append(pts, pts[1]) END,
-                     lambda p: printf('%.7f %.7f', p.lon, p.lat)), ', ') || '))'
+                     lambda p: printf('%.16f %.16f', p.lon, p.lat)), ', ') || '))'
               ELSE 'LINESTRING (' || array_to_string(list_transform(pts,
-                     lambda p: printf('%.7f %.7f', p.lon, p.lat)), ', ') || ')' END AS feature
+                     lambda p: printf('%.16f %.16f', p.lon, p.lat)), ', ') || ')' END AS feature
   FROM mapped
   WHERE CASE WHEN geom_type = 'POLYGON' THEN len(pts) >= 3 AND NOT (len(pts) = 3 AND pts[1] = pts[-1])
              ELSE len(pts) >= 2 END
@@ -111,6 +111,8 @@ BODIES = {
              coalesce((SELECT list(hashtag ORDER BY hashtag) FROM tags t WHERE t.edit_id = f.edit_id), [])
              ) AS VARCHAR) AS record
         FROM feat f ORDER BY ts DESC, edit_id DESC LIMIT 1001""",
+    "preview": """SELECT edit_id, "user", date, feature FROM feat ORDER BY edit_id LIMIT 10""",
+    "change_feed": "SELECT CAST(0 AS BIGINT) AS emit_id, position, hashtag, count FROM tl",
     "packed_entries": "SELECT edit_id, hashtag, feature || '|' || date || '|' || hashtag AS entry FROM ht",
     "unpacked_entries": """SELECT edit_id, split_part(e, '|', 1) AS feature, split_part(e, '|', 2) AS time,
         split_part(e, '|', 3) AS hashtag
@@ -183,7 +185,8 @@ ld AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY total
 for _stream, _batch in {"stream_trending": "rolling_scores", "stream_trending_stateful": "rolling_scores",
                         "stream_hashtag_log": "hashtag_features", "stream_recent_features": "recent_features",
                         "stream_latest_for_hashtag": "latest_for_hashtag",
-                        "stream_scores": "trending_6h", "timeline_refresh": "timeline"}.items():
+                        "stream_scores": "trending_6h", "stream_scores_with_zeros": "scores_with_zeros",
+                        "timeline_refresh": "timeline"}.items():
     BODIES[_stream] = BODIES[_batch]
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import utc_wall_clock
 from ..schema import EDIT_SCHEMA, RAW_EDITS
 
 CORRUPT = "_corrupt"
@@ -13,39 +14,49 @@ PARSE_SCHEMA = T.StructType(EDIT_SCHEMA.fields + [T.StructField(CORRUPT, T.Strin
 
 
 def read_edits(spark: SparkSession, fmt: str, path_or_options, streaming: bool = True,
-               starting: str = "latest", max_files: int | None = None) -> DataFrame:
+               starting: str = "latest", max_files: int | None = None, max_bytes: int | None = None) -> DataFrame:
     """Raw edits ``(edit_id, ts, payload)`` from files or a message bus.
 
-    ``parquet``/``json``: files holding the RAW_EDITS columns. ``text``: one JSON edit per line,
-    stamped with the arrival clock. ``kafka``: topic options (needs the connector jar); the
-    offset is the arrival sequence and the broker time the arrival clock, starting at
-    ``latest`` like the reference's stream position.
+    ``parquet``/``json``: files holding the RAW_EDITS columns. ``text``: one JSON edit per line; the
+    arrival clock is the file's time and the sequence is the file block and the line in it.
+    ``kafka``: topic options (needs the connector jar); the sequence is the partition and the offset, which is
+    unique over partitions, and the broker time is the arrival clock, starting at ``latest`` like the
+    reference's stream position. Arrival clocks are UTC, so a clock change moves no window.
     """
     reader = spark.readStream if streaming else spark.read
     if streaming and max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
+    if streaming and max_bytes:
+        reader = reader.option("maxBytesPerTrigger", max_bytes)
     if fmt in ("parquet", "json"):
         return reader.schema(RAW_EDITS).format(fmt).load(path_or_options)
     if fmt == "text":
         raw = reader.format("text").load(path_or_options)
-        return raw.select(
-            F.xxhash64("value").alias("edit_id"),
-            F.localtimestamp().alias("ts"),
-            F.col("value").alias("payload"),
-        )
+        return raw.select(text_sequence().alias("edit_id"),
+                          utc_wall_clock(F.col("_metadata.file_modification_time")).alias("ts"),
+                          F.col("value").alias("payload"))
     if fmt == "kafka":
         opts = dict(path_or_options)
         if streaming:
             opts.setdefault("startingOffsets", starting)
         raw = reader.format("kafka").options(**opts).load()
-        return raw.select(
-            F.col("offset").alias("edit_id"),
-            F.col("timestamp").cast("timestamp_ntz").alias("ts"),
-            F.col("value").cast("string").alias("payload"),
-        )
+        return raw.select(kafka_sequence().alias("edit_id"), utc_wall_clock(F.col("timestamp")).alias("ts"),
+                          F.col("value").cast("string").alias("payload"))
     raise ValueError(f"unsupported edit source format: {fmt}")
 
 
+def text_sequence() -> Column:
+    """Line sequence of a text source: 30 bits of the file block's hash, then the line in its task."""
+    block = F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"))
+    return (F.shiftleft(F.pmod(block, F.lit(1 << 30)), 33)
+            .bitwiseOR(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+
+
+def kafka_sequence() -> Column:
+    """Message sequence: an offset is unique only within its partition."""
+    return F.shiftleft(F.col("partition").cast("bigint"), 44).bitwiseOR(F.col("offset"))
+
+
 def parse_edits(df: DataFrame, col: str = "payload") -> DataFrame:
     """Decode the JSON payload once into struct ``e`` (PERMISSIVE; bad text keeps ``e._corrupt``).
 
