@@ -68,8 +68,9 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str | None
                                      | w.rlike(NAMES + r"[\"']?" + assigned) | F.coalesce(after_name, F.lit(False)))
 
     places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), looks)
-    found = (rows.where(F.size("words") > 0).select("*", F.explode(places).alias("place"))
-             .select("doc_id", "path", F.col("place").cast("bigint").alias("place"), F.get("words", F.col("place")).alias("word"),
+    # no plain explode: its inferred filter on the array would look at all words twice
+    found = (rows.select("*", F.explode_outer(F.when(F.size("words") > 0, places)).alias("place"))
+             .where("place IS NOT NULL").select("doc_id", "path", F.col("place").cast("bigint").alias("place"), F.get("words", F.col("place")).alias("word"),
                      F.concat_ws(" ", F.get("words", F.col("place") - 3), F.get("words", F.col("place") - 2),
                                  F.get("words", F.col("place") - 1)).alias("before"),
                      F.concat_ws(" ", F.get("words", F.col("place") + 1), F.get("words", F.col("place") + 2)).alias("after")))
