@@ -83,8 +83,8 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Each row's fingerprint, that of its edited text (the last quarter replaced by the start of
     the next row's text, by id, the first following the last), and the likenesses of both pairs.
 
-    The next row is found by a distributed scan over the keys. Each text travels once to meet its key and sends its
-    sketch and the start that is needed to the row before; the sketches are computed before that."""
+    The next row is found by a distributed scan over the keys. Each text, with its sketch, travels once to
+    meet its key and sends the sketch and the start that is needed to the row before."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     given = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text")).withColumn(
         "key", F.xxhash64(F.col("doc_id").cast("string"), "text"))
@@ -97,17 +97,18 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                      .select("key", F.coalesce("next_key", "_first").alias("next_key"),
                              F.floor(F.col("n") / 4).cast("int").alias("take")), "follow")
     before = follow.select(F.col("next_key").alias("key"), F.col("key").alias("before_key"), "take")
-    sketched = with_sketch(given, "text", "sketch")
+    # both branches use the same columns of `sketched`, so they share one shuffle of the texts
+    sketched = with_sketch(given, "text", "sketch").hint("merge")
     starts = (sketched.join(before, "key").select(
         F.col("before_key").alias("key"), F.substring("text", F.lit(1), F.col("take")).alias("start"),
-        F.col("take"), F.col("sketch").alias("next_sketch")).dropDuplicates(["key"]))
+        "take", F.col("doc_id").alias("next_id"), F.col("sketch").alias("next_sketch")).dropDuplicates(["key"]))
     n = F.length("text")
     joined = (sketched.join(starts, "key")
               .withColumn("edited", F.concat(F.substring("text", F.lit(1), n - F.col("take")), "start"))
-              .select("doc_id", n.cast("bigint").alias("n_chars"), "sketch", "next_sketch", "edited"))
+              .select("doc_id", n.cast("bigint").alias("n_chars"), "next_id", "sketch", "next_sketch", "edited"))
     both = with_sketch(joined, "edited", "edited_sketch")
     out = with_likeness(both, "sketch", "edited_sketch", "near_edited", "jaccard_edited")
     out = with_likeness(out, "sketch", "next_sketch", "near_next", "jaccard_next")
     return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
                       as_text(F.col("sketch")).alias("fingerprint"), as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-                      "near_edited", "near_next", "jaccard_edited", "jaccard_next")
+                      "next_id", "near_edited", "near_next", "jaccard_edited", "jaccard_next")
