@@ -87,6 +87,8 @@ def leaders_so_far(tops: DataFrame, k: int, n: int, block: int = BLOCK) -> DataF
     last lists are scanned in the same way, and each block takes over the list before it. A
     group never holds more than ``block`` lists of ``k``.
     """
+    if block < 2:
+        raise ValueError("a block holds two lists at least")
     nothing = F.array().cast(tops.schema["top"].dataType)
 
     def step(done, x):

@@ -19,6 +19,7 @@ from ..functions import (
     feature_class,
     pack_entry,
     parse_int,
+    parse_time,
     strip_score_prefix,
     unpack_entry,
     url_decode,
@@ -190,6 +191,17 @@ def q_rejected_features(spark, sf_dir):
     return E.rejects(parsed_edits(spark, sf_dir)).select("edit_id", "reason")
 
 
+def q_parsed_times(spark, sf_dir):
+    """Edit dates written without a zone, with ``Z``, with offsets and in the mail form, read as UTC (O-58)."""
+    at = F.expr("try_cast(e.metadata.created_at AS TIMESTAMP_NTZ)")
+    iso = F.date_format(at, "yyyy-MM-dd HH:mm:ss")
+    texts = [iso, F.concat(iso, F.lit("Z")), F.concat(iso, F.lit("+05:00")), F.concat(iso, F.lit("-03:30")),
+             F.concat(F.date_format(at, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0200"))]
+    text = F.get(F.array(*texts), (F.col("edit_id") % 5).cast("int"))
+    rows = parsed_edits(spark, sf_dir).select("edit_id", text.alias("text"))
+    return rows.select("edit_id", "text", F.date_format(parse_time("text"), "yyyy-MM-dd HH:mm:ss").alias("utc"))
+
+
 def q_clean_hashtag(spark, sf_dir):
     ways = E.with_comment(E.filter_ways(parsed_edits(spark, sf_dir)))
     tokens = ways.select(F.explode(F.split("comment", WHITESPACE)).alias("p")).where(F.col("p").startswith("#"))
@@ -345,6 +357,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "feature_centers": q_feature_centers,
     "feature_class_counts": q_feature_class_counts,
     "rejected_features": q_rejected_features,
+    "parsed_times": q_parsed_times,
     "clean_hashtag": q_clean_hashtag,
     "latest_for_hashtag": q_latest_for_hashtag,
     "recent_features": q_recent_features,

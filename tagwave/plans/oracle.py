@@ -97,6 +97,13 @@ BODIES = {
     "rejected_features": """SELECT edit_id, 'too few points' AS reason FROM mapped
         WHERE NOT (CASE WHEN geom_type = 'POLYGON' THEN len(pts) >= 3 AND NOT (len(pts) = 3 AND pts[1] = pts[-1])
                         ELSE len(pts) >= 2 END)""",
+    "parsed_times": """SELECT edit_id,
+        CASE edit_id % 5 WHEN 0 THEN strftime(t, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(t, '%Y-%m-%d %H:%M:%SZ')
+             WHEN 2 THEN strftime(t, '%Y-%m-%d %H:%M:%S+05:00') WHEN 3 THEN strftime(t, '%Y-%m-%d %H:%M:%S-03:30')
+             ELSE strftime(t, '%a, %d %b %Y %H:%M:%S +0200') END AS text,
+        strftime(t - CASE edit_id % 5 WHEN 2 THEN INTERVAL 5 HOUR WHEN 3 THEN INTERVAL (-210) MINUTE
+                                      WHEN 4 THEN INTERVAL 2 HOUR ELSE INTERVAL 0 HOUR END, '%Y-%m-%d %H:%M:%S') AS utc
+        FROM (SELECT edit_id, CAST(payload->'metadata'->>'created_at' AS TIMESTAMP) AS t FROM raw)""",
     "clean_hashtag": """SELECT t AS raw, regexp_replace(regexp_replace(t, '^#', ''), ',$', '') AS hashtag,
         count(*) AS n
         FROM (SELECT substr(p, 2) AS t

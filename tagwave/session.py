@@ -74,9 +74,10 @@ def make_folder(spark: SparkSession, path: str) -> None:
     fs.mkdirs(where)
 
 
-def folder_bytes(spark: SparkSession, path: str) -> int:
+def file_sizes(spark: SparkSession, path: str) -> list[int]:
+    """Sizes of the files in a folder (none if it does not exist)."""
     fs, where = file_system(spark, path)
-    return fs.getContentSummary(where).getLength() if fs.exists(where) else 0
+    return [s.getLen() for s in fs.listStatus(where) if s.isFile()] if fs.exists(where) else []
 
 
 def sub_folders(spark: SparkSession, path: str) -> list[str]:

@@ -23,7 +23,7 @@ from ..operators import timeline as TL
 from ..operators import trending as TR
 from ..plans.catalog import LOOKUP_TAG
 from ..schema import BUCKETS, CHANGES, FEATURES, FEED, HASHTAG_LOG, NEWEST, SCORES
-from ..session import folder_bytes, make_folder, scratch_path
+from ..session import file_sizes, make_folder, scratch_path
 from ..sources.edits import parse_edits, read_edits
 from ..sources.fixtures import load_edits
 from . import sinks as S
@@ -210,8 +210,11 @@ def follow_changes(spark: SparkSession, paths: dict[str, str], channel: str = HA
 # --- registered streaming queries ----------------------------------------------------------
 
 def _edit_stream(spark: SparkSession, path: str, batches: int = 4) -> DataFrame:
-    """Edit files replayed in about ``batches`` micro-batches, bounded by bytes."""
-    return read_edits(spark, "parquet", path, streaming=True, max_bytes=max(1, folder_bytes(spark, path) // batches))
+    """Edit files replayed in about ``batches`` micro-batches, bounded by bytes (one file at least:
+    a source takes no file above its bound)."""
+    sizes = file_sizes(spark, path)
+    bound = max([sum(sizes) // batches, *sizes]) if sizes else None
+    return read_edits(spark, "parquet", path, streaming=True, max_bytes=bound)
 
 
 def _run(spark: SparkSession, sf_dir: str, name: str) -> dict[str, str]:

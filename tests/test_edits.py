@@ -49,7 +49,7 @@ def test_valid_feature_record(spark):
     assert [f.edit_id for f in feats] == [9]
     f = feats[0]
     assert (f.user, f.id, f.changeset, f.date, f.action) == ("u1", "w1", "c1", "2024-01-01 00:00:00", "create")
-    assert f.feature == "LINESTRING (1.0000000 2.0000000, 3.0000000 4.0000000)"
+    assert f.feature == "LINESTRING (1.0000000000000000 2.0000000000000000, 3.0000000000000000 4.0000000000000000)"
     assert sorted(f.hashtags) == ["a", "b"] and f.comment == "#a #b,"
 
 

@@ -39,13 +39,13 @@ def _pts(spark, pts):
 
 
 @pytest.mark.parametrize("gtype,pts,valid,wkt", [
-    ("POLYGON", [(0, 0), (1, 0), (1, 1)], True, "POLYGON ((0.0000000 0.0000000, 1.0000000 0.0000000, "
-                                                 "1.0000000 1.0000000, 0.0000000 0.0000000))"),
-    ("POLYGON", [(0, 0), (1, 0), (1, 1), (0, 0)], True, "POLYGON ((0.0000000 0.0000000, 1.0000000 0.0000000, "
-                                                         "1.0000000 1.0000000, 0.0000000 0.0000000))"),
+    ("POLYGON", [(0, 0), (1, 0), (1, 1)], True, "POLYGON ((0.0000000000000000 0.0000000000000000, 1.0000000000000000 0.0000000000000000, "
+                                                 "1.0000000000000000 1.0000000000000000, 0.0000000000000000 0.0000000000000000))"),
+    ("POLYGON", [(0, 0), (1, 0), (1, 1), (0, 0)], True, "POLYGON ((0.0000000000000000 0.0000000000000000, 1.0000000000000000 0.0000000000000000, "
+                                                         "1.0000000000000000 1.0000000000000000, 0.0000000000000000 0.0000000000000000))"),
     ("POLYGON", [(0, 0), (1, 0)], False, None),
     ("POLYGON", [(0, 0), (1, 0), (0, 0)], False, None),
-    ("LINESTRING", [(0.25, -1.5), (2, 3)], True, "LINESTRING (0.2500000 -1.5000000, 2.0000000 3.0000000)"),
+    ("LINESTRING", [(0.25, -1.5), (2, 3)], True, "LINESTRING (0.2500000000000000 -1.5000000000000000, 2.0000000000000000 3.0000000000000000)"),
     ("LINESTRING", [(1, 1)], False, None),
 ])
 def test_geometry(spark, gtype, pts, valid, wkt):

@@ -2,10 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from tagwave.operators import edits as E
 from tagwave.operators import timeline as TL
 from tagwave.operators import trending as TR
 from tagwave.plans.catalog import Context, hashtag_rows
 from tagwave.plans.scan import ordered_scan
+from tagwave.sources.edits import parse_edits
+from tagwave.sources.fixtures import arrival_clock, load_edits
 
 SF = "/root/testdata/sf0.01"
 
@@ -27,13 +30,26 @@ def test_json_is_decoded_once(spark):
     assert plan.count("from_json(") == 1
 
 
-def test_checked_broadcast_or_aggregate_first(spark):
+def test_history_is_aggregated_before_the_join_without_a_broadcast_hint(spark):
     ctx = Context(spark, SF)
-    small = TL.top_by_score(ctx.ht, ctx.scores(), ctx.as_of, with_rank=False, broadcast_tags=True)
-    big = TL.top_by_score(ctx.ht, ctx.scores(), ctx.as_of, with_rank=False, broadcast_tags=False)
-    assert "BroadcastExchange" in _plan(small)
-    logical = big._jdf.queryExecution().optimizedPlan().toString()
-    assert "ResolvedHint (strategy=broadcast)" not in logical and "broadcast" not in logical.lower()
+    entries = TL.top_by_score(ctx.ht, ctx.scores(), ctx.as_of, with_rank=False)
+    assert "broadcast" not in entries._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "partial_max_by" in _plan(entries)
+
+
+def test_scores_make_no_geometry_text(spark):
+    ctx = Context(spark, SF, wide=False)
+    ctx.scores()
+    assert ctx._recent.columns == ["hashtag", "ts"]
+    plan = _plan(ctx.ht.select("hashtag", "ts"))
+    assert "format_string" not in plan and "LINESTRING (" not in plan
+
+
+def test_newest_rows_come_from_a_bounded_slice(spark):
+    raw = load_edits(spark, SF)
+    part = TR.probe_newest(raw, lambda x: E.features(parse_edits(x)), 200, clock=arrival_clock(spark, SF))
+    assert "GreaterThanOrEqual(ts," in _plan(part)
+    assert E.features(parse_edits(part)).count() >= 200
 
 
 def test_unsegmented_scan_carry_is_broadcast(spark):

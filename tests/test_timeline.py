@@ -1,6 +1,7 @@
 """Run collapse against state machines, windows at their edges, timeline properties."""
 
 import random
+from itertools import groupby
 from datetime import datetime, timedelta
 
 import pytest
@@ -13,29 +14,19 @@ from tagwave.operators import trending as TR
 T0 = datetime(2024, 1, 1, 12, 0, 0)
 
 
-def collapse_exact(seq):
-    out = []
-    for x in seq:
-        if out and out[-1][0] == x:
-            out[-1][1] += 1
-        else:
-            out.append([x, 1])
-    return [(a, n) for a, n in out]
-
-
-def collapse_drop(seq):
-    """Straight transcription of the reference's behaviour, as a state machine."""
-    out, cur = [], None
-    for x in seq:
-        if cur is None:
-            cur = [x, 1]
-        elif cur[0] == x:
-            cur[1] += 1
-        else:
-            out.append(tuple(cur))
-            cur = None
-    if cur is not None:
-        out.append(tuple(cur))
+def runs_of(seq):
+    """Runs of equal neighbours as (value, length)."""
+    return [(value, len(list(same))) for value, same in groupby(seq)]
+
+
+def kept_by_drop(seq):
+    """The boundary-drop rule over run lengths: a run that starts while another waits to be
+    emitted loses its first element; what is left of it is kept."""
+    out, waiting = [], False
+    for value, length in runs_of(seq):
+        left = length - waiting
+        out += [(value, left)] if left else []
+        waiting = left > 0
     return out
 
 
@@ -47,8 +38,8 @@ def collapse_drop(seq):
     ("ABCC", [("A", 1), ("B", 1), ("C", 2)], [("A", 1), ("C", 2)]),
 ])
 def test_fixture_table(seq, exact, drop):
-    assert collapse_exact(seq) == exact
-    assert collapse_drop(seq) == drop
+    assert runs_of(seq) == exact
+    assert kept_by_drop(seq) == drop
 
 
 def _entries(spark, seqs):
@@ -75,14 +66,14 @@ def test_collapse_random_vs_state_machines(spark):
     seqs = {f"t{i:02d}": "".join(rnd.choice("AAbB") for _ in range(rnd.randint(1, 12))) for i in range(25)}
     entries = _entries(spark, seqs)
     exact = TL.collapse_runs(entries).orderBy("hashtag", "run").collect()
-    want = [(tag, _key(ch), n) for tag in sorted(seqs) for ch, n in collapse_exact(seqs[tag])]
+    want = [(tag, _key(ch), n) for tag in sorted(seqs) for ch, n in runs_of(seqs[tag])]
     assert [(r.hashtag, (r.time, r.feature), r["count"]) for r in exact] == want
     assert sum(r["count"] for r in exact) == sum(len(s) for s in seqs.values())
     # boundary-drop: one state machine over all hashtags in ascending order
     flat = [(tag, ch) for tag in sorted(seqs) for ch in seqs[tag]]
     drop = TL.collapse_runs(entries, boundary="drop").orderBy("hashtag", "run").collect()
     got = [(r.hashtag, (r.time, r.feature), r["count"]) for r in drop]
-    assert got == [(tag, _key(ch), n) for (tag, ch), n in collapse_drop(flat)]
+    assert got == [(tag, _key(ch), n) for (tag, ch), n in kept_by_drop(flat)]
 
 
 def _rows(spark, offsets):
@@ -154,11 +145,23 @@ def test_leader_changes_vs_replay(spark):
     df = spark.createDataFrame([(s, tag, c, t.strftime("%Y-%m-%d %H:%M:%S")) for s, tag, c, t in steps],
                                "step long, hashtag string, count long, time string")
     want = _brute_leader_changes(steps, 3600, 3)
-    for small in (True, False):
-        got = {tuple(r) for r in L.leader_changes(df, every=3600, k=3, small=small).collect()}
+    for block in (2, 7, 128):
+        got = {tuple(r) for r in L.leader_changes(df, every=3600, k=3, block=block).collect()}
         assert got == want
 
 
+@pytest.mark.parametrize("per_hour", [5, 20])
+def test_leader_changes_carry_at_most_k_tags(spark, per_hour):
+    """New hashtags every hour, all with equal totals: nothing pairs them with later snapshots."""
+    rows = [(h * per_hour + i, f"t{h:03}{i:02}", 1, f"2024-01-{1 + h // 24:02} {h % 24:02}:00:00")
+            for h in range(150) for i in range(per_hour)]
+    steps = spark.createDataFrame(rows, "step long, hashtag string, count long, time string")
+    want = _brute_leader_changes([(s, tag, c, datetime.fromisoformat(t + "+00:00")) for s, tag, c, t in rows], 3600, 10)
+    out = L.leader_changes(steps, k=10)
+    assert {tuple(r) for r in out.collect()} == want
+    assert "sequence(" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_newest_before_probing_matches_full_history(spark):
     """Backward probing finds each hashtag's newest pre-window row, however far back (or none)."""
     from pyspark.sql import functions as F
@@ -178,7 +181,7 @@ def test_newest_before_probing_matches_full_history(spark):
                                      "feature string")
     tags = spark.createDataFrame([(t, 2) for t in history if t != "decoy"], "hashtag string, score long")
     for known in (None, ht.where(F.col("ts") >= TR.ts_literal(lo - 4 * 3600))):
-        got = TL.newest_before(ht, F.broadcast(tags), lo, epoch, known=known,
+        got = TL.newest_before(ht, tags, lo, epoch, known=known,
                                known_lo=None if known is None else lo - 4 * 3600)
         got = got.groupBy("hashtag").agg(F.max_by("edit_id", F.struct("ts", "edit_id", "pos")).alias("e"))
         want = (ht.where(F.col("ts") < TR.ts_literal(lo)).join(tags, "hashtag")
