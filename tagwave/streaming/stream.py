@@ -61,7 +61,7 @@ def batch_scores(spark: SparkSession, paths: dict[str, str], tags: DataFrame, as
     """Scores at ``as_of``, with a 0 for every hashtag that was scored before or is in ``tags`` and has
     no row in the window (O-64). Only the window's buckets and the last scores are read."""
     scores = scores_from_buckets(S.read_table(spark, paths["buckets"], BUCKETS), as_of)
-    known = tags.select("hashtag")
+    known = tags.select("hashtag").unionByName(scores.select("hashtag"))
     last = last_score_time(spark, paths, as_of)
     if last is not None:
         known = known.unionByName(S.read_table(spark, paths["scores"], SCORES).where(F.col("as_of") == last).select("hashtag"))
@@ -151,11 +151,12 @@ def refresh_timeline(spark: SparkSession, paths: dict[str, str], as_of: int | No
     stored timeline. With no hashtag scoring more than once, ``on_empty='keep'`` leaves the old
     timeline (quirk Q8). Returns True when a timeline was written."""
     log = S.read_table(spark, paths["hashtags"], HASHTAG_LOG)
-    if as_of is None:
+    if as_of is None:  # the ingest has written these scores
         as_of = last_score_time(spark, paths)
         if as_of is None:
             return False
-    S.write_scores(batch_scores(spark, paths, log.limit(0), as_of), as_of, paths["scores"])
+    elif last_score_time(spark, paths, as_of + 1) != as_of:
+        S.write_scores(batch_scores(spark, paths, log.limit(0), as_of), as_of, paths["scores"])
     stored = TR.scores_for_window(S.read_table(spark, paths["scores"], SCORES).where(F.col("as_of") == as_of))
     lo = TR.ts_literal(as_of - TR.WINDOW_SECONDS)
     older = S.log_before(log, S.read_table(spark, paths["newest"], NEWEST), lo)
