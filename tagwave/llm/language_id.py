@@ -191,6 +191,20 @@ def identify(rows: DataFrame, text_col: str = "text", declared_col: str | None =
         "trigrams", kept.alias("kept"))
 
 
+def page_evidence(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Web pages as rows for ``identify``: (page_id, text, declared, host, suffix). ``declared`` is the markup's
+    ``lang``, ``suffix`` a two-letter first folder of the path, else the host's last label."""
+    page, url = F.col(html_col).cast("string"), F.col(url_col).cast("string")
+    found = lambda col, pattern: F.nullif(F.lower(F.regexp_extract(col, pattern, 1)), F.lit(""))
+    text = F.regexp_replace(page, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-z]+;", " ")
+    return pages.select(
+        F.col(id_col).alias("page_id"), text.alias("text"),
+        found(page, r"(?i)<html\b[^>]*?\blang=[\"']?([a-z]{2})").alias("declared"),
+        found(url, r"^[a-z+]+://([^/?#:]*)").alias("host"),
+        F.coalesce(found(url, r"(?i)^[a-z+]+://[^/?#]*/([a-z]{2})(?:[/?#]|$)"),
+                   found(url, r"(?i)^[a-z+]+://[^/?#:]*\.([a-z]+)(?:[:/?#]|$)")).alias("suffix"))
+
+
 def keep_identified(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows that ``identify`` rejects. Rows are matched by a hash of all
     their values, so repeated ids are decided row by row; equal rows are decided alike."""

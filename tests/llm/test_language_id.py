@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tagwave.llm.language_id import identify, keep_identified
+from tagwave.llm.language_id import identify, keep_identified, page_evidence
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,6 +33,23 @@ def test_clean_documents_stay(docs):
     assert kept.count() >= 0.98 * docs.count()
 
 
+def test_pages_by_markup_suffix_and_host(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    rows = page_evidence(pages)
+    page = "<html lang='fr'><script>if (a < b) x</script><p>Le <b>mot</b>&nbsp;la"
+    made = spark.createDataFrame([(1, "https://a.example.com/fr/9?q", page), (2, "http://b.example.de/x", page)],
+                                 "page_id bigint, url string, html string")
+    assert [(r.declared, r.suffix, r.host, r.text.split()) for r in page_evidence(made).collect()] == [
+        ("fr", "fr", "a.example.com", ["Le", "mot", "la"]), ("fr", "de", "b.example.de", ["Le", "mot", "la"])]
+    options = dict(declared_col="declared", host_col="host", suffix_col="suffix", carry=["page_id", "declared"])
+    out = identify(rows, **options)
+    share = out.select(F.avg((F.col("language") == F.col("declared")).cast("double"))).first()[0]
+    assert share > 0.95
+    odd = spark.createDataFrame([(1, None, None), (2, "no address", "<p>"), (3, "http://x", "")],
+                                "page_id bigint, url string, html string")
+    assert [r.kept for r in identify(page_evidence(odd), **options).collect()] == [False] * 3
+
+
 def test_odd_rows(spark, docs):
     rows = [(9001, None, "en", "src1"), (9002, "", "en", None), (9003, "123 456", None, None),
             (9004, "漢字仮名交じり文漢字仮名交じり文" * 20, None, "src1"), (9005, "xqzvkj wqxzj kqvzx jzqkw " * 40, None, None)]
