@@ -16,14 +16,17 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tagwave.plans.catalog import QUERIES  # noqa: E402
 from tagwave.session import local_session  # noqa: E402
+from tagwave.streaming.stream import STREAM_QUERIES  # noqa: E402
 
+ALL = {**QUERIES, **STREAM_QUERIES}
 HEADLINE = ["trending_6h", "rolling_scores", "timeline", "leaderboard_ranked", "hashtag_features",
-            "timeline_runs_drop", "running_totals"]
+            "timeline_runs_drop", "running_totals", "leader_changes", "recent_features", "stream_trending",
+            "timeline_refresh"]
 
 
 def run_once(spark, name: str, sf_dir: str) -> float:
     t0 = time.perf_counter()
-    QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    ALL[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
     return time.perf_counter() - t0
 
 
