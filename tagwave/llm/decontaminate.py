@@ -1,12 +1,13 @@
-"""Benchmark decontamination (operator 10): rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination (operator 10): n-gram seeds, then Smith-Waterman alignment.
 
 1. *Seeds.* Every run of ``SEED`` words of a test item (words: letters and digits, lower case; a shorter item
    is one seed). A bitmap of the seeds' hashes, of fixed size, lets one pass over the training texts drop
    nearly all n-grams that are no seed; what is left joins the seeds by hash.
-2. *Rare seeds.* Per item, the seeds that occur in the fewest training documents: ``RARE`` of them, at least
-   ``LEAST``, and all ties. They alone make candidates, so common phrases join nothing.
-3. *Alignment.* The hits of a (document, item) pair give the diagonals at which the item may lie; for each
-   group of near diagonals the local alignment of the item's words and the passage's words is scored
+2. *Candidates.* Every (document, item) pair with a hit, however common the seed: one run of ``SEED`` words and
+   shorter ones around it can reach ``min_share``, and a verbatim copy elsewhere says nothing about an edited one.
+3. *Alignment.* A window that holds too few of the item's words for ``min_share`` is dropped by counting them (an
+   exact bound, as every match needs its word). The hits of a (document, item) pair give the diagonals at which
+   the item may lie; for each group of near diagonals the local alignment of the item's words and the passage's words is scored
    (match 2, mismatch -1, gap -1), which finds edited copies too. The score's share of the
    item's full score decides: ``min_share`` or more is a leak.
 
@@ -19,15 +20,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 from .shingles import fold, shingle_hashes, signed, text_slices, word_hashes, word_spans
 
 SEED = 4
-RARE = 0.5
-LEAST = 8
 BITMAP_BITS = 23
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SHARE = 0.5
@@ -143,17 +142,9 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     seeds = written(item_seeds(words), "seeds")
     texts = _keyed(docs, id_col, text_col)
     hits = written(text_hits(texts.select("key", "text"), seed_bitmap(seeds)), "hits")
-    known = hits.join(seeds.select("seed").distinct(), "seed", "left_semi")
-    spread = written(known.select("seed", "key").distinct().groupBy("seed").agg(F.count("*").alias("documents")), "spread")
-    order = Window.partitionBy("item_id").orderBy("documents")
-    found = seeds.join(spread, "seed")
-    ranked = found.withColumn("_rank", F.rank().over(order)).withColumn(
-        "_of", F.count("*").over(Window.partitionBy("item_id")))
-    rare = written(ranked.where(F.col("_rank") <= F.greatest(F.lit(LEAST), F.ceil(F.col("_of") * RARE)))
-                   .select("item_id", "n_words", "seed", "item_place"), "rare")
     # one row per document, item and group of diagonals within an item's length
     diagonal = F.col("place") - F.col("item_place")
-    places = (hits.join(rare, "seed").withColumn("diagonal", diagonal)
+    places = (hits.join(seeds, "seed").withColumn("diagonal", diagonal)
               .groupBy("key", "item_id", "n_words", F.floor(F.col("diagonal") / F.col("n_words")).alias("at"))
               .agg(F.min("diagonal").alias("lo"), F.max("diagonal").alias("hi")))
     windows = (places.join(words, "item_id")
@@ -173,7 +164,9 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
                     text = hashes[rows[i]:rows[i + 1]]
                     lo = max(0, batch.column(5)[r].as_py())
                     item = np.array(batch.column(4)[r].as_py(), np.int64).view(np.uint64)
-                    points, a, b = align(item, text[lo:max(lo, batch.column(6)[r].as_py())])
+                    near = text[lo:max(lo, batch.column(6)[r].as_py())]
+                    enough = np.isin(item, near).sum() >= min_share * len(item)
+                    points, a, b = align(item, near) if enough else (0, 0, 0)
                     out.append((points / (MATCH * len(item)), lo + a, lo + b))
             share, a, b = zip(*out) if out else ((), (), ())
             yield pa.record_batch([batch.column(0), batch.column(1), batch.column(3), pa.array(share, pa.float64()),

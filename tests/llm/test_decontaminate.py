@@ -58,6 +58,19 @@ def test_planted_copies_found_and_clean_rows_kept(spark):
     assert {r.doc_id for r in decontaminate(docs, items).collect()} == set(range(120)) - leaked
 
 
+def test_edited_copies_beside_a_verbatim_one(spark):
+    short, long = [f"s{i}" for i in range(16)], [f"l{i}" for i in range(40)]
+    edit = lambda words, at: " ".join("other" if i in at else w for i, w in enumerate(words))
+    docs = [(1, edit(short, ())), (2, edit(short, (5, 11))), (3, edit(long, ())), (4, edit(long, range(5, 40, 6))),
+            (5, " ".join(long[:20])), (6, " ".join(short[:7]))]
+    docs += [(10 + i, edit(short, (5, 11)) + f" tail{i}") for i in range(20)]
+    found = leaks(spark.createDataFrame(docs, "doc_id bigint, text string"),
+                  spark.createDataFrame([(1, " ".join(short)), (2, " ".join(long))], "item_id bigint, text string"))
+    share = {r.doc_id: r.share for r in found.collect()}
+    assert set(share) == {1, 2, 3, 4, 5, *range(10, 30)}
+    assert share[2] == 26 / 32 and share[5] == 0.5
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame(
         [(1, None, 1), (2, "", 1), (3, "one two three four five six", 1), (3, "one two three four five six", 1),
