@@ -63,7 +63,8 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str | None
 
     def looks(i: Column) -> Column:
         w = F.get(F.col("words"), i)
-        after_name = F.get(F.col("words"), i - 1).rlike(r"[=:]$") & F.get(F.col("words"), i - 2).rlike(NAMES)
+        sign = F.get(F.col("words"), i - 1)
+        after_name = (sign.rlike(r"[=:]$") & F.get(F.col("words"), i - 2).rlike(NAMES)) | sign.rlike(NAMES + r"[\"']?[=:]+$")
         return (F.length(w) >= 8) & ((F.length(w) >= MIN_CHARS) & w.rlike(mixed) | w.rlike(FORMS)
                                      | w.rlike(NAMES + r"[\"']?" + assigned) | F.coalesce(after_name, F.lit(False)))
 

@@ -2,7 +2,7 @@
 
 import random
 
-from tagwave.llm.secret_scan import scan
+from tagwave.llm.secret_scan import candidates, scan
 
 SCHEMA = "doc_id bigint, text string, source string, value string, label int"
 
@@ -45,6 +45,14 @@ def test_given_findings_train(spark):
     assert by[0] and not by[4]
 
 
+def test_sign_glued_to_the_name(spark):
+    rows = [(1, "password: s3cr3tpw", None, None, None), (2, 'so token= "abcdefgh" here', None, None, None),
+            (3, '{"api_key": "abcdefghijklmnopqrst"}', None, None, None), (4, "note: plainword here", None, None, None)]
+    found = candidates(spark.createDataFrame(rows, SCHEMA), "doc_id", "text", None).collect()
+    assert {(r.doc_id, r.name, r.value) for r in found} == {
+        (1, "password", "s3cr3tpw"), (2, "token", "abcdefgh"), (3, "api_key", "abcdefghijklmnopqrst")}
+
+
 def test_odd_rows(spark):
     rows = [(1, None, None, "v", 1), (2, "", "s", "v", 1), (3, "plain words only here", "s", "v", 1),
             (None, 'token = "0123456789abcdef0123456789abcdef01234567"', None, None, None),
