@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tagwave.plans.catalog import QUERIES
+from tagwave.streaming.stream import STREAM_QUERIES
 from tools.check_oracle import TABLES, rows_of
 
 SF = "/root/testdata/sf0.001"
@@ -38,8 +40,8 @@ def test_entry_smoke(spark):
     assert df.count() >= 0
 
 
-def test_every_query_has_oracle_or_is_a_feed():
-    assert set(entry.queries()) - set(entry.oracle_sql()) <= {"change_feed"}
+def test_every_engine_query_has_an_oracle_or_is_a_feed():
+    assert {*QUERIES, *STREAM_QUERIES} - set(entry.oracle_sql()) <= {"change_feed"}
 
 
 TIMELINE_FAMILY = ["timeline_entries", "timeline_runs", "timeline_runs_drop", "timeline", "running_totals",
@@ -57,28 +59,10 @@ def duck_oracle_sf():
 
 
 @pytest.mark.parametrize("name", TIMELINE_FAMILY)
-def test_distributed_scans_match_oracle(spark, duck_oracle_sf, name):
-    """Force the range-partitioned scans (no single-task windows) on the timeline queries."""
-    from tagwave.plans.scan import ONE_TASK_CONF
-
+def test_ordered_scans_match_oracle(spark, duck_oracle_sf, name):
+    """The queries built on range-partitioned scans, where the tables span several partitions."""
     con, sf = duck_oracle_sf
-    spark.conf.set(ONE_TASK_CONF, "0")
-    try:
-        df = entry.queries()[name](spark, sf)
-        got = rows_of([tuple(r) for r in df.collect()], df.columns)
-    finally:
-        spark.conf.unset(ONE_TASK_CONF)
+    df = entry.queries()[name](spark, sf)
+    got = rows_of([tuple(r) for r in df.collect()], df.columns)
     res = con.execute(entry.oracle_sql()[name])
     assert got == rows_of(res.fetchall(), [d[0] for d in res.description])
-
-
-def test_entries_without_broadcast_match(spark):
-    """The aggregate-first plan for a large trending set gives the same entries."""
-    from tagwave.operators import timeline as TL
-    from tagwave.plans.catalog import Context
-
-    ctx = Context(spark, "/root/testdata/sf0.01")
-    cols = ["hashtag", "score", "edit_id", "pos", "date", "feature"]
-    a = TL.top_by_score(ctx.ht, ctx.scores(), ctx.as_of, with_rank=False, broadcast_tags=True).select(cols)
-    b = TL.top_by_score(ctx.ht, ctx.scores(), ctx.as_of, with_rank=False, broadcast_tags=False).select(cols)
-    assert sorted(a.collect()) == sorted(b.collect())
