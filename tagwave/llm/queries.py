@@ -7,7 +7,7 @@ express an operator; the others are held against brute force in the tests.
 from __future__ import annotations
 
 from . import decontaminate, fingerprints, html_extract, jaccard_join, language_id
-from . import line_dedup, packing, secret_scan, substring_dedup, toxicity
+from . import line_dedup, packing, secret_scan, substring_dedup, tier_packing, toxicity
 from .common import table
 
 
@@ -52,8 +52,14 @@ def op10_decontaminate(spark, sf_dir):
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
 
 
+def op12_tier_packing(spark, sf_dir):
+    import public_tokenizers
+
+    return tier_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_html_extract, op2_line_dedup, op3_substring_dedup, op4_secret_scan, op5_fingerprints, op6_toxicity, op7_packing,
-    op8_language_id, op9_jaccard_join, op10_decontaminate)}
+    op8_language_id, op9_jaccard_join, op10_decontaminate, op12_tier_packing)}
 
 ORACLE: dict[str, str] = {}
