@@ -7,7 +7,7 @@ express an operator; the others are held against brute force in the tests.
 from __future__ import annotations
 
 from . import decontaminate, fingerprints, html_extract, jaccard_join, language_id
-from . import line_dedup, packing, secret_scan, substring_dedup, tier_packing, toxicity
+from . import lexical_search, line_dedup, packing, secret_scan, substring_dedup, tier_packing, toxicity
 from .common import table
 
 
@@ -58,8 +58,37 @@ def op12_tier_packing(spark, sf_dir):
     return tier_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op13_lexical_search(spark, sf_dir):
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_html_extract, op2_line_dedup, op3_substring_dedup, op4_secret_scan, op5_fingerprints, op6_toxicity, op7_packing,
-    op8_language_id, op9_jaccard_join, op10_decontaminate, op12_tier_packing)}
-
-ORACLE: dict[str, str] = {}
+    op8_language_id, op9_jaccard_join, op10_decontaminate, op12_tier_packing,
+    op13_lexical_search)}
+
+_TERMS = (r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+
+ORACLE: dict[str, str] = {
+    "op13_lexical_search": f"""
+WITH numbered AS (SELECT doc_id, text, row_number() OVER () AS row FROM documents),
+terms AS (
+  SELECT doc_id, row, t, CAST(count(*) AS BIGINT) AS tf
+  FROM (SELECT doc_id, row, unnest({_TERMS}) AS t FROM numbered) GROUP BY ALL),
+lengths AS (SELECT row, CAST(sum(tf) AS BIGINT) AS n FROM terms GROUP BY row),
+totals AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS total FROM lengths),
+weights AS (
+  SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM terms, totals GROUP BY t, n_docs),
+items AS (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark),
+scores AS (
+  SELECT item_id, doc_id, row,
+    CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // total)))) AS BIGINT) AS score
+  FROM items JOIN weights USING (t) JOIN terms USING (t) JOIN lengths USING (row), totals GROUP BY item_id, doc_id, row),
+ranked AS (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank
+  FROM scores WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+""",
+}

@@ -72,12 +72,12 @@ def text_slices(col: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         at = end
 
 
-def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end bytes of all words, and each row's offsets into them."""
+def word_spans(data: np.ndarray, off: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end bytes of all words, and each row's offsets into them. ``gaps`` marks the bytes between words."""
     size = len(data)
     if not size:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    word = ~_SPACE[data]
+    word = ~gaps[data]
     first = np.empty(size, bool)
     first[0] = True
     np.logical_not(word[:-1], out=first[1:])
@@ -93,15 +93,20 @@ def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, off).astype(np.int64)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Hash of each word, from its start to the next word's (white space adds nothing)."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, codes: np.ndarray = _BYTE) -> np.ndarray:
+    """Hash of each word, from its start to the next word's (bytes between words have the code 0)."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     body = data[starts[0]:]
     begin = starts - starts[0]
     place = np.arange(len(body), dtype=np.int64)
     place -= np.repeat(begin, np.diff(np.append(begin, len(body))))
-    return mix(np.add.reduceat(_BYTE[body] * _PLACE[place & 4095], begin))
+    return mix(np.add.reduceat(codes[body] * _PLACE[place & 4095], begin))
+
+
+def letter_codes(gaps: np.ndarray) -> np.ndarray:
+    """Byte codes for ``word_hashes`` with the bytes between words at 0."""
+    return np.where(gaps, np.uint64(0), _BYTE)
 
 
 def shingle_hashes(words: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
