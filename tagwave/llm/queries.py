@@ -7,7 +7,7 @@ express an operator; the others are held against brute force in the tests.
 from __future__ import annotations
 
 from . import decontaminate, fingerprints, html_extract, jaccard_join, language_id
-from . import lexical_search, line_dedup, packing, secret_scan, substring_dedup, tier_packing, toxicity
+from . import lexical_search, line_dedup, packing, prefix_trie, secret_scan, substring_dedup, tier_packing, toxicity
 from .common import table
 
 
@@ -52,6 +52,10 @@ def op10_decontaminate(spark, sf_dir):
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
 
 
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_tier_packing(spark, sf_dir):
     import public_tokenizers
 
@@ -64,13 +68,45 @@ def op13_lexical_search(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_html_extract, op2_line_dedup, op3_substring_dedup, op4_secret_scan, op5_fingerprints, op6_toxicity, op7_packing,
-    op8_language_id, op9_jaccard_join, op10_decontaminate, op12_tier_packing,
-    op13_lexical_search)}
+    op8_language_id, op9_jaccard_join, op10_decontaminate, op11_prefix_trie,
+    op12_tier_packing, op13_lexical_search)}
 
 _TERMS = (r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
           r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
 
 ORACLE: dict[str, str] = {
+    "op11_prefix_trie": """
+WITH turns AS (
+  SELECT conv_id, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS t,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, list(t ORDER BY p) AS own FROM turns GROUP BY conv_id),
+hashed AS (
+  SELECT conv_id, own, CAST(xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(
+      string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [256 + ascii(c), 0, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda crc, x: CASE WHEN x >= 256 THEN xor(crc, x - 256) WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END),
+    4294967295::BIGINT) % 6 AS BIGINT) AS h FROM convs),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(list_slice(coalesce(a.own, []), 1, c.h), list_slice(c.own, c.h + 1, len(c.own))) AS path
+  FROM hashed c LEFT JOIN convs a ON a.conv_id = c.conv_id - c.conv_id % 100),
+members AS (
+  SELECT conv_id, d, list_slice(path, 1, d) AS node, d = len(path) AS ends
+  FROM (SELECT conv_id, path, unnest(range(0, len(path) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256,
+    CASE WHEN d > 0 THEN (count(*) - 1) * length(node[d].text) ELSE 0 END AS saved
+  FROM members GROUP BY node, d),
+children AS (SELECT list_slice(node, 1, d - 1) AS node, d - 1 AS d, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+counted AS (SELECT n.*, coalesce(c.n_children, 0) AS n_children FROM nodes n LEFT JOIN children c ON c.d = n.d AND c.node = n.node),
+below AS (
+  SELECT list_slice(node, 1, up) AS node, up AS d, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM (SELECT node, saved, n_children, unnest(range(0, d + 1)) AS up FROM counted) GROUP BY ALL)
+SELECT c.conv_id, c.d AS depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, b.n_leaves,
+  CAST(b.saved_tokens AS BIGINT) AS saved_tokens, c.ends_sha256
+FROM counted c JOIN below b ON b.d = c.d AND b.node = c.node
+LEFT JOIN nodes p ON c.d > 0 AND p.d = c.d - 1 AND p.node = list_slice(c.node, 1, c.d - 1)
+""",
     "op13_lexical_search": f"""
 WITH numbered AS (SELECT doc_id, text, row_number() OVER () AS row FROM documents),
 terms AS (
