@@ -133,6 +133,10 @@ BODIES = {
               FROM ht GROUP BY 1, 2)""",
     "scores_with_zeros": """SELECT k.hashtag, CAST(coalesce(sc.score, 0) AS BIGINT) AS score
         FROM (SELECT DISTINCT hashtag FROM ht, a WHERE epoch(ts) < a.t) k LEFT JOIN sc USING (hashtag)""",
+    "stream_scores_by_window": """SELECT w.label AS window_label, hashtag,
+        CAST(count(*) FILTER (epoch(ts) >= a.t - w.seconds) AS BIGINT) AS score
+        FROM ht, a, (VALUES ('6', 21600), ('1', 3600), ('24', 86400)) w(label, seconds)
+        WHERE epoch(ts) < a.t GROUP BY w.label, hashtag""",
     "trending_edits": """SELECT hashtag, tr.score, edit_id, date, feature
         FROM ht JOIN tr USING (hashtag), a WHERE epoch(ts) < a.t""",
     "timeline_entries": "SELECT hashtag, score, edit_id, date, feature, entry_rank FROM ent",
@@ -193,6 +197,7 @@ for _stream, _batch in {"stream_trending": "rolling_scores", "stream_trending_st
                         "stream_hashtag_log": "hashtag_features", "stream_recent_features": "recent_features",
                         "stream_latest_for_hashtag": "latest_for_hashtag",
                         "stream_scores": "trending_6h", "stream_scores_with_zeros": "scores_with_zeros",
+                        "stream_rejected_features": "rejected_features", "stream_collapse_stats": "collapse_stats",
                         "timeline_refresh": "timeline"}.items():
     BODIES[_stream] = BODIES[_batch]
 

@@ -43,14 +43,15 @@ def _columns(**types: T.DataType) -> T.StructType:
 
 _TEXT, _LONG, _CLOCK = T.StringType(), T.LongType(), T.TimestampNTZType()
 
-# Sink tables; ``batch_id``, ``as_of``, ``channel`` and ``emit_id`` are folders (partition columns).
+# Sink tables; ``batch_id``, ``version``, ``window_label``, ``channel`` and ``emit_id`` are folders (partition columns).
 FEATURES = _columns(edit_id=_LONG, ts=_CLOCK, user=_TEXT, id=_TEXT, changeset=_TEXT, date=_TEXT, feature=_TEXT,
                     action=_TEXT, comment=_TEXT, hashtags=T.ArrayType(_TEXT), record=_TEXT, batch_id=_LONG)
 HASHTAG_LOG = _columns(edit_id=_LONG, ts=_CLOCK, pos=T.IntegerType(), date=_TEXT, feature=_TEXT, hashtag=_TEXT,
                        batch_id=_LONG)
 NEWEST = _columns(hashtag=_TEXT, ts=_CLOCK, edit_id=_LONG, pos=T.IntegerType(), date=_TEXT, feature=_TEXT,
                   min_ts=_CLOCK, batch_id=_LONG)
-SCORES = _columns(window_label=_TEXT, hashtag=_TEXT, score=_LONG, as_of=_LONG)
+SCORES = _columns(window_label=_TEXT, hashtag=_TEXT, score=_LONG, as_of=_LONG, slot=T.IntegerType(), version=_LONG)
+REJECTS = _columns(edit_id=_LONG, ts=_CLOCK, payload=_TEXT, reason=_TEXT, batch_id=_LONG)
 
 # Bucket counts written by the streaming job (one row per hashtag, bucket and batch).
 BUCKETS = T.StructType([

@@ -1,9 +1,11 @@
-"""Table sinks that replace the reference's key-value store (O-03..O-10).
+"""Table sinks that replace the reference's key-value store (O-03..O-10, O-24).
 
-Every writer owns one folder of its table (a batch, a score time, an emission) and replaces it whole,
-also when it has no rows, so a retried batch neither duplicates nor leaves stale rows (quirk Q9).
-Readers give the table's declared schema and resolve the "last write wins" and "newest first"
-semantics at read time; a table that was never written reads as empty, any other failure raises.
+The tables of the ingest stream are made of runs (``runs``) that a commit log lists (``commits``): a writer here writes one
+run of its table and returns its description, and the run counts once a manifest names it. Readers open only files whose
+statistics can match, and resolve "last write wins" and "newest first".
+
+Tables outside the log (the stateful bucket counts, the feed's emissions) own one folder per batch and replace it whole, also
+when it has no rows; a table that was never written reads as empty, any other failure raises.
 """
 
 from __future__ import annotations
@@ -14,32 +16,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.trending import WINDOW_LABEL
-from ..schema import TIMELINE
+from ..schema import BUCKETS, HASHTAG_LOG, NEWEST, SCORES, TIMELINE
 from ..session import file_system, path_exists, sub_folders
+from .runs import bloom_holds, bloom_position, overlaps, read_runs, write_run
 
 RECENT_KEEP = 1001  # index 0..1000 of the capped feature list
 LATEST_KEEP = 101   # index 0..100 of a hashtag's list
+SLOTS = 4096        # hash ranges of the score store
+
+_MICROS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"
 
 
-def _write_batch(df: DataFrame, batch_id: int, path: str, key: str = "batch_id",
-                 options: dict[str, str] | None = None) -> None:
+def _write_batch(df: DataFrame, batch_id: int, path: str, key: str = "batch_id") -> None:
     """Replace the folder ``key=batch_id`` of a table."""
-    df.write.mode("overwrite").options(**(options or {})).parquet(os.path.join(path, f"{key}={int(batch_id)}"))
+    df.write.mode("overwrite").parquet(os.path.join(path, f"{key}={int(batch_id)}"))
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A sink table with its declared schema; empty if nothing was ever written."""
+    """A table outside the commit log with its declared schema; empty if nothing was ever written."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(path).select(schema.fieldNames())
+
 
+# --- recent features ------------------------------------------------------------------------
 
-def write_recent_features(batch_df: DataFrame, batch_id: int, path: str) -> None:
-    """Feature records with their JSON text, keyed by arrival sequence (O-03 write side)."""
+def write_recent_features(batch_df: DataFrame, batch_id: int, path: str) -> dict:
+    """Feature records with their JSON text (O-03 write side): a segment with its row count and its
+    least and greatest arrival sequence."""
     rec = F.to_json(F.struct("user", "id", "changeset", "date", "feature", "action", "comment", "hashtags"))
-    _write_batch(batch_df.select("edit_id", "ts", "user", "id", "changeset", "date", "feature", "action",
-                                 "comment", "hashtags", rec.alias("record")), batch_id, path)
+    rows = batch_df.select("edit_id", "ts", "user", "id", "changeset", "date", "feature", "action", "comment", "hashtags",
+                           rec.alias("record"))
+    place = F.struct(F.coalesce(F.expr(_MICROS), F.lit(0)), F.coalesce("edit_id", F.lit(0)))
+    return write_run(rows, path, f"batch_id={int(batch_id)}", {"lo": F.min(place), "hi": F.max(place)})
+
+
+def _bounds(run: dict) -> tuple[list, list]:
+    return min(f["lo"] for f in run["files"]), max(f["hi"] for f in run["files"])
+
+
+def newest_segments(runs: list[dict], n: int = RECENT_KEEP) -> list[dict]:
+    """The segments that can hold one of the ``n`` newest rows: all but those below which ``n`` newer rows lie in segments
+    that are newer as a whole."""
+    full = [r for r in runs if r["rows"]]
+    return [r for r in full if sum(o["rows"] for o in full if _bounds(o)[0] > _bounds(r)[1]) < n]
 
 
 def recent_features(features: DataFrame, n: int = RECENT_KEEP) -> DataFrame:
@@ -47,16 +67,22 @@ def recent_features(features: DataFrame, n: int = RECENT_KEEP) -> DataFrame:
     return features.orderBy(F.col("ts").desc(), F.col("edit_id").desc()).limit(n)
 
 
-def write_hashtag_log(batch_df: DataFrame, batch_id: int, path: str) -> None:
-    """(feature, hashtag) rows, never trimmed (O-04). Partitioned by batch, not by hashtag:
-    hashtag cardinality is unbounded, batches arrive in time order. Inside a batch, rows are
-    sorted by hashtag and a parquet bloom filter is kept on it, so a one-hashtag lookup (O-28)
-    skips row groups by their min/max and bloom filter."""
+# --- hashtag log ----------------------------------------------------------------------------
+
+def _write_log(rows: DataFrame, key: str, path: str, tier: int) -> dict:
+    stats = {"lo": F.min("hashtag"), "hi": F.max("hashtag"), "bloom": F.bitmap_construct_agg(bloom_position(F.col("hashtag")))}
+    return write_run(rows, path, key, stats, tier, options={"parquet.bloom.filter.enabled#hashtag": "true"})
+
+
+def write_hashtag_log(batch_df: DataFrame, batch_id: int, path: str) -> dict:
+    """(feature, hashtag) rows, never trimmed (O-04), by batch and not by hashtag: hashtag cardinality is unbounded, batches
+    arrive in time order. Rows are sorted by hashtag inside a file; each file has its least and greatest hashtag and a bloom
+    bitmap in the log's index, and a parquet bloom filter, so a one-hashtag lookup (O-28) opens few files."""
     rows = batch_df.select("edit_id", "ts", "pos", "date", "feature", "hashtag").sortWithinPartitions("hashtag", "ts")
-    _write_batch(rows, batch_id, path, options={"parquet.bloom.filter.enabled#hashtag": "true"})
+    return _write_log(rows, f"batch_id={int(batch_id)}", path, 0)
 
 
-def write_hashtag_newest(batch_df: DataFrame, batch_id: int, path: str) -> None:
+def write_hashtag_newest(batch_df: DataFrame, batch_id: int, path: str) -> dict:
     """Per batch and hashtag: the newest log entry and the oldest entry time. A small index
     (one row per hashtag and batch) that lets a refresh find each hashtag's newest entry
     before a time without reading the whole log."""
@@ -64,16 +90,44 @@ def write_hashtag_newest(batch_df: DataFrame, batch_id: int, path: str) -> None:
     newest = (batch_df.groupBy("hashtag")
               .agg(F.max_by(F.struct(*cols), F.struct("ts", "edit_id", "pos")).alias("r"),
                    F.min("ts").alias("min_ts")))
-    _write_batch(newest.select("hashtag", *[F.col(f"r.{c}").alias(c) for c in cols], "min_ts"), batch_id, path)
+    return write_run(newest.select("hashtag", *[F.col(f"r.{c}").alias(c) for c in cols], "min_ts"), path, f"batch_id={int(batch_id)}")
+
+
+def _last_batch(runs: list[dict]) -> str:
+    """Folder key of a merged run: its newest batch."""
+    return max((r["path"].partition("/")[0] for r in runs), key=lambda k: int(k.partition("=")[2]))
+
+
+def merge_hashtag_log(spark: SparkSession, runs: list[dict], tier: int, path: str) -> dict:
+    """One run in the order of hashtags, cut into files by hashtag range."""
+    rows = read_runs(spark, path, HASHTAG_LOG, runs).drop("batch_id")
+    # ids as well, so that a hashtag with a third of all rows spans files
+    ordered = rows.repartitionByRange("hashtag", "ts", "edit_id").sortWithinPartitions("hashtag", "ts")
+    return _write_log(ordered, _last_batch(runs), path, tier)
+
+
+def merge_hashtag_newest(spark: SparkSession, runs: list[dict], tier: int, path: str) -> dict:
+    cols = ["ts", "edit_id", "pos", "date", "feature"]
+    merged = (read_runs(spark, path, NEWEST, runs).groupBy("hashtag")
+              .agg(F.max_by(F.struct(*cols), F.struct("ts", "edit_id", "pos")).alias("r"), F.min("min_ts").alias("min_ts"))
+              .select("hashtag", *[F.col(f"r.{c}").alias(c) for c in cols], "min_ts"))
+    return write_run(merged, path, _last_batch(runs), tier=tier)
+
+
+def may_hold(spark: SparkSession, tag: str):
+    """Chooses log files that may hold a hashtag: by range, then by the bloom bitmap."""
+    position = spark.range(1).select(bloom_position(F.lit(tag))).first()[0]
+    inside = overlaps(tag, tag)
+    return lambda f: inside(f) and bloom_holds(f.get("bloom"), position)
 
 
 def log_before(log: DataFrame, newest: DataFrame, lo) -> DataFrame:
     """Log rows that can be a hashtag's newest entry before ``lo`` (a timestamp Column).
 
-    Batches whose newest entry of a hashtag is before ``lo`` contribute that entry (from the
-    index). Batches straddling ``lo`` for a hashtag (oldest before, newest not) are read from
+    Runs whose newest entry of a hashtag is before ``lo`` contribute that entry (from the
+    index). Runs straddling ``lo`` for a hashtag (oldest before, newest not) are read from
     the log; the semi-join on ``batch_id``, a partition column, lets dynamic partition pruning
-    skip every other batch folder.
+    skip every other run's folder. Both tables are merged alike, so their ``batch_id`` agree.
     """
     cols = ["hashtag", "ts", "edit_id", "pos", "date", "feature"]
     whole = newest.where(F.col("ts") < lo).select(*cols)
@@ -89,26 +143,66 @@ def latest_for_hashtag(log: DataFrame, tag, n: int = LATEST_KEEP) -> DataFrame:
             .orderBy(F.col("ts").desc(), F.col("edit_id").desc(), F.col("pos").desc()).limit(n))
 
 
+# --- buckets --------------------------------------------------------------------------------
+
 def write_buckets(batch_df: DataFrame, batch_id: int, path: str) -> None:
-    """Bucket counts of one batch: (hashtag, bucket_end, n) (O-05 for the rolling window)."""
+    """Bucket counts of one batch of the stateful stream: (hashtag, bucket_end, n)."""
     _write_batch(batch_df.select("hashtag", "bucket_end", "n"), batch_id, path)
 
 
-def write_scores(scores: DataFrame, as_of: int, path: str, label: str = WINDOW_LABEL) -> None:
-    """Score upsert (O-05): one row per (window label, hashtag) and score time; readers keep the
-    newest time's value. A batch replayed at the same time replaces its own scores."""
-    _write_batch(scores.select(F.lit(label).alias("window_label"), "hashtag", "score"), as_of, path, "as_of")
+def write_bucket_run(counts: DataFrame, batch_id: int, path: str, tier: int = 0) -> dict:
+    """Bucket counts laid out by time: each file of a merged run covers a range of bucket ends of its own and a batch's files its
+    short time, so a window opens its own files only."""
+    rows = counts.select("hashtag", "bucket_end", "n")
+    if tier:
+        rows = rows.repartitionByRange("bucket_end", "hashtag")
+    rows = rows.sortWithinPartitions("bucket_end")
+    return write_run(rows, path, f"batch_id={int(batch_id)}", {"lo": F.min("bucket_end"), "hi": F.max("bucket_end")}, tier)
+
+
+def merge_buckets(spark: SparkSession, runs: list[dict], tier: int, path: str) -> dict:
+    merged = read_runs(spark, path, BUCKETS, runs).groupBy("hashtag", "bucket_end").agg(F.sum("n").alias("n"))
+    return write_bucket_run(merged, int(_last_batch(runs).partition("=")[2]), path, tier)
+
+
+# --- scores ---------------------------------------------------------------------------------
+
+def slot_of(hashtag="hashtag"):
+    """Hash range of the score store that holds a hashtag."""
+    return F.pmod(F.xxhash64(hashtag), F.lit(SLOTS)).cast("int")
+
+
+def write_scores(scores: DataFrame, version: int, path: str, tier: int = 0) -> dict:
+    """Change rows of the score store (O-05): (window_label, hashtag, score, as_of), laid out by window label (O-26); merged runs
+    are cut into files by hash range. A batch writes the scores that changed, no others."""
+    rows = scores.select("window_label", "hashtag", "score", "as_of", slot_of().alias("slot"))
+    rows = rows.repartitionByRange("window_label", "slot", "hashtag") if tier else rows.hint("rebalance")  # few small files
+    rows = rows.sortWithinPartitions("window_label", "slot")
+    return write_run(rows, path, f"version={int(version)}", {"lo": F.min("slot"), "hi": F.max("slot")}, tier, partition_by=["window_label"])
 
 
 def read_scores(scores_log: DataFrame) -> DataFrame:
-    """Last write wins per (window_label, hashtag)."""
+    """Last write wins per (window_label, hashtag): the value of the greatest version."""
     return (scores_log.groupBy("window_label", "hashtag")
-            .agg(F.max_by("score", "as_of").alias("score")))
+            .agg(F.max_by(F.struct("score", "as_of"), "version").alias("r"))
+            .select("window_label", "hashtag", "r.score", "r.as_of"))
+
+
+def merge_scores(spark: SparkSession, runs: list[dict], tier: int, path: str) -> dict:
+    """The last value of each score of the runs, which are neighbours in time."""
+    return write_scores(read_scores(read_runs(spark, path, SCORES, runs)), int(_last_batch(runs).partition("=")[2]), path, tier)
 
 
-def write_changes(records: DataFrame, batch_id: int, path: str, channel: str) -> None:
+# --- changes and rejects --------------------------------------------------------------------
+
+def write_changes(records: DataFrame, batch_id: int, path: str, channel: str) -> dict:
     """Change notification (O-06): the ``record`` texts of one batch on a channel."""
-    _write_batch(records.select("record"), batch_id, os.path.join(path, f"channel={channel}"))
+    return write_run(records.select("record"), path, f"channel={channel}/batch_id={int(batch_id)}") | {"channel": channel}
+
+
+def write_rejects(rejected: DataFrame, batch_id: int, path: str) -> dict:
+    """Dead letters of one batch (O-24): edit_id, ts, payload, reason."""
+    return write_run(rejected.select("edit_id", "ts", "payload", "reason"), path, f"batch_id={int(batch_id)}")
 
 
 def as_record(df: DataFrame) -> DataFrame:
@@ -116,6 +210,8 @@ def as_record(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("record"))
 
 
+# --- timeline -------------------------------------------------------------------------------
+
 def _versions(spark: SparkSession, path: str) -> list[int]:
     """Whole versions of the stored timeline: their write has committed."""
     names = [n for n in sub_folders(spark, path) if n.startswith("version=")]

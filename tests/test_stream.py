@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tagwave.operators import trending as TR
 from tagwave.plans.catalog import QUERIES, hashtag_rows
-from tagwave.schema import BUCKETS, CHANGES, FEATURES, FEED, SCORES, TIMELINE
+from tagwave.schema import BUCKETS, FEED, TIMELINE
 from tagwave.session import scratch_path
 from tagwave.sources.edits import kafka_sequence, read_edits
 from tagwave.sources.fixtures import load_edits
@@ -35,11 +35,11 @@ def test_restart_from_checkpoint_equals_batch(spark):
     edits.where(F.col("edit_id") <= mid).coalesce(2).write.parquet(os.path.join(paths["edits"], "part1"))
     src = os.path.join(paths["edits"], "*")  # two folders
     ST.run_stream(ST._edit_stream(spark, src), paths).awaitTermination()
-    first = spark.read.parquet(paths["hashtags"]).count()
+    first = ST.table(spark, paths, "hashtags").count()
     # second half arrives; the restarted query resumes from its checkpoint
     edits.where(F.col("edit_id") > mid).coalesce(2).write.parquet(os.path.join(paths["edits"], "part2"))
     ST.run_stream(ST._edit_stream(spark, src), paths).awaitTermination()
-    log = spark.read.parquet(paths["hashtags"])
+    log = ST.table(spark, paths, "hashtags")
     assert 0 < first < log.count() == hashtag_rows(spark, SF).count()
     assert sorted(TR.rolling_scores(ST.streamed_buckets(spark, paths)).collect()) == _batch_rolling(spark)
 
@@ -49,10 +49,13 @@ def test_replayed_batch_is_idempotent(spark):
     batch = load_edits(spark, SF).where(F.col("edit_id") < 3000)
     run = ST.process_batch(paths)
     run(batch, 7)
-    once = sorted(spark.read.parquet(paths["hashtags"]).collect())
+    once = sorted(ST.table(spark, paths, "hashtags").collect())
+    number = ST.commit_log(spark, paths).newest()
     run(batch, 7)  # the same micro-batch delivered again after a failure
-    assert sorted(spark.read.parquet(paths["hashtags"]).collect()) == once
-    assert spark.read.parquet(paths["buckets"]).agg(F.sum("n")).first()[0] == len(once)
+    ST.process_batch(paths)(batch, 7)  # and after a restart
+    assert ST.commit_log(spark, paths).newest() == number
+    assert sorted(ST.table(spark, paths, "hashtags").collect()) == once
+    assert ST.table(spark, paths, "buckets").agg(F.sum("n")).first()[0] == len(once)
 
 
 def test_log_before_equals_full_log_scan(spark):
@@ -95,7 +98,7 @@ def test_change_feed_emits_once_per_batch(spark):
     ST.run_stream(ST._edit_stream(spark, paths["edits"]), paths).awaitTermination()
     assert ST.refresh_timeline(spark, paths)
     n_timeline = S.read_timeline(spark, paths["timeline"]).count()
-    n_changes = spark.read.parquet(paths["changes"]).count()
+    n_changes = ST.table(spark, paths, "changes").count()
     ST.follow_changes(spark, paths).awaitTermination()
     feed = spark.read.parquet(paths["feed"])
     assert n_changes > n_timeline > 0
@@ -139,17 +142,17 @@ def test_uri_folder_gives_whole_results(spark, tmp_path):
 
 def test_scores_per_batch_with_zeros_and_changes(spark):
     paths = _drained(spark, "scores")
-    log = S.read_table(spark, paths["scores"], SCORES)
+    log = ST.table(spark, paths, "scores")
     times = sorted(r.as_of for r in log.select("as_of").distinct().collect())
     assert len(times) >= 2
-    last = {r.hashtag: r.score for r in S.read_scores(log).collect()}
+    last = {r.hashtag: r.score for r in ST.last_scores(spark, paths).collect()}
     ht = hashtag_rows(spark, SF)
     wanted = TR.zero_scores(TR.trending(ht), ht.select("hashtag"))
     assert last == {r.hashtag: r.score for r in wanted.collect()}
     assert 0 in last.values()
-    changes = S.read_table(spark, paths["changes"], CHANGES)
+    changes = ST.table(spark, paths, "changes")
     per = {r.channel: r["count"] for r in changes.groupBy("channel").count().collect()}
-    features = S.read_table(spark, paths["features"], FEATURES).count()
+    features = QUERIES["features"](spark, SF).count()
     assert per == {"featuresch": features, "hashtagsch": ht.count() + log.count()}
 
 
@@ -160,7 +163,7 @@ def test_quiet_stream_decays_and_keeps_the_timeline(spark):
     later = ST.last_score_time(spark, paths) + 8 * 3600
     assert not ST.refresh_timeline(spark, paths, as_of=later)
     assert S.read_timeline(spark, paths["timeline"]).collect() == stored
-    assert {r.score for r in S.read_scores(S.read_table(spark, paths["scores"], SCORES)).collect()} == {0}
+    assert {r.score for r in ST.last_scores(spark, paths).collect()} == {0}
 
 
 def test_refresh_ticks_without_edits(spark):
@@ -196,7 +199,8 @@ def test_timeline_versions_switch_when_whole(spark, tmp_path):
 
 
 @pytest.mark.parametrize("name", ["scores_with_zeros", "trending_edits", "timeline", "leader_changes", "recent_features",
-                                  "latest_for_hashtag", "stream_scores", "timeline_refresh", "change_feed", "stream_trending"])
+                                  "latest_for_hashtag", "stream_scores", "timeline_refresh", "change_feed", "stream_trending",
+                                  "stream_rejected_features"])
 def test_empty_events(spark, tmp_path, name):
     spark.read.parquet(f"{SF}/events.parquet").limit(0).write.parquet(str(tmp_path / "events.parquet"))
     assert {**QUERIES, **ST.STREAM_QUERIES}[name](spark, str(tmp_path)).collect() == []
