@@ -18,10 +18,10 @@ def read_edits(spark: SparkSession, fmt: str, path_or_options, streaming: bool =
     """Raw edits ``(edit_id, ts, payload)`` from files or a message bus.
 
     ``parquet``/``json``: files holding the RAW_EDITS columns. ``text``: one JSON edit per line; the
-    arrival clock is the file's time and the sequence is the file block and the line in it.
-    ``kafka``: topic options (needs the connector jar); the sequence is the partition and the offset, which is
-    unique over partitions, and the broker time is the arrival clock, starting at ``latest`` like the
-    reference's stream position. Arrival clocks are UTC, so a clock change moves no window.
+    arrival clock is the file's time. ``kafka``: topic options (needs the connector jar); the broker time is the arrival
+    clock, starting at ``latest`` like the reference's stream position. Arrival clocks are UTC, so a clock change moves no
+    window. Streams of these two have no ``edit_id``: the ingest hands out the sequence (``numbered_batch``). Read as a batch,
+    a text line is numbered by its task and place, a message by partition and offset.
     """
     reader = spark.readStream if streaming else spark.read
     if streaming and max_files:
@@ -32,24 +32,33 @@ def read_edits(spark: SparkSession, fmt: str, path_or_options, streaming: bool =
         return reader.schema(RAW_EDITS).format(fmt).load(path_or_options)
     if fmt == "text":
         raw = reader.format("text").load(path_or_options)
-        return raw.select(text_sequence().alias("edit_id"),
-                          utc_wall_clock(F.col("_metadata.file_modification_time")).alias("ts"),
+        number = [] if streaming else [F.monotonically_increasing_id().alias("edit_id")]
+        return raw.select(*number, utc_wall_clock(F.col("_metadata.file_modification_time")).alias("ts"),
                           F.col("value").alias("payload"))
     if fmt == "kafka":
         opts = dict(path_or_options)
         if streaming:
             opts.setdefault("startingOffsets", starting)
         raw = reader.format("kafka").options(**opts).load()
-        return raw.select(kafka_sequence().alias("edit_id"), utc_wall_clock(F.col("timestamp")).alias("ts"),
-                          F.col("value").cast("string").alias("payload"))
+        number = [] if streaming else [kafka_sequence().alias("edit_id")]
+        return raw.select(*number, utc_wall_clock(F.col("timestamp")).alias("ts"), F.col("value").cast("string").alias("payload"))
     raise ValueError(f"unsupported edit source format: {fmt}")
 
 
-def text_sequence() -> Column:
-    """Line sequence of a text source: 30 bits of the file block's hash, then the line in its task."""
-    block = F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"))
-    return (F.shiftleft(F.pmod(block, F.lit(1 << 30)), 33)
-            .bitwiseOR(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+def numbered_batch(batch: DataFrame, first: int) -> tuple[DataFrame, int]:
+    """A micro-batch with its arrival sequence ``edit_id`` and the next free number: batch after batch, and inside one by partition
+    of the source and place in it, without gaps. ``batch`` should be persisted; one count per partition comes to the driver."""
+    placed = batch.withColumn("_m", F.monotonically_increasing_id())
+    at = F.shiftright("_m", 33).cast("int")
+    counts = sorted(placed.groupBy(at.alias("p")).count().collect())
+    offsets, total = [], first
+    for p, n in counts:
+        offsets.append((p, total))
+        total += n
+    starts = batch.sparkSession.createDataFrame(offsets, "_p int, _first bigint")
+    out = (placed.withColumn("_p", at).join(F.broadcast(starts), "_p")  # a row per partition of the batch
+           .withColumn("edit_id", F.col("_first") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))))
+    return out.select("edit_id", *batch.columns), total
 
 
 def kafka_sequence() -> Column:
@@ -62,7 +71,9 @@ def parse_edits(df: DataFrame, col: str = "payload") -> DataFrame:
 
     ``from_json`` sits under a one-element ``explode``: a Generate node is a barrier for
     predicate pushdown, so later filters on ``e`` reuse this decode instead of re-parsing the
-    text inside a pushed-down filter.
+    text inside a pushed-down filter. Edits without a sequence (an unnumbered stream) get a null ``edit_id``.
     """
+    if "edit_id" not in df.columns:
+        df = df.withColumn("edit_id", F.lit(None).cast("bigint"))
     decoded = F.from_json(F.col(col), PARSE_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
     return df.select("*", F.explode(F.array(decoded)).alias("e"))

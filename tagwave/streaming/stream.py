@@ -27,7 +27,7 @@ from ..operators import trending as TR
 from ..plans.catalog import LOOKUP_TAG
 from ..schema import BUCKETS, CHANGES, FEATURES, FEED, HASHTAG_LOG, NEWEST, REJECTS, SCORES
 from ..session import file_sizes, make_folder, scratch_path
-from ..sources.edits import parse_edits, read_edits
+from ..sources.edits import numbered_batch, parse_edits, read_edits
 from ..sources.fixtures import load_edits
 from . import sinks as S
 from .commits import CommitConflict, CommitLog, State
@@ -182,6 +182,11 @@ def process_batch(paths: dict[str, str], windows: dict[str, int] | None = None,
     def write_batch(batch_df: DataFrame, batch_id: int, log: CommitLog, state: State) -> None:
         spark = batch_df.sparkSession
         runs: dict[str, list[dict]] = {}
+        facts: dict = {}
+        raw = None
+        if "edit_id" not in batch_df.columns:  # a source without a sequence: it is handed out here (O-01)
+            raw = batch_df.persist()
+            batch_df, facts["next_edit_id"] = numbered_batch(raw, state.facts.get("next_edit_id", 0))
         parsed = parse_edits(batch_df).persist()
         try:
             runs["features"] = [S.write_recent_features(E.features(parsed), batch_id, paths["features"])]
@@ -207,6 +212,10 @@ def process_batch(paths: dict[str, str], windows: dict[str, int] | None = None,
                 lambda: S.write_changes(feats, batch_id, paths["changes"], FEATURE_CHANNEL))
         finally:
             parsed.unpersist()
+            if raw is not None:
+                raw.unpersist()
+        if as_of is not None:
+            facts["as_of"] = as_of
         records = S.as_record(ht.select("hashtag", "feature", "date"))
         if "scores" in runs:
             scored = table(spark, paths, "scores", runs=runs["scores"], state=state)
@@ -214,7 +223,7 @@ def process_batch(paths: dict[str, str], windows: dict[str, int] | None = None,
         runs["changes"] = [S.write_changes(records, batch_id, paths["changes"], HASHTAG_CHANNEL), of_features]
         kept = {r["path"] for r in S.newest_segments([*state.runs("features"), *runs["features"]])}
         old = [r["path"] for r in state.runs("features") if r["path"] not in kept]  # beyond the newest 1001 (O-03)
-        log.commit(state, runs, {"features": old}, {INGEST: batch_id}, {} if as_of is None else {"as_of": as_of})
+        log.commit(state, runs, {"features": old}, {INGEST: batch_id}, facts)
 
     return run
 

@@ -10,7 +10,7 @@ from tagwave.operators import edits as E
 from tagwave.operators import trending as TR
 from tagwave.schema import FEED
 from tagwave.session import scratch_path
-from tagwave.sources.edits import parse_edits
+from tagwave.sources.edits import parse_edits, read_edits
 from tagwave.sources.fixtures import load_edits
 from tagwave.streaming import runs as R
 from tagwave.streaming import sinks as S
@@ -216,3 +216,23 @@ def test_dead_letters(spark, tmp_path):
     found = {r.edit_id: r.reason for r in ST.table(spark, paths, "rejects").collect()}
     assert found == {r.edit_id: r.reason for r in E.rejects(parse_edits(batch)).collect()} and len(found) >= 3
     assert ST.last_score_time(spark, paths) is None and ST.table(spark, paths, "hashtags").count() == 0
+
+
+def test_sequence_handed_out_at_ingest(spark, tmp_path):
+    """A text stream's edits are numbered batch after batch without gaps, whatever the files are called."""
+    paths = ST.stream_paths(str(tmp_path / "out"))
+    source = tmp_path / "in"
+    source.mkdir()
+    seen = []
+    for batch in range(3):
+        for k in range(4):
+            (source / f"{9 - batch}-{k}.txt").write_text("".join(f"bad {batch} {k} {i}\n" for i in range(5 + k)))
+        ST.run_stream(read_edits(spark, "text", str(source)), paths).awaitTermination()
+        rows = ST.table(spark, paths, "rejects").collect()
+        fresh = sorted((r.edit_id, r.payload) for r in rows if r.payload.startswith(f"bad {batch}"))
+        assert [i for i, _ in fresh] == list(range(len(seen), len(seen) + 26))
+        for k in range(4):  # lines of a file stay in order
+            places = [int(p.split()[3]) for _, p in fresh if p.split()[2] == str(k)]
+            assert places == sorted(places)
+        seen += fresh
+    assert ST.commit_log(spark, paths).state().facts["next_edit_id"] == 78
