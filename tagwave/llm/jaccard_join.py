@@ -2,21 +2,22 @@
 
 Exact: no link between different sets is lost, and none is guessed.
 
-1. *Sets.* One pass over the texts hashes all shingles (64 bits) and keeps per document the set
-   size, a 64-bit id of the set (a sum of mixed member hashes), and its block keys.
-2. *Size bands and block keys.* Two sets of at most ``hi`` and ``hi / t`` members that reach ``t`` differ in at most
-   ``d = floor((1 - t) / (1 + t) * (hi + hi / t))`` members. Hashing the members into ``d + 1`` parts leaves at least one
-   part equal in both, so the pair shares a key (band, part, hash of the part's members). A set
-   gives its keys for its own band, and for the band below if a partner may lie there. A part
-   holds about nine shingles, so a common line or passage alone makes no key equal.
-3. *Candidate blocks.* Each key links its sets to its smallest one (a star, never all pairs);
-   connected components of these links are the candidate blocks (union-find within tasks, then across them).
-4. *Tiles.* A block is ordered by set size and cut into tiles of ``tile`` sets; tile pairs whose
-   sizes can still meet are compared as separate groups, each of bounded size. Inside a pair, hashed bitmap
-   signatures bound the overlap from above by bit counts; pairs that pass get the exact intersection of the
-   sorted arrays. Pairs already joined are skipped; a group returns a spanning forest of its links.
-5. *Components* of the links, by distributed union-find; exact copies (equal sets) share one node from step 1.
-
+1. *Sets.* A first pass counts all shingles in a sketch of fixed size (2^20 counters). A second one hashes the shingles (64
+   bits) and keeps per document the set size, a 64-bit id of the set (a sum of mixed member hashes), and its keys.
+2. *Keys.* A set's members are ordered by their counts, rare ones first, then by hash, the same order for all. Two sets that
+   reach the threshold share at least ``ceil(t n)`` of either's ``n`` members, so each set's first ``n - ceil(t n) + 1`` members
+   must meet: these are its keys. Common lines and passages come last and make keys only of texts that hold little else.
+   Keys of a single set go: each task sends its distinct keys once, packed, to find those that several hold.
+3. *Centres.* Each key with unlinked sets names a centre; each set meets the centre most of its keys name, exactly. What that
+   links is one component from then on. ``ROUNDS`` rounds leave few keys with sets of several components.
+4. *Tiles.* The sets of such a key are ordered by component and size and cut into tiles of ``tile`` sets; tile pairs whose sizes
+   can meet and that hold several components are compared as separate groups of bounded size. Only sizes and hashed bitmap
+   signatures travel to them: bit counts bound the overlap from above. Pairs that pass, each once whatever keys they share, get
+   the exact intersection of the sorted arrays.
+5. *Components* of the links, by distributed union-find; exact copies (equal sets) share one node from step 2.
+
+No group is a component or a block of keys, so none grows with the corpus. Very long texts are hashed whole; a set's
+array is one row (8 bytes a shingle). An empty table gives an empty result.
 Null and empty texts and texts of white space have no shingles and link with nothing. Repeated
 rows of one ``doc_id`` are equal or different texts like any other rows; each row is returned. A null id
 counts as no smallest id, unless its component has no other.
@@ -28,56 +29,39 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scan import ordered_scan
 from .common import components, written
+from .lexical_search import BITMAP, term_bitmap
 from .shingles import mix, shingle_hashes, signed, text_slices, word_hashes, word_spans
 
 WORDS = 3          # words in a shingle
 PERCENT = 90       # link when 100 * intersection >= PERCENT * union
-BAND = 1.25        # ratio of a size band's ends
 TILE = 512         # sets in a tile
 BITS = 2048        # bits in a bitmap signature
+COUNTERS = 1 << 20     # of the shingle sketch
+COUNTER_CHUNK = 1 << 16
+BUCKET_KEYS = 1_000_000  # keys looked through for repeats in one task
+ROUNDS = 2         # of centres before the tiles
 FOREST_ROWS = 500_000  # links in one task of the local union-find
 
 _SETS = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64()),
                    ("keys", pa.list_(pa.int64()))])
 
 
-def band_ends(limit: int = 2**40) -> np.ndarray:
-    """Upper ends of the size bands: each about ``BAND`` times the one before."""
-    ends = [1]
-    while ends[-1] < limit:
-        ends.append(max(ends[-1] + 1, int(ends[-1] * BAND)))
-    return np.array(ends, dtype=np.int64)
-
-
-_ENDS = band_ends()
-
-
 def set_id(members: np.ndarray) -> np.uint64:
     """Id of a set, the same for equal sets whatever their texts."""
     return mix(np.array([mix(members, 22).sum(dtype=np.uint64) + np.uint64(len(members))], np.uint64))[0]
 
 
-def block_keys(members: np.ndarray, percent: int) -> np.ndarray:
-    """Block keys of one sorted set, for each band in which a pair with it is looked for."""
-    size = len(members)
-    low = -(-size * percent // 100)  # a partner is no smaller
-    out = []
-    for band in range(int(np.searchsorted(_ENDS, max(low, 1))), int(np.searchsorted(_ENDS, size)) + 1):
-        hi = int(_ENDS[band])
-        parts = int((100 - percent) * (hi + hi * 100 // percent) // (100 + percent)) + 1
-        spread = mix(members, 7 + band)
-        part = (spread % np.uint64(parts)).astype(np.int64)
-        total = np.zeros(parts, np.uint64)
-        np.add.at(total, part, mix(members, 11))
-        out.append(mix(total + np.arange(parts, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), 1000 + band))
-    return np.concatenate(out)
+def prefix_keys(members: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The keys of one set: those of its members, rare ones first, that a linked set's keys must meet."""
+    n = len(members)
+    place = counts[(members & np.uint64(COUNTERS - 1)).astype(np.int64)]
+    return members[np.lexsort((members, place))[:n + (-percent * n // 100) + 1]]
 
 
 def _row_sets(col: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -94,8 +78,43 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")).alias("row_key")
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+def shingle_counts(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
+    """Occurrences of all shingles by the low bits of their hashes: a sketch of fixed size (8 MB)."""
+
+    def count(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for _, _, data, off in text_slices(batch.column(0)):
+                starts, _, rows = word_spans(data, off)
+                hashes, _ = shingle_hashes(word_hashes(data, starts), rows, words)
+                total += np.bincount((hashes & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        parts = total.reshape(-1, COUNTER_CHUNK)
+        kept = [k for k in range(len(parts)) if parts[k].any()]
+        yield pa.record_batch([pa.array(kept, pa.int32()), pa.array(
+            [pa.compress(parts[k].astype("<i8").tobytes(), "zstd", asbytes=True) for k in kept], pa.binary())], names=["chunk", "counts"])
+
+    def read(packed: bytes) -> np.ndarray:
+        return np.frombuffer(pa.decompress(packed, 8 * COUNTER_CHUNK, "zstd", asbytes=True), "<i8")
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums[chunk] = sums[chunk] + read(packed) if chunk in sums else read(packed)
+        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array(
+            [pa.compress(v.tobytes(), "zstd", asbytes=True) for v in sums.values()], pa.binary())], names=["chunk", "counts"])
+
+    schema = "chunk int, counts binary"
+    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    out = np.zeros(COUNTERS, np.int64)
+    for chunk, packed in texts.mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema).collect():
+        out[chunk * COUNTER_CHUNK:(chunk + 1) * COUNTER_CHUNK] = read(packed)
+    return out
+
+
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, counts: np.ndarray) -> DataFrame:
     """Steps 1 and 2: (row_key, doc_id, n_shingles, set_id, keys) for each row of ``docs``."""
+    sketch = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
         for batch in batches:
@@ -103,7 +122,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int, percen
             for members in _row_sets(batch.column(2), words):
                 sizes.append(len(members))
                 names.append(set_id(members))
-                keys.append(signed(block_keys(members, percent)) if len(members) else np.zeros(0, np.int64))
+                keys.append(signed(prefix_keys(members, sketch.value, percent)) if len(members) else np.zeros(0, np.int64))
             off = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             yield pa.record_batch([
                 batch.column(0), batch.column(1), pa.array(sizes, pa.int64()),
@@ -116,11 +135,56 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int, percen
     return plain.mapInArrow(run, "row_key bigint, doc_id bigint, n_shingles bigint, set_id bigint, keys array<bigint>")
 
 
-def candidate_links(sets: DataFrame) -> DataFrame:
-    """Step 3: (a, b), each set's id with the smallest set id of each of its keys."""
-    rows = sets.where("n_shingles > 0").select("set_id", F.explode("keys").alias("key"))
-    lowest = F.min("set_id").over(Window.partitionBy("key"))
-    return rows.select(lowest.alias("a"), F.col("set_id").alias("b")).where("a <> b")
+def repeated_keys(sets: DataFrame) -> DataFrame:
+    """(key): the keys that several rows hold. A task sends each of its keys once, so a hot key costs a few bytes a task."""
+    total = sets.agg(F.sum(F.size("keys"))).first()[0] or 0
+    buckets = max(1, -(-total // BUCKET_KEYS))
+
+    def local(batches):
+        held = [b.column(0).combine_chunks().flatten() if isinstance(b.column(0), pa.ChunkedArray) else b.column(0).flatten() for b in batches]
+        keys, n = np.unique(np.concatenate([h.to_numpy(zero_copy_only=False) for h in held] or [np.zeros(0, np.int64)]), return_counts=True)
+        bucket = (mix(keys.view(np.uint64), 3) % np.uint64(buckets)).astype(np.int64)
+        for k in range(buckets):
+            own = bucket == k
+            if own.any():
+                yield pa.record_batch([pa.array([k], pa.int32()), pa.array([keys[own].tobytes()], pa.binary()),
+                                       pa.array([(n[own] > 1).tobytes()], pa.binary())], names=["bucket", "keys", "twice"])
+
+    def reduce(rows: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.frombuffer(k, "<i8") for k in rows.column("keys").to_pylist()])
+        twice = np.concatenate([np.frombuffer(t, bool) for t in rows.column("twice").to_pylist()])
+        distinct, inverse, n = np.unique(keys, return_inverse=True, return_counts=True)
+        again = n > 1
+        again[inverse[twice]] = True
+        return pa.table([pa.array(distinct[again])], names=["key"])
+
+    packed = sets.select("keys").mapInArrow(local, "bucket int, keys binary, twice binary")
+    return written(packed.groupBy("bucket").applyInArrow(reduce, "key bigint"), "repeated", few=True)
+
+
+def with_several(rows: DataFrame, col: str) -> DataFrame:
+    """Rows of the keys under which ``col`` has several values."""
+    keys = rows.groupBy("key").agg(F.min(col).alias("lo"), F.max(col).alias("hi")).where("lo < hi").select("key")
+    return rows.join(keys, "key", "left_semi")
+
+
+def shared_rows(sets: DataFrame) -> DataFrame:
+    """(key, set_id, n) of the keys that several different sets hold. A bitmap of fixed size keeps most other keys from travelling."""
+    keys = repeated_keys(sets)
+    known = sets.sparkSession.sparkContext.broadcast(np.packbits(term_bitmap(keys.select(F.col("key").alias("term")))))
+
+    def run(batches):
+        bits = np.unpackbits(known.value).astype(bool)
+        for batch in batches:
+            lists = batch.column(2)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            hit = bits[flat & (BITMAP - 1)]
+            at = pa.array(row[hit])
+            yield pa.record_batch([pa.array(flat[hit]), batch.column(0).take(at), batch.column(1).take(at)], names=["key", "set_id", "n"])
+
+    rows = sets.select("set_id", "n_shingles", "keys").mapInArrow(run, "key bigint, set_id bigint, n bigint")
+    return written(with_several(rows.join(keys, "key", "left_semi").distinct(), "set_id"), "shared", few=True)
 
 
 def local_forests(links: DataFrame, rows: int = FOREST_ROWS) -> DataFrame:
@@ -147,86 +211,150 @@ def local_forests(links: DataFrame, rows: int = FOREST_ROWS) -> DataFrame:
     return links.select("a", "b").coalesce(tasks).mapInArrow(run, "a bigint, b bigint")
 
 
-def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    out = np.zeros((len(sets), BITS // 64), np.uint64)
-    for i, s in enumerate(sets):
-        bit = s % np.uint64(BITS)
-        np.bitwise_or.at(out[i], (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
-    return out
+def bitmap(members: np.ndarray) -> np.ndarray:
+    """A set's bitmap signature."""
+    out = np.zeros(BITS, bool)
+    out[(members % np.uint64(BITS)).astype(np.int64)] = True
+    return np.packbits(out)
 
 
-def tile_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
-    """Step 4: a spanning forest of the links within ``left``, or else of all links between
-    ``left`` and ``right`` (numbered after ``left``)."""
-    sets = left + (right or [])
-    size = np.array([len(s) for s in sets], np.int64)
-    maps = _bitmaps(sets)
-    root = np.arange(len(sets))
-    out = []
-    for i in range(len(left) if right else len(sets) - 1):
-        others = np.arange(len(left) if right else i + 1, len(sets))
-        others = others[(root[others] != root[i]) & (100 * np.minimum(size[others], size[i]) >= percent * np.maximum(size[others], size[i]))]
-        if not len(others):
-            continue
-        only_i = np.bitwise_count(maps[i] & ~maps[others]).sum(axis=1, dtype=np.int64)
-        only_j = np.bitwise_count(maps[others] & ~maps[i]).sum(axis=1, dtype=np.int64)
-        most = np.minimum(size[i] - only_i, size[others] - only_j)
-        for j in others[100 * most >= percent * (size[i] + size[others] - most)]:
-            if root[j] == root[i]:
-                continue
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * both >= percent * (size[i] + size[j] - both):
-                out.append((i, int(j)))
-                root[root == root[j]] = root[i]
-    return out
-
+def held_sets(docs: DataFrame, sets: DataFrame, shared: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(set_id, n, bits, members) of the sets that share a key with another, each once."""
+    wanted = written(sets.groupBy("set_id").agg(F.min("row_key").alias("row_key")).join(
+        shared.select("set_id").distinct(), "set_id", "left_semi"), "wanted", few=True)
+    known = sets.sparkSession.sparkContext.broadcast(np.packbits(term_bitmap(wanted.select(F.col("row_key").alias("term")))))
 
-def verified_links(docs: DataFrame, sets: DataFrame, blocks: DataFrame, id_col: str, text_col: str, words: int,
-                   percent: int, tile: int) -> DataFrame:
-    """Step 4: links (a, b) of set ids, exactly checked. ``blocks``: (node, component)."""
-    members = (sets.groupBy("set_id").agg(F.min("row_key").alias("row_key"), F.max("n_shingles").alias("n"))
-               .join(blocks.withColumnRenamed("node", "set_id"), "set_id"))
-    ranked = written(ordered_scan(members, [F.col("n"), F.col("set_id")], ["component"], rank="place")
-                     .withColumn("tile", F.floor((F.col("place") - 1) / tile).cast("int")), "tiles")
-    ends = ranked.groupBy("component", "tile").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    x, y = ends.alias("x"), ends.alias("y")
-    meets = (F.col("x.component") == F.col("y.component")) & (F.col("x.tile") <= F.col("y.tile")) & (
-        F.col("y.lo") * percent <= F.col("x.hi") * 100)
-    pairs = x.join(y, meets).select("x.component", F.col("x.tile").alias("i"), F.col("y.tile").alias("j"))
-    groups = pairs.select("component", "i", "j", F.col("i").alias("tile")).unionByName(
-        pairs.where("i <> j").select("component", "i", "j", F.col("j").alias("tile")))
+    def likely(batches):
+        bits = np.unpackbits(known.value).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(bits[batch.column(0).to_numpy(zero_copy_only=False) & (BITMAP - 1)]))
 
     def arrays(batches):
         for batch in batches:
-            made = [members.tobytes() for members in _row_sets(batch.column(3), words)]
-            yield pa.record_batch([*batch.columns[:3], pa.array(made, pa.binary())],
-                                  names=["set_id", "component", "tile", "members"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                made = list(_row_sets(part.column(1), words))
+                yield pa.record_batch([part.column(0), pa.array([len(m) for m in made], pa.int64()), pa.array([bitmap(m).tobytes() for m in made]),
+                                       pa.array([m.tobytes() for m in made], pa.binary())], names=["set_id", "n", "bits", "members"])
+
+    texts = docs.select(row_key(id_col, text_col), F.col(text_col).cast("string").alias("text")).mapInArrow(
+        likely, "row_key bigint, text string")
+    one = texts.join(wanted, "row_key").dropDuplicates(["row_key"]).select("set_id", "text")
+    return written(one.mapInArrow(arrays, "set_id bigint, n bigint, bits binary, members binary"), "held")
+
+
+def exact_links(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of sets that reach the threshold, by the intersection of their sorted arrays."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield pa.record_batch(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    first = pairs.join(held.select(F.col("set_id").alias("b"), F.col("members").alias("y")), "b")
+    both = first.join(held.select(F.col("set_id").alias("a"), F.col("members").alias("x")), "a").select("a", "b", "x", "y")
+    return both.mapInArrow(run, "a bigint, b bigint")
+
 
-    texts = docs.select(row_key(id_col, text_col), F.col(text_col).cast("string").alias("text"))
-    held = (texts.hint("merge").join(ranked.select("row_key", "set_id", "component", "tile"), "row_key")
-            .select("set_id", "component", "tile", "text")
-            .mapInArrow(arrays, "set_id bigint, component bigint, tile int, members binary"))
+def open_rows(shared: DataFrame, links: DataFrame | None) -> DataFrame:
+    """(key, set_id, n, comp) of the keys whose sets are in several components of the links so far."""
+    if links is None:
+        return shared.withColumn("comp", F.col("set_id"))
+    labels = components(local_forests(links)).withColumnRenamed("node", "set_id")
+    rows = shared.join(labels, "set_id", "left").select("key", "set_id", "n", F.coalesce("component", "set_id").alias("comp"))
+    return written(with_several(rows, "comp"), "open", few=True)
 
-    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
-        rows = rows.drop_duplicates("set_id").sort_values("set_id")
-        a, b = rows[rows.tile == i], rows[rows.tile == j]
-        read = lambda part: [np.frombuffer(m, np.uint64) for m in part.members]
-        ids = list(a.set_id) + (list(b.set_id) if i != j else [])
-        found = tile_links(read(a), read(b) if i != j else None, percent)
-        return pd.DataFrame({"a": [ids[p] for p, _ in found], "b": [ids[q] for _, q in found]}, dtype="int64")
 
-    return held.hint("merge").join(groups, ["component", "tile"]).groupBy("component", "i", "j").applyInPandas(
-        compare, "a bigint, b bigint")
+def _sizes_meet(x: str, y: str, percent: int) -> Column:
+    return (F.col(x) * percent <= F.col(y) * 100) & (F.col(y) * percent <= F.col(x) * 100)
+
+
+def centre_pairs(rows: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Step 3: each set with the centre that most of its keys name."""
+    centre = rows.groupBy("key").agg(F.min_by(F.struct("set_id", "n", "comp"), F.xxhash64("set_id", F.lit(turn))).alias("c"))
+    named = (rows.join(centre, "key").select(F.col("c.set_id").alias("a"), F.col("set_id").alias("b"), F.col("c.n").alias("na"), "n",
+                                             F.col("c.comp").alias("ca"), "comp").where("ca <> comp").where(_sizes_meet("na", "n", percent)))
+    votes = named.groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes"))
+    return votes.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a")).select("a", "b")
+
+
+def bounded_pairs(size: np.ndarray, comp: np.ndarray, maps: np.ndarray, left: int, percent: int) -> list[tuple[int, int]]:
+    """Pairs of different components that the bit counts allow: within all sets (``left`` 0), or of the first ``left`` with the others."""
+    out = []
+    for i in range(left or len(size) - 1):
+        others = np.arange(left or i + 1, len(size))
+        others = others[(comp[others] != comp[i]) & (100 * np.minimum(size[others], size[i]) >= percent * np.maximum(size[others], size[i]))]
+        if len(others):
+            only_i = np.bitwise_count(maps[i] & ~maps[others]).sum(axis=1, dtype=np.int64)
+            only_j = np.bitwise_count(maps[others] & ~maps[i]).sum(axis=1, dtype=np.int64)
+            most = np.minimum(size[i] - only_i, size[others] - only_j)
+            out += [(i, j) for j in others[100 * most >= percent * (size[i] + size[others] - most)].tolist()]
+    return out
+
+
+def tile_pairs(rows: DataFrame, held: DataFrame, percent: int, tile: int) -> DataFrame:
+    """Step 4: the distinct pairs (a, b) of different components under one key that sizes and bitmaps allow."""
+    ranked = written(ordered_scan(rows, [F.col("comp"), F.col("n"), F.col("set_id")], ["key"], rank="place")
+                     .withColumn("tile", F.floor((F.col("place") - 1) / tile).cast("int")).drop("place"), "tiles", few=True)
+    ends = ranked.groupBy("key", "tile").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    x, y = ends.alias("x"), ends.alias("y")
+    meets = ((F.col("x.key") == F.col("y.key")) & (F.col("x.tile") <= F.col("y.tile"))
+             & (F.col("y.lo") * percent <= F.col("x.hi") * 100) & (F.col("x.lo") * percent <= F.col("y.hi") * 100)
+             & (F.least("x.c0", "y.c0") < F.greatest("x.c1", "y.c1")))
+    pairs = x.join(y, meets).select("x.key", F.col("x.tile").alias("i"), F.col("y.tile").alias("j"))
+    sides = pairs.select("key", "i", "j", F.col("i").alias("tile")).unionByName(
+        pairs.where("i <> j").select("key", "i", "j", F.col("j").alias("tile")))
+    sent = (ranked.join(sides, ["key", "tile"]).join(held.select("set_id", "bits"), "set_id")
+            .select("key", "i", "j", "tile", "set_id", "n", "comp", "bits")
+            .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "tile", "set_id"))
+
+    def compare(group: list[tuple]) -> list[tuple[int, int]]:
+        _, i, j = group[0][:3]
+        size, comp = np.array([g[5] for g in group]), np.array([g[6] for g in group])
+        maps = np.frombuffer(b"".join(g[7] for g in group), np.uint64).reshape(len(group), -1)
+        left = 0 if i == j else sum(g[3] == i for g in group)
+        return [tuple(sorted((group[p][4], group[q][4]))) for p, q in bounded_pairs(size, comp, maps, left, percent)]
+
+    def run(batches):
+        group: list[tuple] = []
+        for batch in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if group and group[0][:3] != row[:3]:
+                    out += compare(group)
+                    group = []
+                group.append(row)
+            yield pa.record_batch([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+        out = compare(group) if group else []
+        yield pa.record_batch([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+
+    return sent.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def set_links(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, words: int, percent: int, tile: int) -> DataFrame:
+    """Links (a, b) of set ids that connect whatever the threshold connects."""
+    shared = shared_rows(sets)
+    held = held_sets(docs, sets, shared, id_col, text_col, words)
+    rows, links = open_rows(shared, None), None
+    for turn in range(ROUNDS):
+        found = written(exact_links(centre_pairs(rows, percent, turn), held, percent), "centre-links", few=True)
+        links = found if links is None else links.unionByName(found)
+        rows = open_rows(shared, links)
+    rest = written(exact_links(tile_pairs(rows, held, percent, tile), held, percent), "tile-links", few=True)
+    return links.unionByName(rest)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
                        percent: int = PERCENT, tile: int = TILE) -> DataFrame:
     """(row_key, doc_id, n_shingles, component_id) for every row of ``docs``: the set size, and the smallest
     id that links reach. See the module's text for the steps and the odd cases."""
-    sets = written(shingle_sets(docs, id_col, text_col, words, percent), "sets")
-    blocks = components(local_forests(written(candidate_links(sets), "candidates")))
-    links = written(verified_links(docs, sets, blocks, id_col, text_col, words, percent, tile), "links")
+    counts = shingle_counts(docs, text_col, words)
+    sets = written(shingle_sets(docs, id_col, text_col, words, percent, counts), "sets")
+    links = set_links(docs, sets, id_col, text_col, words, percent, tile)
     joined = components(local_forests(links)).withColumnRenamed("node", "set_id")
     first = sets.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("first"))
     named = first.join(joined, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))

@@ -5,26 +5,27 @@ import re
 
 import numpy as np
 
-from tagwave.llm.jaccard_join import block_keys, jaccard_components
+from tagwave.llm import jaccard_join as J
+from tagwave.llm.jaccard_join import jaccard_components, prefix_keys
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
 
-def shingles(text):
+def shingles(text, n=3):
     words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     if not words:
         return frozenset()
-    return frozenset(tuple(words[i:i + 3]) for i in range(max(1, len(words) - 2)))
+    return frozenset(tuple(words[i:i + n]) for i in range(max(1, len(words) - n + 1)))
 
 
-def brute(rows):
-    sets = [shingles(t) for _, t in rows]
+def brute(rows, words=3, percent=90):
+    sets = [shingles(t, words) for _, t in rows]
     ids = [d for d, _ in rows]
     comp = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
             a, b = sets[i], sets[j]
-            if a and b and 100 * len(a & b) >= 90 * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 old, new = comp[i], comp[j]
                 comp = [new if c == old else c for c in comp]
     low = {}
@@ -81,8 +82,34 @@ def test_repeated_and_null_ids(spark):
 
 def test_linked_sets_share_a_key():
     rng = np.random.default_rng(3)
-    for size in (5, 10, 19, 60, 400):
-        a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
-        cut = int(0.1 * size)
-        b = np.unique(a[cut:])
-        assert set(block_keys(a, 90)) & set(block_keys(b, 90))
+    counts = rng.integers(1, 50, J.COUNTERS)
+    for percent in (80, 90):
+        for size in (1, 2, 5, 10, 19, 60, 400):
+            a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+            for _ in range(20):
+                b = np.unique(np.concatenate([rng.permutation(a)[size * (100 - percent) // 200:], rng.integers(0, 2**63, size * (100 - percent) // 250, dtype=np.uint64)]))
+                if 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)):
+                    assert set(prefix_keys(a, counts, percent)) & set(prefix_keys(b, counts, percent))
+
+
+def test_five_words_and_eighty_percent(spark):
+    rows = made_texts(150, 21)
+    assert run(spark, rows, words=5, percent=80) == brute(rows, 5, 80)
+
+
+def test_group_of_near_copies_around_a_base(spark, monkeypatch):
+    """Copies that link to the base alone, or to some others, over several tiles and without rounds of centres as well."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(170)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 90):
+        words = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4])):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, " ".join(f"c{rng.randrange(50)}" for _ in range(60)) + " the same closing line of many pages here") for i in range(40)]
+    wanted = brute(rows, 5, 80)
+    assert run(spark, rows, words=5, percent=80, tile=8) == wanted
+    monkeypatch.setattr(J, "ROUNDS", 1)
+    monkeypatch.setattr(J, "centre_pairs", lambda found, *_: found.selectExpr("set_id AS a", "set_id AS b").limit(0))
+    assert run(spark, rows, words=5, percent=80, tile=16) == wanted
