@@ -2,19 +2,21 @@
 
 Exact: no link between different sets is lost, and none is guessed.
 
-1. *Sets.* A first pass counts all shingles in a sketch of fixed size (2^20 counters). A second one hashes the shingles (64
-   bits) and keeps per document the set size, a 64-bit id of the set (a sum of mixed member hashes), and its keys.
+1. *Sets.* A first pass counts all shingles in a sketch of fixed size (2^23 counters). A second one hashes the shingles (64
+   bits) and keeps per document the set size, a 64-bit id of the set (a sum of mixed member hashes), a hashed bitmap signature
+   and the set's keys.
 2. *Keys.* A set's members are ordered by their counts, rare ones first, then by hash, the same order for all. Two sets that
    reach the threshold share at least ``ceil(t n)`` of either's ``n`` members, so each set's first ``n - ceil(t n) + 1`` members
    must meet: these are its keys. Common lines and passages come last and make keys only of texts that hold little else.
    Keys of a single set go: each task sends its distinct keys once, packed, to find those that several hold.
-3. *Centres.* Each key with unlinked sets names a centre; each set meets the centre most of its keys name, exactly. What that
-   links is one component from then on. ``ROUNDS`` rounds leave few keys with sets of several components.
-4. *Tiles.* The sets of such a key are ordered by component and size and cut into tiles of ``tile`` sets; tile pairs whose sizes
-   can meet and that hold several components are compared as separate groups of bounded size. Only sizes and hashed bitmap
-   signatures travel to them: bit counts bound the overlap from above. Pairs that pass, each once whatever keys they share, get
-   the exact intersection of the sorted arrays.
-5. *Components* of the links, by distributed union-find; exact copies (equal sets) share one node from step 2.
+3. *Centres.* Each key with unlinked sets names a centre, and each set meets the centre most of its keys name. What that
+   links is one component from then on. ``ROUNDS`` rounds leave few keys with near sets of several components.
+4. *Tiles.* The sets of such a key are ordered by size and cut into tiles of ``tile`` sets; tile pairs whose sizes
+   can meet are compared as separate groups of bounded size, skipping pairs of one component. Only sizes and bitmaps travel
+   to them (under ``FEW`` sets only sizes, and the pairs that those allow).
+5. *Checks.* For each pair, once whatever keys it shares, bit counts of the bitmaps bound the overlap from above; a pair that passes
+   gets the exact intersection of the sorted arrays, which are made for the sets of such pairs only.
+6. *Components* of the links, by distributed union-find; exact copies (equal sets) share one node from step 2.
 
 No group is a component or a block of keys, so none grows with the corpus. Very long texts are hashed whole; a set's
 array is one row (8 bytes a shingle). An empty table gives an empty result.
@@ -42,14 +44,15 @@ WORDS = 3          # words in a shingle
 PERCENT = 90       # link when 100 * intersection >= PERCENT * union
 TILE = 512         # sets in a tile
 BITS = 2048        # bits in a bitmap signature
-COUNTERS = 1 << 20     # of the shingle sketch
+FEW = 8            # sets of a key whose pairs by size are few
+COUNTERS = 1 << 23     # of the shingle sketch
 COUNTER_CHUNK = 1 << 16
 BUCKET_KEYS = 1_000_000  # keys looked through for repeats in one task
 ROUNDS = 2         # of centres before the tiles
 FOREST_ROWS = 500_000  # links in one task of the local union-find
 
 _SETS = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64()),
-                   ("keys", pa.list_(pa.int64()))])
+                   ("bits", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
 
 def set_id(members: np.ndarray) -> np.uint64:
@@ -64,6 +67,13 @@ def prefix_keys(members: np.ndarray, counts: np.ndarray, percent: int) -> np.nda
     return members[np.lexsort((members, place))[:n + (-percent * n // 100) + 1]]
 
 
+def bitmap(members: np.ndarray) -> bytes:
+    """A set's bitmap signature."""
+    out = np.zeros(BITS, bool)
+    out[(members % np.uint64(BITS)).astype(np.int64)] = True
+    return np.packbits(out).tobytes()
+
+
 def _row_sets(col: pa.Array, words: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     for _, _, data, off in text_slices(col):
@@ -79,60 +89,62 @@ def row_key(id_col: str, text_col: str) -> Column:
 
 
 def shingle_counts(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
-    """Occurrences of all shingles by the low bits of their hashes: a sketch of fixed size (8 MB)."""
+    """How often the shingles occur, by the low bits of their hashes: a sketch of fixed size, 8 MB, of counts in quarter octaves."""
+
+    def pack(values: np.ndarray) -> bytes:
+        return pa.compress(values.tobytes(), "zstd", asbytes=True)
 
     def count(batches):
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for _, _, data, off in text_slices(batch.column(0)):
+            for _, _, data, off in text_slices(batch.column(0), 16_000_000):
                 starts, _, rows = word_spans(data, off)
                 hashes, _ = shingle_hashes(word_hashes(data, starts), rows, words)
                 total += np.bincount((hashes & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
         parts = total.reshape(-1, COUNTER_CHUNK)
         kept = [k for k in range(len(parts)) if parts[k].any()]
-        yield pa.record_batch([pa.array(kept, pa.int32()), pa.array(
-            [pa.compress(parts[k].astype("<i8").tobytes(), "zstd", asbytes=True) for k in kept], pa.binary())], names=["chunk", "counts"])
-
-    def read(packed: bytes) -> np.ndarray:
-        return np.frombuffer(pa.decompress(packed, 8 * COUNTER_CHUNK, "zstd", asbytes=True), "<i8")
+        yield pa.record_batch([pa.array(kept, pa.int32()), pa.array([pack(parts[k]) for k in kept], pa.binary())], names=["chunk", "counts"])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[chunk] = sums[chunk] + read(packed) if chunk in sums else read(packed)
-        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array(
-            [pa.compress(v.tobytes(), "zstd", asbytes=True) for v in sums.values()], pa.binary())], names=["chunk", "counts"])
+                part = np.frombuffer(pa.decompress(packed, 8 * COUNTER_CHUNK, "zstd", asbytes=True), np.int64)
+                sums[chunk] = sums[chunk] + part if chunk in sums else part
+        levels = [np.minimum(255, 4 * np.log2(v + 1)).astype(np.uint8) for v in sums.values()]
+        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array(list(map(pack, levels)), pa.binary())], names=["chunk", "counts"])
 
     schema = "chunk int, counts binary"
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    out = np.zeros(COUNTERS, np.int64)
-    for chunk, packed in texts.mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema).collect():
-        out[chunk * COUNTER_CHUNK:(chunk + 1) * COUNTER_CHUNK] = read(packed)
+    out = np.zeros(COUNTERS, np.uint8)
+    for chunk, packed in texts.mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema).collect():  # 8 MB at most
+        out[chunk * COUNTER_CHUNK:(chunk + 1) * COUNTER_CHUNK] = np.frombuffer(pa.decompress(packed, COUNTER_CHUNK, "zstd", asbytes=True), np.uint8)
     return out
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """Steps 1 and 2: (row_key, doc_id, n_shingles, set_id, keys) for each row of ``docs``."""
+    """Steps 1 and 2: (row_key, doc_id, n_shingles, set_id, bits, keys) for each row of ``docs``."""
     sketch = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
         for batch in batches:
-            sizes, names, keys = [], [], []
+            sizes, names, bits, keys = [], [], [], []
             for members in _row_sets(batch.column(2), words):
                 sizes.append(len(members))
                 names.append(set_id(members))
+                bits.append(bitmap(members))
                 keys.append(signed(prefix_keys(members, sketch.value, percent)) if len(members) else np.zeros(0, np.int64))
             off = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             yield pa.record_batch([
                 batch.column(0), batch.column(1), pa.array(sizes, pa.int64()),
                 pa.array(signed(np.array(names, np.uint64))),
-                pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))),
+                pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))),
             ], schema=_SETS)
 
     plain = docs.select(row_key(id_col, text_col), F.col(id_col).cast("bigint").alias("doc_id"),
                         F.col(text_col).cast("string").alias("text"))
-    return plain.mapInArrow(run, "row_key bigint, doc_id bigint, n_shingles bigint, set_id bigint, keys array<bigint>")
+    return plain.mapInArrow(run, "row_key bigint, doc_id bigint, n_shingles bigint, set_id bigint, bits binary, "
+                                 "keys array<bigint>")
 
 
 def repeated_keys(sets: DataFrame) -> DataFrame:
@@ -184,7 +196,7 @@ def shared_rows(sets: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(flat[hit]), batch.column(0).take(at), batch.column(1).take(at)], names=["key", "set_id", "n"])
 
     rows = sets.select("set_id", "n_shingles", "keys").mapInArrow(run, "key bigint, set_id bigint, n bigint")
-    return written(with_several(rows.join(keys, "key", "left_semi").distinct(), "set_id"), "shared", few=True)
+    return written(with_several(rows, "set_id").distinct(), "shared", few=True)
 
 
 def local_forests(links: DataFrame, rows: int = FOREST_ROWS) -> DataFrame:
@@ -211,18 +223,10 @@ def local_forests(links: DataFrame, rows: int = FOREST_ROWS) -> DataFrame:
     return links.select("a", "b").coalesce(tasks).mapInArrow(run, "a bigint, b bigint")
 
 
-def bitmap(members: np.ndarray) -> np.ndarray:
-    """A set's bitmap signature."""
-    out = np.zeros(BITS, bool)
-    out[(members % np.uint64(BITS)).astype(np.int64)] = True
-    return np.packbits(out)
-
-
-def held_sets(docs: DataFrame, sets: DataFrame, shared: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(set_id, n, bits, members) of the sets that share a key with another, each once."""
-    wanted = written(sets.groupBy("set_id").agg(F.min("row_key").alias("row_key")).join(
-        shared.select("set_id").distinct(), "set_id", "left_semi"), "wanted", few=True)
-    known = sets.sparkSession.sparkContext.broadcast(np.packbits(term_bitmap(wanted.select(F.col("row_key").alias("term")))))
+def held_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(set_id, members) of the wanted sets, each once, from the texts."""
+    rows = written(sets.groupBy("set_id").agg(F.min("row_key").alias("row_key")).join(wanted, "set_id", "left_semi"), "wanted", few=True)
+    known = sets.sparkSession.sparkContext.broadcast(np.packbits(term_bitmap(rows.select(F.col("row_key").alias("term")))))
 
     def likely(batches):
         bits = np.unpackbits(known.value).astype(bool)
@@ -233,14 +237,35 @@ def held_sets(docs: DataFrame, sets: DataFrame, shared: DataFrame, id_col: str,
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                made = list(_row_sets(part.column(1), words))
-                yield pa.record_batch([part.column(0), pa.array([len(m) for m in made], pa.int64()), pa.array([bitmap(m).tobytes() for m in made]),
-                                       pa.array([m.tobytes() for m in made], pa.binary())], names=["set_id", "n", "bits", "members"])
+                made = [m.tobytes() for m in _row_sets(part.column(1), words)]
+                yield pa.record_batch([part.column(0), pa.array(made, pa.binary())], names=["set_id", "members"])
 
     texts = docs.select(row_key(id_col, text_col), F.col(text_col).cast("string").alias("text")).mapInArrow(
         likely, "row_key bigint, text string")
-    one = texts.join(wanted, "row_key").dropDuplicates(["row_key"]).select("set_id", "text")
-    return written(one.mapInArrow(arrays, "set_id bigint, n bigint, bits binary, members binary"), "held")
+    one = texts.join(rows, "row_key").dropDuplicates(["row_key"]).select("set_id", "text")
+    return written(one.mapInArrow(arrays, "set_id bigint, members binary"), "held")
+
+
+def _overlap_bound(maps_x: np.ndarray, maps_y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    """What two sets can share at most, by the bits that only one of them has."""
+    only_x = np.bitwise_count(maps_x & ~maps_y).sum(axis=-1, dtype=np.int64)
+    only_y = np.bitwise_count(maps_y & ~maps_x).sum(axis=-1, dtype=np.int64)
+    return np.minimum(nx - only_x, ny - only_y)
+
+
+def bounded(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the bitmaps allow. ``marks``: (set_id, n, bits)."""
+
+    def run(batches):
+        for batch in batches:
+            nx, ny = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 4))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, BITS // 64) for k in (3, 5))
+            most = _overlap_bound(x, y, nx, ny)
+            yield pa.record_batch(batch.columns[:2], names=["a", "b"]).filter(pa.array(100 * most >= percent * (nx + ny - most)))
+
+    side = lambda c: marks.select(F.col("set_id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "bitsa", "nb", "bitsb").mapInArrow(
+        run, "a bigint, b bigint")
 
 
 def exact_links(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
@@ -260,10 +285,8 @@ def exact_links(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def open_rows(shared: DataFrame, links: DataFrame | None) -> DataFrame:
+def open_rows(shared: DataFrame, links: DataFrame) -> DataFrame:
     """(key, set_id, n, comp) of the keys whose sets are in several components of the links so far."""
-    if links is None:
-        return shared.withColumn("comp", F.col("set_id"))
     labels = components(local_forests(links)).withColumnRenamed("node", "set_id")
     rows = shared.join(labels, "set_id", "left").select("key", "set_id", "n", F.coalesce("component", "set_id").alias("comp"))
     return written(with_several(rows, "comp"), "open", few=True)
@@ -282,70 +305,88 @@ def centre_pairs(rows: DataFrame, percent: int, turn: int) -> DataFrame:
     return votes.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a")).select("a", "b")
 
 
-def bounded_pairs(size: np.ndarray, comp: np.ndarray, maps: np.ndarray, left: int, percent: int) -> list[tuple[int, int]]:
-    """Pairs of different components that the bit counts allow: within all sets (``left`` 0), or of the first ``left`` with the others."""
+def tile_pairs_of(size: np.ndarray, comp: np.ndarray, maps: np.ndarray | None, left: int, percent: int) -> list[tuple[int, int]]:
+    """Pairs of different components that sizes and, if given, bitmaps allow: within all sets (``left`` 0), or of the
+    first ``left`` with the others."""
     out = []
     for i in range(left or len(size) - 1):
         others = np.arange(left or i + 1, len(size))
         others = others[(comp[others] != comp[i]) & (100 * np.minimum(size[others], size[i]) >= percent * np.maximum(size[others], size[i]))]
-        if len(others):
-            only_i = np.bitwise_count(maps[i] & ~maps[others]).sum(axis=1, dtype=np.int64)
-            only_j = np.bitwise_count(maps[others] & ~maps[i]).sum(axis=1, dtype=np.int64)
-            most = np.minimum(size[i] - only_i, size[others] - only_j)
-            out += [(i, j) for j in others[100 * most >= percent * (size[i] + size[others] - most)].tolist()]
+        if len(others) and maps is not None:
+            most = _overlap_bound(maps[i], maps[others], size[i], size[others])
+            others = others[100 * most >= percent * (size[i] + size[others] - most)]
+        out += [(i, j) for j in others.tolist()]
     return out
 
 
-def tile_pairs(rows: DataFrame, held: DataFrame, percent: int, tile: int) -> DataFrame:
-    """Step 4: the distinct pairs (a, b) of different components under one key that sizes and bitmaps allow."""
-    ranked = written(ordered_scan(rows, [F.col("comp"), F.col("n"), F.col("set_id")], ["key"], rank="place")
+def _grouped(compare, batches):
+    """Apply ``compare`` to each run of rows with the same first three columns and give out its pairs."""
+    group: list[tuple] = []
+
+    def pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        out = []
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if group and group[0][:3] != row[:3]:
+                out += compare(group)
+                group = []
+            group.append(row)
+        yield pairs(out)
+    yield pairs(compare(group) if group else [])
+
+
+def tile_pairs(rows: DataFrame, marks: DataFrame, percent: int, tile: int) -> DataFrame:
+    """Step 4: the distinct pairs (a, b) of different components under one key: of few sets by their sizes, of more by bitmaps too."""
+    ranked = written(ordered_scan(rows, [F.col("n"), F.col("set_id")], ["key"], rank="place", total="held")
                      .withColumn("tile", F.floor((F.col("place") - 1) / tile).cast("int")).drop("place"), "tiles", few=True)
-    ends = ranked.groupBy("key", "tile").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    few = F.col("held") <= min(FEW, tile)
+    many = ranked.where(~few)
+    ends = many.groupBy("key", "tile").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
     x, y = ends.alias("x"), ends.alias("y")
     meets = ((F.col("x.key") == F.col("y.key")) & (F.col("x.tile") <= F.col("y.tile"))
-             & (F.col("y.lo") * percent <= F.col("x.hi") * 100) & (F.col("x.lo") * percent <= F.col("y.hi") * 100)
-             & (F.least("x.c0", "y.c0") < F.greatest("x.c1", "y.c1")))
+             & (F.col("y.lo") * percent <= F.col("x.hi") * 100) & (F.least("x.c0", "y.c0") < F.greatest("x.c1", "y.c1")))
     pairs = x.join(y, meets).select("x.key", F.col("x.tile").alias("i"), F.col("y.tile").alias("j"))
     sides = pairs.select("key", "i", "j", F.col("i").alias("tile")).unionByName(
         pairs.where("i <> j").select("key", "i", "j", F.col("j").alias("tile")))
-    sent = (ranked.join(sides, ["key", "tile"]).join(held.select("set_id", "bits"), "set_id")
-            .select("key", "i", "j", "tile", "set_id", "n", "comp", "bits")
-            .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "tile", "set_id"))
+    sent = many.join(sides, ["key", "tile"]).join(marks.select("set_id", "bits"), "set_id").select(
+        "key", "i", "j", "tile", "set_id", "n", "comp", "bits")
+    small = ranked.where(few).select("key", F.col("tile").alias("i"), F.col("tile").alias("j"), "tile", "set_id", "n", "comp",
+                                     F.lit(None).cast("binary").alias("bits"))
 
     def compare(group: list[tuple]) -> list[tuple[int, int]]:
         _, i, j = group[0][:3]
         size, comp = np.array([g[5] for g in group]), np.array([g[6] for g in group])
-        maps = np.frombuffer(b"".join(g[7] for g in group), np.uint64).reshape(len(group), -1)
+        maps = None if group[0][7] is None else np.frombuffer(b"".join(g[7] for g in group), np.uint64).reshape(len(group), -1)
         left = 0 if i == j else sum(g[3] == i for g in group)
-        return [tuple(sorted((group[p][4], group[q][4]))) for p, q in bounded_pairs(size, comp, maps, left, percent)]
-
-    def run(batches):
-        group: list[tuple] = []
-        for batch in batches:
-            out = []
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if group and group[0][:3] != row[:3]:
-                    out += compare(group)
-                    group = []
-                group.append(row)
-            yield pa.record_batch([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
-        out = compare(group) if group else []
-        yield pa.record_batch([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+        return [tuple(sorted((group[p][4], group[q][4]))) for p, q in tile_pairs_of(size, comp, maps, left, percent)]
 
-    return sent.mapInArrow(run, "a bigint, b bigint").distinct()
+    dealt = lambda part: (part.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "tile", "set_id")
+                          .mapInArrow(lambda batches: _grouped(compare, batches), "a bigint, b bigint"))
+    return dealt(sent).unionByName(dealt(small)).distinct()
 
 
 def set_links(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, words: int, percent: int, tile: int) -> DataFrame:
     """Links (a, b) of set ids that connect whatever the threshold connects."""
     shared = shared_rows(sets)
-    held = held_sets(docs, sets, shared, id_col, text_col, words)
-    rows, links = open_rows(shared, None), None
-    for turn in range(ROUNDS):
-        found = written(exact_links(centre_pairs(rows, percent, turn), held, percent), "centre-links", few=True)
+    marks = written(sets.select("set_id", F.col("n_shingles").alias("n"), "bits").join(
+        shared.select("set_id").distinct(), "set_id", "left_semi").dropDuplicates(["set_id"]), "marks", few=True)
+    held, links, rows = None, None, shared.withColumn("comp", F.col("set_id"))
+    for turn in range(ROUNDS + 1):
+        last = turn == ROUNDS
+        pairs = tile_pairs(rows, marks, percent, tile) if last else centre_pairs(rows, percent, turn)
+        pairs = written(bounded(written(pairs, "pairs", few=True), marks, percent), "near-pairs", few=True)
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+        if held is not None:  # what earlier rounds have made is not made again
+            wanted = wanted.join(held.select("set_id"), "set_id", "left_anti")
+        more = held_sets(docs, sets, wanted, id_col, text_col, words)
+        held = more if held is None else held.unionByName(more)
+        found = written(exact_links(pairs, held, percent), "found", few=True)
         links = found if links is None else links.unionByName(found)
-        rows = open_rows(shared, links)
-    rest = written(exact_links(tile_pairs(rows, held, percent, tile), held, percent), "tile-links", few=True)
-    return links.unionByName(rest)
+        if not last:
+            rows = open_rows(shared, links)
+    return links
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
