@@ -47,6 +47,7 @@ BITS = 2048        # bits in a bitmap signature
 FEW = 8            # sets of a key whose pairs by size are few
 COUNTERS = 1 << 23     # of the shingle sketch
 COUNTER_CHUNK = 1 << 16
+COUNT_AT_ONCE = 4_000_000  # shingles added to the sketch in one pass
 BUCKET_KEYS = 1_000_000  # keys looked through for repeats in one task
 ROUNDS = 2         # of centres before the tiles
 FOREST_ROWS = 500_000  # links in one task of the local union-find
@@ -95,12 +96,23 @@ def shingle_counts(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
         return pa.compress(values.tobytes(), "zstd", asbytes=True)
 
     def count(batches):
-        total = np.zeros(COUNTERS, np.int64)
+        total, waiting, n = np.zeros(COUNTERS, np.uint32), [], 0
+
+        def add_waiting() -> None:
+            total[:] += np.bincount(np.concatenate(waiting), minlength=COUNTERS).astype(np.uint32)
+            waiting.clear()
+
         for batch in batches:
-            for _, _, data, off in text_slices(batch.column(0), 16_000_000):
+            for _, _, data, off in text_slices(batch.column(0)):
                 starts, _, rows = word_spans(data, off)
                 hashes, _ = shingle_hashes(word_hashes(data, starts), rows, words)
-                total += np.bincount((hashes & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+                waiting.append((hashes & np.uint64(COUNTERS - 1)).astype(np.int32))
+                n += len(hashes)
+                if n >= COUNT_AT_ONCE:
+                    add_waiting()
+                    n = 0
+        if waiting:
+            add_waiting()
         parts = total.reshape(-1, COUNTER_CHUNK)
         kept = [k for k in range(len(parts)) if parts[k].any()]
         yield pa.record_batch([pa.array(kept, pa.int32()), pa.array([pack(parts[k]) for k in kept], pa.binary())], names=["chunk", "counts"])
@@ -109,7 +121,7 @@ def shingle_counts(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = np.frombuffer(pa.decompress(packed, 8 * COUNTER_CHUNK, "zstd", asbytes=True), np.int64)
+                part = np.frombuffer(pa.decompress(packed, 4 * COUNTER_CHUNK, "zstd", asbytes=True), np.uint32).astype(np.int64)
                 sums[chunk] = sums[chunk] + part if chunk in sums else part
         levels = [np.minimum(255, 4 * np.log2(v + 1)).astype(np.uint8) for v in sums.values()]
         yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array(list(map(pack, levels)), pa.binary())], names=["chunk", "counts"])
