@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import BUCKETS, HASHTAG_LOG, NEWEST, SCORES, TIMELINE
-from ..session import file_system, path_exists, sub_folders
+from ..session import path_exists
 from .runs import bloom_holds, bloom_position, overlaps, read_runs, write_run
+from .timeline_store import KEEP_VERSIONS, drop_versions, read_manifest, read_version
+from .timeline_store import versions as _versions
 
 RECENT_KEEP = 1001  # index 0..1000 of the capped feature list
 LATEST_KEEP = 101   # index 0..100 of a hashtag's list
@@ -70,7 +72,8 @@ def recent_features(features: DataFrame, n: int = RECENT_KEEP) -> DataFrame:
 # --- hashtag log ----------------------------------------------------------------------------
 
 def _write_log(rows: DataFrame, key: str, path: str, tier: int) -> dict:
-    stats = {"lo": F.min("hashtag"), "hi": F.max("hashtag"), "bloom": F.bitmap_construct_agg(bloom_position(F.col("hashtag")))}
+    stats = {"lo": F.min("hashtag"), "hi": F.max("hashtag"), "bloom": F.bitmap_construct_agg(bloom_position(F.col("hashtag"))),
+             "ts_lo": F.min(F.expr(_MICROS)), "ts_hi": F.max(F.expr(_MICROS))}
     return write_run(rows, path, key, stats, tier, options={"parquet.bloom.filter.enabled#hashtag": "true"})
 
 
@@ -121,6 +124,15 @@ def may_hold(spark: SparkSession, tag: str):
     return lambda f: inside(f) and bloom_holds(f.get("bloom"), position)
 
 
+def in_clock(lo: int, hi: int):
+    """Chooses log files that may hold rows with a clock of ``lo`` to ``hi`` seconds (``hi`` exclusive)."""
+    def keep(f: dict) -> bool:
+        if "ts_lo" not in f:
+            return True
+        return f["ts_lo"] is not None and f["ts_lo"] < hi * 1_000_000 and f["ts_hi"] >= lo * 1_000_000
+    return keep
+
+
 def log_before(log: DataFrame, newest: DataFrame, lo) -> DataFrame:
     """Log rows that can be a hashtag's newest entry before ``lo`` (a timestamp Column).
 
@@ -212,21 +224,13 @@ def as_record(df: DataFrame) -> DataFrame:
 
 # --- timeline -------------------------------------------------------------------------------
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Whole versions of the stored timeline: their write has committed."""
-    names = [n for n in sub_folders(spark, path) if n.startswith("version=")]
-    return sorted(int(n.partition("=")[2]) for n in names if path_exists(spark, os.path.join(path, n, "_SUCCESS")))
-
-
-def write_timeline(timeline: DataFrame, path: str, keep: int = 3) -> None:
-    """Replace the stored timeline (O-08): a new version folder, which readers see once it is
+def write_timeline(timeline: DataFrame, path: str, keep: int = KEEP_VERSIONS) -> None:
+    """Replace the stored timeline (O-08) by a positioned one: a new version folder, which readers see once it is
     whole. The newest ``keep`` versions stay for readers that are under way."""
     spark = timeline.sparkSession
     done = _versions(spark, path)
     timeline.write.mode("overwrite").parquet(os.path.join(path, f"version={(done[-1] if done else 0) + 1}"))
-    for old in done[:-(keep - 1)]:
-        fs, where = file_system(spark, os.path.join(path, f"version={old}"))
-        fs.delete(where, True)
+    drop_versions(spark, path, keep)
 
 
 def read_timeline(spark: SparkSession, path: str) -> DataFrame:
@@ -234,6 +238,9 @@ def read_timeline(spark: SparkSession, path: str) -> DataFrame:
     done = _versions(spark, path)
     if not done:
         return spark.createDataFrame([], TIMELINE)
+    manifest = read_manifest(spark, path, done[-1])
+    if manifest is not None:
+        return read_version(spark, path, manifest["cells"]).orderBy("position")
     return spark.read.schema(TIMELINE).parquet(os.path.join(path, f"version={done[-1]}")).orderBy("position")
 
 

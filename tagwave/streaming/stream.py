@@ -30,6 +30,7 @@ from ..session import file_sizes, make_folder, scratch_path
 from ..sources.edits import numbered_batch, parse_edits, read_edits
 from ..sources.fixtures import load_edits
 from . import sinks as S
+from . import timeline_store as TS
 from .commits import CommitConflict, CommitLog, State
 from .runs import due, overlaps, read_runs
 
@@ -310,11 +311,35 @@ def bucket_stream(hashtag_rows: DataFrame, watermark: str | None = None, slide:
             .select("hashtag", F.unix_seconds(F.col("window.end")).alias("bucket_end"), "n"))
 
 
+def changed_hashtags(spark: SparkSession, paths: dict[str, str], state: State, before: dict, as_of: int) -> DataFrame | None:
+    """Hashtags whose timeline entries can differ between an earlier refresh (its ``facts``) and ``as_of`` in ``state``; None if that
+    can't be told from the bucket runs (time went back, or manifests or files of the batches since are gone).
+
+    Entries change by rows that arrived since, also late ones, by rows that leave the window (the newest row before the window is
+    an entry too), and by rows that were there but not yet due. All have a bucket, so bucket files of those ranges tell."""
+    since, slide = before["as_of"], TR.SLIDE_SECONDS
+    if as_of < since or as_of % slide or since % slide:
+        return None
+    manifests = commit_log(spark, paths).manifests(before["number"])
+    if before["number"] < state.number and (not manifests or manifests[0]["number"] != before["number"] + 1):
+        return None
+    fresh = [r for m in manifests if m["number"] <= state.number for r in m["adds"].get("buckets", []) if r["tier"] == 0]
+    readable = {*state.tables.get("buckets", {}), *(d["path"] for d in state.dropped if d["table"] == "buckets")}
+    if any(r["path"] not in readable for r in fresh):
+        return None
+    ends = F.col("bucket_end")
+    parts = [table(spark, paths, "buckets", state, runs=fresh).where(ends <= as_of)]
+    for lo, hi in ((since - TR.WINDOW_SECONDS, as_of - TR.WINDOW_SECONDS), (since, as_of)):
+        parts.append(table(spark, paths, "buckets", state, overlaps(lo + 1, hi)).where((ends > lo) & (ends <= hi)))
+    return TL.union_edges(*[p.select("hashtag") for p in parts]).distinct().checkpoint(eager=True)
+
+
 def refresh_timeline(spark: SparkSession, paths: dict[str, str], as_of: int | None = None,
-                     on_empty: str = "keep") -> bool:
+                     on_empty: str = "keep", incremental: bool = True, cell_rows: int = TS.CELL_ROWS) -> bool:
     """One timeline refresh (O-67): scores at ``as_of`` (default: the newest score time) from the
     bucket table, newest entries from the hashtag log, run collapse, order, a new version of the
-    stored timeline. With no hashtag scoring more than once, ``on_empty='keep'`` leaves the old
+    stored timeline. Only hashtags changed since the stored version are collapsed again, and merged into its cells;
+    ``incremental=False`` collapses all. With no hashtag scoring more than once, ``on_empty='keep'`` leaves the old
     timeline (quirk Q8). Returns True when a timeline was written."""
     stored_at = last_score_time(spark, paths)
     if as_of is None:  # the ingest has written these scores
@@ -326,20 +351,32 @@ def refresh_timeline(spark: SparkSession, paths: dict[str, str], as_of: int | No
         stored_at = as_of
     state = commit_log(spark, paths).state()
     log = table(spark, paths, "hashtags", state)
+    lo = as_of - TR.WINDOW_SECONDS
     if state.facts.get("as_of") == as_of:
         stored = TR.scores_for_window(last_scores(spark, paths, state))
     else:  # an earlier time, or the ingest is ahead: from the window's buckets
-        stored = scores_from_buckets(table(spark, paths, "buckets", state, overlaps(as_of - TR.WINDOW_SECONDS + 1, as_of)), as_of)
-    lo = TR.ts_literal(as_of - TR.WINDOW_SECONDS)
-    older = S.log_before(log, table(spark, paths, "newest", state), lo)
+        stored = scores_from_buckets(table(spark, paths, "buckets", state, overlaps(lo + 1, as_of)), as_of)
+    if on_empty == "keep" and TR.filter_min_score(stored).isEmpty():
+        return False
+    base = TS.read_manifest(spark, paths["timeline"]) if incremental else None
+    changed = changed_hashtags(spark, paths, state, base["facts"], as_of) if base else None
+    if changed is not None:
+        stored = stored.join(changed, "hashtag", "left_semi")
+    older = S.log_before(log, table(spark, paths, "newest", state), TR.ts_literal(lo))
+    inside = table(spark, paths, "hashtags", state, S.in_clock(lo, as_of))
     before, after = Observation("entries"), Observation("runs")
-    entries = (TL.top_by_score(log, stored, as_of, with_rank=False, older=older)
+    entries = (TL.top_by_score(log, stored, as_of, with_rank=False, older=older, window_rows=inside)
                .observe(before, F.count(F.lit(1)).alias("n")).checkpoint(eager=True))
-    if on_empty == "keep" and entries.isEmpty():
-        return False
-    timeline = TL.sort_timeline(TL.collapse_runs(entries)).drop("n_runs").observe(after, F.count(F.lit(1)).alias("n"))
-    S.write_timeline(timeline, paths["timeline"])
-    _note(spark, paths, {"collapse": {"as_of": as_of, "rows_before": before.get["n"], "rows_after": after.get["n"]}})
+    runs = TL.collapse_runs(entries).observe(after, F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+    try:
+        made = TS.merge_timeline(runs, paths["timeline"], base, changed, {"as_of": as_of, "number": state.number}, cell_rows)
+    except CommitConflict:  # another refresh has replaced the version this one builds on
+        return refresh_timeline(spark, paths, as_of, on_empty, incremental, cell_rows)
+    cells = made["cells"]
+    _note(spark, paths, {"collapse": {
+        "as_of": as_of, "rows_before": sum(c["entries"] for c in cells), "rows_after": sum(c["rows"] for c in cells),
+        "collapsed_before": before.get["n"], "collapsed_after": after.get["n"],
+        "cells": len(cells), "rewritten": made["rewritten"]}})
     return True
 
 
