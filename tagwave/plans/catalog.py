@@ -25,9 +25,11 @@ from ..functions import (
     url_decode,
 )
 from ..operators import edits as E
+from ..operators import history as H
 from ..operators import leaderboard as L
 from ..operators import timeline as TL
 from ..operators import trending as TR
+from ..session import scratch_path
 from ..sources.edits import parse_edits
 from ..sources.fixtures import arrival_clock, load_edits
 from ..streaming.sinks import LATEST_KEEP, RECENT_KEEP, latest_for_hashtag, preview, recent_features, timeline_records
@@ -64,9 +66,11 @@ class Context:
     """Per-query shared pieces: hashtag rows, the default ``as_of`` and the decoded recent slice
     (each resolved once)."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, wide: bool = True):
-        """``wide=False``: only hashtags and times are needed, so no geometry text is made."""
+    def __init__(self, spark: SparkSession, sf_dir: str, wide: bool = True, index: str | None = None):
+        """``wide=False``: only hashtags and times are needed, so no geometry text is made. ``index``: folder of a
+        membership index of the history, which names the slices to decode."""
         self.spark, self.sf_dir, self.wide = spark, sf_dir, wide
+        self.index = index
         self.raw = load_edits(spark, sf_dir)
         self.ht = derive_hashtags(self.raw)
         self._as_of = None
@@ -128,8 +132,12 @@ class Context:
         lo_all, _, slice_lo = self._bounds
         if lo_all is not None:
             known = self._recent
-            older = TL.newest_before(self.ht, tags, self.as_of - TR.WINDOW_SECONDS, lo_all, known=known,
-                                     known_lo=None if known is None else max(slice_lo, lo_all))
+            known_lo = None if known is None else max(slice_lo, lo_all)
+            lo = self.as_of - TR.WINDOW_SECONDS
+            if self.index is not None:
+                older = H.newest_by_index(self.ht, tags, lo, self.index, known=known, known_lo=known_lo)
+            else:
+                older = TL.newest_before(self.ht, tags, lo, lo_all, known=known, known_lo=known_lo)
         return TL.top_by_score(self.ht, self.scores(), self.as_of, with_rank=with_rank, older=older,
                                window_rows=self.window_rows())
 
@@ -288,6 +296,17 @@ def q_timeline_entries(spark, sf_dir):
     return e.select("hashtag", "score", "edit_id", "date", "feature", "entry_rank")
 
 
+def q_timeline_entries_indexed(spark, sf_dir):
+    """The same entries through a membership index of the history, made here in two steps (as a daily job would extend it)."""
+    index = scratch_path(spark, "history-index")
+    ctx = Context(spark, sf_dir, index=index)
+    lo, hi = TR.clock_bounds(arrival_clock(spark, sf_dir))
+    if lo is not None:
+        for upto in ((lo + hi) // 2, hi):
+            H.extend_index(ctx.ht, index, upto)
+    return ctx.ranked_entries().select("hashtag", "score", "edit_id", "date", "feature", "entry_rank")
+
+
 def q_timeline_runs(spark, sf_dir):
     return Context(spark, sf_dir).runs("exact")
 
@@ -370,6 +389,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scores_with_zeros": q_scores_with_zeros,
     "trending_edits": q_trending_edits,
     "timeline_entries": q_timeline_entries,
+    "timeline_entries_indexed": q_timeline_entries_indexed,
     "timeline_runs": q_timeline_runs,
     "timeline_runs_drop": q_timeline_runs_drop,
     "collapse_stats": q_collapse_stats,

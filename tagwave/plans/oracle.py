@@ -198,7 +198,7 @@ for _stream, _batch in {"stream_trending": "rolling_scores", "stream_trending_st
                         "stream_latest_for_hashtag": "latest_for_hashtag",
                         "stream_scores": "trending_6h", "stream_scores_with_zeros": "scores_with_zeros",
                         "stream_rejected_features": "rejected_features", "stream_collapse_stats": "collapse_stats",
-                        "timeline_refresh": "timeline"}.items():
+                        "timeline_refresh": "timeline", "timeline_entries_indexed": "timeline_entries"}.items():
     BODIES[_stream] = BODIES[_batch]
 
 
