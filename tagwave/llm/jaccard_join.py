@@ -12,8 +12,10 @@ Exact: no link between different sets is lost, and none is guessed.
 3. *Centres.* Each key with unlinked sets names a centre, and each set meets the centre most of its keys name. What that
    links is one component from then on. ``ROUNDS`` rounds leave few keys with near sets of several components.
 4. *Tiles.* The sets of such a key are ordered by size and cut into tiles of ``tile`` sets; tile pairs whose sizes
-   can meet are compared as separate groups of bounded size, skipping pairs of one component. Only sizes and bitmaps travel
-   to them (under ``FEW`` sets only sizes, and the pairs that those allow).
+   can meet are compared as separate groups of bounded size, skipping pairs of one component. Only sizes, places of the key and
+   bitmaps travel to them (under ``FEW`` sets no bitmaps, and the pairs that the others allow). Two sets share no member before
+   their first common key, so under it they share at most what either holds from the key's place on: a pair
+   that this rules out at one key is made by an earlier one or not at all.
 5. *Checks.* For each pair, once whatever keys it shares, bit counts of the bitmaps bound the overlap from above; a pair that passes
    gets the exact intersection of the sorted arrays, which are made for the sets of such pairs only.
 6. *Components* of the links, by distributed union-find; exact copies (equal sets) share one node from step 2.
@@ -193,7 +195,7 @@ def with_several(rows: DataFrame, col: str) -> DataFrame:
 
 
 def shared_rows(sets: DataFrame) -> DataFrame:
-    """(key, set_id, n) of the keys that several different sets hold. A bitmap of fixed size keeps most other keys from travelling."""
+    """(key, set_id, n, p) of the keys that several different sets hold; ``p`` is the key's place in the set's order. A bitmap of fixed size keeps most other keys from travelling."""
     keys = repeated_keys(sets)
     known = sets.sparkSession.sparkContext.broadcast(np.packbits(term_bitmap(keys.select(F.col("key").alias("term")))))
 
@@ -202,12 +204,15 @@ def shared_rows(sets: DataFrame) -> DataFrame:
         for batch in batches:
             lists = batch.column(2)
             flat = lists.flatten().to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            offsets = lists.offsets.to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            place = np.arange(len(flat)) - (offsets[:-1] - offsets[0])[row]
             hit = bits[flat & (BITMAP - 1)]
             at = pa.array(row[hit])
-            yield pa.record_batch([pa.array(flat[hit]), batch.column(0).take(at), batch.column(1).take(at)], names=["key", "set_id", "n"])
+            yield pa.record_batch([pa.array(flat[hit]), batch.column(0).take(at), batch.column(1).take(at), pa.array(place[hit], pa.int64())],
+                                  names=["key", "set_id", "n", "p"])
 
-    rows = sets.select("set_id", "n_shingles", "keys").mapInArrow(run, "key bigint, set_id bigint, n bigint")
+    rows = sets.select("set_id", "n_shingles", "keys").mapInArrow(run, "key bigint, set_id bigint, n bigint, p bigint")
     return written(with_several(rows, "set_id").distinct(), "shared", few=True)
 
 
@@ -298,9 +303,9 @@ def exact_links(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
 
 
 def open_rows(shared: DataFrame, links: DataFrame) -> DataFrame:
-    """(key, set_id, n, comp) of the keys whose sets are in several components of the links so far."""
+    """(key, set_id, n, p, comp) of the keys whose sets are in several components of the links so far."""
     labels = components(local_forests(links)).withColumnRenamed("node", "set_id")
-    rows = shared.join(labels, "set_id", "left").select("key", "set_id", "n", F.coalesce("component", "set_id").alias("comp"))
+    rows = shared.join(labels, "set_id", "left").select("key", "set_id", "n", "p", F.coalesce("component", "set_id").alias("comp"))
     return written(with_several(rows, "comp"), "open", few=True)
 
 
@@ -317,13 +322,17 @@ def centre_pairs(rows: DataFrame, percent: int, turn: int) -> DataFrame:
     return votes.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a")).select("a", "b")
 
 
-def tile_pairs_of(size: np.ndarray, comp: np.ndarray, maps: np.ndarray | None, left: int, percent: int) -> list[tuple[int, int]]:
-    """Pairs of different components that sizes and, if given, bitmaps allow: within all sets (``left`` 0), or of the
-    first ``left`` with the others."""
+def tile_pairs_of(size: np.ndarray, comp: np.ndarray, place: np.ndarray, maps: np.ndarray | None, left: int,
+                  percent: int) -> list[tuple[int, int]]:
+    """Pairs of different components that sizes, the key's places and, if given, bitmaps allow: within all sets (``left`` 0), or
+    of the first ``left`` with the others."""
+    rest = size - place  # members from the key on
     out = []
     for i in range(left or len(size) - 1):
         others = np.arange(left or i + 1, len(size))
         others = others[(comp[others] != comp[i]) & (100 * np.minimum(size[others], size[i]) >= percent * np.maximum(size[others], size[i]))]
+        most = np.minimum(rest[others], rest[i])
+        others = others[100 * most >= percent * (size[i] + size[others] - most)]
         if len(others) and maps is not None:
             most = _overlap_bound(maps[i], maps[others], size[i], size[others])
             others = others[100 * most >= percent * (size[i] + size[others] - most)]
@@ -350,7 +359,7 @@ def _grouped(compare, batches):
 
 
 def tile_pairs(rows: DataFrame, marks: DataFrame, percent: int, tile: int) -> DataFrame:
-    """Step 4: the distinct pairs (a, b) of different components under one key: of few sets by their sizes, of more by bitmaps too."""
+    """Step 4: the distinct pairs (a, b) of different components under one key: of few sets by sizes and places, of more by bitmaps too."""
     ranked = written(ordered_scan(rows, [F.col("n"), F.col("set_id")], ["key"], rank="place", total="held")
                      .withColumn("tile", F.floor((F.col("place") - 1) / tile).cast("int")).drop("place"), "tiles", few=True)
     few = F.col("held") <= min(FEW, tile)
@@ -363,16 +372,16 @@ def tile_pairs(rows: DataFrame, marks: DataFrame, percent: int, tile: int) -> Da
     sides = pairs.select("key", "i", "j", F.col("i").alias("tile")).unionByName(
         pairs.where("i <> j").select("key", "i", "j", F.col("j").alias("tile")))
     sent = many.join(sides, ["key", "tile"]).join(marks.select("set_id", "bits"), "set_id").select(
-        "key", "i", "j", "tile", "set_id", "n", "comp", "bits")
-    small = ranked.where(few).select("key", F.col("tile").alias("i"), F.col("tile").alias("j"), "tile", "set_id", "n", "comp",
+        "key", "i", "j", "tile", "set_id", "n", "comp", "p", "bits")
+    small = ranked.where(few).select("key", F.col("tile").alias("i"), F.col("tile").alias("j"), "tile", "set_id", "n", "comp", "p",
                                      F.lit(None).cast("binary").alias("bits"))
 
     def compare(group: list[tuple]) -> list[tuple[int, int]]:
         _, i, j = group[0][:3]
-        size, comp = np.array([g[5] for g in group]), np.array([g[6] for g in group])
-        maps = None if group[0][7] is None else np.frombuffer(b"".join(g[7] for g in group), np.uint64).reshape(len(group), -1)
+        size, comp, place = (np.array([g[k] for g in group]) for k in (5, 6, 7))
+        maps = None if group[0][8] is None else np.frombuffer(b"".join(g[8] for g in group), np.uint64).reshape(len(group), -1)
         left = 0 if i == j else sum(g[3] == i for g in group)
-        return [tuple(sorted((group[p][4], group[q][4]))) for p, q in tile_pairs_of(size, comp, maps, left, percent)]
+        return [tuple(sorted((group[p][4], group[q][4]))) for p, q in tile_pairs_of(size, comp, place, maps, left, percent)]
 
     dealt = lambda part: (part.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "tile", "set_id")
                           .mapInArrow(lambda batches: _grouped(compare, batches), "a bigint, b bigint"))

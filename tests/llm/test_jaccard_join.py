@@ -92,6 +92,27 @@ def test_linked_sets_share_a_key():
                     assert set(prefix_keys(a, counts, percent)) & set(prefix_keys(b, counts, percent))
 
 
+def test_places_of_the_first_common_key_keep_linked_pairs():
+    """Sets in one order: at their first common member, a linked pair is never ruled out by the places."""
+    rng = np.random.default_rng(6)
+    counts, kept, ruled_out = rng.integers(1, 50, J.COUNTERS), 0, 0
+    for percent in (80, 90):
+        for size in (2, 10, 60, 300):
+            a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+            for _ in range(40):
+                change = rng.integers(0, 1 + size * (110 - percent) // 100)
+                b = np.unique(np.concatenate([rng.permutation(a)[change:], rng.integers(0, 2**63, change // 2, dtype=np.uint64)]))
+                keys = [prefix_keys(s, counts, percent).tolist() for s in (a, b)]
+                common = [k for k in keys[0] if k in set(keys[1])]
+                both = len(np.intersect1d(a, b))
+                linked = 100 * both >= percent * (len(a) + len(b) - both)
+                places = np.array([k.index(common[0]) for k in keys]) if common else None
+                found = common and J.tile_pairs_of(np.array([len(a), len(b)]), np.array([1, 2]), places, None, 0, percent)
+                assert found or not linked
+                kept, ruled_out = kept + bool(found), ruled_out + (not found)
+    assert kept and ruled_out
+
+
 def test_five_words_and_eighty_percent(spark):
     rows = made_texts(150, 21)
     assert run(spark, rows, words=5, percent=80) == brute(rows, 5, 80)
