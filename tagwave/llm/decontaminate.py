@@ -1,18 +1,22 @@
 """Benchmark decontamination (operator 10): n-gram seeds, then Smith-Waterman alignment.
 
-1. *Seeds.* Every run of ``SEED`` words of a test item (words: letters and digits, lower case; a shorter item
-   is one seed). A bitmap of the seeds' hashes, of fixed size, lets one pass over the training texts drop
-   nearly all n-grams that are no seed; what is left joins the seeds by hash.
-2. *Candidates.* Every (document, item) pair with a hit, however common the seed: one run of ``SEED`` words and
-   shorter ones around it can reach ``min_share``, and a verbatim copy elsewhere says nothing about an edited one.
+1. *Seeds.* Every run of 3 words of a test item (words: letters and digits, lower case) that at most ``RARE`` different
+   items hold; where more hold it, the run of 6 words from the same place on the same terms; where more hold that too, the
+   run of 12, whoever holds it; an item too short for the next length keeps its seeds. A bitmap of the seeds' hashes, of fixed size, lets one pass
+   over the training texts drop nearly all n-grams that are no seed; what is left joins the seeds by hash.
+2. *Candidates.* Every (document, item) pair with a hit. Rarity is counted over items alone: a verbatim copy elsewhere
+   says nothing about an edited one, and a rare seed makes at most ``RARE`` pairs of a place in a text. A phrase of many
+   items makes none, so a pair without 12 equal words in a row whose equal runs are all common to more than ``RARE``
+   items, at 3 words and at 6, is not found.
 3. *Alignment.* A window that holds too few of the item's words for ``min_share`` is dropped by counting them (an
-   exact bound, as every match needs its word). The hits of a (document, item) pair give the diagonals at which
+   exact bound, as every match needs its word). Windows are cut from a text once, and only they travel to the items. The hits of a (document, item) pair give the diagonals at which
    the item may lie; for each group of near diagonals the local alignment of the item's words and the passage's words is scored
    (match 2, mismatch -1, gap -1), which finds edited copies too. The score's share of the
    item's full score decides: ``min_share`` or more is a leak.
 
-Null, empty and wordless texts and items match nothing. Repeated items and rows each count; rows are
-told apart by a hash of id and text. An empty table on either side gives no leaks. Other columns
+Null, empty and wordless texts and items match nothing. Repeated items and rows each count (equal items
+are aligned once); rows are told apart by a hash of id and text. The windows of one text are in memory at once, in
+proportion to its hits. An empty table on either side gives no leaks. Other columns
 are ignored, whatever their names.
 """
 
@@ -24,9 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .shingles import fold, shingle_hashes, signed, text_slices, word_hashes, word_spans
+from .shingles import fold, mix, shingle_hashes, signed, text_slices, word_hashes, word_spans
 
-SEED = 4
+LENGTHS = (3, 6, 12)  # words of a seed, the next where more than RARE items hold it
+RARE = 16
 BITMAP_BITS = 23
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SHARE = 0.5
@@ -41,11 +46,11 @@ def _words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(plain, starts), rows
 
 
-def _grams(words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Seed-length n-grams: hash, row and word place of each."""
-    hashes, at = shingle_hashes(words, rows, SEED)
+def _grams(words: np.ndarray, rows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """N-grams of ``length`` words (a shorter row is one): hash, row and word place of each."""
+    hashes, at = shingle_hashes(words, rows, length)
     row = np.repeat(np.arange(len(rows) - 1), np.diff(at))
-    return hashes, row, np.arange(len(hashes)) - at[row] if len(hashes) else np.zeros(0, np.int64)
+    return mix(hashes, length), row, np.arange(len(hashes)) - at[row] if len(hashes) else np.zeros(0, np.int64)
 
 
 def item_words(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -63,19 +68,37 @@ def item_words(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
             .mapInArrow(run, "item_id bigint, words array<bigint>").where(F.size("words") > 0))
 
 
-def item_seeds(words: DataFrame) -> DataFrame:
+def item_seeds(words: DataFrame, rare: int = RARE) -> DataFrame:
     """(item_id, n_words, seed, item_place) for every seed of every item."""
 
     def run(batches):
         for batch in batches:
             lists = [np.array(x, np.int64).view(np.uint64) for x in batch.column(1).to_pylist()]
             rows = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-            hashes, row, place = _grams(np.concatenate(lists) if lists else np.zeros(0, np.uint64), rows)
-            yield pa.record_batch([batch.column(0).take(pa.array(row)), pa.array(np.diff(rows)[row]),
-                                   pa.array(signed(hashes)), pa.array(place)],
-                                  names=["item_id", "n_words", "seed", "item_place"])
-
-    return words.mapInArrow(run, "item_id bigint, n_words bigint, seed bigint, item_place bigint")
+            flat = np.concatenate(lists) if lists else np.zeros(0, np.uint64)
+            for level, length in enumerate(LENGTHS):
+                hashes, row, place = _grams(flat, rows, length)
+                yield pa.record_batch([batch.column(0).take(pa.array(row)), pa.array(np.diff(rows)[row]),
+                                       pa.array(np.full(len(row), level, np.int32)), pa.array(signed(hashes)), pa.array(place)],
+                                      names=["item_id", "n_words", "level", "seed", "item_place"])
+
+    grams = written(words.mapInArrow(run, "item_id bigint, n_words bigint, level int, seed bigint, item_place bigint"), "grams")
+    held = grams.where(F.col("level") < len(LENGTHS) - 1).select("level", "seed", "item_id").distinct()
+    common = held.groupBy("level", "seed").count().where(F.col("count") > rare).select("level", "seed", F.lit(True).alias("common"))
+    # an item without the next length keeps its seeds: each is half of it or more
+    longer = F.try_element_at(F.array(*[F.lit(x) for x in LENGTHS]), F.col("level") + 2)
+    marked = (grams.join(common, ["level", "seed"], "left")
+              .withColumn("common", F.coalesce((F.col("n_words") >= longer) & F.col("common"), F.lit(False))))
+    # the last start of a longer run stands for the places after it
+    place = lambda level: F.least("item_place", F.greatest(F.col("n_words") - LENGTHS[level], F.lit(0)))
+    out = marked.where("level = 0 AND NOT common")
+    asked = marked.where("level = 0 AND common")
+    for level in range(1, len(LENGTHS)):
+        longer = asked.select("item_id", place(level).alias("item_place")).distinct()
+        there = marked.where(F.col("level") == level).join(longer, ["item_id", "item_place"])
+        out = out.unionByName(there.where(~F.col("common")))
+        asked = there.where("common")
+    return out.select("item_id", "n_words", "seed", "item_place")
 
 
 def seed_bitmap(seeds: DataFrame) -> np.ndarray:
@@ -94,10 +117,12 @@ def text_hits(texts: DataFrame, bitmap: np.ndarray) -> DataFrame:
         bits = np.unpackbits(shared.value).view(bool)
         for batch in batches:
             for first, _, data, off in text_slices(batch.column(1)):
-                hashes, row, place = _grams(*_words(data, off))
-                hit = np.flatnonzero(bits[(hashes >> _SLOT).astype(np.int64)])
-                yield pa.record_batch([batch.column(0).take(pa.array(first + row[hit])), pa.array(signed(hashes[hit])),
-                                       pa.array(place[hit])], names=["key", "seed", "place"])
+                words, rows = _words(data, off)
+                for length in LENGTHS:
+                    hashes, row, place = _grams(words, rows, length)
+                    hit = np.flatnonzero(bits[(hashes >> _SLOT).astype(np.int64)])
+                    yield pa.record_batch([batch.column(0).take(pa.array(first + row[hit])), pa.array(signed(hashes[hit])),
+                                           pa.array(place[hit])], names=["key", "seed", "place"])
 
     return texts.mapInArrow(run, "key bigint, seed bigint, place bigint")
 
@@ -138,7 +163,10 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
           item_text: str = "text", min_share: float = MIN_SHARE) -> DataFrame:
     """(key, doc_id, item_id, share, first_word, end_word): pairs whose alignment reaches
     ``min_share``, with the best passage's word places in the document."""
-    words = written(item_words(items, item_id, item_text), "item-words")
+    # equal items are one from here on; `copies` names their ids
+    given = written(item_words(items, item_id, item_text).withColumn("item", F.xxhash64("words")), "item-words")
+    copies = given.select("item", "item_id")
+    words = written(given.select(F.col("item").alias("item_id"), "words").dropDuplicates(["item_id"]), "different-items")
     seeds = written(item_seeds(words), "seeds")
     texts = _keyed(docs, id_col, text_col)
     hits = written(text_hits(texts.select("key", "text"), seed_bitmap(seeds)), "hits")
@@ -147,36 +175,49 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     places = (hits.join(seeds, "seed").withColumn("diagonal", diagonal)
               .groupBy("key", "item_id", "n_words", F.floor(F.col("diagonal") / F.col("n_words")).alias("at"))
               .agg(F.min("diagonal").alias("lo"), F.max("diagonal").alias("hi")))
-    windows = (places.join(words, "item_id")
-               .select("key", "item_id", "words", (F.col("lo") - F.col("n_words")).alias("lo"),
-                       (F.col("hi") + 2 * F.col("n_words")).alias("hi")))
-    windows = written(windows, "windows")
-    full = written(texts.join(windows.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "suspects")
+    wanted = written(places.groupBy("key").agg(F.collect_list(F.struct(
+        "item_id", F.greatest(F.col("lo") - F.col("n_words"), F.lit(0)).alias("lo"),
+        (F.col("hi") + 2 * F.col("n_words")).alias("hi"))).alias("windows")), "windows")
+    suspects = texts.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"]).join(wanted, "key")
 
-    def score(batches):
+    def cut(batches):
         for batch in batches:
-            out = []
-            col = batch.column(2)
-            for first, end, data, off in text_slices(col):
+            windows = batch.column(3)
+            for first, end, data, off in text_slices(batch.column(2)):
                 hashes, rows = _words(data, off)
                 for i in range(end - first):
                     r = first + i
-                    text = hashes[rows[i]:rows[i + 1]]
-                    lo = max(0, batch.column(5)[r].as_py())
-                    item = np.array(batch.column(4)[r].as_py(), np.int64).view(np.uint64)
-                    near = text[lo:max(lo, batch.column(6)[r].as_py())]
-                    enough = np.isin(item, near).sum() >= min_share * len(item)
-                    points, a, b = align(item, near) if enough else (0, 0, 0)
-                    out.append((points / (MATCH * len(item)), lo + a, lo + b))
+                    text, mine = hashes[rows[i]:rows[i + 1]], windows[r].values
+                    item, lo, hi = (mine.field(k) for k in range(3))
+                    near = [text[x:max(x, y)].tobytes() for x, y in zip(lo.to_pylist(), hi.to_pylist())]
+                    yield pa.record_batch([pa.array([batch.column(0)[r].as_py()] * len(item), pa.int64()),
+                                           pa.array([batch.column(1)[r].as_py()] * len(item), pa.int64()),
+                                           item, lo, pa.array(near, pa.binary())],
+                                          names=["key", "doc_id", "item_id", "lo", "near"])
+
+    passages = suspects.select("key", "doc_id", "text", "windows").mapInArrow(
+        cut, "key bigint, doc_id bigint, item_id bigint, lo bigint, near binary")
+
+    def score(batches):
+        for batch in batches:
+            out = []
+            for r in range(batch.num_rows):
+                item = np.array(batch.column(4)[r].as_py(), np.int64).view(np.uint64)
+                near = np.frombuffer(batch.column(3)[r].as_py(), np.uint64)
+                lo = batch.column(5)[r].as_py()
+                enough = np.isin(item, near).sum() >= min_share * len(item)
+                points, a, b = align(item, near) if enough else (0, 0, 0)
+                out.append((points / (MATCH * len(item)), lo + a, lo + b))
             share, a, b = zip(*out) if out else ((), (), ())
-            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(3), pa.array(share, pa.float64()),
+            yield pa.record_batch([*batch.columns[:3], pa.array(share, pa.float64()),
                                    pa.array(a, pa.int64()), pa.array(b, pa.int64())],
-                                  names=["key", "doc_id", "item_id", "share", "first_word", "end_word"])
+                                  names=["key", "doc_id", "item", "share", "first_word", "end_word"])
 
-    scored = full.join(windows, "key").select("key", "doc_id", "text", "item_id", "words", "lo", "hi").mapInArrow(
-        score, "key bigint, doc_id bigint, item_id bigint, share double, first_word bigint, end_word bigint")
+    scored = (passages.join(words, "item_id").select("key", "doc_id", "item_id", "near", "words", "lo").mapInArrow(
+        score, "key bigint, doc_id bigint, item bigint, share double, first_word bigint, end_word bigint")
+              .where(F.col("share") >= min_share).join(copies, "item"))
     best = F.max(F.struct("share", (-F.col("first_word")).alias("f"), "end_word")).alias("m")
-    return written(scored.where(F.col("share") >= min_share).groupBy("key", "doc_id", "item_id").agg(best)
+    return written(scored.groupBy("key", "doc_id", "item_id").agg(best)
                    .select("key", "doc_id", "item_id", F.col("m.share").alias("share"),
                            (-F.col("m.f")).alias("first_word"), F.col("m.end_word").alias("end_word")), "leaks")
 

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 
+import tagwave.llm.decontaminate as decontaminate_module
 from tagwave.llm.decontaminate import GAP, MATCH, MISMATCH, align, decontaminate, leaks
 
 
@@ -71,6 +72,50 @@ def test_edited_copies_beside_a_verbatim_one(spark):
     assert share[2] == 26 / 32 and share[5] == 0.5
 
 
+def test_a_phrase_of_many_items_makes_no_candidates(spark, monkeypatch):
+    phrase = "which of the following is".split()
+    tail = lambda name, n: [f"{name}{i}" for i in range(n)]
+    items = [(i, " ".join(phrase + tail(f"i{i}x", 20))) for i in range(60)]
+    docs = [(d, " ".join(tail(f"d{d}a", 30) + phrase + tail(f"d{d}b", 30))) for d in range(200)]
+    docs.append((900, items[7][1]))
+    seen = []
+    real = decontaminate_module.written
+    monkeypatch.setattr(decontaminate_module, "written", lambda df, name, *a: seen.append((name, real(df, name, *a))) or seen[-1][1])
+    found = leaks(spark.createDataFrame(docs, "doc_id bigint, text string"),
+                  spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.share) for r in found] == [(900, 7, 1.0)]
+    assert [r.key for name, t in seen if name == "windows" for r in t.collect()] == [found[0].key]
+
+
+def test_recall_against_aligning_all_pairs(spark):
+    rng = random.Random(9)
+    words = [f"v{i}" for i in range(3000)]
+    items = [[rng.choice(words) for _ in range(rng.choice([8, 16, 40]))] for _ in range(30)]
+    items += [["choose", "the", "best", "answer", "for"] + [rng.choice(words) for _ in range(20)] for _ in range(30)]
+    rows, kinds = [], {}
+    for d in range(240):
+        item, kind = list(rng.choice(items)), d % 4
+        step = {0: 0, 1: 5, 2: 4, 3: 0}[kind]  # verbatim, every fifth word changed, every fourth, inserted words
+        if step:
+            item = [rng.choice(words) if i % step == step - 1 else w for i, w in enumerate(item)]
+        if kind == 3:
+            item = [x for i, w in enumerate(item) for x in ([w, rng.choice(words)] if i % 5 == 4 else [w])]
+        rows.append((d, " ".join([rng.choice(words) for _ in range(20)] + item + [rng.choice(words) for _ in range(20)])))
+        kinds[d] = kind
+    number = {w: i for i, w in enumerate(sorted({w for r in rows for w in r[1].split()} | {w for i in items for w in i}))}
+    code = lambda ws: np.array([number[w] for w in ws], np.uint64)
+    texts, wanted = [code(t.split()) for _, t in rows], [code(i) for i in items]
+    expected = {(d, i) for d, t in enumerate(texts) for i, w in enumerate(wanted)
+                if np.isin(w, t).sum() >= len(w) / 2 and align(w, t)[0] >= len(w)}
+    found = leaks(spark.createDataFrame(rows, "doc_id bigint, text string"),
+                  spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string"))
+    got = {(r.doc_id, r.item_id) for r in found.collect()}
+    assert got <= expected
+    for kind in range(4):
+        of_kind = {p for p in expected if kinds[p[0]] == kind}
+        assert len(of_kind) >= 50 and len(got & of_kind) >= 0.95 * len(of_kind), kind
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame(
         [(1, None, 1), (2, "", 1), (3, "one two three four five six", 1), (3, "one two three four five six", 1),
