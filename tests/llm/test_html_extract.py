@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+from tagwave.llm import html_extract
 from tagwave.llm.html_extract import extract, page_lines, shared_lines
 
 SF = "/root/testdata/sf0.001"
@@ -79,6 +80,35 @@ def test_differencing_without_declared_article(spark):
     assert out[101] == out[102] == ""
 
 
+def test_declared_article_only_arbitrates(spark):
+    def page(i, article, body):
+        return f"<body><div>Site name</div><article>{article}</article><p>{body}</p><div>All rights reserved</div></body>"
+
+    teaser = "<p>Read our magazine"
+    rows = [(i, f"https://h.example.com/a/{i:03}", page(i, teaser, f"story {i} " * 9)) for i in range(5)]
+    # shared paragraphs of a declared article with text of its own are content, as is an article with one neighbour
+    rows += [(10 + i, f"https://g.example.com/a/{i:03}", page(i, f"<p>Both have this<p>{f'own {i} ' * 9}", f"next {i}")) for i in range(3)]
+    rows += [(20 + i, f"https://e.example.com/a/{i:03}", page(i, teaser, f"story {i} " * 9)) for i in range(2)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    out = {r.page_id: r.text for r in extract(df).collect()}
+    assert [out[i] for i in range(1, 4)] == [("story %d " % i * 9).strip() for i in range(1, 4)]
+    assert [out[10 + i] for i in range(3)] == ["Both have this " + (f"own {i} " * 9).strip() for i in range(3)]
+    assert out[20] == out[21] == "Read our magazine"
+
+
+def test_alignment_in_halves_is_an_lcs(monkeypatch):
+    rng = random.Random(4)
+    for _ in range(100):
+        a, b = ([rng.randrange(6) for _ in range(rng.randrange(40))] for _ in range(2))
+        monkeypatch.setattr(html_extract, "LCS_BITS", 2**28)
+        whole = shared_lines(a, b)
+        monkeypatch.setattr(html_extract, "LCS_BITS", 20)
+        parts = shared_lines(a, b)
+        assert sum(parts) == sum(whole)
+        it = iter(b)
+        assert all(x in it for x in [x for x, s in zip(a, parts) if s])
+
+
 @pytest.mark.parametrize("n", [0, 2])
 def test_empty_and_repeated(spark, n):
     df = spark.createDataFrame([(1, "u", "<p>x</p>", "k", 2)] * n, "page_id bigint, url string, html string, key string, host int")
