@@ -43,12 +43,13 @@ INGEST = "ingest"      # the ingest's name in the commit log
 MERGE_EVERY = 8        # runs of tier 0 that make a merge
 CHANGES_KEEP = 1000    # commits whose change records stay for followers
 BATCH_BYTES = 1 << 30  # files of one micro-batch
+SPLIT_BYTES = 4 << 20  # of those files, read by one task: decoded edits are many times as large
 
 
 def write_edit_files(spark: SparkSession, sf_dir: str, path: str, slices: int = 4) -> str:
     """Write the edits derived from ``events`` as parquet in arrival order, one job per time slice so
     that file times follow arrival (a file source replays them in order). Each slice has as many
-    files as its rows need."""
+    files as its rows need, in row groups of half a split: a task can't read less than one."""
     edits = load_edits(spark, sf_dir)
     make_folder(spark, path)
     lo, hi = TR.clock_bounds(edits)
@@ -58,7 +59,7 @@ def write_edit_files(spark: SparkSession, sf_dir: str, path: str, slices: int =
     for i in range(slices):
         a, b = lo + i * step, lo + (i + 1) * step
         part = edits.where((F.col("ts") >= TR.ts_literal(a)) & (F.col("ts") < TR.ts_literal(b)))
-        part.write.mode("append").parquet(path)
+        part.write.mode("append").option("parquet.block.size", SPLIT_BYTES // 2).parquet(path)
     return path
 
 
@@ -458,7 +459,18 @@ def _edit_stream(spark: SparkSession, path: str, batches: int = 4) -> DataFrame:
     a source takes no file above its bound)."""
     sizes = file_sizes(spark, path)
     bound = max([min(sum(sizes) // batches, BATCH_BYTES), *sizes]) if sizes else None
-    return read_edits(spark, "parquet", path, streaming=True, max_bytes=bound)
+    return read_edits(ingest_session(spark), "parquet", path, streaming=True, max_bytes=bound)
+
+
+def ingest_session(spark: SparkSession) -> SparkSession:
+    """A session with the caller's settings whose tasks read ``SPLIT_BYTES`` of files at most, so what a task decodes and keeps
+    of a micro-batch doesn't grow with the input."""
+    s = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(name):
+            s.conf.set(name, value)
+    s.conf.set("spark.sql.files.maxPartitionBytes", str(SPLIT_BYTES))
+    return s
 
 
 def _run(spark: SparkSession, sf_dir: str, name: str) -> dict[str, str]:

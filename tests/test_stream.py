@@ -233,3 +233,16 @@ def test_text_and_message_sequences_are_unique(spark, tmp_path):
     assert sorted([p for _, p in sorted(v)] for v in lines.values()) == [["same"], ["same", "same", "other"]]
     ids = spark.createDataFrame([(p, o) for p in (0, 1, 40) for o in (0, 7, 2**43)], "partition int, offset bigint")
     assert ids.select(kafka_sequence().alias("s")).distinct().count() == 9
+
+
+def test_tasks_read_bounded_splits(spark, tmp_path, monkeypatch):
+    """What one task reads of a micro-batch doesn't grow with the edits; the caller's settings stay."""
+    monkeypatch.setattr(ST, "SPLIT_BYTES", 32_768)
+    before = spark.conf.getAll
+    path = ST.write_edit_files(spark, "/root/testdata/sf0.01", str(tmp_path / "edits"))
+    session = ST._edit_stream(spark, path).sparkSession
+    per_task = session.read.parquet(path).groupBy(F.spark_partition_id()).count().collect()
+    total = sum(r["count"] for r in per_task)
+    assert total == load_edits(spark, "/root/testdata/sf0.01").count()
+    assert len(per_task) > 8 and max(r["count"] for r in per_task) < total / 4
+    assert spark.conf.getAll == before and session.conf.get("spark.sql.shuffle.partitions") == spark.conf.get("spark.sql.shuffle.partitions")
