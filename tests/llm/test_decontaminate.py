@@ -129,3 +129,11 @@ def test_odd_rows(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3]
     assert decontaminate(docs, items.limit(0)).count() == 8
     assert decontaminate(docs.limit(0), items).count() == 0
+
+
+def test_only_texts_with_windows_travel(spark):
+    texts = spark.createDataFrame([(k * 2**54, f"text {k}") for k in range(-500, 500)], "key bigint, text string")
+    wanted = spark.createDataFrame([(k * 2**54,) for k in range(-500, 500, 7)], "key bigint")
+    got = {r.key for r in decontaminate_module.likely_texts(texts, wanted).collect()}
+    assert got >= {r.key for r in wanted.collect()} and len(got) < 200
+    assert decontaminate_module.likely_texts(texts, wanted.limit(0)).collect() == []
