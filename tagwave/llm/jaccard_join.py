@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scan import ordered_scan
-from .common import components, written
+from .common import components, small_batches, written
 from .lexical_search import BITMAP, term_bitmap
 from .shingles import mix, shingle_hashes, signed, text_slices, word_hashes, word_spans
 
@@ -49,7 +49,6 @@ BITS = 2048        # bits in a bitmap signature
 FEW = 8            # sets of a key whose pairs by size are few
 COUNTERS = 1 << 23     # of the shingle sketch
 COUNTER_CHUNK = 1 << 16
-COUNT_AT_ONCE = 4_000_000  # shingles added to the sketch in one pass
 BUCKET_KEYS = 1_000_000  # keys looked through for repeats in one task
 ROUNDS = 2         # of centres before the tiles
 FOREST_ROWS = 500_000  # links in one task of the local union-find
@@ -98,23 +97,13 @@ def shingle_counts(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
         return pa.compress(values.tobytes(), "zstd", asbytes=True)
 
     def count(batches):
-        total, waiting, n = np.zeros(COUNTERS, np.uint32), [], 0
-
-        def add_waiting() -> None:
-            total[:] += np.bincount(np.concatenate(waiting), minlength=COUNTERS).astype(np.uint32)
-            waiting.clear()
-
+        total = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
             for _, _, data, off in text_slices(batch.column(0)):
                 starts, _, rows = word_spans(data, off)
                 hashes, _ = shingle_hashes(word_hashes(data, starts), rows, words)
-                waiting.append((hashes & np.uint64(COUNTERS - 1)).astype(np.int32))
-                n += len(hashes)
-                if n >= COUNT_AT_ONCE:
-                    add_waiting()
-                    n = 0
-        if waiting:
-            add_waiting()
+                # in place: no second array of the sketch's size
+                np.add.at(total, (hashes & np.uint64(COUNTERS - 1)).astype(np.int64), np.uint32(1))
         parts = total.reshape(-1, COUNTER_CHUNK)
         kept = [k for k in range(len(parts)) if parts[k].any()]
         yield pa.record_batch([pa.array(kept, pa.int32()), pa.array([pack(parts[k]) for k in kept], pa.binary())], names=["chunk", "counts"])
@@ -414,9 +403,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                        percent: int = PERCENT, tile: int = TILE) -> DataFrame:
     """(row_key, doc_id, n_shingles, component_id) for every row of ``docs``: the set size, and the smallest
     id that links reach. See the module's text for the steps and the odd cases."""
-    counts = shingle_counts(docs, text_col, words)
-    sets = written(shingle_sets(docs, id_col, text_col, words, percent, counts), "sets")
-    links = set_links(docs, sets, id_col, text_col, words, percent, tile)
+    with small_batches(docs.sparkSession):
+        counts = shingle_counts(docs, text_col, words)
+        sets = written(shingle_sets(docs, id_col, text_col, words, percent, counts), "sets")
+        links = set_links(docs, sets, id_col, text_col, words, percent, tile)
     joined = components(local_forests(links)).withColumnRenamed("node", "set_id")
     first = sets.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("first"))
     named = first.join(joined, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))

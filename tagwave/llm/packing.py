@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 from .shingles import text_slices
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
@@ -133,7 +133,8 @@ def pack(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens
                               F.col(tokens_col).cast("bigint").alias("_tokens"))
     else:
         counted = counted_tokens(rows, id_col, text_col)
-    cut = written(pieces(counted, "_tokens", capacities[-1]).drop("_tokens"), "pieces")
+    with small_batches(rows.sparkSession):
+        cut = written(pieces(counted, "_tokens", capacities[-1]).drop("_tokens"), "pieces")
     shards = max(1, -(-cut.count() // shard_rows))
     dealt = cut.withColumn("_shard", F.pmod(F.xxhash64("_row", "doc_id", "piece"), F.lit(shards)))
 

@@ -134,3 +134,18 @@ def test_group_of_near_copies_around_a_base(spark, monkeypatch):
     monkeypatch.setattr(J, "ROUNDS", 1)
     monkeypatch.setattr(J, "centre_pairs", lambda found, *_: found.selectExpr("set_id AS a", "set_id AS b").limit(0))
     assert run(spark, rows, words=5, percent=80, tile=16) == wanted
+
+
+def test_arrow_batches_of_sets_are_small(spark):
+    docs = spark.createDataFrame([(i, f"{i} " + "word " * 2000) for i in range(3000)], "doc_id bigint, text string").coalesce(1)
+    def sizes(batches):
+        for batch in batches:
+            yield J.pa.record_batch([J.pa.array([batch.nbytes])], names=["n"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    with J.small_batches(spark):
+        inside = [r.n for r in docs.mapInArrow(sizes, "n bigint").collect()]
+    assert sum(inside) > 30_000_000 and max(inside) < 5_000_000
+    assert spark.conf.get(name, None) is None
+    J.jaccard_components(docs.limit(20))
+    assert spark.conf.get(name, None) is None
