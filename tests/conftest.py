@@ -16,3 +16,13 @@ def spark():
     s = local_session("*", shuffle_partitions=8, app="tagwave-tests")
     yield s
     s.stop()
+
+
+@pytest.fixture(scope="module", autouse=True)
+def nothing_cached():
+    """Tables that a module's tests cached go with it: another module's plans must show their own scans."""
+    yield
+    from pyspark.sql import SparkSession
+
+    if (session := SparkSession.getActiveSession()) is not None:
+        session.catalog.clearCache()
