@@ -2,20 +2,18 @@
 
 Exact: no link between different sets is lost, and none is guessed.
 
-1. *Sets.* A first pass counts all shingles in a sketch of fixed size (2^23 counters). A second one hashes the shingles (64
-   bits) and keeps per document the set size, a 64-bit id of the set (a sum of mixed member hashes), a hashed bitmap signature
-   and the set's keys.
-2. *Keys.* A set's members are ordered by their counts, rare ones first, then by hash, the same order for all. Two sets that
-   reach the threshold share at least ``ceil(t n)`` of either's ``n`` members, so each set's first ``n - ceil(t n) + 1`` members
-   must meet: these are its keys. Common lines and passages come last and make keys only of texts that hold little else.
-   Keys of a single set go: each task sends its distinct keys once, packed, to find those that several hold.
+1. *Sets.* One pass hashes the shingles (64 bits) and keeps per document the set size, a 64-bit id of the set (a sum of mixed member
+   hashes), a hashed bitmap signature and the set's keys.
+2. *Keys.* Sizes fall into bands, each so narrow that a set can link only with sets of its band and the two beside it. Under a band two
+   sets that reach the threshold differ in at most ``D`` members, whatever these are. So the members are dealt by hash over more
+   than ``D`` parts, and at least one part is the same in both: a key is the hash of one whole part. A set has the keys of its own band
+   and of the next one. Sets that share a single shingle, however rare or common, share no key. Empty parts make keys only of
+   sets with more of them than spare parts. Keys of a single set go: each task sends its distinct keys once, packed, to find those that several hold.
 3. *Centres.* Each key with unlinked sets names a centre, and each set meets the centre most of its keys name. What that
    links is one component from then on. ``ROUNDS`` rounds leave few keys with near sets of several components.
 4. *Tiles.* The sets of such a key are ordered by size and cut into tiles of ``tile`` sets; tile pairs whose sizes
-   can meet are compared as separate groups of bounded size, skipping pairs of one component. Only sizes, places of the key and
-   bitmaps travel to them (under ``FEW`` sets no bitmaps, and the pairs that the others allow). Two sets share no member before
-   their first common key, so under it they share at most what either holds from the key's place on: a pair
-   that this rules out at one key is made by an earlier one or not at all.
+   can meet are compared as separate groups of bounded size, skipping pairs of one component. Only sizes and
+   bitmaps travel to them (under ``FEW`` sets no bitmaps, and the pairs that the sizes allow).
 5. *Checks.* For each pair, once whatever keys it shares, bit counts of the bitmaps bound the overlap from above; a pair that passes
    gets the exact intersection of the sorted arrays, which are made for the sets of such pairs only.
 6. *Components* of the links, by distributed union-find; exact copies (equal sets) share one node from step 2.
@@ -47,8 +45,7 @@ PERCENT = 90       # link when 100 * intersection >= PERCENT * union
 TILE = 512         # sets in a tile
 BITS = 2048        # bits in a bitmap signature
 FEW = 8            # sets of a key whose pairs by size are few
-COUNTERS = 1 << 23     # of the shingle sketch
-COUNTER_CHUNK = 1 << 16
+COUNTERS = 1 << 23     # of a shingle sketch
 BUCKET_KEYS = 1_000_000  # keys looked through for repeats in one task
 ROUNDS = 2         # of centres before the tiles
 FOREST_ROWS = 500_000  # links in one task of the local union-find
@@ -62,8 +59,36 @@ def set_id(members: np.ndarray) -> np.uint64:
     return mix(np.array([mix(members, 22).sum(dtype=np.uint64) + np.uint64(len(members))], np.uint64))[0]
 
 
+def size_band(n: int, percent: int) -> tuple[int, int, int]:
+    """(number, least size, greatest size) of the band of sets with ``n`` members: a set of a band's greatest size can link
+    with one of its least size, not with the band below that."""
+    band, low = 0, 1
+    while (high := 100 * low // percent) < n:
+        band, low = band + 1, high + 1
+    return band, low, high
+
+
+def part_keys(members: np.ndarray, percent: int) -> np.ndarray:
+    """The keys of one set: for its size band and the next one the hashes of its parts, of which linked sets share one."""
+    band, _, high = size_band(len(members), percent)
+    dealt, mixed, out = mix(members, 41), mix(members, 42), []
+    for number, most in ((band, high), (band + 1, 100 * (high + 1) // percent)):
+        differ = 2 * most * (100 - percent) // (100 + percent)  # members that only one of two linked sets has, at most
+        spare = 2 + differ // 12
+        parts = differ + 1 + spare
+        place = (dealt % np.uint64(parts)).astype(np.int64)
+        sums = np.zeros(parts, np.uint64)
+        np.add.at(sums, place, mixed)
+        keys = mix(mix(sums, 43) + np.arange(parts, dtype=np.uint64), 44 + number)
+        held = np.bincount(place, minlength=parts) > 0
+        # of the parts that two linked sets have alike more than ``spare``: all can be empty only where both sets have so many empty ones
+        out.append(keys[held] if parts - held.sum() <= spare else keys)
+    return np.unique(np.concatenate(out))
+
+
 def prefix_keys(members: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
-    """The keys of one set: those of its members, rare ones first, that a linked set's keys must meet."""
+    """Those of a set's members, rare ones first, that a linked set's must meet: the plain prefix filter (its keys meet by chance
+    ever more often as the corpus grows, so the join has ``part_keys``)."""
     n = len(members)
     place = counts[(members & np.uint64(COUNTERS - 1)).astype(np.int64)]
     return members[np.lexsort((members, place))[:n + (-percent * n // 100) + 1]]
@@ -90,45 +115,8 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")).alias("row_key")
 
 
-def shingle_counts(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
-    """How often the shingles occur, by the low bits of their hashes: a sketch of fixed size, 8 MB, of counts in quarter octaves."""
-
-    def pack(values: np.ndarray) -> bytes:
-        return pa.compress(values.tobytes(), "zstd", asbytes=True)
-
-    def count(batches):
-        total = np.zeros(COUNTERS, np.uint32)
-        for batch in batches:
-            for _, _, data, off in text_slices(batch.column(0)):
-                starts, _, rows = word_spans(data, off)
-                hashes, _ = shingle_hashes(word_hashes(data, starts), rows, words)
-                # in place: no second array of the sketch's size
-                np.add.at(total, (hashes & np.uint64(COUNTERS - 1)).astype(np.int64), np.uint32(1))
-        parts = total.reshape(-1, COUNTER_CHUNK)
-        kept = [k for k in range(len(parts)) if parts[k].any()]
-        yield pa.record_batch([pa.array(kept, pa.int32()), pa.array([pack(parts[k]) for k in kept], pa.binary())], names=["chunk", "counts"])
-
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = np.frombuffer(pa.decompress(packed, 4 * COUNTER_CHUNK, "zstd", asbytes=True), np.uint32).astype(np.int64)
-                sums[chunk] = sums[chunk] + part if chunk in sums else part
-        levels = [np.minimum(255, 4 * np.log2(v + 1)).astype(np.uint8) for v in sums.values()]
-        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array(list(map(pack, levels)), pa.binary())], names=["chunk", "counts"])
-
-    schema = "chunk int, counts binary"
-    texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    out = np.zeros(COUNTERS, np.uint8)
-    for chunk, packed in texts.mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema).collect():  # 8 MB at most
-        out[chunk * COUNTER_CHUNK:(chunk + 1) * COUNTER_CHUNK] = np.frombuffer(pa.decompress(packed, COUNTER_CHUNK, "zstd", asbytes=True), np.uint8)
-    return out
-
-
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, counts: np.ndarray) -> DataFrame:
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """Steps 1 and 2: (row_key, doc_id, n_shingles, set_id, bits, keys) for each row of ``docs``."""
-    sketch = docs.sparkSession.sparkContext.broadcast(counts)
-
     def run(batches):
         for batch in batches:
             sizes, names, bits, keys = [], [], [], []
@@ -136,7 +124,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int, percen
                 sizes.append(len(members))
                 names.append(set_id(members))
                 bits.append(bitmap(members))
-                keys.append(signed(prefix_keys(members, sketch.value, percent)) if len(members) else np.zeros(0, np.int64))
+                keys.append(signed(part_keys(members, percent)) if len(members) else np.zeros(0, np.int64))
             off = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             yield pa.record_batch([
                 batch.column(0), batch.column(1), pa.array(sizes, pa.int64()),
@@ -184,7 +172,7 @@ def with_several(rows: DataFrame, col: str) -> DataFrame:
 
 
 def shared_rows(sets: DataFrame) -> DataFrame:
-    """(key, set_id, n, p) of the keys that several different sets hold; ``p`` is the key's place in the set's order. A bitmap of fixed size keeps most other keys from travelling."""
+    """(key, set_id, n) of the keys that several different sets hold. A bitmap of fixed size keeps most other keys from travelling."""
     keys = repeated_keys(sets)
     known = sets.sparkSession.sparkContext.broadcast(np.packbits(term_bitmap(keys.select(F.col("key").alias("term")))))
 
@@ -193,15 +181,13 @@ def shared_rows(sets: DataFrame) -> DataFrame:
         for batch in batches:
             lists = batch.column(2)
             flat = lists.flatten().to_numpy(zero_copy_only=False)
-            offsets = lists.offsets.to_numpy()
-            row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-            place = np.arange(len(flat)) - (offsets[:-1] - offsets[0])[row]
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
             hit = bits[flat & (BITMAP - 1)]
             at = pa.array(row[hit])
-            yield pa.record_batch([pa.array(flat[hit]), batch.column(0).take(at), batch.column(1).take(at), pa.array(place[hit], pa.int64())],
-                                  names=["key", "set_id", "n", "p"])
+            yield pa.record_batch([pa.array(flat[hit]), batch.column(0).take(at), batch.column(1).take(at)], names=["key", "set_id", "n"])
 
-    rows = sets.select("set_id", "n_shingles", "keys").mapInArrow(run, "key bigint, set_id bigint, n bigint, p bigint")
+    # written, as both sides of the semi join read them
+    rows = written(sets.select("set_id", "n_shingles", "keys").mapInArrow(run, "key bigint, set_id bigint, n bigint"), "likely", few=True)
     return written(with_several(rows, "set_id").distinct(), "shared", few=True)
 
 
@@ -292,9 +278,9 @@ def exact_links(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
 
 
 def open_rows(shared: DataFrame, links: DataFrame) -> DataFrame:
-    """(key, set_id, n, p, comp) of the keys whose sets are in several components of the links so far."""
+    """(key, set_id, n, comp) of the keys whose sets are in several components of the links so far."""
     labels = components(local_forests(links)).withColumnRenamed("node", "set_id")
-    rows = shared.join(labels, "set_id", "left").select("key", "set_id", "n", "p", F.coalesce("component", "set_id").alias("comp"))
+    rows = shared.join(labels, "set_id", "left").select("key", "set_id", "n", F.coalesce("component", "set_id").alias("comp"))
     return written(with_several(rows, "comp"), "open", few=True)
 
 
@@ -313,7 +299,7 @@ def centre_pairs(rows: DataFrame, percent: int, turn: int) -> DataFrame:
 
 def tile_pairs_of(size: np.ndarray, comp: np.ndarray, place: np.ndarray, maps: np.ndarray | None, left: int,
                   percent: int) -> list[tuple[int, int]]:
-    """Pairs of different components that sizes, the key's places and, if given, bitmaps allow: within all sets (``left`` 0), or
+    """Pairs of different components that sizes, the key's places in sets of one order (0 without) and, if given, bitmaps allow: within all sets (``left`` 0), or
     of the first ``left`` with the others."""
     rest = size - place  # members from the key on
     out = []
@@ -348,7 +334,7 @@ def _grouped(compare, batches):
 
 
 def tile_pairs(rows: DataFrame, marks: DataFrame, percent: int, tile: int) -> DataFrame:
-    """Step 4: the distinct pairs (a, b) of different components under one key: of few sets by sizes and places, of more by bitmaps too."""
+    """Step 4: the distinct pairs (a, b) of different components under one key: of few sets by sizes, of more by bitmaps too."""
     ranked = written(ordered_scan(rows, [F.col("n"), F.col("set_id")], ["key"], rank="place", total="held")
                      .withColumn("tile", F.floor((F.col("place") - 1) / tile).cast("int")).drop("place"), "tiles", few=True)
     few = F.col("held") <= min(FEW, tile)
@@ -361,16 +347,16 @@ def tile_pairs(rows: DataFrame, marks: DataFrame, percent: int, tile: int) -> Da
     sides = pairs.select("key", "i", "j", F.col("i").alias("tile")).unionByName(
         pairs.where("i <> j").select("key", "i", "j", F.col("j").alias("tile")))
     sent = many.join(sides, ["key", "tile"]).join(marks.select("set_id", "bits"), "set_id").select(
-        "key", "i", "j", "tile", "set_id", "n", "comp", "p", "bits")
-    small = ranked.where(few).select("key", F.col("tile").alias("i"), F.col("tile").alias("j"), "tile", "set_id", "n", "comp", "p",
+        "key", "i", "j", "tile", "set_id", "n", "comp", "bits")
+    small = ranked.where(few).select("key", F.col("tile").alias("i"), F.col("tile").alias("j"), "tile", "set_id", "n", "comp",
                                      F.lit(None).cast("binary").alias("bits"))
 
     def compare(group: list[tuple]) -> list[tuple[int, int]]:
         _, i, j = group[0][:3]
-        size, comp, place = (np.array([g[k] for g in group]) for k in (5, 6, 7))
-        maps = None if group[0][8] is None else np.frombuffer(b"".join(g[8] for g in group), np.uint64).reshape(len(group), -1)
+        size, comp = (np.array([g[k] for g in group]) for k in (5, 6))
+        maps = None if group[0][7] is None else np.frombuffer(b"".join(g[7] for g in group), np.uint64).reshape(len(group), -1)
         left = 0 if i == j else sum(g[3] == i for g in group)
-        return [tuple(sorted((group[p][4], group[q][4]))) for p, q in tile_pairs_of(size, comp, place, maps, left, percent)]
+        return [tuple(sorted((group[p][4], group[q][4]))) for p, q in tile_pairs_of(size, comp, np.zeros_like(size), maps, left, percent)]
 
     dealt = lambda part: (part.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "tile", "set_id")
                           .mapInArrow(lambda batches: _grouped(compare, batches), "a bigint, b bigint"))
@@ -404,8 +390,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(row_key, doc_id, n_shingles, component_id) for every row of ``docs``: the set size, and the smallest
     id that links reach. See the module's text for the steps and the odd cases."""
     with small_batches(docs.sparkSession):
-        counts = shingle_counts(docs, text_col, words)
-        sets = written(shingle_sets(docs, id_col, text_col, words, percent, counts), "sets")
+        sets = written(shingle_sets(docs, id_col, text_col, words, percent), "sets")
         links = set_links(docs, sets, id_col, text_col, words, percent, tile)
     joined = components(local_forests(links)).withColumnRenamed("node", "set_id")
     first = sets.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("first"))

@@ -149,3 +149,37 @@ def test_arrow_batches_of_sets_are_small(spark):
     assert spark.conf.get(name, None) is None
     J.jaccard_components(docs.limit(20))
     assert spark.conf.get(name, None) is None
+
+
+def test_linked_sets_share_a_part_and_others_none():
+    """Linked sets of all sizes share a key; sets with a few common members, as chance makes them in large tables, share none."""
+    rng = np.random.default_rng(12)
+    linked = 0
+    for percent in (80, 90):
+        for size in (1, 2, 3, 5, 8, 10, 19, 20, 60, 150, 400):
+            for _ in range(40):
+                a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+                b = np.unique(np.concatenate([rng.permutation(a)[rng.integers(0, 1 + size * (100 - percent) // 150):],
+                                              rng.integers(0, 2**63, rng.integers(0, 1 + size * (100 - percent) // 150), dtype=np.uint64)]))
+                if 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)):
+                    linked += 1
+                    assert set(J.part_keys(a, percent)) & set(J.part_keys(b, percent)), (percent, size)
+    assert linked > 600
+    common = rng.integers(0, 2**63, 6, dtype=np.uint64)
+    for _ in range(40):
+        a, b = (np.unique(np.concatenate([common, rng.integers(0, 2**63, 300, dtype=np.uint64)])) for _ in range(2))
+        assert not set(J.part_keys(a, 90)) & set(J.part_keys(b, 90))
+
+
+def test_sets_that_share_single_shingles_make_no_rows(spark):
+    """Texts with one common passage each share its shingles, the rarest they have, but no key."""
+    rng = random.Random(3)
+    rows = [(i, " ".join([f"r{i // 2}", f"s{i // 2}", f"t{i // 2}"] + [f"w{rng.randrange(400)}" for _ in range(300)])) for i in range(60)]
+    rows += [(100, rows[0][1] + " end")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sets = J.written(J.shingle_sets(docs, "doc_id", "text", 3, 90), "sets")
+    of = {r.row_key: r for r in sets.collect()}
+    held = {r.set_id for r in J.shared_rows(sets).collect()}
+    near = {r.set_id for r in of.values() if r.doc_id in (0, 100)}
+    assert len(near) == 2 and held == near
+    assert run(spark, rows) == brute(rows)
