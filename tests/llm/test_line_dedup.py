@@ -152,3 +152,29 @@ def test_wide_band_of_half_alike_lines_makes_few_pairs(spark):
         for a, b in alike:
             low[a] = low[b] = min(low[a], low[b])
     assert {h: group.get(h, h) for h in sets} == low
+
+
+def test_every_shingle_of_a_line_is_signed(spark):
+    """Lines of long words that differ at the heads of some words only: similar by their shingles, different by their words' heads."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(22))
+    rows = []
+    for k in range(0, 40, 2):
+        words = [word() for _ in range(5)]
+        near = [f"0{w[1:]}" if i in (1, 3) else w for i, w in enumerate(words)]
+        x, y = (grams(" ".join(w)) for w in (words, near))
+        assert len(x & y) >= 0.8 * len(x | y)
+        rows += [(k, " ".join(words)), (k + 1, " ".join(near))]
+    got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute(rows)
+
+
+def test_shingles_are_cut_at_characters(spark):
+    """One shingle from each character on, characters of any width, one of a line that is shorter."""
+    texts = ["abc", "abcdefg", "漢字仮名交じり", "a\U0001F600bc\U0001F601def", "aaaaaaaa", "a\u2028b cde"]
+    got = {r.line: sorted(r.ring) for r in line_dedup.rings(spark.createDataFrame([(t,) for t in texts], "line string")
+                                                           .withColumn("h", F.xxhash64("line"))).join(
+        spark.createDataFrame([(t,) for t in texts], "line string").withColumn("h", F.xxhash64("line")), "h").collect()}
+    one = spark.createDataFrame([(t, g) for t in texts for g in grams(t)], "line string, g string").select("line", F.xxhash64("g").alias("x"))
+    want = {r.line: sorted(r.all) for r in one.groupBy("line").agg(F.collect_list("x").alias("all")).collect()}
+    assert got == want
