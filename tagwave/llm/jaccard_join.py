@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scan import ordered_scan
-from .common import components, small_batches, written
+from .common import components, passing, small_batches, written
 from .lexical_search import BITMAP, term_bitmap
 from .shingles import mix, shingle_hashes, signed, text_slices, word_hashes, word_spans
 
@@ -115,8 +115,8 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")).alias("row_key")
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """Steps 1 and 2: (row_key, doc_id, n_shingles, set_id, bits, keys) for each row of ``docs``."""
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, keyed: bool = True) -> DataFrame:
+    """Steps 1 and 2: (row_key, doc_id, n_shingles, set_id, bits, keys) for each row of ``docs``; without ``keyed`` no keys."""
     def run(batches):
         for batch in batches:
             sizes, names, bits, keys = [], [], [], []
@@ -124,7 +124,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int, percen
                 sizes.append(len(members))
                 names.append(set_id(members))
                 bits.append(bitmap(members))
-                keys.append(signed(part_keys(members, percent)) if len(members) else np.zeros(0, np.int64))
+                keys.append(signed(part_keys(members, percent)) if keyed and len(members) else np.zeros(0, np.int64))
             off = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             yield pa.record_batch([
                 batch.column(0), batch.column(1), pa.array(sizes, pa.int64()),
@@ -138,57 +138,67 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int, percen
                                  "keys array<bigint>")
 
 
-def repeated_keys(sets: DataFrame) -> DataFrame:
-    """(key): the keys that several rows hold. A task sends each of its keys once, so a hot key costs a few bytes a task."""
-    total = sets.agg(F.sum(F.size("keys"))).first()[0] or 0
-    buckets = max(1, -(-total // BUCKET_KEYS))
-
-    def local(batches):
-        held = [b.column(0).combine_chunks().flatten() if isinstance(b.column(0), pa.ChunkedArray) else b.column(0).flatten() for b in batches]
-        keys, n = np.unique(np.concatenate([h.to_numpy(zero_copy_only=False) for h in held] or [np.zeros(0, np.int64)]), return_counts=True)
-        bucket = (mix(keys.view(np.uint64), 3) % np.uint64(buckets)).astype(np.int64)
-        for k in range(buckets):
-            own = bucket == k
-            if own.any():
-                yield pa.record_batch([pa.array([k], pa.int32()), pa.array([keys[own].tobytes()], pa.binary()),
-                                       pa.array([(n[own] > 1).tobytes()], pa.binary())], names=["bucket", "keys", "twice"])
-
-    def reduce(rows: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(k, "<i8") for k in rows.column("keys").to_pylist()])
-        twice = np.concatenate([np.frombuffer(t, bool) for t in rows.column("twice").to_pylist()])
-        distinct, inverse, n = np.unique(keys, return_inverse=True, return_counts=True)
-        again = n > 1
-        again[inverse[twice]] = True
-        return pa.table([pa.array(distinct[again])], names=["key"])
-
-    packed = sets.select("keys").mapInArrow(local, "bucket int, keys binary, twice binary")
-    return written(packed.groupBy("bucket").applyInArrow(reduce, "key bigint"), "repeated", few=True)
-
-
 def with_several(rows: DataFrame, col: str) -> DataFrame:
     """Rows of the keys under which ``col`` has several values."""
     keys = rows.groupBy("key").agg(F.min(col).alias("lo"), F.max(col).alias("hi")).where("lo < hi").select("key")
     return rows.join(keys, "key", "left_semi")
 
 
-def shared_rows(sets: DataFrame) -> DataFrame:
-    """(key, set_id, n) of the keys that several different sets hold. A bitmap of fixed size keeps most other keys from travelling."""
-    keys = repeated_keys(sets)
-    known = sets.sparkSession.sparkContext.broadcast(np.packbits(term_bitmap(keys.select(F.col("key").alias("term")))))
+def shared_rows(sets: DataFrame, total: int | None = None) -> DataFrame:
+    """(key, set_id) of the keys that several different sets hold; ``total``: about the number of all keys, if known. Each key
+    travels once with its set, in 14 bytes: the bucket that it is dealt to and 48 bits more stand for it, so what is sent grows as
+    the input does. Different keys that agree in these bits only bring sets together that the bitmaps then tell apart."""
+    if total is None:
+        total = sets.agg(F.sum(F.size("keys"))).first()[0] or 0
+    buckets = max(1, -(-total // BUCKET_KEYS))
 
-    def run(batches):
-        bits = np.unpackbits(known.value).astype(bool)
+    def packed(names: list[np.ndarray], keys: list[np.ndarray]):
+        names, keys = np.concatenate(names), mix(np.concatenate(keys).view(np.uint64), 3)
+        bucket = (keys % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        low = (keys // np.uint64(buckets))[order].view(np.uint8).reshape(-1, 8)[:, :6]
+        held = np.flatnonzero(np.diff(ends))
+        for at in range(0, len(held), 64):
+            some = held[at:at + 64]
+            yield pa.record_batch([pa.array(some, pa.int64()), pa.array([low[ends[k]:ends[k + 1]].tobytes() for k in some], pa.binary()),
+                                   pa.array([names[order[ends[k]:ends[k + 1]]].tobytes() for k in some], pa.binary())],
+                                  names=["bucket", "keys", "names"])
+
+    def local(batches):
+        names, keys, seen = [], [], 0
         for batch in batches:
-            lists = batch.column(2)
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            hit = bits[flat & (BITMAP - 1)]
-            at = pa.array(row[hit])
-            yield pa.record_batch([pa.array(flat[hit]), batch.column(0).take(at), batch.column(1).take(at)], names=["key", "set_id", "n"])
+            lists = batch.column(1)
+            keys.append(lists.flatten().to_numpy(zero_copy_only=False))
+            names.append(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())))
+            seen += len(keys[-1])
+            if seen >= BUCKET_KEYS:
+                yield from packed(names, keys)
+                names, keys, seen = [], [], 0
+        if seen:
+            yield from packed(names, keys)
 
-    # written, as both sides of the semi join read them
-    rows = written(sets.select("set_id", "n_shingles", "keys").mapInArrow(run, "key bigint, set_id bigint, n bigint"), "likely", few=True)
-    return written(with_several(rows, "set_id").distinct(), "shared", few=True)
+    def reduce(rows: pa.Table) -> pa.Table:
+        low = np.concatenate([np.frombuffer(k, np.uint8).reshape(-1, 6) for k in rows.column("keys").to_pylist()])
+        keys = np.zeros((len(low), 8), np.uint8)
+        keys[:, :6] = low
+        keys = keys.view(np.uint64).ravel()
+        names = np.concatenate([np.frombuffer(n, np.int64) for n in rows.column("names").to_pylist()])
+        order = np.lexsort((names, keys))
+        keys, names = keys[order], names[order]
+        new = np.ones(len(keys), bool)  # equal sets are one
+        new[1:] = (keys[1:] != keys[:-1]) | (names[1:] != names[:-1])
+        keys, names = keys[new], names[new]
+        alike = keys[1:] == keys[:-1]
+        several = np.zeros(len(keys), bool)
+        several[1:] |= alike
+        several[:-1] |= alike
+        whole = mix(keys[several], 5 + rows.column("bucket")[0].as_py())
+        return pa.table([pa.array(signed(whole)), pa.array(names[several])], names=["key", "set_id"])
+
+    found = (sets.select("set_id", "keys").mapInArrow(local, "bucket bigint, keys binary, names binary")
+             .groupBy("bucket").applyInArrow(reduce, "key bigint, set_id bigint"))
+    return written(found, "shared-keys", few=True)
 
 
 def local_forests(links: DataFrame, rows: int = FOREST_ROWS) -> DataFrame:
@@ -363,40 +373,53 @@ def tile_pairs(rows: DataFrame, marks: DataFrame, percent: int, tile: int) -> Da
     return dealt(sent).unionByName(dealt(small)).distinct()
 
 
-def set_links(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, words: int, percent: int, tile: int) -> DataFrame:
+def keyed_sets(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (row_key, doc_id, n_shingles, set_id), the keys that several sets hold (key, set_id, n) and the bitmaps (set_id, n, bits)
+    of their sets. The lists of all keys, most of the bytes, are made on the way to the shuffle and never written."""
+    with passing(docs.sparkSession) as keep:
+        sets = written(shingle_sets(docs, id_col, text_col, words, percent, keyed=False).drop("keys"), "sets")
+        total = sets.agg(F.sum(F.col("n_shingles") + 8)).first()[0] or 0
+        found = shared_rows(shingle_sets(docs, id_col, text_col, words, percent), total)
+        marks = written(sets.select("set_id", F.col("n_shingles").alias("n"), "bits").join(
+            found.select("set_id").distinct(), "set_id", "left_semi").dropDuplicates(["set_id"]), "marks", few=True)
+        shared = written(found.join(marks.select("set_id", "n"), "set_id").select("key", "set_id", "n"), "shared", few=True)
+        return keep(sets.drop("bits")), keep(shared), keep(marks)
+
+
+def set_links(docs: DataFrame, sets: DataFrame, shared: DataFrame, marks: DataFrame, id_col: str, text_col: str, words: int,
+              percent: int, tile: int) -> DataFrame:
     """Links (a, b) of set ids that connect whatever the threshold connects."""
-    shared = shared_rows(sets)
-    marks = written(sets.select("set_id", F.col("n_shingles").alias("n"), "bits").join(
-        shared.select("set_id").distinct(), "set_id", "left_semi").dropDuplicates(["set_id"]), "marks", few=True)
     held, links, rows = None, None, shared.withColumn("comp", F.col("set_id"))
-    for turn in range(ROUNDS + 1):
-        last = turn == ROUNDS
-        pairs = tile_pairs(rows, marks, percent, tile) if last else centre_pairs(rows, percent, turn)
-        pairs = written(bounded(written(pairs, "pairs", few=True), marks, percent), "near-pairs", few=True)
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-        if held is not None:  # what earlier rounds have made is not made again
-            wanted = wanted.join(held.select("set_id"), "set_id", "left_anti")
-        more = held_sets(docs, sets, wanted, id_col, text_col, words)
-        held = more if held is None else held.unionByName(more)
-        found = written(exact_links(pairs, held, percent), "found", few=True)
-        links = found if links is None else links.unionByName(found)
-        if not last:
-            rows = open_rows(shared, links)
-    return links
+    with passing(docs.sparkSession) as keep:
+        for turn in range(ROUNDS + 1):
+            last = turn == ROUNDS
+            pairs = tile_pairs(rows, marks, percent, tile) if last else centre_pairs(rows, percent, turn)
+            pairs = written(bounded(written(pairs, "pairs", few=True), marks, percent), "near-pairs", few=True)
+            wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+            if held is not None:  # what earlier rounds have made is not made again
+                wanted = wanted.join(held.select("set_id"), "set_id", "left_anti")
+            more = held_sets(docs, sets, wanted, id_col, text_col, words)
+            held = more if held is None else held.unionByName(more)
+            found = written(exact_links(pairs, held, percent), "found", few=True)
+            links = found if links is None else links.unionByName(found)
+            if not last:
+                rows = open_rows(shared, links)
+        return keep(links)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
                        percent: int = PERCENT, tile: int = TILE) -> DataFrame:
     """(row_key, doc_id, n_shingles, component_id) for every row of ``docs``: the set size, and the smallest
     id that links reach. See the module's text for the steps and the odd cases."""
-    with small_batches(docs.sparkSession):
-        sets = written(shingle_sets(docs, id_col, text_col, words, percent), "sets")
-        links = set_links(docs, sets, id_col, text_col, words, percent, tile)
-    joined = components(local_forests(links)).withColumnRenamed("node", "set_id")
-    first = sets.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("first"))
-    named = first.join(joined, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    lowest = written(named.groupBy("component").agg(F.min("first").alias("component_id")), "lowest")
-    of_set = written(written(named, "named").join(lowest, "component").select("set_id", "component_id"), "of-set")
-    return (sets.select("row_key", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_id")).alias("set_id"))
-            .join(of_set, "set_id", "left")
-            .select("row_key", "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
+    with passing(docs.sparkSession) as keep:
+        with small_batches(docs.sparkSession):
+            sets, shared, marks = keyed_sets(docs, id_col, text_col, words, percent)
+            links = set_links(docs, sets, shared, marks, id_col, text_col, words, percent, tile)
+        joined = components(local_forests(links)).withColumnRenamed("node", "set_id")
+        first = sets.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("first"))
+        named = first.join(joined, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+        lowest = written(named.groupBy("component").agg(F.min("first").alias("component_id")), "lowest")
+        of_set = written(written(named, "named").join(lowest, "component").select("set_id", "component_id"), "of-set")
+        return keep(sets.select("row_key", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_id")).alias("set_id"))
+                    .join(of_set, "set_id", "left")
+                    .select("row_key", "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
